@@ -5,7 +5,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 #: The same words as a pattern of Java and RE2.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows held as Python objects at once by :func:`map_rows`.
+#: Rows, and bytes of text, held as Python objects at once by :func:`map_rows`; a single longer text is a slice of its own.
 SLICE_ROWS = 256
+SLICE_BYTES = 2_000_000
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
@@ -23,10 +26,19 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most ``rows``, so that few texts are Python objects at once."""
+    """The same rows in record batches of at most ``rows`` and SLICE_BYTES, so that few texts are Python objects at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
