@@ -25,8 +25,8 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most ``rows`` and SLICE_BYTES, so that few texts are Python objects at once."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of at most ``rows`` and ``size`` bytes, so that few texts are Python objects at once."""
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)
         for column in batch.columns:
@@ -36,7 +36,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import compression, langid, mixing, packing, secrets, simhash, toxicity, warc
+from corpusloom.llm import compression, langid, mixing, packing, repeats, secrets, simhash, toxicity, warc
 from corpusloom.runtime import table
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep="none", texts=False)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_source_mix, op3_secret_scan, op6_simhash, op7_warc_round_trip, op8_packing, op9_language_id, op10_compression_bands)
+    found = (op1_toxicity, op2_source_mix, op3_secret_scan, op4_repeated_passages, op6_simhash, op7_warc_round_trip, op8_packing, op9_language_id, op10_compression_bands)
     return {f.__name__: f for f in found}
 
 
