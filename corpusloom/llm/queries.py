@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import compression, langid, mixing, packing, repeats, secrets, simhash, toxicity, warc
+from corpusloom.llm import compression, langid, mixing, neighbours, packing, repeats, secrets, simhash, toxicity, warc
 from corpusloom.runtime import table
 
 
@@ -26,6 +27,10 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep="none", texts=False)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_source_mix, op3_secret_scan, op4_repeated_passages, op6_simhash, op7_warc_round_trip, op8_packing, op9_language_id, op10_compression_bands)
+    found = (op1_toxicity, op2_source_mix, op3_secret_scan, op4_repeated_passages, op5_nearest_neighbours, op6_simhash, op7_warc_round_trip, op8_packing, op9_language_id, op10_compression_bands)
     return {f.__name__: f for f in found}
 
 
