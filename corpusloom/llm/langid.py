@@ -15,10 +15,11 @@ Repeated rows are judged one by one. Only ``doc_id``, ``text`` and (in training)
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, is_held_out, map_rows
+from corpusloom.llm.common import held_out, is_held_out, map_rows, sliced, text_bytes
 
 #: Bound of the training sample: about this many documents for each language.
 TRAIN_DOCS = 1500
@@ -156,3 +157,20 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray] | None =
         return work
 
     return map_rows(documents.select(F.col("doc_id").cast("long"), F.col("text")), make, SCHEMA)
+
+
+def keep_identified(documents: DataFrame, min_score: float, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """The documents, unchanged, whose language is determined with at least ``min_score``."""
+    languages, logs = model or fit(documents)
+    logs = logs.astype(np.float32)
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for part in sliced(batches):
+            keep = []
+            for text in text_bytes(part.column(at)):
+                grams = trigrams(text.decode("utf-8", "surrogatepass")) if text and languages else ()
+                keep.append(bool(len(grams)) and infer(grams, logs)[0].max() >= min_score)
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

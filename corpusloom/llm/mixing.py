@@ -104,7 +104,9 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
             F.transform(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1)), lambda k: F.least(F.col("_size"), F.col("_taken") - k * F.col("_size"))), lambda n: n > 0
         )
     )
-    cut = F.when(F.col("_words") < F.col("_size"), F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_words").cast("string"), F.lit("}")), 0)).otherwise(F.col("text"))
+    # Split behind each word: every part is a word with the white space before it.
+    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")).otherwise(F.col("text"))
     kept = joined.withColumn("_words", F.explode(copies)).withColumn("text", cut)
     if "n_chars" in columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))

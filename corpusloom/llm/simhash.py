@@ -25,7 +25,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_rows
@@ -62,17 +62,22 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_hash() -> Column:
+    """Tells rows with one doc_id and different texts apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp) with the fingerprint as a signed long."""
 
     def make():
         def work(rows: list) -> list:
-            found = np.array([fingerprint(text, shingle) for _, text in rows], np.uint64).view(np.int64).tolist()
-            return [(doc_id, fp) for (doc_id, _), fp in zip(rows, found)]
+            found = np.array([fingerprint(row[2], shingle) for row in rows], np.uint64).view(np.int64).tolist()
+            return [(*row[:2], fp) for row, fp in zip(rows, found)]
 
         return work
 
-    return map_rows(documents.select(F.col("doc_id").cast("long"), F.col("text")), make, "doc_id long, fp long")
+    return map_rows(documents.select(F.col("doc_id").cast("long"), text_hash(), F.col("text")), make, "doc_id long, text_hash long, fp long")
 
 
 def masks(width: int, flips: int) -> list[int]:
@@ -176,12 +181,33 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     return rows.groupBy("place", "part").applyInArrow(meet, "u long, v long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint, component_id): 16 hex digits and the smallest doc_id that links lead to."""
+def classes(documents: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), and for each fingerprint (fp, component, least): its component and the smallest doc_id it has."""
     rows = stash(fingerprints(documents, shingle), "fingerprints")
     distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(distinct.select("fp"), distinct.count()))
-    reached = distinct.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return rows, distinct.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fingerprint, component_id): 16 hex digits and the smallest doc_id that links lead to."""
+    rows, reached = classes(documents, shingle)
     smallest = reached.groupBy("component").agg(F.min("least").alias("component_id"))
     named = reached.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, unchanged, with one of each component: that with the smallest doc_id (null last), then text hash."""
+    rows, reached = classes(documents, shingle)
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")
+    # The smallest of each fingerprint first, so that no component's rows gather.
+    by_fingerprint = rows.groupBy("fp").agg(F.min(place).alias("place"))
+    kept = by_fingerprint.join(reached.select("fp", "component"), "fp").groupBy("component").agg(F.min("place").alias("place"))
+    kept = stash(kept.select(F.col("place.doc_id").alias("_doc_id"), F.col("place.text_hash").alias("_text_hash")), "kept")
+    columns = documents.columns
+    marked = documents.withColumn("_hash", text_hash())
+    joined = marked.join(kept, (F.col("_hash") == F.col("_text_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
+    # Rows that are equal in doc_id and text are copies too.
+    nth = F.row_number().over(Window.partitionBy("_text_hash", "_doc_id").orderBy(F.xxhash64(*columns)))
+    return joined.withColumn("_nth", nth).where("_nth = 1").select(*columns)
