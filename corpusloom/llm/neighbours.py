@@ -151,7 +151,7 @@ def block_search(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
         near = squares(vectors, entries)
         visited = np.zeros((part.num_rows, len(buckets)), bool)
         for i, probes in enumerate(part["probes"]):
-            if probes.values is None:
+            if not probes.is_valid:
                 visited[i] = True
                 continue
             wanted = probes.values.to_numpy()
@@ -222,7 +222,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
     parts = index.groupBy("table", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
     found = searched(probes, index, parts, k)
     result = ranked(found, k)
-    return completed(result, queries, index, parts, k)
+    return completed(result, queries, index, parts, blocks, k)
 
 
 def searched(probes: DataFrame, index: DataFrame, parts: DataFrame, k: int) -> DataFrame:
@@ -245,15 +245,14 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: DataFrame, blocks: int, k: int) -> DataFrame:
     """``result`` with an exact search, over all blocks of one table, for queries that found fewer than ``k``."""
     result = stash(result, "nearest")
     have = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = stash(queries.join(have, queries["vec_id"] == have["query_id"], "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "vec"), "short")
     if short.isEmpty():
         return result
-    blocks = parts.where("table = 0")
-    # Few queries (the check above) meet each block of the table once.
-    every = short.select(F.col("vec_id").alias("query_id"), "vec").join(F.broadcast(blocks.select("table", "block"))).withColumn("probes", F.lit(None).cast("array<long>"))
-    exact = ranked(searched(every.select("table", "block", "query_id", "vec", "probes"), index.where("table = 0"), blocks, k), k)
+    # Each entry is in every table once, so the blocks of the first table are all entries.
+    every = short.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("query_id"), "vec", F.lit(None).cast("array<long>").alias("probes"))
+    exact = ranked(searched(every, index.where("table = 0"), stash(parts.where("table = 0"), "parts"), k), k)
     return result.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
