@@ -339,7 +339,8 @@ def repeated_spans(documents: DataFrame, keep: str = "none", length: int = LENGT
     every = stash(segment_table(documents, length, gram), "segments")
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "start")
     counts = [F.count(F.lit(1)).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")] + ([F.min(place).alias("earliest")] if keep == "first" else [])
-    anchors = every.groupBy("anchor").agg(*counts).where("n > 1").drop("n")
+    # Written, so that the join reads plain shuffles on both sides and Spark can split a hot anchor's.
+    anchors = stash(every.groupBy("anchor").agg(*counts).where("n > 1").drop("n"), "anchors")
     shared = stash(every.join(anchors, "anchor"), "shared")
     release_shuffles(spark)
 
