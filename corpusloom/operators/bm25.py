@@ -37,11 +37,12 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", k
         rows = stash(rows, "postings")
     corpus = chunks.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(corpus), how="cross").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    # Both crossed sides are one row.
-    mean = raw.select(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    terms = raw.join(F.broadcast(mean), how="cross").select("term", "df", idf.alias("idf"))
+    if keep:
+        df = stash(df, "terms")
+    size = corpus.first()["n"]
+    raw = df.withColumn("raw", F.log(size - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.select(F.avg("raw")).first()[0] or 0.0
+    terms = raw.select("term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
     return SparseIndex(rows, terms, corpus)
 
 
@@ -50,8 +51,8 @@ def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_id: str =
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = wanted.join(index.term_stats, "term")
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    hits = index.postings.join(weighted, "term").join(F.broadcast(index.corpus_stats), how="cross")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    hits = index.postings.join(weighted, "term")
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (index.corpus_stats.first()["avgdl"] or 1.0))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1) / norm)
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).where("score > 0")
     return top(scored, k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ def history(turns: DataFrame) -> DataFrame:
 
 def answers(prompted: DataFrame, generate: Callable[[str, str], str], fallback: Callable[[str, str], str] | None = None) -> DataFrame:
     """``prompted`` with ``answer``: ``generate(system, user)`` on the executors; where it fails or is blank, ``fallback``."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ask(messages: pd.Series) -> pd.Series:
         out = []

@@ -137,8 +137,9 @@ def verify(vectors: DataFrame, store: DataFrame, corpus: DataFrame, dim: int) ->
     )
     c = corpus.agg(F.count(F.lit(1)).alias("c_n"), F.min_by("id", "pos").alias("c_first"), F.max_by("id", "pos").alias("c_last"))
     missing = vectors.select("id").join(store.select(F.col("chunk_id").alias("id")), "id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    # Three aggregates of one row each.
-    rows = v.join(F.broadcast(c), how="cross").join(F.broadcast(missing), how="cross")
+    # Three aggregates of one row each, put together by the driver.
+    facts = {k: value for frame in (v, c, missing) for k, value in frame.first().asDict().items()}
+    rows = vectors.sparkSession.range(1).select(*(F.lit(value).alias(k) for k, value in facts.items()))
     return rows.select(
         (F.col("n") == F.col("c_n")).alias("count_matches"), (F.col("n") == F.col("distinct")).alias("ids_unique"), ((F.col("least") == dim) & (F.col("most") == dim)).alias("dimension_matches"),
         F.col("first").eqNullSafe(F.col("c_first")).alias("first_matches"), F.col("last").eqNullSafe(F.col("c_last")).alias("last_matches"), (F.col("missing") == 0).alias("ids_in_store"),
