@@ -33,7 +33,7 @@ def plain(frame):
         return str(value)
 
     rows = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else text(v) for v in row) for row in rows.itertuples(index=False))
+    return sorted(tuple(f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v else text(v) for v in row) for row in rows.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
