@@ -19,7 +19,10 @@ from corpusloom.functions import text as T
 from corpusloom.functions import understanding as U
 from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fusion, lifecycle
 from corpusloom.plans import search
-from corpusloom.runtime import table
+from corpusloom.plans.ingest import ingest
+from corpusloom.runtime import fresh_path, table
+from corpusloom.sources import readers, writers
+from corpusloom.streaming.incremental import incremental_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, tuple[Query, str | None]] = {}
@@ -796,3 +799,84 @@ def namespace_term_stats(spark, sf_dir):
 @register("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 def dedupe_ids(spark, sf_dir):
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct().join(documents(spark, sf_dir).select(F.col("doc_id").alias("id")), "id", "left_semi")
+
+
+# --- sources, ingestion, responses, incremental builds ------------------------------------------------------------
+
+
+@register(r"""
+SELECT coalesce(list_filter(string_split(coalesce(url, ''), '/'), lambda p: p <> '')[-1], md5(html)) AS case_id, length(html) AS chars, 'HC ' || (page_id % 7) AS court,
+  CASE WHEN page_id % 4 <> 0 THEN CAST(2000 + page_id % 20 AS VARCHAR) END AS date
+FROM pages WHERE regexp_replace(html, '^\s+|\s+$', '', 'g') <> ''""")
+def map_row(spark, sf_dir):
+    n = F.col("page_id")
+    raw = table(spark, sf_dir, "pages").select(
+        F.col("html").alias("Text"), F.col("url").alias("Doc_url"), F.lit(" ").alias("Court_Name_Normalized"), F.concat(F.lit(" HC "), (n % 7).cast("string")).alias("Court_Name"), F.when(n % 4 != 0, (2000 + n % 20).cast("string")).otherwise(" ").alias("Date")
+    )
+    rows = readers.judgment_rows(raw.withColumn("Titles", F.lit("t")).withColumn("_date", F.lit(None).cast("string")))
+    return rows.select("case_id", F.length("text").cast("long").alias("chars"), "court", "date")
+
+
+@register("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def new_rows(spark, sf_dir):
+    existing = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
+    return writers.new_rows(table(spark, sf_dir, "pages").select("page_id"), existing, "page_id")
+
+
+@register(f"""
+WITH {ACT_SQL}
+SELECT 'acts/doc_' || u.doc_id || '/' || chunk_index AS chunk_id, md5('Intro' || chr(10) || chr(10) || '[Document summary]' || chr(10) || u.body) AS digest, u.body AS original_text, '' AS cites FROM u""")
+def ingest_acts(spark, sf_dir):
+    docs = act_text(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_doc"), "text", F.lit("p").alias("source_path"), F.lit("acts").alias("category"), F.lit("").alias("jurisdiction"))
+    chunks = ingest(docs, {"acts": ("pattern", "acts")})
+    return chunks.select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"), "original_text", F.array_join(F.transform("cites", lambda c: c["doc"]), "|").alias("cites"))
+
+
+@register("""
+SELECT doc_id, source AS governing_law, 'A,' || lang AS parties, 'Schedule VII|Exhibit B|Annexure 1' AS refs FROM documents""")
+def contract_meta(spark, sf_dir):
+    base = documents(spark, sf_dir).select("doc_id", F.col("source").alias("governing_law"), F.array(F.lit("A"), F.col("lang")).alias("parties"))
+    docs = cited_text(spark, sf_dir).join(base, "doc_id").select("doc_id", "text", "governing_law", "parties", F.col("doc_id").cast("string").alias("source_doc"), F.lit("contracts").alias("category"))
+    rows = ingest(docs, {"contracts": ("sentence", None)}, use_summary=False, max_chars=100_000)
+    return rows.select("doc_id", "contract_meta.governing_law", F.array_join("contract_meta.parties", ",").alias("parties"), F.array_join("contract_meta.internal_refs", "|").alias("refs"))
+
+
+@register("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, ''), source) AS merged FROM documents")
+def merge_meta(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.first_nonempty(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")), F.col("source")).alias("merged"))
+
+
+@register(f"WITH {EMBED_SQL.replace('{{k}}', '10')} SELECT kind, count(*) AS places, round(sum(w), 5) AS total FROM hv GROUP BY kind")
+def hashing_embedder(spark, sf_dir):
+    rows = document_vectors(spark, sf_dir).select(F.lit("d").alias("kind"), "embedding").unionByName(query_vectors(spark, sf_dir).select(F.lit("q").alias("kind"), "embedding"))
+    weights = rows.select("kind", F.explode("embedding").alias("w")).where("w <> 0")
+    return weights.groupBy("kind").agg(F.count(F.lit(1)).alias("places"), F.round(F.sum("w"), 5).alias("total"))
+
+
+@register(EVAL_SQL + """, c AS (SELECT query_id % 3 AS category, k, avg(precision) AS p, avg(recall) AS r, avg(rr) AS m, avg(ap) AS a FROM per GROUP BY ALL)
+SELECT k, round(avg(round(p, 6)), 5) AS precision, round(avg(round(r, 6)), 5) AS recall, round(avg(round(m, 6)), 5) AS mrr, round(avg(round(a, 6)), 5) AS map FROM c GROUP BY k""")
+def eval_overall(spark, sf_dir):
+    by_category = evaluation.macro(per_query(spark, sf_dir).withColumn("category", F.col("query_id") % 3), "category")
+    return evaluation.overall(by_category).select("k", *(F.round(c, 5).alias(c) for c in ("precision", "recall", "mrr", "map")))
+
+
+@register(f"""
+WITH {HYBRID_SQL},
+n AS (SELECT query_id, count(*) AS n FROM hybrid WHERE id % 7 <> 0 GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(n, 0) >= 2 AS valid, CASE WHEN n IS NULL THEN 1 ELSE 0 END + CASE WHEN coalesce(n, 0) >= 2 THEN 3 ELSE 3 END AS limits, CAST(coalesce(n, 0) AS INT) AS passages
+FROM benchmark LEFT JOIN n ON n.query_id = item_id""")
+def chat_response(spark, sf_dir):
+    chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("text")).alias("text"), F.lit("").alias("original_text"))
+    found = evidence.gather(hybrid_hits(spark, sf_dir), chunks)
+    answered = benchmark_queries(spark, sf_dir).select("query_id", F.lit("As (S1) and ( s2 ) say.").alias("answer"), F.lit(10).alias("retrieved"))
+    rows = evidence.responses(answered, found)
+    return rows.select("query_id", "validation.valid", F.size("limitations").alias("limits"), F.coalesce(F.size("evidence"), F.lit(0)).alias("passages")).withColumn("passages", F.greatest("passages", F.lit(0)))
+
+
+@register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term")
+def incremental_postings(spark, sf_dir):
+    path = fresh_path(spark, "incremental")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("lang").alias("category"))
+    writers.write_chunks(rows.repartition(4), f"{path}/chunks")
+    incremental_index(spark, f"{path}/chunks", f"{path}/index", files_per_batch=2).awaitTermination()
+    return spark.read.parquet(f"{path}/index/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
