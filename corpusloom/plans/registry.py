@@ -682,11 +682,7 @@ per AS (
 
 
 def relevant_pairs(spark, sf_dir) -> DataFrame:
-    """Which documents hold a benchmark passage: a scan of whole texts for the stated set of passages.
-
-    The passages meet the texts in one automaton on each executor, built from a broadcast of checked size;
-    a larger set is taken in blocks.
-    """
+    """Which documents hold a benchmark passage: a scan of whole texts for the stated set of passages."""
     passages = benchmark_queries(spark, sf_dir)
     return contains_pairs(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), passages)
 
@@ -695,21 +691,31 @@ PASSAGE_BLOCK = 10_000
 
 
 def contains_pairs(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, id) of all passages (query_id, text) that texts (id, text) hold, in blocks of passages."""
+    """(query_id, id) of all passages (query_id, text) that texts (id, text) hold, in blocks of passages.
+
+    One pass over each text finds all passages of a block at once. An empty passage is in no text.
+    """
     import pyarrow as pa
 
     def scan(block: list):
         def run(batches):
+            import ahocorasick
+
+            automaton, owners = ahocorasick.Automaton(), {}
+            for query, passage in block:
+                owners.setdefault(passage, []).append(query)
+            for passage, own in owners.items():
+                automaton.add_word(passage, own)
+            automaton.make_automaton()
             for batch in batches:
-                ids, owners = batch.column(0), []
-                texts_ = batch.column(1).to_pylist()
-                for i, text in enumerate(texts_):
-                    owners += [(q, i) for q, passage in block if text is not None and passage in text]
-                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in owners], pa.int64()), ids.take(pa.array([i for _, i in owners], pa.int64()))], ["query_id", "id"])
+                found = []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    found += [(q, i) for q in sorted({q for _, own in automaton.iter(text or "") for q in own})]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), batch.column(0).take(pa.array([i for _, i in found], pa.int64()))], ["query_id", "id"])
 
         return run
 
-    found, rows = None, passages.where("text IS NOT NULL").toLocalIterator()
+    found, rows = None, passages.where("text <> ''").toLocalIterator()
     while block := [(r["query_id"], r["text"]) for _, r in zip(range(PASSAGE_BLOCK), rows)]:
         part = texts.mapInArrow(scan(block), "query_id long, id long")
         found = part if found is None else found.unionByName(part)

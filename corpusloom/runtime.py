@@ -39,10 +39,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     computing ``df`` again, and several consumers share one computation.
     """
     path = fresh_path(df.sparkSession, name)
+    _written(df.sparkSession).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """The scratch tables of this session."""
+    context = spark.sparkContext
+    if not hasattr(context, "_corpusloom_written"):
+        context._corpusloom_written = []
+    return context._corpusloom_written
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of the session; results that were built on them must have been written before."""
+    paths = _written(spark)
+    while paths:
+        discard(spark, paths.pop())
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 

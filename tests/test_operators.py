@@ -336,3 +336,16 @@ def test_pdf():
     assert data.startswith(b"%PDF-1.4") and data.endswith(b"%%EOF") and data.count(b"/Type /Page ") == -(-len(lines) * 20 // fixed.PDF_LINES)
     at = int(data.split(b"startxref\n")[1].split()[0])
     assert data[at : at + 4] == b"xref"
+
+
+def test_scratch_tables(spark):
+    import os
+
+    from corpusloom import runtime
+
+    frame = runtime.stash(spark.range(3).toDF("x"), "numbers")
+    assert sorted(r["x"] for r in frame.collect()) == [0, 1, 2]
+    path = runtime._written(spark)[-1].removeprefix("file://")
+    assert os.path.isdir(path)
+    runtime.clear(spark)
+    assert not os.path.exists(path) and not runtime._written(spark)
