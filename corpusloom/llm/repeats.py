@@ -28,6 +28,7 @@ they count as one document). Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,27 +143,40 @@ def pieces(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def grouped(cut: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Pieces in groups that stay well below the places that an anchor's number has room for."""
+    held, size = [], 0
+    for piece in cut:
+        if held and size + len(piece[2]) > 2 * PIECE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[2])
+    if held:
+        yield held
+
+
 def segment_table(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The segments of all texts as rows of SEGMENT_SCHEMA."""
 
     def run(batches):
         for part in sliced(batches, 512, PIECE_BYTES):
             texts = [t or b"" for t in text_bytes(part.column(1))]
-            ids, hashes = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            ids, hashes = (part.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 2))
             id_null = part.column(0).is_null().to_numpy(zero_copy_only=False)
-            cut = pieces(texts, length)
-            owner = np.array([p[0] for p in cut], np.int64)
-            offset = np.array([p[1] for p in cut], np.int64)
-            ends = np.cumsum([len(p[2]) for p in cut])
-            data = np.frombuffer(b"".join(p[2] for p in cut), np.uint8)
-            start, strings, lead, anchor, whole = segments(data, ends, length, gram)
-            piece = np.searchsorted(ends, start, "right")
-            at = owner[piece]
-            first = np.concatenate([[0], ends[:-1]])[piece] if len(piece) else start
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at].astype(np.int64) if not id_null.any() else ids[at], pa.int64(), mask=id_null[at]), pa.array(hashes[at], pa.int64()), pa.array(start - first + offset[piece], pa.int64()), pa.array(strings, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
-                ["doc_id", "text_hash", "start", "strings", "lead", "anchor", "segment"],
-            )
+            for cut in grouped(pieces(texts, length)):
+                owner = np.array([p[0] for p in cut], np.int64)
+                offset = np.array([p[1] for p in cut], np.int64)
+                ends = np.cumsum([len(p[2]) for p in cut])
+                data = np.frombuffer(b"".join(p[2] for p in cut), np.uint8)
+                start, strings, lead, anchor, whole = segments(data, ends, length, gram)
+                piece = np.searchsorted(ends, start, "right")
+                at = owner[piece]
+                place = start - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at], pa.int64(), mask=id_null[at]), pa.array(hashes[at], pa.int64()), pa.array(place, pa.int64()), pa.array(strings, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
+                    ["doc_id", "text_hash", "start", "strings", "lead", "anchor", "segment"],
+                )
 
     return keyed(documents).mapInArrow(run, SEGMENT_SCHEMA)
 
