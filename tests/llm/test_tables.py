@@ -151,6 +151,15 @@ def test_long_texts_are_cut_exactly(monkeypatch):
     assert sorted(k for _, k in starts) == list(range(len(data) - 49)) == sorted(int(a) + k for a, m in zip(whole[0], whole[1]) for k in range(m))
 
 
+def test_repeats_in_a_very_long_text(documents):
+    rng = random.Random(16)
+    passage = prose(rng, 60)
+    text = passage + rng.randbytes(2_500_000).hex() + passage
+    n = len(passage.encode())
+    got = {r["doc_id"]: tuple(r)[1:4] for r in repeats.remove_repeats(documents([(1, text), (2, "y" + passage[3:])]), texts=False).collect()}
+    assert got == {1: (len(text), 2 * n, 2), 2: (n - 2, n - 3, 1)}
+
+
 def test_longest_previous_factors():
     rng = random.Random(6)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(300)).encode(), np.uint8)
@@ -422,3 +431,14 @@ def test_pipeline_stages(documents, spark, tmp_path):
     assert seen["secret_scan"][103].endswith(" [REDACTED]")
     last = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == last > 0
+
+
+def test_words_have_the_ids_of_whole_texts(monkeypatch):
+    words = packing.Words(packing.tokenizer_path())
+    chars = [chr(c) for c in [*range(0x21, 0x250), 0x3A3, 0x130, 0x301, 0x2028, 0x4E2D, 0x1F600]]
+    texts = [c + d for c in chars for d in ("", "a", "É1-", "'s")] + ["a " + c + "b" + c + " " + c for c in chars] + ["é x́", "<|EndOfText|> <|endoftext|>a", "we'll DON'T o'clock", "x\x01y \x01", "ΣΑΣ Σ"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    raw = [t.encode() for t in texts]
+    assert words.ids(raw) == want
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    assert [words.ids([t])[0] for t in raw] == want
