@@ -15,6 +15,10 @@ way, each place is given once. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -28,8 +32,11 @@ from corpusloom.runtime import stash
 SEQUENCE = 2048
 CLOSING_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task keeps; the cache is emptied when it is full.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker keeps, about 200 bytes each.
+CACHE_WORDS = 400_000
+#: New words encoded as one string, and what stands between them: a character that is a token of its own.
+JOINED_WORDS = 2048
+MARK = "\x01"
 #: Slices of each length for the ranks.
 SLICES = 256
 
@@ -43,30 +50,101 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+#: Words that need no more than splitting and lower-casing: ASCII without apostrophes, and precomposed Latin letters
+#: (without U+0130, whose lower case is two characters).
+LATIN = "a-zß-öø-ÿā-įı-ſ"
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ]+")
+PARTS = re.compile(rf"[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
+
+
 class Words:
     """Ids of whole texts, put together from cached ids of their words.
 
-    The tokenizer drops white space and never joins characters across it, so a text's ids are its
-    words' ids one after the other (the tests hold this against whole texts).
+    The tokenizer lower-cases, drops white space and never joins characters across it, so a text's ids are its
+    words' ids one after the other. A plain word (PLAIN) is cut into runs of letters, single digits and runs of
+    other characters, as the tokenizer does, and its vocabulary's merges are applied to each. Other new words go
+    through the whole tokenizer, many at a time as one string with MARK between them; a word that holds MARK
+    itself goes alone. The tests hold the result against whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.letters = byte_characters()
         self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(self, part: str) -> bytes:
+        """The ids of a run of letters, a digit or a run of other characters."""
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[part] = self.packed([token.id for token in self.merge(shown)])
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        """Put the ids of new words into the cache."""
+        others = []
+        for word in words:
+            text = word.decode("utf-8", "surrogatepass")
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                self.cache[word] = b"".join(map(self.part, PARTS.findall(text.lower())))
+            else:
+                others.append(word)
+        mark = MARK.encode()
+        joined = [w for w in others if mark not in w] if len(self.mark) == 1 else []
+        groups = [joined[i : i + JOINED_WORDS] for i in range(0, len(joined), JOINED_WORDS)]
+        texts = [(b" " + mark + b" ").join(group).decode("utf-8", "surrogatepass") for group in groups]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            raw = ids.tobytes()
+            ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), len(raw)]
+            start = 0
+            for word, end in zip(group, ends, strict=True):
+                self.cache[word] = raw[start:end]
+                start = end + 4
+        for word in others:
+            if word not in self.cache:
+                self.cache[word] = self.packed(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        for word, encoded in zip(new, found):
-            cache[word] = np.array(encoded.ids, "<u4").tobytes()
-        return [b"".join([cache[w] for w in words]) for words in split]
+        for known in (cache, self.parts):
+            if len(known) > CACHE_WORDS:
+                # Frequent words come early, so those that came last go.
+                for word in list(known)[CACHE_WORDS // 2 :]:
+                    del known[word]
+        # The names of special tokens are matched before lower-casing.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if new := [w for w in set(itertools.chain.from_iterable(split)) if w not in cache]:
+            self.learn(new)
+        find = cache.__getitem__
+        return [b"".join(map(find, words)) for words in split]
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """The tokenizer and its cache, kept from task to task."""
+    if path not in _WORDS:
+        _WORDS[path] = Words(path)
+    return _WORDS[path]
 
 
 def tokenised(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -74,10 +152,7 @@ def tokenised(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        words = Words(path)
+        words = words_of(path)
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         for part in sliced(batches):
             texts = [t or b"" for t in text_bytes(part.column(1))]
