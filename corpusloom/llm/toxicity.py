@@ -4,8 +4,8 @@ Each word has two hashes into two embedding tables whose rows are added, so that
 share an embedding only if both hashes collide; the hashes of its prefixes of PREFIXES bytes have
 a table each, so that inflected and compounded forms share what their stem has learned. Filters of several widths run over the word
 sequence, the maximum over the whole text is pooled, and a logistic unit reads the pooled
-values. Embeddings start at zero and only those of words in at least MIN_DOCS training rows are
-learned: other words stay neutral. A threshold is
+values. Only embeddings of words that differ significantly between the
+classes in training are learned; those of other words are zero, so they stay neutral. A threshold is
 calibrated for each language (guessed from function words in the text itself) on part of
 the training rows, and the score is shifted so that the threshold lies at ``CUT``.
 
@@ -34,12 +34,17 @@ TABLE_BITS = 16
 PREFIXES = (4, 5)
 TABLES = 2 + len(PREFIXES)
 MIN_DOCS = 3
+#: Standard deviations by which a word's share of toxic texts must differ from its share of others to be learned.
+SIGNIFICANT = 4.0
 DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 EPOCHS = 8
 BATCH = 32
+#: Small samples are gone through more often.
+MIN_STEPS = 1500
 RATE = 0.1
+START = 0.1
 #: The score at the calibrated threshold of every language.
 CUT = 0.3
 #: Positive and negative calibration rows that a language needs for a threshold of its own.
@@ -236,7 +241,7 @@ class Net:
 
 
 def samples(documents: DataFrame, labels: DataFrame) -> list:
-    """The bounded training sample as rows (key, toxic, word codes, table places), made on the executors."""
+    """The bounded training sample as rows (key, toxic, language, table places), made on the executors."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
@@ -251,19 +256,19 @@ def samples(documents: DataFrame, labels: DataFrame) -> list:
         for part in sliced(batches):
             texts = [t or b"" for t in text_bytes(part.column(1))]
             codes, slots, starts = word_hashes(texts)
-            split = [[x.tobytes() for x in np.split(values, starts[1:])] for values in (codes, slots)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x, pa.binary()) for x in split)], ["doc_id", "toxic", "codes", "slots"])
+            split = [x.tobytes() for x in np.split(slots, starts[1:])] if texts else []
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(languages_of(codes, starts), pa.int32()), pa.array(split, pa.binary())], ["doc_id", "toxic", "language", "slots"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, codes binary, slots binary").toArrow().to_pylist()
-    found = [(zlib.crc32(b"order %d" % r["doc_id"]), r["toxic"], np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["slots"], np.uint16).reshape(-1, TABLES)) for r in got]
-    return sorted(found, key=lambda r: (*r[:2], len(r[2])))
+    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, language int, slots binary").toArrow().to_pylist()
+    found = [(zlib.crc32(b"order %d" % r["doc_id"]), r["toxic"], r["language"], np.frombuffer(r["slots"], np.uint16).reshape(-1, TABLES)) for r in got]
+    return sorted(found, key=lambda r: (*r[:3], len(r[3])))
 
 
-def batch_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, table places, starts and labels of training rows, laid end to end."""
-    sizes = [len(r[2]) for r in rows]
+def batch_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table places, starts and labels of training rows, laid end to end."""
+    sizes = [len(r[3]) for r in rows]
     starts = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
-    return np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]), starts, np.array([r[1] for r in rows], np.float32)
+    return np.concatenate([r[3] for r in rows]), starts, np.array([r[1] for r in rows], np.float32)
 
 
 def best_threshold(logits: np.ndarray, wanted: np.ndarray) -> float:
@@ -276,6 +281,18 @@ def best_threshold(logits: np.ndarray, wanted: np.ndarray) -> float:
     return float((logits[order[k]] + low) / 2)
 
 
+def telling(rows: list) -> np.ndarray:
+    """(TABLES, places) where a place is in at least MIN_DOCS texts and more (or less) often in toxic ones than chance explains."""
+    docs = np.zeros((2, TABLES, 1 << TABLE_BITS))
+    for row in rows:
+        for t in range(TABLES):
+            docs[row[1], t, np.unique(row[3][:, t])] += 1
+    n = np.array([sum(r[1] == c for r in rows) for c in (0, 1)], float)
+    share = docs.sum(0) / n.sum()
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
+    return (docs.sum(0) >= MIN_DOCS) & (np.abs(docs[1] / n[1] - docs[0] / n[0]) >= SIGNIFICANT * spread)
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> Net | None:
     """Train on the sample and calibrate on a fifth of it; None without rows of both classes."""
     rows = samples(documents, labels)
@@ -288,23 +305,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> Net | None:
     shapes = [net.bias, net.out, np.zeros(()), *net.filters]
     square = [np.zeros_like(s, dtype=np.float32) for s in shapes] + [np.zeros((1 << TABLE_BITS, 1), np.float32) for _ in range(TABLES)]
     square[2] = 0.0
-    docs = np.zeros((TABLES, 1 << TABLE_BITS), np.int32)
-    for row in train:
-        for t in range(TABLES):
-            docs[t, np.unique(row[3][:, t])] += 1
-    learned = (docs >= MIN_DOCS).astype(np.float32)
+    learned = telling(train).astype(np.float32)
+    # Small random values, so that the maximum, and with it the first gradients, falls on any word of a text.
     rng = np.random.default_rng(11)
-    for _ in range(EPOCHS):
+    for t in range(TABLES):
+        net.tables[t][:] = rng.normal(0, START, net.tables[t].shape) * learned[t][:, None]
+    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(train)))):
         order = rng.permutation(len(train))
         for start in range(0, len(order), BATCH):
-            _, slots, starts, wanted = batch_of([train[i] for i in order[start : start + BATCH]])
+            slots, starts, wanted = batch_of([train[i] for i in order[start : start + BATCH]])
             net.step(slots, starts, wanted, square, learned)
-    logits, speech = [], []
+    logits = []
     for start in range(0, len(tune), 256):
-        codes, slots, starts, _ = batch_of(tune[start : start + 256])
+        slots, starts, _ = batch_of(tune[start : start + 256])
         logits.append(net.logits(slots, starts))
-        speech.append(languages_of(codes, starts))
-    logits, speech, wanted = np.concatenate(logits), np.concatenate(speech), np.array([r[1] for r in tune])
+    logits, speech, wanted = np.concatenate(logits), np.array([r[2] for r in tune]), np.array([r[1] for r in tune])
     net.thresholds[:] = best_threshold(logits, wanted)
     for i in range(len(LANGUAGES)):
         own = speech == i
