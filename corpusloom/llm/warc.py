@@ -19,13 +19,15 @@ the response. Only ``page_id``, ``url`` and ``html`` are read; ``url`` may be ab
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import fresh_path
+from corpusloom.runtime import fresh_path, release_shuffles
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
@@ -112,7 +114,7 @@ def parsed(archive: bytes) -> Iterator[tuple]:
         number = lambda key: int(headers[key]) if key in headers else None
         name = headers["warc-record-id"]
         yield (
-            name, headers["warc-type"], number("x-page-id"), headers.get("warc-segment-origin-id", name), number("warc-segment-number") or 1, number("warc-segment-total-length"),
+            name, headers["warc-type"], number("x-page-id"), headers.get("warc-segment-origin-id", name), number("warc-segment-number"), number("warc-segment-total-length"),
             number("x-refers-to-page-id"), number("x-payload-length"), headers.get("warc-payload-digest", "").removeprefix("sha256:") or None, archive[start : start + size],
         )
         at = start + size + 4
@@ -150,13 +152,16 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    thin = rows.select("page_id", F.sha2("payload", 256).alias("digest")).distinct()
-    named = thin.join(roles(rows), "digest").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("firsts")).withColumnRenamed("page_id", "named_id")
+    # A key that is never null, so that the join and the windows behind it share one shuffle of the payloads.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    rows = rows.withColumn("page_key", key)
+    thin = rows.select("page_key", F.sha2("payload", 256).alias("digest")).distinct()
+    named = thin.join(roles(rows), "digest").groupBy("page_key").agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("firsts"))
     marked = (
-        rows.join(named, F.col("page_id").eqNullSafe(F.col("named_id")), "left")
-        .select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), "firsts")
-        .withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "copy")) - F.rank().over(Window.partitionBy("page_id").orderBy("digest")))
+        rows.join(named, "page_key", "left")
+        .withColumn("digest", F.sha2("payload", 256))
+        .withColumn("copy", F.row_number().over(Window.partitionBy("page_key").orderBy("digest", "url")))
+        .withColumn("nth", F.col("copy") - F.rank().over(Window.partitionBy("page_key").orderBy("digest")))
         .select("page_id", "url", "copy", "payload", F.element_at("firsts", F.col("digest")).alias("first"), "nth")
     )
 
@@ -173,77 +178,93 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archive files below ``path`` as rows of RECORD_SCHEMA."""
-    import zlib
+def unpacked(content: bytes) -> bytes:
+    """The bytes of an archive file, gzip members joined."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    parts = []
+    while content:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(content))
+        content = member.unused_data
+    return b"".join(parts)
 
+
+def mapped(rows: DataFrame, make: Callable[[pa.RecordBatch], Iterator[tuple]], schema: str) -> DataFrame:
+    """``make`` gives tuples for an Arrow batch; they go on in small batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(RECORD_SCHEMA))
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_py()
-                if raw[:2] == b"\x1f\x8b":
-                    parts = []
-                    while raw:
-                        member = zlib.decompressobj(31)
-                        parts.append(member.decompress(raw))
-                        raw = member.unused_data
-                    raw = b"".join(parts)
-                held = []
-                for row in parsed(raw):
-                    held.append(row)
-                    if len(held) == 128:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("content").mapInArrow(run, RECORD_SCHEMA)
+            rows_ = make(batch)
+            while held := list(itertools.islice(rows_, 128)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all archive files below ``path`` as rows of RECORD_SCHEMA."""
+
+    def make(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for content in batch.column(0):
+            yield from parsed(unpacked(content.as_py()))
+
+    return mapped(archive_files(spark, path), make, RECORD_SCHEMA)
+
+
+def page_row(record_type: str, page_id: int | None, refers_to: int | None, length: int | None, digest: str | None, block: bytes) -> tuple:
+    """A row of PAGE_SCHEMA from a whole record."""
+    if record_type == "revisit":
+        return page_id, length, digest, "revisit", refers_to, None, None
+    payload = decoded(block)
+    found = hashlib.sha256(payload).hexdigest()
+    return page_id, len(payload), found, record_type, None, payload.decode("utf-8", "replace"), found == digest
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The pages of the archives below ``path``: rows of PAGE_SCHEMA, ``html`` null for revisits.
 
-    Only the continuations of one record meet in a group, so a group is as large as one page.
+    Records that are whole become pages where they are read. Only segments are shuffled, and only
+    those of one record meet in a group, so a group is as large as one page.
     """
-    records = read_records(spark, path)
-    grouped = records.groupBy("origin_id").agg(
+    def whole(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for content in batch.column(0):
+            for r in parsed(unpacked(content.as_py())):
+                if r[4] is None:
+                    yield page_row(r[1], r[2], r[6], r[7], r[8], r[9])
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for content in batch.column(0):
+            yield from (r for r in parsed(unpacked(content.as_py())) if r[4] is not None)
+
+    files = archive_files(spark, path)
+    grouped = mapped(files, parts, RECORD_SCHEMA).groupBy("origin_id").agg(
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_type", "page_id", "refers_to", "payload_bytes", "payload_digest")),
         F.collect_list(F.struct("segment", "total_length", "block")).alias("segments"),
     )
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(PAGE_SCHEMA))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                out = []
-                for row in batch.slice(start, 128).to_pylist():
-                    block = assembled([(s["segment"], s["total_length"], s["block"]) for s in row["segments"]])
-                    if row["record_type"] == "revisit":
-                        out.append((row["page_id"], row["payload_bytes"], row["payload_digest"], "revisit", row["refers_to"], None, None))
-                    else:
-                        payload = decoded(block)
-                        digest = hashlib.sha256(payload).hexdigest()
-                        out.append((row["page_id"], len(payload), digest, row["record_type"], None, payload.decode("utf-8", "replace"), digest == row["payload_digest"]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+    def join(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            block = assembled([(s["segment"], s["total_length"], s["block"]) for s in row["segments"]])
+            yield page_row(row["record_type"], row["page_id"], row["refers_to"], row["payload_bytes"], row["payload_digest"], block)
 
-    return grouped.mapInArrow(run, PAGE_SCHEMA)
+    return mapped(files, whole, PAGE_SCHEMA).unionByName(mapped(grouped, join, PAGE_SCHEMA))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
     path = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path)
+    release_shuffles(pages.sparkSession)
     return read_archives(pages.sparkSession, path)
 
 
