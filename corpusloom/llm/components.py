@@ -1,6 +1,7 @@
 """Connected components of an edge table by rounds of contraction.
 
-In a round every vertex goes to the smallest of itself and its neighbours, and edges are rewritten to
+In a round every vertex goes to the first of itself and its neighbours in the order of a hash (so that
+no chain of vertices is in order), and edges are rewritten to
 where their ends went. Edges shrink from round to round until none is left; the moves, composed
 from the last round back, lead every vertex to its component's vertex. Each round is written
 to the shared folder, so lineage stays short, and nothing of the graph comes to the driver
@@ -9,12 +10,17 @@ but the number of edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.runtime import stash
 
 
+def placed(vertex: str) -> Column:
+    """A vertex behind its hash, for comparisons."""
+    return F.struct(F.xxhash64(vertex).alias("hash"), F.col(vertex).alias("vertex"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges -> (vertex, component) for each vertex that has an edge to another.
 
@@ -24,8 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     moves: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least"))
-        move = stash(least.select(F.col("u").alias("vertex"), F.least("u", "least").alias("to")), "moves")
+        least = both.groupBy("u").agg(F.min(placed("v")).alias("least"))
+        move = stash(least.select(F.col("u").alias("vertex"), F.least(placed("u"), F.col("least"))["vertex"].alias("to")), "moves")
         # A second step at once: where the place gone to itself goes.
         onward = move.select(F.col("vertex").alias("to"), F.col("to").alias("further"))
         move = stash(move.join(onward, "to").select("vertex", F.col("further").alias("to")), "moves")
