@@ -197,6 +197,12 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_equal_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each (_doc_id, _text_hash)."""
+    nth = F.row_number().over(Window.partitionBy("_text_hash", "_doc_id").orderBy(F.xxhash64(*columns)))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*columns)
+
+
 def keep_one(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents, unchanged, with one of each component: that with the smallest doc_id (null last), then text hash."""
     rows, reached = classes(documents, shingle)
@@ -209,5 +215,4 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     marked = documents.withColumn("_hash", text_hash())
     joined = marked.join(kept, (F.col("_hash") == F.col("_text_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
     # Rows that are equal in doc_id and text are copies too.
-    nth = F.row_number().over(Window.partitionBy("_text_hash", "_doc_id").orderBy(F.xxhash64(*columns)))
-    return joined.withColumn("_nth", nth).where("_nth = 1").select(*columns)
+    return one_of_equal_rows(joined, columns)

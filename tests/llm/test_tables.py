@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import components, mixing, neighbours, packing, repeats, simhash, warc
+from corpusloom.llm import components, mixing, neighbours, packing, repeats, similar, simhash, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "\n\t", "a", "é 😀", "Ab cD", "aB Cd"]
@@ -309,6 +309,41 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+# --- near copies of the pipeline ---
+
+
+def plain_shingles(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_dedup_is_by_jaccard_similarity(documents, spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(16)
+    rows = []
+    for n, changes in [(60, 1), (150, 2), (400, 8), (400, 30), (12, 1), (4, 1)] * 4:
+        words = prose(rng, n).split()
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(4):
+            other = list(words)
+            for at in rng.sample(range(n), changes):
+                other[at] = prose(rng, 1)
+            rows.append((len(rows), " ".join(other)))
+            words = rng.choice([words, other])
+    rows += [(900 + i, t) for i, t in enumerate(ODD)] + [(3, rows[3][1]), (None, rows[4][1])]
+    sets = [plain_shingles(t) for _, t in rows]
+    roots = plain_components(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b))
+    least = {}
+    for (i, _), root in zip(rows, roots):
+        if i is not None:
+            least[root] = min(least.get(root, i), i)
+    assert len(rows) - 60 < len(set(roots)) < len(rows) - 40
+    kept = corpus_pipeline.near_dedup(spark, documents(rows), "").collect()
+    assert len(kept) == len(set(roots)) and {r["doc_id"] for r in kept} == set(least.values())
+    assert corpus_pipeline.near_dedup(spark, documents([]), "").count() == 0
+
+
 # --- archives ---
 
 
