@@ -160,7 +160,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray] | None =
 
 
 def keep_identified(documents: DataFrame, min_score: float, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """The documents, unchanged, whose language is determined with at least ``min_score``."""
+    """The documents, unchanged, of whose text the selected languages together have a share of at least ``min_score``."""
     languages, logs = model or fit(documents)
     logs = logs.astype(np.float32)
     at = documents.columns.index("text")
@@ -170,7 +170,11 @@ def keep_identified(documents: DataFrame, min_score: float, model: tuple[list[st
             keep = []
             for text in text_bytes(part.column(at)):
                 grams = trigrams(text.decode("utf-8", "surrogatepass")) if text and languages else ()
-                keep.append(bool(len(grams)) and infer(grams, logs)[0].max() >= min_score)
+                if not len(grams):
+                    keep.append(False)
+                    continue
+                mix, chosen = infer(grams, logs)
+                keep.append(bool(mix[chosen].sum() >= min_score))
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

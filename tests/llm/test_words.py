@@ -143,6 +143,19 @@ def test_language(documents):
     assert langid.identify(documents([])).count() == 0
 
 
+def test_documents_in_several_languages_stay(documents):
+    rng = random.Random(6)
+    alphabets = {"aa": "abcdeé", "bb": "mnopqß", "cc": "uvwxyz", "dd": "fghijk"}
+    rows = [(i, made_language(rng, letters, 40), lang, "s") for i, (lang, letters) in enumerate([*alphabets.items()] * 60)]
+    odd = len(rows)
+    names = [*alphabets]
+    mixed = [[names[(i + k) % 4] for k in range(n)] for n in (3, 4) for i in range(4)]
+    rows += [(odd + i, " ".join(made_language(rng, alphabets[x], 40) for x in some), None) for i, some in enumerate(mixed)]
+    rows += [(odd + 100, made_language(rng, "жщъыэю", 40), None), (odd + 101, "12 34", None)]
+    kept = {r["doc_id"] for r in langid.keep_identified(documents(rows), 0.4).collect()}
+    assert kept == set(range(odd + len(mixed)))
+
+
 def test_expectation_maximisation_never_lowers_likelihood():
     rng = np.random.default_rng(5)
     likelihood, counts = rng.random((50, 4)), rng.integers(1, 9, 50).astype(float)
