@@ -25,14 +25,16 @@ CHUNK_BYTES = 4096
 #: A document fails when over this share of its chunks is outside the chunk's band.
 BAD_CHUNK_SHARE = 0.25
 #: (bytes up to which the band holds, least ratio, greatest ratio). Short inputs compress badly, so their
-#: upper limit is loose; long ones share more, so their lower limit falls.
+#: upper limit is loose; long ones share more, so their lower limit falls. From 257 bytes on the upper limits lie
+#: between prose and random letters and digits; up to 256 the ratios of the two overlap.
 BANDS = (
     (64, 0.0, 9.0),
     (256, 0.30, 1.15),
-    (1024, 0.25, 0.95),
-    (4096, 0.20, 0.85),
-    (32768, 0.15, 0.78),
-    (float("inf"), 0.10, 0.75),
+    (512, 0.25, 0.83),
+    (1024, 0.25, 0.78),
+    (4096, 0.20, 0.72),
+    (32768, 0.15, 0.66),
+    (float("inf"), 0.10, 0.62),
 )
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20

@@ -60,6 +60,26 @@ def test_compression_bands(documents):
     assert got[len(ODD) + 1]["verdict"] == "incompressible" and got[0]["verdict"] == "empty"
 
 
+def test_noise_is_incompressible(documents):
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    kinds = [letters, letters + "+/", "".join(map(chr, range(33, 127)))]
+
+    def noise(kind, n):
+        return " ".join("".join(rng.choice(kind) for _ in range(60)) for _ in range(n // 61 + 1))[:n]
+
+    def prose(n):
+        return " ".join(rng.choice(prose_words) for _ in range(n))
+
+    prose_words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    bad = [noise(k, n) for k in kinds for n in (1000, 2000, 4096, 8000, 32_000, 64_000)]
+    bad += [prose(4000) + " " + noise(k, 24_000) + " " + prose(2000) for k in kinds]
+    good = [prose(n) for n in (100, 300, 1000, 8000)]
+    got = {r["doc_id"]: r for r in compression.compression_bands(documents(list(enumerate(bad + good)))).collect()}
+    assert [got[i]["verdict"] for i in range(len(bad))] == ["incompressible"] * 18 + ["chunks"] * 3
+    assert all(got[len(bad) + i]["verdict"] == "ok" for i in range(len(good)))
+
+
 def plain_base_spans(text):
     found = []
     assign = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
