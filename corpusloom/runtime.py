@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -14,12 +18,15 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) is a folder of our own made, and remembered in the session for later calls.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset in local mode (tests, a
+    laptop) is a folder of our own made, and remembered in the session for later calls; elsewhere an unset
+    one is an error, as no folder of one machine is all executors'.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_corpusloom_scratch", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
@@ -27,6 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the driver is the only executor."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; nothing exists there yet."""
     return f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
@@ -38,10 +50,34 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what comes after survives the loss of any executor without
     computing ``df`` again, and several consumers share one computation.
     """
-    path = fresh_path(df.sparkSession, name)
-    _written(df.sparkSession).append(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    _written(spark).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settle(spark)
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows._corpusloom_path = path
+    return rows
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stash` that nothing reads any more: all that was made of them has been written."""
+    for rows in tables:
+        _written(rows.sparkSession).remove(rows._corpusloom_path)
+        discard(rows.sparkSession, rows._corpusloom_path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the executors collect their garbage and give the heap back that a finished step needed.
+
+    Python workers and native buffers live beside the heap, in the same container. A heap that each step
+    leaves as large as its peak adds to all that the next ones need outside of it. One short task for each executor;
+    nothing in local mode, where the driver's heap is the only one.
+    """
+    if is_local(spark):
+        return
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, executors, 1, executors).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 
 def _written(spark: SparkSession) -> list[str]:
@@ -52,6 +88,21 @@ def _written(spark: SparkSession) -> list[str]:
     return context._corpusloom_written
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for those that the given function was called on."""
+    before, kept = set(_written(spark)), set()
+
+    def keep(rows: DataFrame) -> DataFrame:
+        kept.add(rows._corpusloom_path)
+        return rows
+
+    yield keep
+    for path in [p for p in _written(spark) if p not in before | kept]:
+        _written(spark).remove(path)
+        discard(spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all scratch tables of the session; results that were built on them must have been written before."""
     paths = _written(spark)
