@@ -1,15 +1,17 @@
 """Language identification by mixture inference.
 
 Training counts hashed character trigrams for each language over a bounded sample of labelled
-documents (``TRAIN_DOCS`` for each language, chosen by a hash of the id). For each document,
+documents (``TRAIN_DOCS`` for each language, chosen by a hash of the id). Every labelled language is
+learned; the model is 2 ** BUCKET_BITS numbers for each. For each document,
 expectation-maximisation estimates the proportions with which the languages generate its
 trigrams. The language set is then selected by penalised likelihood: each further language must
-raise the log-likelihood by ``PENALTY`` x log(number of trigrams). The prediction is the
-language of greatest proportion in the set, its score that proportion.
+raise the log-likelihood by ``PENALTY`` x log(number of trigrams). The proportions are estimated
+again within the set; the prediction is the language of greatest proportion there, its score that proportion.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0, and so is every text
-where no labelled document exists. Ties of proportions fall to the smaller language name.
-Repeated rows are judged one by one. Only ``doc_id``, ``text`` and (in training) ``lang`` are read.
+where no labelled document exists. Ties of proportions fall to the smaller language name. Texts are judged
+whole, however long. Repeated rows are judged one by one; an empty table gives an empty one. Only
+``doc_id``, ``text`` and (in training) ``lang`` are read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from corpusloom.llm.common import held_out, is_held_out, map_rows, sliced, text_
 
 #: Bound of the training sample: about this many documents for each language.
 TRAIN_DOCS = 1500
-#: At most so many languages, the most frequent ones, are learned.
-MAX_LANGUAGES = 256
 BUCKET_BITS = 15
 SMOOTHING = 0.5
 ROUNDS = 30
@@ -63,15 +63,14 @@ def trigrams(text: str) -> np.ndarray:
     return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def training_rows(documents: DataFrame) -> DataFrame:
-    """A bounded, reproducible sample of labelled documents outside the held-out part: (text, lang)."""
+def training_rows(documents: DataFrame) -> tuple[DataFrame, int]:
+    """A bounded, reproducible sample of labelled documents outside the held-out part, (text, lang), and the number of languages."""
     rows = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return rows.select("text", "lang").limit(0)
+    # One short row for each language is all that comes to the driver and goes back.
+    counts = [(r["lang"], min(1.0, TRAIN_DOCS / r["count"])) for r in rows.groupBy("lang").count().collect()]
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, TRAIN_DOCS / r["count"])))))
-    return rows.where(place < F.element_at(share, F.col("lang"))).select("text", "lang")
+    shares = documents.sparkSession.createDataFrame(counts, "_lang string, _share double")
+    return rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(place < F.col("_share")).select("text", "lang"), len(counts)
 
 
 def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -90,7 +89,9 @@ def fit(documents: DataFrame) -> tuple[list[str], np.ndarray]:
 
         return count
 
-    rows = training_rows(documents).repartition(4)
+    rows, kinds = training_rows(documents)
+    # A task's counts cover all buckets of its languages, so few languages go to few tasks.
+    rows = rows.repartition(max(4, kinds // 4))
     counted = map_rows(rows, make, "lang string, bucket int, n long", rows=1 << 14).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     languages = sorted(got["lang"].unique())
@@ -118,8 +119,8 @@ def proportions(likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return mix, float(counts @ np.log(likelihood @ mix))
 
 
-def infer(grams: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Proportions over all languages and the selected set (indexes by falling proportion)."""
+def infer(grams: np.ndarray, model: np.ndarray) -> tuple[list[int], np.ndarray, float]:
+    """The selected languages by falling proportion, their proportions within the set, and the share that the set has among all languages."""
     buckets, counts = np.unique(grams, return_counts=True)
     logs = model[buckets]
     likelihood = np.exp(logs - logs.max(1, keepdims=True))
@@ -127,14 +128,15 @@ def infer(grams: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, list[int]]:
     mix, _ = proportions(likelihood, counts)
     order = np.argsort(-mix, kind="stable")
     price = PENALTY * np.log(counts.sum() + 1)
-    best, chosen = -np.inf, order[:1]
+    best, chosen, inner = -np.inf, order[:1], np.ones(1)
     for k in range(1, len(order) + 1):
-        subset = order[:k]
-        _, gained = proportions(likelihood[:, subset], counts)
+        subset = np.sort(order[:k])
+        within, gained = proportions(likelihood[:, subset], counts)
         if gained - price * k <= best:
             break
-        best, chosen = gained - price * k, subset
-    return mix, list(chosen)
+        best, chosen, inner = gained - price * k, subset, within
+    by_share = np.argsort(-inner, kind="stable")
+    return chosen[by_share].tolist(), inner[by_share], float(mix[chosen].sum())
 
 
 def identify(documents: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
@@ -150,8 +152,8 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray] | None =
                 if not len(grams):
                     out.append((doc_id, is_held_out(doc_id), UNDETERMINED, 0.0, [], []))
                     continue
-                mix, chosen = infer(grams, logs)
-                out.append((doc_id, is_held_out(doc_id), languages[chosen[0]], float(min(1.0, mix[chosen[0]])), [languages[i] for i in chosen], [float(mix[i]) for i in chosen]))
+                chosen, share, _ = infer(grams, logs)
+                out.append((doc_id, is_held_out(doc_id), languages[chosen[0]], float(min(1.0, share[0])), [languages[i] for i in chosen], share.tolist()))
             return out
 
         return work
@@ -160,7 +162,10 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray] | None =
 
 
 def keep_identified(documents: DataFrame, min_score: float, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """The documents, unchanged, of whose text the selected languages together have a share of at least ``min_score``."""
+    """The documents, unchanged, of whose text the selected languages together have a share of at least ``min_score``.
+
+    Documents without a letter, and with no labelled document all of them, have no language and go.
+    """
     languages, logs = model or fit(documents)
     logs = logs.astype(np.float32)
     at = documents.columns.index("text")
@@ -173,8 +178,7 @@ def keep_identified(documents: DataFrame, min_score: float, model: tuple[list[st
                 if not len(grams):
                     keep.append(False)
                     continue
-                mix, chosen = infer(grams, logs)
-                keep.append(bool(mix[chosen].sum() >= min_score))
+                keep.append(infer(grams, logs)[2] >= min_score)
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
