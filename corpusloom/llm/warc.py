@@ -7,13 +7,14 @@ records that name it. A record ends with two line ends, which is also the separa
 text writer puts behind each value, so archives are written through any file system that Spark
 knows, without Python in the way.
 
-Reading: archive files are parsed record by record; continuation records are grouped by the
+Reading: archive files are parsed record by record, once; continuation records are grouped by the
 identifier of their origin, ordered by segment number, their total length is verified, then the
 chunked framing is decoded and the payload's digest verified.
 
-Defined results: a null html is an empty payload. A null page_id is greater than any other.
-Repeated rows of one page_id with equal payloads count as several records, of which the first is
-the response. Only ``page_id``, ``url`` and ``html`` are read; ``url`` may be absent.
+Defined results: a null html is an empty payload. A null page_id is greater than any other, and is no
+payload's smallest. Repeated rows of one page_id with equal payloads count as several records, of which the first is
+the response. Payloads of any length are taken whole; an empty table makes an empty archive. Only ``page_id``, ``url``
+and ``html`` are read; ``url`` may be absent.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import fresh_path, release_shuffles
+from corpusloom.llm.common import sliced
+from corpusloom.runtime import fresh_path, release_shuffles, stash
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 MIN_REVISIT_BYTES = 100
 #: With the segment length this bounds an archive file, and so the memory of the task that parses it.
 RECORDS_PER_FILE = 512
+#: Places that the pages of one payload are dealt to.
+SALTS = 128
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 
@@ -42,6 +46,8 @@ RECORD_SCHEMA = (
     "refers_to long, payload_bytes long, payload_digest string, block binary"
 )
 PAGE_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string, verified boolean"
+#: What parsing gives: whole pages, and with ``origin_id`` segments of others.
+PARSED_SCHEMA = PAGE_SCHEMA + ", origin_id string, segment int, total_length long, block binary"
 
 
 def framed(payload: bytes) -> bytes:
@@ -74,10 +80,9 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
-def page_records(page_id: int | None, url: str | None, copy: int, payload: bytes, refers_to: int | None, revisit: bool) -> Iterator[bytes]:
+def page_records(page_id: int | None, url: str | None, copy: int, digest: str, payload: bytes, refers_to: int | None, revisit: bool) -> Iterator[bytes]:
     """The records of one page: a response with its continuations, or a revisit."""
-    digest = hashlib.sha256(payload).hexdigest()
-    name = f"<urn:sha256:{hashlib.sha256(f'{page_id}/{copy}'.encode()).hexdigest()}"
+    name = f"<urn:sha256:{hashlib.sha256(f'{page_id}/{copy}/{digest}/{url}'.encode()).hexdigest()}"
     target = "".join(c for c in (url or "") if c > " ") or None
     about = [("WARC-Record-ID", name + ">"), ("WARC-Target-URI", target), ("X-Page-Id", page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", len(payload))]
     kind = ("Content-Type", "application/http;msgtype=response")
@@ -138,44 +143,48 @@ def decoded(block: bytes) -> bytes:
     return unframed(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, first, several): for payloads that several rows have, the smallest page_id."""
-    thin = pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("size")).where(F.col("size") >= MIN_REVISIT_BYTES)
-    return thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND first IS NOT NULL")
+def roles(rows: DataFrame) -> DataFrame:
+    """(digest, salt, first): for payloads that several rows have, the smallest page_id, once for each place that the payload's rows go to."""
+    thin = rows.where(F.length("payload") >= MIN_REVISIT_BYTES).select("page_id", "digest", "salt")
+    found = thin.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.collect_set("salt").alias("salts")).where("rows > 1 AND first IS NOT NULL")
+    return found.select("digest", F.explode("salts").alias("salt"), "first")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write one record (with its continuations) for each row of ``pages`` to gzip files below ``path``.
 
-    The thin (page_id, digest) rows decide who revisits whom; the payloads themselves move once,
-    by page_id, so that no group of copies gathers its payloads in a task.
+    The thin (page_id, digest) rows decide who revisits whom. The payloads move once, dealt by payload and SALTS
+    places of each by page_id (by URL where that is null), so neither copies nor rows without id gather; what was decided
+    goes ahead of them in sorted partitions.
     """
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    # A key that is never null, so that the join and the windows behind it share one shuffle of the payloads.
-    key = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    rows = rows.withColumn("page_key", key)
-    thin = rows.select("page_key", F.sha2("payload", 256).alias("digest")).distinct()
-    named = thin.join(roles(rows), "digest").groupBy("page_key").agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("firsts"))
-    marked = (
-        rows.join(named, "page_key", "left")
-        .withColumn("digest", F.sha2("payload", 256))
-        .withColumn("copy", F.row_number().over(Window.partitionBy("page_key").orderBy("digest", "url")))
-        .withColumn("nth", F.col("copy") - F.rank().over(Window.partitionBy("page_key").orderBy("digest")))
-        .select("page_id", "url", "copy", "payload", F.element_at("firsts", F.col("digest")).alias("first"), "nth")
-    )
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"))
+    place = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("url "), F.col("url")), F.lit("")))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", F.pmod(place, F.lit(SALTS)).cast("int"))
+    both = rows.withColumn("kind", F.lit(1)).unionByName(roles(rows).withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    dealt = both.select("digest", "salt", "kind", "page_id", "url", "payload", "first").repartition("digest", "salt").sortWithinPartitions("digest", "salt", "kind", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                out = []
-                for row in batch.slice(start, 128).to_pylist():
-                    revisit = row["first"] is not None and not (row["page_id"] == row["first"] and row["nth"] == 0)
-                    out += page_records(row["page_id"], row["url"], row["copy"], row["payload"], row["first"], revisit)
+        group, first, answered, last, copy = None, None, False, None, 0
+        for batch in sliced(batches, 128):
+            out = []
+            for digest, salt, kind, page_id, url, payload, named in zip(*(c.to_pylist() for c in batch.columns)):
+                if (digest, salt) != group:
+                    group, first, answered, last = (digest, salt), None, False, None
+                if not kind:
+                    first = named
+                    continue
+                copy = copy + 1 if last == (page_id, url) else 0
+                last = page_id, url
+                revisit = first is not None and (page_id != first or answered)
+                answered = answered or page_id == first
+                out += page_records(page_id, url, copy, digest, payload, first if revisit else None, revisit)
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    records = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    records = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def unpacked(content: bytes) -> bytes:
@@ -229,43 +238,46 @@ def page_row(record_type: str, page_id: int | None, refers_to: int | None, lengt
     return page_id, len(payload), found, record_type, None, payload.decode("utf-8", "replace"), found == digest
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The pages of the archives below ``path``: rows of PAGE_SCHEMA, ``html`` null for revisits.
+def read_archives(spark: SparkSession, path: str, texts: bool = True) -> DataFrame:
+    """The pages of the archives below ``path``: rows of PAGE_SCHEMA, ``html`` null for revisits (and, without ``texts``, for all).
 
-    Records that are whole become pages where they are read. Only segments are shuffled, and only
-    those of one record meet in a group, so a group is as large as one page.
+    Each file is parsed once and the result written. Records that are whole become pages where they are read. Only
+    segments are shuffled, and only those of one record meet in a group, so a group is as large as one page.
     """
-    def whole(batch: pa.RecordBatch) -> Iterator[tuple]:
+    names = [f.split()[0] for f in PARSED_SCHEMA.split(", ")]
+
+    def shown(page: tuple) -> tuple:
+        return page if texts else (*page[:5], None, page[6])
+
+    def parse(batch: pa.RecordBatch) -> Iterator[tuple]:
         for content in batch.column(0):
             for r in parsed(unpacked(content.as_py())):
                 if r[4] is None:
-                    yield page_row(r[1], r[2], r[6], r[7], r[8], r[9])
-
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for content in batch.column(0):
-            yield from (r for r in parsed(unpacked(content.as_py())) if r[4] is not None)
-
-    files = archive_files(spark, path)
-    grouped = mapped(files, parts, RECORD_SCHEMA).groupBy("origin_id").agg(
-        *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_type", "page_id", "refers_to", "payload_bytes", "payload_digest")),
-        F.collect_list(F.struct("segment", "total_length", "block")).alias("segments"),
+                    yield (*shown(page_row(r[1], r[2], r[6], r[7], r[8], r[9])), None, None, None, None)
+                else:
+                    yield (r[2], r[7], r[8], r[1], r[6], None, None, r[3], r[4], r[5], r[9])
+
+    records = stash(mapped(archive_files(spark, path), parse, PARSED_SCHEMA), "records")
+    first = ("record_type", "page_id", "refers_to", "payload_bytes", "payload_digest")
+    grouped = records.where("segment IS NOT NULL").groupBy("origin_id").agg(
+        *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in first), F.collect_list(F.struct("segment", "total_length", "block")).alias("segments")
     )
 
     def join(batch: pa.RecordBatch) -> Iterator[tuple]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             block = assembled([(s["segment"], s["total_length"], s["block"]) for s in row["segments"]])
-            yield page_row(row["record_type"], row["page_id"], row["refers_to"], row["payload_bytes"], row["payload_digest"], block)
+            yield shown(page_row(row["record_type"], row["page_id"], row["refers_to"], row["payload_bytes"], row["payload_digest"], block))
 
-    return mapped(files, whole, PAGE_SCHEMA).unionByName(mapped(grouped, join, PAGE_SCHEMA))
+    return records.where("segment IS NULL").select(*names[:7]).unionByName(mapped(grouped, join, PAGE_SCHEMA))
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, texts: bool = True) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
     path = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path)
     release_shuffles(pages.sparkSession)
-    return read_archives(pages.sparkSession, path)
+    return read_archives(pages.sparkSession, path, texts)
 
 
 ORACLE = f"""
