@@ -63,6 +63,62 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
     return df.mapInArrow(run, schema)
 
 
+#: Result rows that :func:`by_group` gives on at once.
+GROUP_ROWS = 1 << 16
+
+
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], list[np.ndarray]], schema: str) -> DataFrame:
+    """``work`` on the rows of each key (columns of whole numbers), its columns as rows of ``schema``.
+
+    Groups lie one after the other in sorted partitions and are gone through as a stream, many to an Arrow batch; a task holds one.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, out, size = None, [], 0
+
+        def finished() -> None:
+            nonlocal held, size
+            if sum(b.num_rows for b in held) > 1:
+                found = work(pa.Table.from_batches(held))
+                out.append(found)
+                size += len(found[0])
+            held = []
+
+        def given() -> pa.RecordBatch:
+            nonlocal size
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+            out.clear()
+            size = 0
+            return batch
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(k).to_numpy() for k in keys]
+            change = np.zeros(batch.num_rows - 1, bool)
+            for v in values:
+                change |= v[1:] != v[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(edges[:-1], edges[1:]):
+                key = tuple(v[start] for v in values)
+                if key != last:
+                    finished()
+                    last = key
+                held.append(batch.slice(start, stop - start))
+                if size > GROUP_ROWS:
+                    yield given()
+        finished()
+        if out:
+            yield given()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id, written as text, leaves 2 when divided by 4. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
