@@ -7,48 +7,64 @@ equal anchors at equal places in them, so a string can only repeat among the seg
 has the same hash:
 
 * an anchor that occurs once has no repeats;
-* where all segments of an anchor are equal, all of their strings repeat;
+* where all segments of an anchor are the same (anchor hash and 128 bits of the segment's), each string of one
+  has its previous factor at the same place of another: all of them repeat;
 * the other anchors are where repeats begin and end. Of each distinct segment one representative
   gets its bytes. A task lays the segments of its anchors end to end, builds their suffix array
   (to depth LENGTH) and from the previous and next smaller positions in suffix order the
   longest previous factor of each string, which tells whether an earlier equal one exists.
 
-Anchors with more than ``HOT_SEGMENTS`` distinct segments would be too large for a task. Their strings
-are hashed (128 bits) and counted by hash instead, which spreads evenly over tasks.
+An anchor with more than ``HOT_SEGMENTS`` distinct segments would be too large for a task and is split by a second,
+longer anchor: its strings by how many bytes they have before the anchor, in ``SPLIT`` parts. All strings of a part share
+the bytes from its least place before the anchor to its least end behind it, so equal strings share them too, and these
+bytes are the new anchor. Parts that are still too large are split again; a part of one place holds equal strings
+alone, so the splitting ends, after 4 levels at most.
 
 ``keep="first"`` removes later copies and keeps the first by (doc_id, text hash, place). ``keep="none"``
 removes every copy. Strings are judged on the input; removed bytes are the union of the repeated
 strings' bytes.
 
-Defined results: a null text is empty; texts shorter than LENGTH bytes have no repeats; rows that are
-equal in doc_id and text get the same result (they repeat each other, and with ``keep="first"``
-they count as one document). Only ``doc_id`` and ``text`` are read.
+Texts and what is to be cut from or out of them meet in sorted partitions and are gone through as a stream, so a task
+holds one text and one Arrow batch at a time, however many segments a text has.
+
+Defined results: a null text is empty; texts shorter than LENGTH bytes have no repeats; texts of any length are
+taken whole; rows that are equal in doc_id and text get the same result (they repeat each other, and with
+``keep="first"`` they count as one document); an empty table gives an empty one. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import sliced, text_bytes
-from corpusloom.runtime import release_shuffles, stash
+from corpusloom.runtime import drop, release_shuffles, stash
 
 LENGTH = 200
 GRAM = 48
 #: Texts are laid end to end for hashing up to about this many bytes; longer texts are cut into overlapping pieces.
 PIECE_BYTES = 1 << 19
 _PLACE_BITS = 22
-#: Distinct segments of an anchor from which its strings are counted by hash.
-HOT_SEGMENTS = 4096
-#: Bytes of segments that a task puts into one suffix array.
-ARRAY_BYTES = 2_000_000
-
-SEGMENT_SCHEMA = "doc_id long, text_hash long, start long, strings int, lead int, anchor long, segment long"
+#: Distinct segments of an anchor (at most 350 bytes each) from which it is split.
+HOT_SEGMENTS = 1024
+#: Bytes of segments that a task puts into one suffix array, before those of the last anchor; some 100 bytes of memory for each.
+ARRAY_BYTES = 1 << 19
+#: Parts of a split anchor.
+SPLIT = 4
+#: Split anchors (8 bytes each) up to which they are broadcast.
+BROADCAST_ANCHORS = 200_000
+
+SEGMENT_SCHEMA = "doc_id long, text_hash long, start long, strings int, lead int, anchor long, segment long, check long"
+#: What tells segments apart.
+SAME = ("anchor", "segment", "check")
 
 _BASE = 0x100000001B3
 _SECOND = 0x9E3779B97F4A7C15 | 5
@@ -94,11 +110,11 @@ def hashed(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _
 
 
 def segments(data: np.ndarray, text_ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Segments of texts laid end to end: (start, number of strings, place of the anchor in the first string, anchor hash, segment hash)."""
+    """Segments of texts laid end to end: (start, number of strings, place of the anchor in the first string, anchor hash, two segment hashes)."""
     n = len(data)
     count = n - length + 1
     if count <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     sums = prefix_sums(data)
     _, down = powers(_BASE, n)
     with np.errstate(over="ignore"):
@@ -130,8 +146,12 @@ def segments(data: np.ndarray, text_ends: np.ndarray, length: int = LENGTH, gram
     strings = np.flatnonzero(stops) - starts + 1
     lead = anchors[starts] - starts
     with np.errstate(over="ignore"):
-        whole = hashed(sums, starts, starts + strings + length - 1) ^ mixed((strings.astype(np.uint64) << np.uint64(32)) + lead.astype(np.uint64) + np.uint64(1))
-    return starts, strings, lead, grams[anchors[starts]], whole
+        shape = mixed((strings.astype(np.uint64) << np.uint64(32)) + lead.astype(np.uint64) + np.uint64(1))
+    stops = starts + strings + length - 1
+    whole = hashed(sums, starts, stops) ^ shape
+    anchor = grams[anchors[starts]]
+    del sums, grams, least, anchors
+    return starts, strings, lead, anchor, whole, hashed(prefix_sums(data, _SECOND), starts, stops, _SECOND)
 
 
 def pieces(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
@@ -169,13 +189,13 @@ def segment_table(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
                 offset = np.array([p[1] for p in cut], np.int64)
                 ends = np.cumsum([len(p[2]) for p in cut])
                 data = np.frombuffer(b"".join(p[2] for p in cut), np.uint8)
-                start, strings, lead, anchor, whole = segments(data, ends, length, gram)
+                start, strings, lead, anchor, whole, check = segments(data, ends, length, gram)
                 piece = np.searchsorted(ends, start, "right")
                 at = owner[piece]
                 place = start - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at], pa.int64(), mask=id_null[at]), pa.array(hashes[at], pa.int64()), pa.array(place, pa.int64()), pa.array(strings, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
-                    ["doc_id", "text_hash", "start", "strings", "lead", "anchor", "segment"],
+                    [pa.array(ids[at], pa.int64(), mask=id_null[at]), pa.array(hashes[at], pa.int64()), pa.array(place, pa.int64()), pa.array(strings, pa.int32()), pa.array(lead, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(check.view(np.int64))],
+                    ["doc_id", "text_hash", "start", "strings", "lead", "anchor", "segment", "check"],
                 )
 
     return keyed(documents).mapInArrow(run, SEGMENT_SCHEMA)
@@ -191,11 +211,11 @@ def dense_ranks(keys: np.ndarray) -> np.ndarray:
     """For each key the number of smaller distinct keys."""
     order = np.argsort(keys)
     ordered = keys[order]
-    step = np.empty(len(keys), np.int64)
+    step = np.empty(len(keys), np.int32)
     step[:1] = 0
     step[1:] = ordered[1:] != ordered[:-1]
-    ranks = np.empty(len(keys), np.int64)
-    ranks[order] = np.cumsum(step)
+    ranks = np.empty(len(keys), np.int32)
+    ranks[order] = np.cumsum(step, dtype=np.int32)
     return ranks
 
 
@@ -216,11 +236,11 @@ class SuffixOrder:
         self.levels = [(8, dense_ranks(key))]
         while 2 * self.levels[-1][0] <= depth:
             width, ranks = self.levels[-1]
-            shifted = np.zeros(n, np.int64)
-            shifted[: n - width] = ranks[width:]
-            self.levels.append((2 * width, dense_ranks(ranks * n + shifted)))
+            joined = ranks.astype(np.int64) * n
+            joined[: n - width] += ranks[width:]
+            self.levels.append((2 * width, dense_ranks(joined)))
         width, ranks = self.levels[-1]
-        self.order = np.argsort(ranks[starts] * n + ranks[starts + depth - width], kind="stable")
+        self.order = np.argsort(ranks[starts].astype(np.int64) * n + ranks[starts + depth - width], kind="stable")
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common-prefix lengths, up to the depth, of the suffixes at ``a`` and ``b``."""
@@ -277,14 +297,21 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-MARK_SCHEMA = "anchor long, segment long, every array<struct<a:int,b:int>>, later array<struct<a:int,b:int>>"
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+#: Ranges of strings of a segment: those that repeat anywhere, and those of its first occurrence that have an earlier copy.
+MARK_SCHEMA = "anchor long, segment long, check long, every array<struct<a:int,b:int>>, later array<struct<a:int,b:int>>"
+#: A distinct segment with the bytes of its first occurrence; its strings begin ``low`` to ``high`` bytes before their anchor.
+PART_SCHEMA = "anchor long, segment long, check long, strings int, lead int, copies long, doc_id long, text_hash long, start long, low int, high int, bytes binary"
+
+
+def place(start: str = "start") -> Column:
+    """Where a segment is, for comparisons."""
+    return F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col(start).alias("start"))
 
 
 def marked(rows: list[dict], length: int) -> pa.RecordBatch:
-    """Rows of MARK_SCHEMA for representatives whose anchors are all here: which of their strings repeat, and which have an earlier copy."""
-    seen = {(r["anchor"], r["segment"]): r for r in rows}
-    rows = sorted(seen.values(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text_hash"], r["start"]))
+    """Rows of MARK_SCHEMA for those of the representatives, whose anchors are all here, that repeat: which of their strings do, and which have an earlier copy."""
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text_hash"], r["start"]))
     data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
     strings = np.array([r["strings"] for r in rows], np.int64)
     offset = np.concatenate([[0], np.cumsum([len(r["bytes"]) for r in rows])[:-1]]).astype(np.int64)
@@ -296,145 +323,225 @@ def marked(rows: list[dict], length: int) -> pa.RecordBatch:
     out = []
     for r, s, n in zip(rows, first, strings):
         pair = lambda flags: [{"a": a, "b": b} for a, b in runs(flags)]
-        out.append(([{"a": 0, "b": int(n)}] if r["copies"] > 1 else pair(every[s : s + n]), pair(earlier[s : s + n])))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["segment"] for r in rows], pa.int64()), *(pa.array([o[i] for o in out], _RANGES) for i in (0, 1))],
-        ["anchor", "segment", "every", "later"],
-    )
+        if r["copies"] > 1 or every[s : s + n].any():
+            out.append((*(r[c] for c in SAME), [{"a": 0, "b": int(n)}] if r["copies"] > 1 else pair(every[s : s + n]), pair(earlier[s : s + n])))
+    columns = list(zip(*out)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), _RANGES, _RANGES))], [*SAME, "every", "later"])
 
 
 def by_arrays(representatives: DataFrame, length: int) -> DataFrame:
     """Marks of representatives by suffix arrays; the anchors of a partition are taken as many at a time as ARRAY_BYTES allows."""
 
     def run(batches):
-        held, size = [], 0
-        for part in sliced(batches, 4096, ARRAY_BYTES):
-            for row in part.to_pylist():
-                if size > ARRAY_BYTES and row["anchor"] != held[-1]["anchor"]:
+        held, own, size = [], [], 0
+        for row in itertools.chain((r for part in sliced(batches, 1024, ARRAY_BYTES) for r in part.to_pylist()), [None]):
+            if own and (row is None or row["anchor"] != own[0]["anchor"]):
+                # Strings of one segment have the anchor at different places, so a segment that is alone has no repeats.
+                if len(own) > 1 or own[0]["copies"] > 1:
+                    held += own
+                    size += sum(len(r["bytes"]) for r in own)
+                own = []
+                if size > ARRAY_BYTES:
                     yield marked(held, length)
                     held, size = [], 0
-                held.append(row)
-                size += len(row["bytes"])
+            own.append(row)
         if held:
             yield marked(held, length)
 
     return representatives.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, MARK_SCHEMA)
 
 
-def by_hashes(representatives: DataFrame, length: int) -> DataFrame:
-    """Marks of the representatives of hot anchors: strings are counted by two 64-bit hashes, so no anchor gathers in a task."""
+def shares(hot: DataFrame, length: int) -> DataFrame:
+    """The segments of large anchors in SPLIT parts each, rows of PART_SCHEMA with what they are part of (``o_`` columns) and from which string on (``a``)."""
+    fields = [f.strip().split() for f in PART_SCHEMA.split(",")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([*((f"o_{c}", pa.int64()) for c in SAME), ("a", pa.int32()), *((name, kinds[kind]) for name, kind in fields)])
 
     def run(batches):
-        for part in sliced(batches, 4096, ARRAY_BYTES):
+        for part in sliced(batches, 1024, ARRAY_BYTES):
             out = []
-            for row in part.to_pylist():
-                data = np.frombuffer(row["bytes"], np.uint8)
-                at = np.arange(row["strings"])
-                pair = [hashed(prefix_sums(data, base), at, at + length, base).view(np.int64) for base in (_BASE, _SECOND)]
-                out.append((pair[0].tolist(), pair[1].tolist()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("anchor", "segment", "copies", "doc_id", "text_hash", "start")), *(pa.array([o[i] for o in out], pa.list_(pa.int64())) for i in (0, 1))], schema=schema)
-
-    kinds = ("anchor", "segment", "copies", "doc_id", "text_hash", "start")
-    schema = pa.schema([*((c, pa.int64()) for c in kinds), ("h", pa.list_(pa.int64())), ("g", pa.list_(pa.int64()))])
-    hashes = representatives.mapInArrow(run, ", ".join(f"{c} long" for c in kinds) + ", h array<long>, g array<long>")
-    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "start", "i")
-    strings = stash(hashes.dropDuplicates(["anchor", "segment"]).select(*kinds, F.posexplode(F.arrays_zip("h", "g")).alias("i", "hash")).select(*kinds, "i", "hash.h", "hash.g"), "strings")
-    counted = strings.groupBy("h", "g").agg(F.sum("copies").alias("n"), F.min(place).alias("first")).where("n > 1")
-    found = strings.join(counted, ["h", "g"]).select("anchor", "segment", "i", (F.col("first") != place).alias("is_later"), F.col("first").isNotNull().alias("found"))
-    one = F.struct(F.col("i").cast("int").alias("a"), (F.col("i") + 1).cast("int").alias("b"))
-    return found.groupBy("anchor", "segment").agg(F.collect_list(one).alias("every"), F.collect_list(F.when(F.col("is_later"), one)).alias("later"))
+            for r in part.to_pylist():
+                edges = [r["low"] + (r["high"] + 1 - r["low"]) * k // SPLIT for k in range(SPLIT + 1)]
+                for low, high in ((x, y - 1) for x, y in zip(edges[:-1], edges[1:])):
+                    # String i begins lead - i bytes before the anchor.
+                    first, last = max(0, r["lead"] - high), min(r["strings"] - 1, r["lead"] - low)
+                    if low > high or first > last:
+                        continue
+                    own = r["bytes"][first : last + length]
+                    shape = struct.pack("<qiiii", r["anchor"], low, high, last - first, r["lead"] - first)
+                    key = xxhash.xxh64_intdigest(shape[:16] + r["bytes"][r["lead"] - low : r["lead"] + length - high])
+                    same = xxhash.xxh128_digest(shape + own)
+                    out.append((*(r[c] for c in SAME), first, key - (1 << 64 if key >> 63 else 0), *struct.unpack("<qq", same), last - first + 1, r["lead"] - first, r["copies"], r["doc_id"], r["text_hash"], r["start"] + first, low, high, own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return hot.mapInArrow(run, ", ".join(f"o_{c} long" for c in SAME) + ", a int, " + PART_SCHEMA)
+
+
+def decided(representatives: DataFrame, length: int, hot_segments: int) -> DataFrame:
+    """Rows of MARK_SCHEMA for distinct segments with bytes, rows of PART_SCHEMA: none, one or several of a segment."""
+    spark = representatives.sparkSession
+    hot = representatives.where("low < high").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("anchor")
+    named = hot.limit(BROADCAST_ANCHORS + 1).collect()
+    if not named:
+        return by_arrays(representatives, length)
+    hot = stash(hot, "hot") if len(named) > BROADCAST_ANCHORS else F.broadcast(spark.createDataFrame(named, "anchor long"))
+    rest = by_arrays(representatives.join(hot, "anchor", "left_anti"), length)
+    parts = stash(shares(representatives.join(hot, "anchor", "left_semi"), length), "shares")
+    release_shuffles(spark)
+    names = ("doc_id", "text_hash", "start")
+    taken = F.min(F.struct(place().alias("place"), "strings", "lead", "low", "high", "bytes")).alias("r")
+    distinct = parts.groupBy(*SAME).agg(F.sum("copies").alias("copies"), taken)
+    distinct = stash(distinct.select(*SAME, "r.strings", "r.lead", "copies", *(f"r.place.{c}" for c in names), "r.low", "r.high", "r.bytes"), "parts")
+    marks = stash(decided(distinct, length, hot_segments), "part_marks")
+    # Back to what the parts are part of: a part that isn't the first of its kind is a later copy as a whole.
+    first = distinct.select(*SAME, *(F.col(c).alias(f"r_{c}") for c in names))
+    moved = lambda ranges: F.transform(ranges, lambda r: F.struct((r["a"] + F.col("a")).alias("a"), (r["b"] + F.col("a")).alias("b")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("text_hash") == F.col("r_text_hash")) & (F.col("start") == F.col("r_start"))
+    owned = parts.drop("bytes", "low", "high", "lead").join(marks, [*SAME]).join(first, [*SAME])
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("strings").alias("b")))
+    return rest.unionByName(owned.select(*(F.col(f"o_{c}").alias(c) for c in SAME), moved(F.col("every")).alias("every"), moved(F.when(is_first, F.col("later")).otherwise(whole)).alias("later")))
 
 
 def repeated_spans(documents: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """(doc_id, text_hash, spans): byte ranges, possibly overlapping, of the strings to remove; texts without any have no row."""
+    """(doc_id, text_hash, a, b): byte ranges, possibly overlapping, of the strings to remove."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep must be 'none' or 'first', not {keep!r}")
     spark: SparkSession = documents.sparkSession
     every = stash(segment_table(documents, length, gram), "segments")
-    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "start")
-    counts = [F.count(F.lit(1)).alias("n"), (F.min("segment") == F.max("segment")).alias("equal")] + ([F.min(place).alias("earliest")] if keep == "first" else [])
+    same = (F.min("segment") == F.max("segment")) & (F.min("check") == F.max("check"))
+    counts = [F.count(F.lit(1)).alias("n"), same.alias("equal")] + ([F.min(place()).alias("earliest")] if keep == "first" else [])
     # Written, so that the join reads plain shuffles on both sides and Spark can split a hot anchor's.
     anchors = stash(every.groupBy("anchor").agg(*counts).where("n > 1").drop("n"), "anchors")
     shared = stash(every.join(anchors, "anchor"), "shared")
     release_shuffles(spark)
 
-    distinct = shared.where("NOT equal").groupBy("anchor", "segment").agg(F.first("strings").alias("strings"), F.count(F.lit(1)).alias("copies"), F.min(place).alias("place"))
-    distinct = stash(distinct.select("anchor", "segment", "strings", "copies", "place.doc_id", "place.text_hash", "place.start"), "distinct")
-    hot = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("anchor", F.lit(True).alias("hot"))
-    wanted = distinct.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "segment", "strings", "copies", "start", "hot")).alias("wanted"))
-    marks = stash(with_bytes(documents, wanted, length), "representatives")
+    names = ("doc_id", "text_hash", "start")
+    occurrences = shared.where("NOT equal").groupBy(*SAME)
+    if keep == "first":
+        distinct = occurrences.agg(F.first("strings").alias("strings"), F.first("lead").alias("lead"), F.count(F.lit(1)).alias("copies"), F.min(place()).alias("place")).select(*SAME, "strings", "lead", "copies", *(f"place.{c}" for c in names))
+    else:
+        # Any occurrence does; plain numbers aggregate by hash.
+        distinct = occurrences.agg(F.first("strings").alias("strings"), F.first("lead").alias("lead"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in names))
+    distinct = stash(distinct, "distinct")
+    representatives = stash(with_bytes(documents, distinct, length, gram), "representatives")
     release_shuffles(spark)
-    marks = stash(by_arrays(marks.where("NOT hot"), length).unionByName(by_hashes(marks.where("hot"), length)), "marks")
+    marks = stash(decided(representatives, length, hot_segments), "marks")
+    drop(every, anchors, representatives)
     release_shuffles(spark)
 
-    span = lambda a, b: F.struct((F.col("start") + a).alias("a"), (F.col("start") + b + (length - 1)).alias("b"))
-    whole = F.array(span(F.lit(0), F.col("strings")))
-    equal = shared.where("equal")
-    mixed_rows = shared.where("NOT equal")
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("strings").alias("b")))
+    equal, mixed_rows = shared.where("equal"), shared.where("NOT equal")
     if keep == "none":
         ranges = F.col("every")
     else:
-        equal = equal.where(place != F.col("earliest"))
+        equal = equal.where(place() != F.col("earliest"))
         # The earliest occurrence of a segment is its representative; the others are later copies as a whole.
-        representative = distinct.select("anchor", "segment", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "text_hash", "start")))
-        marks = marks.join(representative, ["anchor", "segment"])
+        marks = marks.join(distinct.select(*SAME, *(F.col(c).alias(f"r_{c}") for c in names)), [*SAME])
         is_first = F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("text_hash") == F.col("r_text_hash")) & (F.col("start") == F.col("r_start"))
-        ranges = F.when(is_first, F.col("later")).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.col("strings").alias("b"))))
-    marked_rows = mixed_rows.join(marks, ["anchor", "segment"]).select("doc_id", "text_hash", F.transform(ranges, lambda r: span(r["a"], r["b"])).alias("spans"))
-    spans = equal.select("doc_id", "text_hash", whole.alias("spans")).unionByName(marked_rows.where(F.size("spans") > 0))
-    return spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        ranges = F.when(is_first, F.col("later")).otherwise(whole)
+    found = mixed_rows.join(marks, [*SAME]).select("doc_id", "text_hash", "start", F.explode(ranges).alias("r"))
+    found = found.select("doc_id", "text_hash", "start", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
+    spans = equal.select("doc_id", "text_hash", "start", F.lit(0).alias("a"), F.col("strings").alias("b")).unionByName(found)
+    return spans.select("doc_id", "text_hash", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b"))
+
+
+def streamed(documents: DataFrame, rows: DataFrame, texts_first: bool) -> DataFrame:
+    """Texts and rows that name them by (doc_id, text_hash), together in sorted partitions.
+
+    ``kind`` is 0 for what comes first for each (doc_id, text_hash); the columns of the other kind are null.
+    """
+    docs = keyed(documents).withColumn("kind", F.lit(0 if texts_first else 1)).select("doc_id", "text_hash", "kind", "text")
+    other = rows.withColumn("kind", F.lit(1 if texts_first else 0))
+    both = docs.unionByName(other, allowMissingColumns=True)
+    return both.repartition("text_hash", "doc_id").sortWithinPartitions("text_hash", "doc_id", "kind")
 
 
-def with_bytes(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted segments with their bytes, cut from the texts on the executors."""
-    kinds = {"anchor": pa.int64(), "segment": pa.int64(), "strings": pa.int64(), "copies": pa.int64(), "start": pa.int64(), "hot": pa.bool_()}
+def with_bytes(documents: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """The wanted segments with their bytes, rows of PART_SCHEMA, cut from the texts on the executors."""
+    names = [f.strip().split()[0] for f in PART_SCHEMA.split(",")][:-3]
 
     def run(batches):
-        for part in sliced(batches):
-            texts = text_bytes(part.column(2))
-            out = []
-            for doc_id, text_hash, text, segments_ in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, part.column(3).to_pylist()):
-                for s in segments_:
-                    out.append((doc_id, text_hash, *(s[k] for k in kinds), text[s["start"] : s["start"] + s["strings"] + length - 1]))
+        text = None
+        for part in sliced(batches, 4096, ARRAY_BYTES):
+            kinds = part.column("kind").to_numpy()
+            texts, strings, starts = part.column("text"), part.column("strings").to_pylist(), part.column("start").to_pylist()
+            out, at = [], []
+            size = 0
+            for i in range(len(kinds)):
+                if not kinds[i]:
+                    text = texts[i].cast(pa.binary()).as_py()
+                    continue
+                at.append(i)
+                out.append(text[starts[i] : starts[i] + strings[i] + length - 1])
+                size += len(out[-1])
+                if size > ARRAY_BYTES:
+                    yield cut(part, at, out)
+                    out, at, size = [], [], 0
             if out:
-                types = [pa.int64(), pa.int64(), *kinds.values(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "text_hash", *kinds, "bytes"])
-
-    schema = "doc_id long, text_hash long, anchor long, segment long, strings long, copies long, start long, hot boolean, bytes binary"
-    return texts_with(documents, wanted, "inner").select("doc_id", "text_hash", "text", "wanted").mapInArrow(run, schema)
+                yield cut(part, at, out)
 
+    def cut(part, at, out):
+        own = part.take(pa.array(at, pa.int64()))
+        n = len(out)
+        return pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, length - gram, np.int32)), pa.array(out, pa.binary())], [*names, "low", "high", "bytes"])
 
-def texts_with(documents: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The keyed documents joined with one row for each (doc_id, text_hash)."""
-    other = rows.withColumnRenamed("doc_id", "r_doc_id").withColumnRenamed("text_hash", "r_text_hash")
-    docs = keyed(documents)
-    return docs.join(other, (docs["text_hash"] == other["r_text_hash"]) & docs["doc_id"].eqNullSafe(other["r_doc_id"]), how)
+    return streamed(documents, wanted, True).mapInArrow(run, PART_SCHEMA)
 
 
 def remove_repeats(documents: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, hot_segments: int = HOT_SEGMENTS, texts: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts`` kept: the bytes that stay) for each document."""
-    spans = stash(repeated_spans(documents, keep, length, gram, hot_segments), "spans")
-    release_shuffles(documents.sparkSession)
+    spans = repeated_spans(documents, keep, length, gram, hot_segments)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts]
+    types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * texts
 
     def run(batches):
-        for part in sliced(batches):
-            out = []
-            for doc_id, text, own in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), part.column(2).to_pylist()):
-                kept, at, removed, count = [], 0, 0, 0
-                for a, b in sorted((s["a"], s["b"]) for s in own or ()):
-                    if a > at or not count:
-                        count += 1
-                        kept.append(text[at:a])
-                        removed += b - a
-                        at = b
-                    elif b > at:
-                        removed += b - at
-                        at = b
-                kept = b"".join([*kept, text[at:]])
-                out.append((doc_id, len(text), removed, count, hashlib.sha256(kept).hexdigest()) + (kept,) * texts)
-            types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * texts
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)])
-
-    return texts_with(documents, spans, "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+        key, held = None, []
+        for part in sliced(batches, 4096, 8 * ARRAY_BYTES):
+            kinds = part.column("kind").to_numpy()
+            ids, hashes = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
+            a, b = (part.column(c).fill_null(0).to_numpy() for c in ("a", "b"))
+            docs = np.flatnonzero(kinds)
+            out, at, size = [], 0, 0
+            for i in [*docs.tolist(), len(kinds)]:
+                # Ranges between two texts are those of the second, or begin further keys that have no text here yet.
+                if i > at:
+                    own = hashes[i - 1], ids[i - 1]
+                    if own != key:
+                        key, held = own, []
+                    held.append((a[at:i], b[at:i]))
+                at = i + 1
+                if i == len(kinds):
+                    break
+                if (hashes[i], ids[i]) != key:
+                    key, held = (hashes[i], ids[i]), []
+                held = [merged(held)]
+                text = part.column("text")[i].cast(pa.binary()).as_py()
+                kept, last = [], 0
+                for x, y in zip(*(v.tolist() for v in held[0])):
+                    kept.append(text[last:x])
+                    last = y
+                kept = b"".join([*kept, text[last:]])
+                out.append((ids[i], len(text), len(text) - len(kept), len(held[0][0]), hashlib.sha256(kept).hexdigest()) + (kept,) * texts)
+                size += len(kept)
+                if size > 8 * ARRAY_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return streamed(documents, spans, False).mapInArrow(run, schema)
+
+
+def merged(ranges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The union of byte ranges as maximal ranges in order; ranges that touch are one."""
+    if not ranges:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*ranges))
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    return a[new], reach[np.concatenate([new[1:] - 1, [len(a) - 1]])]

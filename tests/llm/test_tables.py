@@ -85,6 +85,26 @@ def test_mixed_documents_have_what_is_taken(documents):
     assert out[0].__fields__ == docs.columns
 
 
+def test_sources_that_share_ids_get_their_own_words(documents):
+    rng = random.Random(20)
+    rows = [(i, " ".join(["w"] * 10), "en", s) for s, n in (("a", 40), ("b", 20), ("c", 100)) for i in range(n)] + [(5, " ".join(["w"] * 10), "en", None)] * 3
+    rng.shuffle(rows)
+    docs = documents(rows)
+    plan, got = collections.Counter(), collections.Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r["source_size"]] += r["taken"]
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len(WORD.findall(r["text"]))
+    assert {s: got[s] for s in "abc"} == {"a": plan[400], "b": plan[200], "c": plan[1000]}
+    assert abs(got[None] - plan[30]) < 3
+    many = mixing.mixed_documents(docs).count()
+    mixing_limit, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 1
+    try:
+        assert mixing.mixed_documents(docs).count() == many
+    finally:
+        mixing.BROADCAST_SOURCES = mixing_limit
+
+
 # --- repeats ---
 
 
@@ -108,7 +128,7 @@ def brute_repeats(rows, length, keep):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("hot", [1, repeats.HOT_SEGMENTS])
+@pytest.mark.parametrize("hot", [1, 3, repeats.HOT_SEGMENTS])
 def test_repeats(documents, monkeypatch, keep, hot):
     rng = random.Random(3)
     shared = [prose(rng, 60) for _ in range(6)]
@@ -138,6 +158,22 @@ def test_repeats_of_repeated_rows_nulls_and_nothing(documents):
         repeats.repeated_spans(documents([]), keep="last")
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_one_passage_in_thousands_of_texts(documents, keep):
+    rng = random.Random(30)
+    passage = prose(rng, 40)
+    rows = [(i, prose(rng, 6) + " " + passage[: rng.choice([len(passage), 120])] + " " + prose(rng, 6)) for i in range(2500)]
+    rows += [rows[7]] * 40 + [(None, rows[9][1]), (9000, None), (9001, passage), (9002, passage * 3)]
+    got = repeats.remove_repeats(documents(rows), keep, length=50, gram=16, hot_segments=64, texts=False).collect()
+    want = brute_repeats([(-1 if i is None else i, t) for i, t in rows], 50, keep) if keep == "none" else None
+    if want:
+        assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in map(tuple, got)) == want
+    else:
+        # Repeated rows are one document; with the null id last.
+        once = list(dict.fromkeys((10**9 if i is None else i, t) for i, t in rows))
+        assert sorted({(10**9 if r[0] is None else r[0], *r[1:]) for r in map(tuple, got)}) == brute_repeats(once, 50, keep)
+
+
 def test_long_texts_are_cut_exactly(monkeypatch):
     rng = random.Random(5)
     data = prose(rng, 600).encode()
@@ -275,8 +311,74 @@ def test_near_duplicates(documents):
             least[root] = min(least.get(root, i), i)
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(i), str(least.get(root))) for (i, _), root in zip(rows, roots))
     assert simhash.near_duplicates(documents([])).count() == 0
-    kept = simhash.keep_one(documents(rows)).collect()
-    assert len(kept) == len(set(roots)) and {r["doc_id"] for r in kept if r["doc_id"] is not None} == set(least.values())
+
+
+def shingle_set(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b) if a or b else True
+
+
+def altered(rng, text, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = prose(rng, 1)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block, place", [(512, 100_000), (3, 100_000), (512, 40)])
+def test_near_copies_by_similarity(documents, monkeypatch, block, place):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "PLACE_ROWS", place)
+    monkeypatch.setattr(similar, "LEADERS", 16)
+    rng = random.Random(21)
+    texts = []
+    for n in (6, 9, 30, 60, 60, 150, 150, 400, 400, 3000):
+        first = last = prose(rng, n)
+        texts.append(first)
+        for k in range(8):
+            # Around the limit of 0.8, and chains that lead away from the first.
+            texts.append(altered(rng, first, rng.randint(1, max(1, n // 40))))
+            last = altered(rng, last, max(1, n // 60))
+            texts.append(last)
+    texts += [prose(rng, rng.randint(1, 80)) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(900 + i, t) for i, t in enumerate(ODD)] + [(3, texts[3]), (3, texts[3]), (None, texts[4]), (None, "lonely words with nobody near them"), (5000, texts[0].upper())]
+    sets = [shingle_set(t) for _, t in rows]
+    roots = plain_components(sets, alike)
+    first = {}
+    for (i, t), root in zip(rows, roots):
+        key = (i is None, i or 0)
+        first[root] = min(first.get(root, (True, 10**9)), key)
+    docs = documents(rows)
+    kept = similar.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+    assert got == sorted(first.values())
+
+
+def test_near_copies_of_nothing_and_of_all(documents):
+    assert similar.keep_one(documents([])).count() == 0
+    text = prose(random.Random(22), 50)
+    assert [r["doc_id"] for r in similar.keep_one(documents([(i, text) for i in (5, 3, 9, 3)])).collect()] == [3]
+    assert {r["doc_id"] for r in similar.keep_one(documents([(1, None), (2, ""), (3, "a b"), (4, "A  b")])).collect()} == {1, 3}
+
+
+def test_places_catch_similar_fingerprints():
+    rng = np.random.default_rng(23)
+    for count in (1000, 250_000):
+        exact, taken = similar.places(count)
+        missed = 0
+        for _ in range(400):
+            bits = rng.integers(0, 2, similar.BITS).astype(np.uint8)
+            other = bits ^ (rng.random(similar.BITS) < 0.15).astype(np.uint8)
+            found = similar.keys(np.stack([np.packbits(x, bitorder="little").view(np.int64) for x in (bits, other)]), exact, taken)
+            same = (found[:, 0] >> similar.BALL) == (found[:, 1] >> similar.BALL)
+            near = np.bitwise_count((found[:, 0] ^ found[:, 1]) & ((1 << similar.BALL) - 1)) <= similar.RADIUS
+            missed += not (same & near).any()
+        assert missed <= 4
 
 
 @pytest.mark.parametrize("limit", [1, 500, 3_000_000])
@@ -379,7 +481,7 @@ def test_chunked_framing_and_segments():
     for n in (0, 1, 4095, 4096, 4097, 50_000):
         payload = rng.randbytes(n)
         assert warc.unframed(warc.framed(payload)) == payload
-        parts = [r for r in warc.parsed(b"".join(x + b"\r\n\r\n" for x in warc.page_records(7, "u", 1, payload, None, False)))]
+        parts = [r for r in warc.parsed(b"".join(x + b"\r\n\r\n" for x in warc.page_records(7, "u", 1, hashlib.sha256(payload).hexdigest(), payload, None, False)))]
         assert warc.decoded(warc.assembled([(r[4] or 1, r[5], r[9]) for r in parts[::-1]])) == payload
         if len(parts) > 1:
             with pytest.raises(ValueError):
