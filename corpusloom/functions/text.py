@@ -64,9 +64,9 @@ def safe_filename(text: Column) -> Column:
 
 
 def case_id(url: Column, text: Column) -> Column:
-    """The last part of the URL's path that isn't empty, else the MD5 of the text."""
-    parts = F.filter(F.split(F.coalesce(url, F.lit("")), "/"), lambda p: p != "")
-    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.md5(text.cast("binary")))
+    """The last part of the URL's path that isn't empty, as a file name, else the MD5 of the text."""
+    parts = F.filter(F.split(strip(F.coalesce(url, F.lit(""))), "/"), lambda p: p != "")
+    return F.coalesce(safe_filename(F.try_element_at(parts, F.lit(-1))), F.md5(text.cast("binary")))
 
 
 def category_of(identifier: Column) -> Column:

@@ -4,61 +4,129 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
-from corpusloom.functions.text import tokens
+from corpusloom.functions.text import bound, tokens
 from corpusloom.runtime import stash
 
 SCORE_DIGITS = 6
+#: The namespace of all categories together.
+MERGED = "_merged"
+#: Rows (query, term, weight) of a block of queries up to which they are broadcast; beyond, postings and weights are shuffled by term.
+BROADCAST_WEIGHTS = 500_000
 
 
 @dataclass
 class SparseIndex:
-    """postings(term, id, tf, dl), term_stats(term, df, idf), corpus_stats(n, avgdl): one row."""
+    """documents(id, category, dl, terms), term_stats(namespace, term, df, idf), corpus_stats(namespace, n, avgdl).
 
-    postings: DataFrame
+    A row of ``documents`` has all terms of a chunk with their counts. Statistics are by namespace: each category, and all together.
+    """
+
+    documents: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(id, category, dl, term, tf)"""
+        return self.documents.select("id", "category", "dl", F.inline("terms"))
+
+    def save(self, path: str, mode: str = "overwrite") -> None:
+        for name in ("term_stats", "corpus_stats"):
+            getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
+        self.documents.write.mode(mode).partitionBy("category").parquet(f"{path}/documents")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SparseIndex:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "term_stats", "corpus_stats")))
+
+
+def term_counts(text: Column) -> Column:
+    """The distinct terms of a text with their counts, an array of (term, tf): sorted words, cut where the word changes."""
+
+    def counted(words: Column) -> Column:
+        size = F.size(words)
+        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(size))
+        return bound(starts, lambda at: F.zip_with(at, ends(at), lambda i, j: F.struct(F.get(words, i).alias("term"), (j - i).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return bound(F.sort_array(tokens(F.coalesce(text, F.lit("")))), lambda words: F.when(F.size(words) > 0, counted(words)).otherwise(none))
+
+
+def document_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> DataFrame:
+    """(id, category, dl, terms): one row for each chunk, counted within the row and so without a shuffle."""
+    category = F.col(category_col) if category_col else F.lit(MERGED)
+    rows = chunks.select(F.col(id_col).alias("id"), category.alias("category"), term_counts(F.col(text_col)).alias("terms"))
+    return rows.select("id", "category", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).cast("int").alias("dl"), "terms")
+
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl): each chunk's terms with their counts and its length. Counting happens within the row."""
-    rows = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    # One term of a chunk meets only itself, so counts are combined before the shuffle.
-    return rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", keep: bool = True) -> SparseIndex:
-    """The index of ``chunks``; with ``keep`` its postings are written once for all uses."""
-    rows = postings(chunks, id_col, text_col)
-    if keep:
-        rows = stash(rows, "postings")
-    corpus = chunks.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if keep:
-        df = stash(df, "terms")
-    size = corpus.first()["n"]
-    raw = df.withColumn("raw", F.log(size - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.select(F.avg("raw")).first()[0] or 0.0
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(rows, terms, corpus)
-
-
-def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_id: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank0): the ``k`` best of each query with a positive score. A repeated word counts each time."""
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = wanted.join(index.term_stats, "term")
-    k1, b = fixed.BM25_K1, fixed.BM25_B
-    hits = index.postings.join(weighted, "term")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (index.corpus_stats.first()["avgdl"] or 1.0))
-    part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1) / norm)
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).where("score > 0")
-    return top(scored, k)
+    """(id, dl, term, tf): each chunk's terms with their counts and its length."""
+    return document_terms(chunks, id_col, text_col).select("id", "dl", F.inline("terms"))
+
+
+def statistics(documents: DataFrame, merged_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """term_stats and corpus_stats of the rows of :func:`document_terms`: grouping sets give every namespace in one pass."""
+
+    def by_namespace(rows: DataFrame, *extra: str) -> DataFrame:
+        if merged_only:
+            return rows.groupBy(F.lit(MERGED).alias("namespace"), *extra)
+        both = rows.withColumn("namespace", F.explode(F.array(F.col("category"), F.lit(MERGED))))
+        return both.groupBy("namespace", *extra)
+
+    corpus = stash(by_namespace(documents.select("category", "dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
+    df = by_namespace(documents.select("category", F.explode("terms.term").alias("term")), "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(F.broadcast(corpus.select("namespace", "n")), "namespace").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = stash(raw.select("namespace", "term", "df", "raw"), "terms")
+    # One row for each namespace.
+    mean = raw.groupBy("namespace").agg(F.avg("raw").alias("mean"))
+    idf = F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw"))
+    return raw.join(F.broadcast(mean), "namespace").select("namespace", "term", "df", idf.alias("idf")), corpus
 
 
-def top(scored: DataFrame, k: int) -> DataFrame:
+def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> SparseIndex:
+    """The index of ``chunks``, whose texts are read once. Without ``category_col`` all are one namespace."""
+    documents = stash(document_terms(chunks, id_col, text_col, category_col), "documents")
+    return SparseIndex(documents, *statistics(documents, category_col is None))
+
+
+def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_id: str = "query_id", text_col: str = "text", namespace: str = MERGED, each: bool = False) -> DataFrame:
+    """(query_id, id, category, score, rank0): the ``k`` best of each query with a positive score. A repeated word counts each time.
+
+    ``namespace`` searches one category by its own statistics, ``each`` every category by its own: ``k`` of each.
+    Where the terms of the queries are few enough, postings are filtered by them where they are read; what remains is
+    shuffled by chunk once, so that a chunk's scores for all queries come about in one task, which passes on its ``k`` best.
+    """
+    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    stats, rows = index.term_stats, index.documents
+    if each:
+        stats = stats.where(F.col("namespace") != MERGED)
+    else:
+        stats = stats.where(F.col("namespace") == namespace)
+        if namespace != MERGED:
+            rows = rows.where(F.col("category") == namespace)
+    weights = stash(stats.join(wanted, "term").select("namespace", "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+    own = F.col("category") if each else F.lit(namespace)
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    hits = rows.select("id", "category", "dl", F.inline("terms")).withColumn("namespace", own)
+    if weights.count() <= BROADCAST_WEIGHTS:
+        hits = hits.join(F.broadcast(weights.select("namespace", "term").distinct()), ["namespace", "term"], "left_semi").repartition("id")
+        hits = hits.join(F.broadcast(weights), ["namespace", "term"])
+    else:
+        hits = hits.join(weights, ["namespace", "term"]).repartition("id")
+    lengths = {r["namespace"]: r["avgdl"] or 1.0 for r in index.corpus_stats.collect()} if each else {namespace: (index.corpus_stats.where(F.col("namespace") == namespace).first() or {"avgdl": 1.0})["avgdl"] or 1.0}
+    average = F.element_at(F.create_map(*(F.lit(x) for pair in lengths.items() for x in pair)), F.col("namespace")) if len(lengths) > 1 else F.lit(next(iter(lengths.values()), 1.0))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / average)
+    part = F.col("weight") * (F.col("tf") * (k1 + 1) / norm)
+    scored = hits.groupBy("query_id", "id", "category").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).where("score > 0")
+    return top(scored, k, ("query_id", "category") if each else ("query_id",))
+
+
+def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The ``k`` best rows of each query, ties by id; limited within partitions before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank0", rank - 1).where(F.col("rank0") < k)

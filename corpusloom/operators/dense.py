@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ def hashing_encoder(dim: int = HASH_DIM) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def embed(rows: DataFrame, id_col: str, text_col: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, prefix: str = "", batch: int = 32) -> DataFrame:
-    """(id, embedding): ``make_encoder`` runs once for a task, its result on ``batch`` prefixed texts at a time."""
+def embed(rows: DataFrame, id_col: str, text_col: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_encoder, prefix: str = "", batch: int = 32, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, embedding and the columns to ``keep``): ``make_encoder`` runs once for a task, its result on ``batch`` prefixed texts at a time."""
     id_type = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,52 +61,60 @@ def embed(rows: DataFrame, id_col: str, text_col: str, make_encoder: Callable[[]
             for start in range(0, part.num_rows, batch):
                 own = part.slice(start, batch)
                 vectors = encode([prefix + (t or "") for t in own.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(list(vectors), pa.list_(pa.float64()))], ["id", "embedding"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(list(vectors), pa.list_(pa.float64())), *own.columns[2:]], ["id", "embedding", *keep])
 
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {id_type}, embedding array<double>")
+    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col), *keep).mapInArrow(run, f"id {id_type}, embedding array<double>{more}")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id, score, rank0): the ``k`` greatest inner products of each query, exactly.
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", query_id: str = "query_id", by: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank0): the ``k`` greatest inner products of each query, exactly; with ``by`` (a column of ``vectors``) of each of its values.
 
     A block of queries meets every batch of vectors in one matrix product; each batch gives on its
     best ``k`` of each query, so what is shuffled is small. Vectors of another length than the queries' are an error.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     id_type, query_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    schema = f"query_id {query_type}, id {id_type}, score double"
-    source = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
+    schema = f"query_id {query_type}, id {id_type}, score double" + (f", {by} string" if by else "")
+    source = vectors.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(by).cast("string")] if by else [])).where("embedding IS NOT NULL")
     found = None
     rows = asked.toLocalIterator()
     while block := [row for _, row in zip(range(QUERY_BLOCK), rows)]:
-        part = source.mapInArrow(_scorer([r["query_id"] for r in block], np.array([r["embedding"] for r in block], float), k, asked.schema["query_id"]), schema)
+        part = source.mapInArrow(_scorer([r["query_id"] for r in block], np.array([r["embedding"] for r in block], float), k, asked.schema["query_id"], by), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return asked.sparkSession.createDataFrame([], schema + ", rank0 int")
-    return top(found, k)
+    return top(found, k, ("query_id", by) if by else ("query_id",))
 
 
-def _scorer(ids: list, matrix: np.ndarray, k: int, field):
+def _scorer(ids: list, matrix: np.ndarray, k: int, field, by: str | None):
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(field.dataType)
 
+    def best(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = batch.column(1)
+        own = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        if own.shape[1] != matrix.shape[1]:
+            raise ValueError(f"vectors have {own.shape[1]} numbers, queries {matrix.shape[1]}")
+        for start in range(0, len(ids), 256):
+            scores = np.round(matrix[start : start + 256] @ own.T, SCORE_DIGITS)
+            for i, row in enumerate(scores):
+                if len(row) > k:
+                    # All ties of the last place go on; ids decide among them later.
+                    keep = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                else:
+                    keep = np.arange(len(row))
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[start + i]] * len(keep), kind), batch.column(0).take(at), pa.array(row[keep]), *(c.take(at) for c in batch.columns[2:])], ["query_id", "id", "score", *([by] if by else [])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(1)
-            own = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if own.shape[1] != matrix.shape[1]:
-                raise ValueError(f"vectors have {own.shape[1]} numbers, queries {matrix.shape[1]}")
-            for start in range(0, len(ids), 256):
-                scores = np.round(matrix[start : start + 256] @ own.T, SCORE_DIGITS)
-                for i, row in enumerate(scores):
-                    if len(row) > k:
-                        # All ties of the last place go on; ids decide among them later.
-                        keep = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-                    else:
-                        keep = np.arange(len(row))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[start + i]] * len(keep), kind), batch.column(0).take(pa.array(keep)), pa.array(row[keep])], ["query_id", "id", "score"])
+            if by:
+                for value in batch.column(2).unique():
+                    same = pc.equal(batch.column(2), value) if value.is_valid else pc.is_null(batch.column(2))
+                    yield from best(batch.filter(same))
+            elif batch.num_rows:
+                yield from best(batch)
 
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
@@ -24,16 +24,26 @@ def lookup(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(ids.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
 
 
+def filled(value: Column, other: Column, kind: str) -> Column:
+    """``value`` where it isn't empty (null, '' or an empty array), else ``other``."""
+    own = blank_to_null(value) if kind == "string" else F.when(F.size(value) > 0, value) if kind.startswith("array") else value
+    return F.coalesce(own, other)
+
+
 def gather(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunks' columns, an empty one of the hit's own filled from the chunk; hits without text drop out."""
+    """Hits with their chunks' columns; what the chunk leaves empty comes from the hit. Hits without text drop out."""
     shared = [c for c in hits.columns if c in chunks.columns]
     other = chunks.select(F.col("chunk_id").alias("id"), *(F.col(c).alias(f"_{c}") if c in shared else F.col(c) for c in chunks.columns if c != "chunk_id"))
     rows = hits.join(other, "id")
     for c in shared:
-        own = F.col(c)
-        filled = blank_to_null(own) if hits.schema[c].dataType.simpleString() == "string" else F.when(F.size(own) > 0, own) if hits.schema[c].dataType.simpleString().startswith("array") else own
-        rows = rows.withColumn(c, F.coalesce(filled, F.col(f"_{c}"))).drop(f"_{c}")
-    return rows.where(strip(F.coalesce(F.col("text"), F.lit(""))) != "")
+        rows = rows.withColumn(c, filled(F.col(f"_{c}"), F.col(c), chunks.schema[c].dataType.simpleString())).drop(f"_{c}")
+    return rows.where(evidence_text(rows) != "")
+
+
+def evidence_text(rows: DataFrame) -> Column:
+    """The original text, else the text, trimmed."""
+    have = [F.col(c) for c in ("original_text", "text") if c in rows.columns]
+    return strip(F.coalesce(*(blank_to_null(c) for c in have), F.lit("")))
 
 
 def passage(label: Column, row: dict[str, Column], text: Column) -> Column:
@@ -66,6 +76,15 @@ def history(turns: DataFrame) -> DataFrame:
     return turns.where(F.col("role").isin("user", "assistant") & (content != "")).select("conv_id", "turn", "role", content.alias("content"))
 
 
+def validated(questions: DataFrame, max_chars: int = fixed.QUESTION_MAX_CHARS) -> DataFrame:
+    """(query_id, question) trimmed; a blank question, or one of over ``max_chars`` characters, is an error."""
+    question = strip(F.coalesce("question", F.lit("")))
+    checked = F.when(question == "", F.raise_error(F.lit("question must not be empty")).cast("string")).when(
+        F.length("question") > max_chars, F.raise_error(F.lit(f"question must have at most {max_chars} characters")).cast("string")
+    )
+    return questions.withColumn("question", checked.otherwise(question))
+
+
 def answers(prompted: DataFrame, generate: Callable[[str, str], str], fallback: Callable[[str, str], str] | None = None) -> DataFrame:
     """``prompted`` with ``answer``: ``generate(system, user)`` on the executors; where it fails or is blank, ``fallback``."""
     @F.pandas_udf("string")
@@ -88,11 +107,48 @@ def answers(prompted: DataFrame, generate: Callable[[str, str], str], fallback:
     return prompted.withColumn("answer", ask("user_message"))
 
 
-def responses(answered: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(query_id, answer, evidence, validation, limitations) from (query_id, answer, retrieved) and evidence with text."""
-    counted = evidence.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("rank0", F.col("id").alias("chunk_id"), excerpt(F.col("original_text"), F.col("text")).alias("text")))).alias("evidence")
-    )
+def answered(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generate: Callable[[str, str], str], fallback: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, question, answer, retrieved, used) and the evidence, its places numbered anew.
+
+    The model is asked only where there is evidence with text; the answers to the other questions say what is missing.
+    """
+    asked = validated(questions)
+    found = gather(hits, chunks)
+    found = found.withColumn("rank0", (F.row_number().over(Window.partitionBy("query_id").orderBy("rank0")) - 1).cast("int"))
+    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved")).join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("used")), "query_id", "left")
+    rows = asked.join(counts, "query_id", "left").withColumns({"retrieved": F.coalesce("retrieved", F.lit(0)), "used": F.coalesce("used", F.lit(0))})
+    with_text = rows.where("used > 0")
+    told = answers(with_text.join(prompts(with_text, found), "query_id"), generate, fallback).drop("user_message")
+    said = F.when(F.col("retrieved") == 0, fixed.NO_EVIDENCE_ANSWER).otherwise(fixed.NO_TEXT_ANSWER)
+    return told.unionByName(rows.where("used = 0").withColumn("answer", said)), found
+
+
+def item(rows: DataFrame, fields: tuple[str, ...], *more: Column) -> Column:
+    """A passage of a response: its id, the fields that the rows have (null where empty), its score and an excerpt."""
+    kinds = dict(rows.dtypes)
+    shown = [(blank_to_null(F.col(c)) if kinds[c] == "string" else F.col(c)).alias(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in fields]
+    score = F.col("score").cast("double") if "score" in kinds else F.lit(None).cast("double")
+    original, text = (F.col(c) if c in kinds else F.lit(None).cast("string") for c in ("original_text", "text"))
+    return F.struct("rank0", F.col("id").alias("chunk_id"), *shown, *more, score.alias("retrieval_score"), excerpt(original, text).alias("text"))
+
+
+def responses(answered: DataFrame, evidence: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """(query_id, answer, evidence, related_cases, validation, limitations, retrieved_count, used_count).
+
+    From (query_id, answer, retrieved), evidence with text, and ``related`` hits with their chunks' columns (those without text drop out).
+    """
+    path = F.coalesce("hierarchy_path", F.array().cast("array<string>")) if "hierarchy_path" in evidence.columns else F.array().cast("array<string>")
+    shown = item(evidence, ("category", "source_doc", "section", "heading", "parent", "court", "date"), path.alias("hierarchy_path"))
+    counted = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(shown)).alias("evidence"))
     rows = answered.join(counted, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rows = rows.withColumn("answer", labels.normalize_labels(F.col("answer"))).withColumn("validation", labels.validate_labels(F.col("answer"), F.col("n")))
-    return rows.select("query_id", "answer", "evidence", "validation", labels.limitations(F.col("n"), F.col("retrieved"), F.col("validation.warnings")).alias("limitations"))
+    if related is None:
+        cases = F.array()
+    else:
+        texts = related.where(evidence_text(related) != "")
+        listed = texts.groupBy("query_id").agg(F.sort_array(F.collect_list(item(texts, ("source_doc", "section", "heading", "court", "date")))).alias("related_cases"))
+        rows, cases = rows.join(listed, "query_id", "left"), F.coalesce("related_cases", F.array().cast(dict(listed.dtypes)["related_cases"]))
+    shown = F.coalesce("evidence", F.array().cast(dict(counted.dtypes)["evidence"]))
+    limits = labels.limitations(F.col("n"), F.col("retrieved"), F.col("validation.warnings"))
+    question = [F.col("question")] if "question" in answered.columns else []
+    return rows.select("query_id", *question, "answer", shown.alias("evidence"), cases.alias("related_cases"), "validation", limits.alias("limitations"), F.col("retrieved").cast("long").alias("retrieved_count"), F.col("n").alias("used_count"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed
 from corpusloom.functions.text import namespace
 from corpusloom.operators import bm25, dense
+from corpusloom.runtime import discard, path_exists
 
 INDEX_VERSION = "1"
 LEAST_CHUNKS = 10
@@ -38,8 +39,10 @@ class Manifest:
 
 def corpus_fingerprint(chunks: DataFrame) -> str:
     """A fingerprint of the rows, whatever their order: exclusive-or and sum of row hashes, and the count."""
-    row = F.xxhash64(*(F.to_json(F.col(c)) if c_type.startswith(("array", "struct", "map")) else F.col(c) for c, c_type in sorted(chunks.dtypes)))
-    got = chunks.select(row.alias("h")).agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    simple = lambda c, kind: F.to_json(F.col(c)) if kind.startswith(("array", "struct", "map")) else F.col(c).cast("string")
+    row = F.concat_ws("\x1f", *(F.coalesce(simple(c, kind), F.lit("\x1e")) for c, kind in sorted(chunks.dtypes)))
+    hashed = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("long")
+    got = chunks.select(hashed.alias("h")).agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
     return hashlib.sha256(f"{got['x']}/{got['s']}/{got['n']}".encode()).hexdigest()
 
 
@@ -59,9 +62,7 @@ def write_manifest(spark: SparkSession, manifest: Manifest, path: str) -> None:
 
 def read_manifest(spark: SparkSession, path: str) -> Manifest | None:
     """The stored manifest, None where there is none."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not path_exists(spark, path):
         return None
     rows = spark.read.text(path).collect()
     return Manifest(**json.loads(rows[0]["value"])) if rows else None
@@ -84,29 +85,80 @@ def store_projection(chunks: DataFrame) -> DataFrame:
     return chunks.drop("text", "original_text").dropDuplicates(["chunk_id"])
 
 
+@dataclass
+class StoredIndex:
+    """A built index read back: store (chunks without texts), vectors (id, embedding, category), sparse index, manifest."""
+
+    store: DataFrame
+    vectors: DataFrame
+    sparse: bm25.SparseIndex
+    manifest: Manifest
+
+
+def vectors_path(path: str, model: str, with_summary: bool) -> str:
+    return f"{path}/{namespace('dense', model, with_summary)}"
+
+
 def build_index(chunks: DataFrame, path: str, model: str = "hashing", with_summary: bool = False, make_encoder=dense.hashing_encoder, force: bool = False) -> Manifest:
-    """Write store, vectors, postings and statistics of each category and of all together below ``path``.
+    """Write store, vectors, terms and statistics of each category and of all together below ``path``.
 
-    Vectors and postings are written once, partitioned by category; ``_merged`` reads all partitions, only its
-    statistics are its own. An index that is fresh is left alone.
+    Vectors and terms are written once, partitioned by category; all together reads all partitions, only its
+    statistics are its own. An index that is fresh is left alone, and vectors are kept where the chunks' ids
+    and the embedding are the same, whatever else changed.
     """
     spark = chunks.sparkSession
     wanted = manifest_of(chunks, model, with_summary)
     if wanted.chunk_count < LEAST_CHUNKS:
         raise ValueError(f"{wanted.chunk_count} chunks are fewer than {LEAST_CHUNKS}")
-    if not force and is_fresh(read_manifest(spark, f"{path}/manifest"), wanted):
+    stored = read_manifest(spark, f"{path}/manifest")
+    if not force and is_fresh(stored, wanted):
         return wanted
     rows = chunks.withColumn("category", F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("unknown")))
+    cached = not force and stored is not None and same_vectors(spark, rows, path, stored, wanted)
+    # An index that is broken off here has no manifest, and is built again.
+    discard(spark, f"{path}/manifest")
     store_projection(rows).write.mode("overwrite").partitionBy("category").parquet(f"{path}/store")
-    vectors = dense.embed(rows, "chunk_id", "text", make_encoder, wanted.document_prefix).join(rows.select(F.col("chunk_id").alias("id"), "category"), "id")
-    vectors.write.mode("overwrite").partitionBy("category").parquet(f"{path}/{namespace('dense', model, with_summary)}")
-    postings = bm25.postings(rows).join(rows.select(F.col("chunk_id").alias("id"), "category"), "id")
-    postings.write.mode("overwrite").partitionBy("category").parquet(f"{path}/postings")
-    term_statistics(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+    if not cached:
+        vectors = dense.embed(rows, "chunk_id", "text", make_encoder, wanted.document_prefix, keep=("category",))
+        vectors.write.mode("overwrite").partitionBy("category").parquet(vectors_path(path, model, with_summary))
+    bm25.build(rows, category_col="category").save(f"{path}/sparse")
     write_manifest(spark, wanted, f"{path}/manifest")
     return wanted
 
 
+def same_vectors(spark: SparkSession, rows: DataFrame, path: str, stored: Manifest, wanted: Manifest) -> bool:
+    """Whether the stored vectors are those of the chunks' ids and the same embedding."""
+    if (stored.embedding_model, stored.sac_enabled, stored.document_prefix, stored.chunk_count) != (wanted.embedding_model, wanted.sac_enabled, wanted.document_prefix, wanted.chunk_count):
+        return False
+    there = spark.read.parquet(vectors_path(path, wanted.embedding_model, wanted.sac_enabled)).select("id", "category")
+    ids = rows.select(F.col("chunk_id").alias("id"), "category")
+    return corpus_fingerprint(there) == corpus_fingerprint(ids)
+
+
+def load_index(spark: SparkSession, path: str, wanted: Manifest | None = None) -> StoredIndex:
+    """The index that :func:`build_index` wrote below ``path``; with ``wanted`` one that differs from it is an error."""
+    manifest = read_manifest(spark, f"{path}/manifest")
+    if manifest is None:
+        raise IndexStaleError("there is no index")
+    if wanted is not None:
+        require_fresh(manifest, wanted)
+    vectors = spark.read.parquet(vectors_path(path, manifest.embedding_model, manifest.sac_enabled))
+    return StoredIndex(spark.read.parquet(f"{path}/store"), vectors, bm25.SparseIndex.load(spark, f"{path}/sparse"), manifest)
+
+
+def build_or_keep(chunks: DataFrame, path: str, resume: bool = False, **options) -> Manifest:
+    """:func:`build_index` that never overwrites a complete index of another corpus; ``resume`` needs one begun before."""
+    spark = chunks.sparkSession
+    stored = read_manifest(spark, f"{path}/manifest")
+    if stored is not None:
+        wanted = manifest_of(chunks, options.get("model", "hashing"), options.get("with_summary", False))
+        require_fresh(stored, wanted)
+        return stored
+    if resume and not path_exists(spark, path):
+        raise ResumeMismatchError("there is no begun index to resume")
+    return build_index(chunks, path, **options)
+
+
 def term_statistics(postings: DataFrame) -> DataFrame:
     """(category, term, df) for each category and, as ``_merged``, for all: grouping sets in one pass."""
     counted = postings.groupingSets([["category", "term"], ["term"]], "category", "term").agg(F.count(F.lit(1)).alias("df"), F.grouping("category").alias("_all"))
@@ -119,8 +171,13 @@ def category_counts(chunks: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("_all") == 1, "_merged").otherwise(F.col("category")).alias("namespace"), "n")
 
 
-def resume_point(stored: DataFrame, corpus: DataFrame) -> int:
-    """How many rows of ``corpus`` (pos, id) are stored; stored rows that aren't its prefix are an error."""
+def resume_point(stored: DataFrame, corpus: DataFrame, stored_metadata: dict | None = None, metadata: dict | None = None) -> int:
+    """How many rows of ``corpus`` (pos, id) are stored.
+
+    Stored rows that aren't its prefix are an error, and so is metadata (of an embedding, a configuration) that differs in a key that both have.
+    """
+    if wrong := [k for k, v in (metadata or {}).items() if k in (stored_metadata or {}) and stored_metadata[k] != v]:
+        raise ResumeMismatchError("the begun index differs in " + ", ".join(sorted(wrong)))
     s = stored.select("pos", F.col("id").alias("stored_id"))
     c = corpus.select("pos", F.col("id").alias("corpus_id"))
     joined = s.join(c, "pos", "left").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"), F.sum((~F.col("stored_id").eqNullSafe(F.col("corpus_id"))).cast("int")).alias("wrong")).first()
@@ -129,18 +186,22 @@ def resume_point(stored: DataFrame, corpus: DataFrame) -> int:
     return joined["n"]
 
 
-def verify(vectors: DataFrame, store: DataFrame, corpus: DataFrame, dim: int) -> DataFrame:
-    """One row of booleans on an index of ``corpus``: counts, uniqueness, dimension, first and last id, ids in the store."""
+def verify(vectors: DataFrame, store: DataFrame, corpus: DataFrame, dim: int, manifest: Manifest | None = None) -> DataFrame:
+    """One row of booleans on an index of ``corpus`` (pos, id): what its vectors (pos, id, embedding), store (chunk_id) and manifest say of it."""
     v = vectors.agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("distinct"), F.coalesce(F.min(F.size("embedding")), F.lit(0)).alias("least"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("most"),
         F.min_by("id", "pos").alias("first"), F.max_by("id", "pos").alias("last"),
     )
     c = corpus.agg(F.count(F.lit(1)).alias("c_n"), F.min_by("id", "pos").alias("c_first"), F.max_by("id", "pos").alias("c_last"))
+    s = store.agg(F.count(F.lit(1)).alias("s_n"))
     missing = vectors.select("id").join(store.select(F.col("chunk_id").alias("id")), "id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    # Three aggregates of one row each, put together by the driver.
-    facts = {k: value for frame in (v, c, missing) for k, value in frame.first().asDict().items()}
+    # Four aggregates of one row each, put together by the driver.
+    facts = {k: value for frame in (v, c, s, missing) for k, value in frame.first().asDict().items()}
     rows = vectors.sparkSession.range(1).select(*(F.lit(value).alias(k) for k, value in facts.items()))
+    own = F.lit(manifest.chunk_count if manifest else None).cast("long")
     return rows.select(
         (F.col("n") == F.col("c_n")).alias("count_matches"), (F.col("n") == F.col("distinct")).alias("ids_unique"), ((F.col("least") == dim) & (F.col("most") == dim)).alias("dimension_matches"),
         F.col("first").eqNullSafe(F.col("c_first")).alias("first_matches"), F.col("last").eqNullSafe(F.col("c_last")).alias("last_matches"), (F.col("missing") == 0).alias("ids_in_store"),
+        (F.col("s_n") == F.col("c_n")).alias("store_count_matches"), ((F.col("n") == F.col("distinct")) & (F.col("n") == F.col("c_n"))).alias("no_duplicate_ids"),
+        F.coalesce(own == F.col("c_n"), F.lit(manifest is None)).alias("manifest_count_matches"), F.lit(manifest is None or bool(manifest.corpus_fingerprint and manifest.config_fingerprint)).alias("manifest_has_fingerprints"),
     )

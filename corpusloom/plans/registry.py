@@ -6,6 +6,7 @@ tables, in the same way in Spark and in SQL.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from corpusloom.functions import understanding as U
 from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fusion, lifecycle
 from corpusloom.plans import search
 from corpusloom.plans.ingest import ingest
-from corpusloom.runtime import fresh_path, table
+from corpusloom.runtime import fresh_path, shared_dir, stash, table
 from corpusloom.sources import readers, writers
 from corpusloom.streaming.incremental import incremental_index
 
@@ -75,7 +76,7 @@ def safe_filename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
 
 
-@register("SELECT page_id, coalesce(list_filter(string_split(coalesce(url, ''), '/'), lambda p: p <> '')[-1], md5(html)) AS case_id FROM pages")
+@register(r"SELECT page_id, coalesce(regexp_replace(trim(list_filter(string_split(coalesce(url, ''), '/'), lambda p: p <> '')[-1]), '[^a-zA-Z0-9_\-]', '_', 'g'), md5(html)) AS case_id FROM pages")
 def case_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.case_id(F.col("url"), F.col("html")).alias("case_id"))
 
@@ -105,10 +106,10 @@ def category_of(spark, sf_dir):
 
 
 @register(r"""
-WITH t AS (SELECT doc_id, regexp_replace(coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END, ''), source), '^\s+|\s+$', '', 'g') AS whole FROM documents)
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(nullif(text, ''), source), '^\s+|\s+$', '', 'g') AS whole FROM documents)
 SELECT doc_id, CASE WHEN length(whole) > 1500 THEN whole[:1500] || '…' ELSE whole END AS excerpt FROM t""")
 def excerpt(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.excerpt(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(""), F.col("source")).alias("excerpt"))
+    return documents(spark, sf_dir).select("doc_id", T.excerpt(F.col("text"), F.col("source")).alias("excerpt"))
 
 
 @register(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), ' ') AS tokens FROM documents")
@@ -154,17 +155,24 @@ def chunk_ordinals(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(size).cast("long").alias("chars"), F.max(size).alias("longest"))
 
 
+def unit_body() -> Column:
+    """A document's whole text as the body of one unit: white space, stops and parentheses, which could begin another, as blanks."""
+    return F.trim(F.regexp_replace("text", r"[\s.()]+", " "))
+
+
+BODY_SQL = r"trim(regexp_replace(text, '[\s.()]+', ' ', 'g'))"
+
+
 def act_text(spark, sf_dir) -> DataFrame:
     """An act in units of four levels, with a body from each document."""
-    body = F.regexp_replace(F.substring("text", 1, 60), r"[\s.()]+", " ")
     unit = (F.col("doc_id") % 300).cast("string")
     return documents(spark, sf_dir).select(
-        "doc_id", F.trim(body).alias("body"), F.concat(F.lit("Intro\nChapter II\nPreliminary\nSection "), unit, F.lit("\nx"), F.trim(body), F.lit("\n(1)\nSub one.\n(a) Clause "), unit, F.lit("\n(2)\n  \n(b) Last.")).alias("text")
+        "doc_id", F.concat(F.lit("Intro\nChapter II\nPreliminary\nSection "), unit, F.lit("\nx"), unit_body(), F.lit("\n(1)\nSub one.\n(a) Clause "), unit, F.lit("\n(2)\n  \n(b) Last.")).alias("text")
     )
 
 
-ACT_SQL = r"""
-b AS (SELECT doc_id, trim(regexp_replace(text[:60], '[\s.()]+', ' ', 'g')) AS body, CAST(doc_id % 300 AS VARCHAR) AS unit FROM documents),
+ACT_SQL = rf"""
+b AS (SELECT doc_id, {BODY_SQL} AS body, CAST(doc_id % 300 AS VARCHAR) AS unit FROM documents),
 u AS (
   SELECT doc_id, 0 AS chunk_index, NULL AS section, NULL AS parent, '' AS path, 'Intro' AS body FROM b
   UNION ALL SELECT doc_id, 1, 'Chapter II', NULL, 'Chapter II', 'Preliminary' FROM b
@@ -175,38 +183,62 @@ u AS (
 """
 
 
-@register(f"WITH {ACT_SQL} SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, section, parent, path, body FROM u")
+def text_digest() -> Column:
+    return F.md5(F.col("text").cast("binary")).alias("digest")
+
+
+@register(f"WITH {ACT_SQL} SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, section, parent, path, md5(body) AS digest FROM u")
 def chunk_pattern_acts(spark, sf_dir):
-    rows = chunking.chunk_structure(act_text(spark, sf_dir).select("doc_id", "text"), preset="acts")
-    return rows.select("doc_id", "chunk_index", "section", "parent", F.array_join("hierarchy_path", ">").alias("path"), F.col("text").alias("body"))
+    rows = chunking.chunk_structure(act_text(spark, sf_dir), preset="acts")
+    return rows.select("doc_id", "chunk_index", "section", "parent", F.array_join("hierarchy_path", ">").alias("path"), text_digest())
 
 
 @register(f"WITH {ACT_SQL} SELECT path, count(*) AS n FROM u WHERE path <> '' GROUP BY path")
 def hierarchy_path(spark, sf_dir):
-    rows = chunking.chunk_structure(act_text(spark, sf_dir).select("doc_id", "text"), preset="acts")
+    rows = chunking.chunk_structure(act_text(spark, sf_dir), preset="acts")
     return rows.groupBy(F.array_join("hierarchy_path", ">").alias("path")).agg(F.count(F.lit(1)).alias("n")).where("path <> ''")
 
 
-@register(r"""
-WITH b AS (SELECT doc_id, trim(regexp_replace(text[:40], '[^a-z ]+', ' ', 'g')) AS body FROM documents)
-SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, section, heading, body FROM (
-  SELECT doc_id, 0 AS chunk_index, 'Section 1' AS section, 'Section 1 General' AS heading, trim('y ' || body) AS body FROM b
-  UNION ALL SELECT doc_id, 1, '1.1', '1.1', 'Sub.' FROM b
-  UNION ALL SELECT doc_id, 2, '1.1.1', '1.1.1', 'Deep.' FROM b
-  UNION ALL SELECT doc_id, 3, '2', '2', 'Next.' FROM b)""")
+def structured(spark, sf_dir, head: Column, tail: str, preset: str | None) -> DataFrame:
+    """The chunks of texts that have a document's whole text as one unit's body."""
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(head, F.lit("y "), unit_body(), F.lit(tail)).alias("text"))
+    return chunking.chunk_structure(rows, preset=preset).select("doc_id", "chunk_index", "section", "parent", "heading", text_digest())
+
+
+def structured_sql(*units: tuple[str, str, str, str]) -> str:
+    """The same from (section, parent, heading, body) expressions over ``documents`` with ``body``, in order."""
+    parts = [f"SELECT doc_id, CAST({i} AS INT) AS chunk_index, {section} AS section, {parent} AS parent, {heading} AS heading, md5({body}) AS digest FROM b" for i, (section, parent, heading, body) in enumerate(units)]
+    return rf"WITH b AS (SELECT doc_id, trim('y ' || {BODY_SQL}) AS body FROM documents) " + " UNION ALL ".join(parts)
+
+
+@register(structured_sql(("'Section 1'", "NULL", "'Section 1 General'", "body"), ("'1.1'", "'Section 1'", "'1.1'", "'Sub.'"), ("'1.1.1'", "'1.1'", "'1.1.1'", "'Deep.'"), ("'2'", "NULL", "'2'", "'Next.'")))
 def chunk_pattern_generic(spark, sf_dir):
-    body = F.trim(F.regexp_replace(F.substring("text", 1, 40), "[^a-z ]+", " "))
-    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Section 1 General\ny "), body, F.lit("\n1.1 Sub.\n1.1.1 Deep.\n2. Next.")).alias("text"))
-    return chunking.chunk_structure(rows).select("doc_id", "chunk_index", "section", "heading", F.col("text").alias("body"))
+    return structured(spark, sf_dir, F.lit("Section 1 General\n"), "\n1.1 Sub.\n1.1.1 Deep.\n2. Next.", None)
 
 
-@register(r"""
-SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, section, parent, body FROM (
-  SELECT doc_id, 0 AS chunk_index, 'a' AS section, 'CONFIDENTIALITY' AS parent, 'Secret ' || doc_id || '.' AS body FROM documents
-  UNION ALL SELECT doc_id, 1, 'Section 1', 'ARTICLE IV', 'Rule ' || source || '.' FROM documents)""")
+@register(structured_sql(("'a'", "'CONFIDENTIALITY'", "'a'", "body"), ("'Section 1'", "'ARTICLE IV'", "'Section 1'", "'Rule.'")))
 def chunk_pattern_contracts(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("CONFIDENTIALITY\n(a)\nSecret "), F.col("doc_id").cast("string"), F.lit(".\nARTICLE IV\nSection 1\nRule "), "source", F.lit(".")).alias("text"))
-    return chunking.chunk_structure(rows, preset="contracts").select("doc_id", "chunk_index", "section", "parent", F.col("text").alias("body"))
+    return structured(spark, sf_dir, F.lit("CONFIDENTIALITY\n(a)\n"), "\nARTICLE IV\nSection 1\nRule.", "contracts")
+
+
+@register(structured_sql(("'Article 3'", "'Part IV'", "'Article 3'", "body"), ("'2'", "'Article 3'", "'2'", "'Sub.'"), ("'b'", "'2'", "'b'", "'Item.'")))
+def chunk_pattern_constitution(spark, sf_dir):
+    return structured(spark, sf_dir, F.lit("Part IV\nArticle 3\n"), "\n(2) Sub.\n(b) Item.", "constitution")
+
+
+@register(structured_sql(("'SEVENTH SCHEDULE'", "NULL", "'SEVENTH SCHEDULE'", "body"), ("'4'", "'SEVENTH SCHEDULE'", "'4'", "'Entry.'"), ("'APPENDIX I'", "NULL", "'APPENDIX I'", "'Order.'")))
+def chunk_pattern_appendix(spark, sf_dir):
+    return structured(spark, sf_dir, F.lit("SEVENTH SCHEDULE\n"), "\n4. Entry.\nAPPENDIX I\nOrder.", "constitution_appendix")
+
+
+@register(structured_sql(("'79'", "'CHAPTER IV'", "'79'", "body"), ("'1'", "'79'", "'1'", "'Sub. 1. Subs. by the Act.'"), ("'ii'", "'1'", "'ii'", "'Clause.'")))
+def chunk_pattern_acts_strict(spark, sf_dir):
+    return structured(spark, sf_dir, F.lit("CHAPTER IV\n79.\n"), "\n(1) Sub. 1. Subs. by the Act.\n(ii) Clause.", "acts_strict")
+
+
+@register(structured_sql(("'12'", "NULL", "'12'", "body"), ("'c'", "'12'", "'c'", "'Held.'"), ("'13'", "NULL", "'13'", "'Next.'")))
+def chunk_pattern_judgments(spark, sf_dir):
+    return structured(spark, sf_dir, F.lit("12.\n"), "\n(c) Held.\n13. Next.", "judgments_structured")
 
 
 # --- summaries ----------------------------------------------------------------------------------------------------
@@ -232,18 +264,27 @@ def sac_act(spark, sf_dir):
     return summarized(spark, sf_dir, "acts", text)
 
 
-@register("""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'In this matter ' ELSE 'HIGH COURT OF ' || upper(source) || ' — ' END || 'Keshava v. State' || CASE WHEN doc_id % 200 >= 50 THEN ' — (' || (1750 + doc_id % 200) || ')' ELSE '' END AS summary FROM documents""")
+@register(rf"""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'In this matter' ELSE 'HIGH COURT OF ' || upper(source) END || chr(10) || 'Keshava vs. State, ' || (1750 + doc_id % 200) || chr(10) || text AS text FROM documents),
+l AS (SELECT doc_id, {LINES_SQL} AS lines FROM t),
+h AS (SELECT doc_id, array_to_string(lines[:15], ' ') AS head, list_filter(lines[:10], lambda x: regexp_matches(lower(x), 'supreme court|high court'))[1][:60] AS court FROM l),
+y AS (SELECT doc_id, court, regexp_extract(head, '\b(1[89]\d\d|20\d\d)\b', 1) AS year, trim(regexp_extract(head, '([A-Z][A-Za-z ]{{2,40}}?)\s+[Vv](?:s\.?|ersus)\s+([A-Z][A-Za-z ]{{2,40}})', 1)) AS one, trim(regexp_extract(head, '([A-Z][A-Za-z ]{{2,40}}?)\s+[Vv](?:s\.?|ersus)\s+([A-Z][A-Za-z ]{{2,40}})', 2)) AS two FROM h),
+s AS (SELECT doc_id, concat_ws(' — ', court, one || ' v. ' || two, CASE WHEN year <> '' THEN '(' || year || ')' END) AS s FROM y)
+SELECT doc_id, {SHORT_SQL.format("s")} AS summary FROM s""")
 def sac_judgment(spark, sf_dir):
     court = F.when(F.col("doc_id") % 3 == 0, "In this matter").otherwise(F.concat(F.lit("HIGH COURT OF "), F.upper("source")))
-    text = F.concat(court, F.lit("\nKeshava vs. State, "), (1750 + F.col("doc_id") % 200).cast("string"), F.lit("\n"))
+    text = F.concat(court, F.lit("\nKeshava vs. State, "), (1750 + F.col("doc_id") % 200).cast("string"), F.lit("\n"), "text")
     return summarized(spark, sf_dir, "judgments", text)
 
 
-@register("""
-SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 2 = 0 THEN 'Employment' END, 'between ' || upper(source) || ' and Acme') AS summary FROM documents""")
+@register(rf"""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'EMPLOYMENT terms' ELSE 'Terms' END || chr(10) || 'by "' || upper(source) || '", "the party" and "Acme" and "Other"' || chr(10) || text AS text FROM documents),
+l AS (SELECT doc_id, {LINES_SQL} AS lines FROM t),
+n AS (SELECT doc_id, lines, list_filter(list_transform(regexp_extract_all(array_to_string(lines[:20], ' '), '"([^"]{{2,60}})"', 1), lambda x: trim(x)), lambda x: x <> '' AND NOT list_contains({sql_list(fixed.GENERIC_QUOTED)}, lower(x)))[:2] AS names FROM l),
+s AS (SELECT doc_id, concat_ws(' ', nullif({TITLED_HINT_SQL}, ''), 'between ' || array_to_string(names, ' and ')) AS s FROM n)
+SELECT doc_id, {SHORT_SQL.format("s")} AS summary FROM s""")
 def sac_contract(spark, sf_dir):
-    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("EMPLOYMENT terms")).otherwise("Terms"), F.lit('\nby "'), F.upper("source"), F.lit('", "the party" and "Acme" and "Other"'))
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("EMPLOYMENT terms")).otherwise("Terms"), F.lit('\nby "'), F.upper("source"), F.lit('", "the party" and "Acme" and "Other"\n'), "text")
     return summarized(spark, sf_dir, "contracts", text)
 
 
@@ -263,8 +304,14 @@ def sac_apply(spark, sf_dir):
 # --- citations ----------------------------------------------------------------------------------------------------
 
 
+CITED_SQL_TEXT = """
+'See AIR ' || (1950 + doc_id % 70) || ' SC ' || doc_id || ', (' || (1950 + doc_id % 70) || ') 5 SCC ' || doc_id || '; ' || (1950 + doc_id % 70) || ' SCC ' || (doc_id % 7) || ', ' || (1950 + doc_id % 70) || ' SCR 4 and '
+|| (1950 + doc_id % 70) || ' INSC 3. Section ' || (doc_id % 500) || 'A of the Indian Penal Code, section ' || (doc_id % 11) || ' IPC, Article ' || (doc_id % 300) || '(2), article 14. Schedule VII; Clause ' || (doc_id % 9)
+|| '.1; AIR ' || (1950 + doc_id % 70) || ' SC ' || doc_id || '; exhibit b, Annexure 1, Exhibit B. ' || text"""
+
+
 def cited_text(spark, sf_dir) -> DataFrame:
-    """Texts with one citation of each kind and a repeated one, by document."""
+    """Texts with one citation of each kind and a repeated one, by document, before the document's whole text."""
     n = F.col("doc_id")
     year, text = (1950 + n % 70).cast("string"), lambda c: c.cast("string")
     return documents(spark, sf_dir).select(
@@ -272,7 +319,7 @@ def cited_text(spark, sf_dir) -> DataFrame:
         F.concat(
             F.lit("See AIR "), year, F.lit(" SC "), text(n), F.lit(", ("), year, F.lit(") 5 SCC "), text(n), F.lit("; "), year, F.lit(" SCC "), text(n % 7), F.lit(", "), year, F.lit(" SCR 4 and "), year,
             F.lit(" INSC 3. Section "), text(n % 500), F.lit("A of the Indian Penal Code, section "), text(n % 11), F.lit(" IPC, Article "), text(n % 300), F.lit("(2), article 14. Schedule VII; Clause "),
-            text(n % 9), F.lit(".1; AIR "), year, F.lit(" SC "), text(n), F.lit("; exhibit b, Annexure 1, Exhibit B."),
+            text(n % 9), F.lit(".1; AIR "), year, F.lit(" SC "), text(n), F.lit("; exhibit b, Annexure 1, Exhibit B. "), "text",
         ).alias("text"),
     )
 
@@ -282,51 +329,77 @@ def cites_of(spark, sf_dir, kind: str) -> DataFrame:
     return rows.select("doc_id", "place", "cite.doc", "cite.section")
 
 
-YEAR_SQL = "CAST(1950 + doc_id % 70 AS VARCHAR)"
+def found_sql(pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all(text, '{pattern}', {group})"
+
+
+#: What SQL finds in the whole texts: lists of (document, section) in order, by kind.
+CITES_SQL = rf"""
+t AS (SELECT doc_id, {CITED_SQL_TEXT} AS text FROM documents),
+c AS (
+  SELECT doc_id,
+    list_transform(list_concat(
+      {found_sql(fixed.AIR_PATTERN)}, {found_sql(fixed.SCC_BRACKET_PATTERN)}, list_transform(regexp_extract_all(' ' || text, '[^(0-9A-Za-z_]\d{{4}}\s+SCC\s+\d+\b'), lambda x: x[2:]),
+      {found_sql(fixed.SCR_PATTERN)}, {found_sql(fixed.INSC_PATTERN)}), lambda x: {{'doc': x, 'section': ''}}) AS case_law,
+    list_concat(
+      list_transform(list_zip({found_sql(fixed.SECTION_OF_ACT_PATTERN, 2)}, {found_sql(fixed.SECTION_OF_ACT_PATTERN, 1)}), lambda x: {{'doc': trim(x[1]), 'section': x[2]}}),
+      list_transform(list_zip({found_sql(fixed.SECTION_SHORT_PATTERN, 2)}, {found_sql(fixed.SECTION_SHORT_PATTERN, 1)}), lambda x: {{'doc': x[1], 'section': x[2]}})) AS statute,
+    list_transform({found_sql(fixed.ARTICLE_PATTERN)}, lambda x: {{'doc': '{fixed.CONSTITUTION_DOC}', 'section': replace(regexp_replace(x, '^[Aa]rticle\s+', ''), ' ', '')}}) AS constitutional,
+    list_transform({found_sql(fixed.SCHEDULE_PATTERN, 1)}, lambda x: {{'doc': '', 'section': x}}) AS schedule,
+    list_transform({found_sql(fixed.CLAUSE_PATTERN, 1)}, lambda x: {{'doc': '', 'section': x}}) AS contract_clause
+  FROM t)
+"""
 
 
-@register(f"""
-SELECT doc_id, CAST(place AS INT) AS place, doc, '' AS section FROM (
-  SELECT doc_id, 0 AS place, 'AIR ' || {YEAR_SQL} || ' SC ' || doc_id AS doc FROM documents
-  UNION ALL SELECT doc_id, 1, '(' || {YEAR_SQL} || ') 5 SCC ' || doc_id FROM documents
-  UNION ALL SELECT doc_id, 2, {YEAR_SQL} || ' SCC ' || (doc_id % 7) FROM documents
-  UNION ALL SELECT doc_id, 3, {YEAR_SQL} || ' SCR 4' FROM documents
-  UNION ALL SELECT doc_id, 4, {YEAR_SQL} || ' INSC 3' FROM documents)""")
+def once_sql(kind: str) -> str:
+    """The entries of a list that no earlier one equals but for case."""
+    keys = f"list_transform({kind}, lambda y: lower(y.doc) || chr(1) || lower(y.section))"
+    return f"list_filter({kind}, lambda x, i: list_position({keys}, lower(x.doc) || chr(1) || lower(x.section)) = i)"
+
+
+def cites_sql(kind: str) -> str:
+    return f"WITH {CITES_SQL}, o AS (SELECT doc_id, {once_sql(kind)} AS found FROM c), p AS (SELECT doc_id, unnest(found) AS x, generate_subscripts(found, 1) AS i FROM o) SELECT doc_id, CAST(i - 1 AS INT) AS place, x.doc AS doc, x.section AS section FROM p"
+
+
+@register(cites_sql("case_law"))
 def cite_case_law(spark, sf_dir):
     return cites_of(spark, sf_dir, "case_law")
 
 
-@register("""
-SELECT doc_id, CAST(place AS INT) AS place, doc, section FROM (
-  SELECT doc_id, 0 AS place, 'Indian Penal Code' AS doc, (doc_id % 500) || 'A' AS section FROM documents UNION ALL SELECT doc_id, 1, 'IPC', CAST(doc_id % 11 AS VARCHAR) FROM documents)""")
+@register(cites_sql("statute"))
 def cite_statute(spark, sf_dir):
     return cites_of(spark, sf_dir, "statute")
 
 
-@register(f"""
-SELECT doc_id, CAST(place AS INT) AS place, '{fixed.CONSTITUTION_DOC}' AS doc, section FROM (
-  SELECT doc_id, 0 AS place, (doc_id % 300) || '(2)' AS section FROM documents UNION ALL SELECT doc_id, 1, '14' FROM documents)""")
+@register(cites_sql("constitutional"))
 def cite_article(spark, sf_dir):
     return cites_of(spark, sf_dir, "constitutional")
 
 
-@register("SELECT doc_id, CAST(0 AS INT) AS place, '' AS doc, 'VII' AS section FROM documents")
+@register(cites_sql("schedule"))
 def cite_schedule(spark, sf_dir):
     return cites_of(spark, sf_dir, "schedule")
 
 
-@register("SELECT doc_id, CAST(0 AS INT) AS place, '' AS doc, (doc_id % 9) || '.1' AS section FROM documents")
+@register(cites_sql("contract_clause"))
 def cite_clause(spark, sf_dir):
     return cites_of(spark, sf_dir, "contract_clause")
 
 
-@register("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 11 ELSE 0 END AS INT) AS n FROM documents")
+@register(f"WITH {CITES_SQL} SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN " + " + ".join(f"len({once_sql(kind)})" for kind in ("case_law", "statute", "constitutional", "schedule", "contract_clause")) + " ELSE 0 END AS INT) AS n FROM c")
 def cite_dedupe(spark, sf_dir):
     category = F.when(F.col("doc_id") % 2 == 0, "contracts").otherwise("acts")
     return cited_text(spark, sf_dir).select("doc_id", F.size(C.citations(F.col("text"), category)).alias("n"))
 
 
-@register("SELECT doc_id, 'Schedule VII|Exhibit B|Annexure 1' AS refs FROM documents")
+REFS_SQL = rf"""
+t AS (SELECT doc_id, {CITED_SQL_TEXT} AS text FROM documents),
+r AS (SELECT doc_id, list_transform(list_zip({found_sql("(?i)" + fixed.INTERNAL_REF_PATTERN, 1)}, {found_sql("(?i)" + fixed.INTERNAL_REF_PATTERN, 2)}), lambda x: upper(x[1][1]) || lower(x[1][2:]) || ' ' || upper(x[2])) AS found FROM t),
+refs AS (SELECT doc_id, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), '|') AS refs FROM r)
+"""
+
+
+@register(f"WITH {REFS_SQL} SELECT doc_id, refs FROM refs")
 def internal_refs(spark, sf_dir):
     return cited_text(spark, sf_dir).select("doc_id", F.array_join(C.internal_references(F.col("text")), "|").alias("refs"))
 
@@ -411,8 +484,16 @@ HYBRID_SQL = BM25_SQL.replace("{k}", "50") + "," + EMBED_SQL.replace("{{k}}", "5
 RELEVANT_SQL = "relevant AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def sparse_index(spark, sf_dir) -> bm25.SparseIndex:
-    return bm25.build(documents(spark, sf_dir), "doc_id")
+def indexed_chunks(spark, sf_dir) -> DataFrame:
+    """The documents as chunks, their language as category."""
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("category"), F.col("source").alias("source_doc"), F.col("lang").alias("jurisdiction"))
+
+
+def stored_index(spark, sf_dir) -> lifecycle.StoredIndex:
+    """The index of the documents, read back from the shared folder. It is built there once and again where the documents have changed."""
+    path = f"{shared_dir(spark)}/corpusloom/index-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    manifest = lifecycle.build_index(indexed_chunks(spark, sf_dir), path)
+    return lifecycle.load_index(spark, path, manifest)
 
 
 def benchmark_queries(spark, sf_dir) -> DataFrame:
@@ -429,27 +510,69 @@ def query_vectors(spark, sf_dir) -> DataFrame:
 
 @register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark, sf_dir):
-    return sparse_index(spark, sf_dir).term_stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    stats = stored_index(spark, sf_dir).sparse.term_stats
+    return stats.where(F.col("namespace") == bm25.MERGED).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT n, round(avgdl, 6) AS avgdl FROM corpus")
 def bm25_corpus_stats(spark, sf_dir):
-    return bm25.build(documents(spark, sf_dir), "doc_id", keep=False).corpus_stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    stats = stored_index(spark, sf_dir).sparse.corpus_stats
+    return stats.where(F.col("namespace") == bm25.MERGED).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT query_id, id, score, rank0 FROM sparse")
 def bm25_topk(spark, sf_dir):
-    return bm25.search(sparse_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10).select("query_id", "id", "score", "rank0")
+    return bm25.search(stored_index(spark, sf_dir).sparse, benchmark_queries(spark, sf_dir), 10).select("query_id", "id", "score", "rank0")
+
+
+#: Each category by its own statistics: ``EACH`` stands for the depth of its two lists.
+EACH_SQL = rf"""
+toks AS (SELECT doc_id, coalesce(nullif(lang, ''), 'unknown') AS cat, {TOKENS_SQL} AS ws FROM documents),
+corpus AS (SELECT cat, count(*) AS n, avg(len(ws)) AS avgdl FROM toks GROUP BY cat),
+post AS (SELECT doc_id, cat, term, dl, count(*) AS tf FROM (SELECT doc_id, cat, len(ws) AS dl, unnest(ws) AS term FROM toks) GROUP BY ALL),
+raw AS (SELECT cat, term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM (SELECT cat, term, count(*) AS df FROM post GROUP BY ALL) JOIN corpus USING (cat)),
+means AS (SELECT cat, avg(r) AS m FROM raw GROUP BY cat),
+idf AS (SELECT cat, term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * m ELSE r END AS idf FROM raw JOIN means USING (cat)),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (
+  SELECT query_id, cat, doc_id AS id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
+  FROM qt JOIN idf USING (term) JOIN post USING (cat, term) JOIN corpus USING (cat) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, cat ORDER BY score DESC, id) - 1 AS INT) AS rank0 FROM sc WHERE score > 0) WHERE rank0 < EACH)
+"""
+EACH_HYBRID_SQL = EACH_SQL.replace("EACH", "50") + "," + EMBED_SQL.split("dense AS")[0].rstrip().rstrip(",") + """,
+dense AS (SELECT * FROM (SELECT dp.*, cat, CAST(row_number() OVER (PARTITION BY query_id, cat ORDER BY score DESC, id) - 1 AS INT) AS rank0 FROM dp JOIN toks ON doc_id = id) WHERE rank0 < 50),
+fused AS (
+  SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(a.cat, b.cat) AS category, a.rank0 AS rank_0, b.rank0 AS rank_1,
+         round(coalesce(1.0::DOUBLE / (60 + a.rank0 + 1), 0) + coalesce(1.0::DOUBLE / (60 + b.rank0 + 1), 0), 8) AS score
+  FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.id = b.id),
+lists AS (SELECT query_id, category, id, score, CAST(place AS INT) AS rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, rank_0 NULLS LAST, rank_1 NULLS LAST, id) - 1 AS place FROM fused) WHERE place < 10)
+"""
+
+
+@register(f"WITH {EACH_SQL.replace('EACH', '10')} SELECT cat AS namespace, term, df, round(idf, 6) AS idf FROM idf")
+def category_term_stats(spark, sf_dir):
+    stats = stored_index(spark, sf_dir).sparse.term_stats
+    return stats.where(F.col("namespace") != bm25.MERGED).select("namespace", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@register(f"WITH {EACH_SQL.replace('EACH', '10')} SELECT query_id, cat AS category, id, score, rank0 FROM sparse")
+def category_bm25_topk(spark, sf_dir):
+    return bm25.search(stored_index(spark, sf_dir).sparse, benchmark_queries(spark, sf_dir), 10, each=True).select("query_id", "category", "id", "score", "rank0")
+
+
+@register(f"WITH {EACH_SQL.replace('EACH', '10')} SELECT query_id, id, score, rank0 FROM sparse WHERE cat = 'en'")
+def one_category_bm25_topk(spark, sf_dir):
+    return bm25.search(stored_index(spark, sf_dir).sparse, benchmark_queries(spark, sf_dir), 10, namespace="en").select("query_id", "id", "score", "rank0")
 
 
 @register("""
-WITH q AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label),
-s AS (SELECT q.query_id, v.vec_id AS id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings e ON e.vec_id = q.query_id CROSS JOIN embeddings v)
+WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.query_id, v.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM q CROSS JOIN embeddings v)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INT) AS rank0 FROM s) WHERE rank0 < 10""")
 def dense_topk(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    exemplars = vectors.groupBy("label").agg(F.min_by(F.struct(F.col("id").alias("query_id"), "embedding"), "id").alias("q")).select("q.query_id", "q.embedding")
-    return dense.search(vectors, exemplars, 10).select("query_id", "id", "score", "rank0")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
+    return dense.search(vectors, asked, 10).select("query_id", "id", "score", "rank0")
 
 
 @register("""
@@ -464,7 +587,8 @@ def l2_normalize(spark, sf_dir):
 
 
 def channels(spark, sf_dir) -> list[DataFrame]:
-    return [dense.search(document_vectors(spark, sf_dir), query_vectors(spark, sf_dir), 50), bm25.search(sparse_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 50)]
+    index = stored_index(spark, sf_dir)
+    return [dense.search(index.vectors, query_vectors(spark, sf_dir), 50), bm25.search(index.sparse, benchmark_queries(spark, sf_dir), 50)]
 
 
 @register(f"WITH {HYBRID_SQL} SELECT query_id, id, score FROM fused")
@@ -478,7 +602,7 @@ def rrf_fuse_outer_join(spark, sf_dir):
 
 
 def hybrid_hits(spark, sf_dir) -> DataFrame:
-    return search.hybrid(benchmark_queries(spark, sf_dir), sparse_index(spark, sf_dir), document_vectors(spark, sf_dir), query_vectors(spark, sf_dir), 10)
+    return search.searched(stored_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10)
 
 
 @register(f"WITH {HYBRID_SQL} SELECT query_id, id, score, rank0 FROM hybrid")
@@ -514,7 +638,7 @@ def unit_queries(spark, sf_dir) -> DataFrame:
 
 
 def base_candidates(spark, sf_dir) -> DataFrame:
-    return bm25.search(sparse_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 50).select("query_id", "id", "score")
+    return bm25.search(stored_index(spark, sf_dir).sparse, benchmark_queries(spark, sf_dir), 50).select("query_id", "id", "score")
 
 
 @register(f"WITH {UNITS_SQL} SELECT query_id, id FROM named")
@@ -558,7 +682,7 @@ def boosted_rank(spark, sf_dir):
     return fusion.ordered(rows).select("query_id", "id", "boosted", "place")
 
 
-@register("""
+MMR_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id AS id, label AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT *, round(1.0::DOUBLE / (1 + id % 13), 8) AS boosted, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (1 + id % 13), 8) DESC, id) - 1 AS place FROM e),
 c AS (SELECT *, CASE WHEN max(boosted) OVER w > min(boosted) OVER w THEN (boosted - min(boosted) OVER w) / (max(boosted) OVER w - min(boosted) OVER w) ELSE 1 END AS rel FROM p WHERE place < 50 WINDOW w AS (PARTITION BY query_id)),
@@ -568,37 +692,56 @@ r AS (
   SELECT query_id, n + 1, list_append(chosen, id) FROM (
     SELECT r.query_id, r.n, r.chosen, c.id, row_number() OVER (PARTITION BY r.query_id ORDER BY round(0.7::DOUBLE * c.rel - 0.3::DOUBLE * (SELECT max(list_inner_product(c.v, s.v)) FROM c s WHERE s.query_id = c.query_id AND list_contains(r.chosen, s.id)), 8) DESC, c.place) AS o
     FROM r JOIN c ON c.query_id = r.query_id AND NOT list_contains(r.chosen, c.id) WHERE r.n < 10) WHERE o = 1)
-SELECT r.query_id, r.chosen[r.n] AS id, c.boosted, CAST(r.n - 1 AS INT) AS rank0 FROM r JOIN c ON c.query_id = r.query_id AND c.id = r.chosen[r.n]""")
-def mmr(spark, sf_dir):
+SELECT r.query_id, r.chosen[r.n] AS id, c.boosted, CAST(r.n - 1 AS INT) AS rank0 FROM r JOIN c ON c.query_id = r.query_id AND c.id = r.chosen[r.n]"""
+
+
+def mmr_candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("query_id"))
     rows = fusion.ordered(vectors.select("query_id", "id", F.round(1.0 / (1 + F.col("id") % 13), 8).alias("boosted")))
-    return fusion.mmr(rows.where("place < 50"), vectors.drop("query_id"), 10)
+    return rows.where("place < 50"), vectors.drop("query_id")
+
+
+@register(MMR_SQL)
+def mmr(spark, sf_dir):
+    return fusion.mmr(*mmr_candidates(spark, sf_dir), 10)
+
+
+@register(MMR_SQL)
+def mmr_rounds(spark, sf_dir):
+    """For queries with very many candidates; here for all of them."""
+    return fusion.mmr(*mmr_candidates(spark, sf_dir), 10, frame=0)
 
 
-FEDERATED_SQL = """
-lists AS (SELECT query_id, lang AS category, id, score, CAST(row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, id) - 1 AS INT) AS rank0 FROM sparse JOIN documents ON doc_id = id),
+@register(MMR_SQL)
+def mmr_expression(spark, sf_dir):
+    return fusion.mmr_expression(*mmr_candidates(spark, sf_dir), 10)
+
+
+FEDERATED_SQL = f"""
+{EACH_HYBRID_SQL},
 strength AS (SELECT query_id, category, score AS strength FROM lists WHERE rank0 = 0),
-merged AS (SELECT query_id, id, max(category) AS category, round(sum(1.0::DOUBLE / (60 + rank0 + 1)), 8) AS score FROM lists GROUP BY ALL)
+merged AS (SELECT query_id, id, max(category) AS category, round(sum(1.0::DOUBLE / (60 + rank0 + 1)), 8) AS score FROM lists GROUP BY ALL),
+federated AS (SELECT query_id, id, category, score, place FROM (
+  SELECT m.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(strength, 0) DESC, category, id) - 1 AS INT) AS place FROM merged m LEFT JOIN strength s USING (query_id, category)) WHERE place < 8)
 """
 
 
 def category_lists(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
+    """The ten best of each category for each query, every category searched by its own index."""
+    return search.searched(stored_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, each=True)
 
-    hits = bm25.search(sparse_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 50).drop("rank0")
-    rows = hits.join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("category")), "id")
-    return rows.withColumn("rank0", F.row_number().over(Window.partitionBy("query_id", "category").orderBy(F.desc("score"), "id")) - 1)
 
+@register(f"WITH {EACH_HYBRID_SQL} SELECT query_id, category, id, score, rank0 FROM lists")
+def category_search(spark, sf_dir):
+    return category_lists(spark, sf_dir)
 
-@register(f"""
-WITH {BM25_SQL.replace('{k}', '50')}, {FEDERATED_SQL}
-SELECT query_id, id, category, score, place FROM (
-  SELECT m.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(strength, 0) DESC, category, id) - 1 AS INT) AS place FROM merged m LEFT JOIN strength s USING (query_id, category)) WHERE place < 8""")
+
+@register(f"WITH {FEDERATED_SQL} SELECT query_id, id, category, score, place FROM federated")
 def federated_search(spark, sf_dir):
     return fusion.federate(category_lists(spark, sf_dir))
 
 
-@register(f"WITH {BM25_SQL.replace('{k}', '50')}, {FEDERATED_SQL} SELECT query_id, id, score, rank0 FROM lists WHERE category = 'en' AND rank0 < 5")
+@register(f"WITH {EACH_HYBRID_SQL} SELECT query_id, id, score, rank0 FROM lists WHERE category = 'en' AND rank0 < 5")
 def related_cases(spark, sf_dir):
     return fusion.related(category_lists(spark, sf_dir), "en").select("query_id", "id", "score", F.col("rank0").cast("int").alias("rank0"))
 
@@ -612,24 +755,27 @@ def text_lookup(spark, sf_dir):
     return evidence.lookup(hybrid_hits(spark, sf_dir), chunks)
 
 
+STRIPPED_SQL = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
 @register(f"""
 WITH {HYBRID_SQL}
-SELECT h.query_id, h.id, h.rank0, CASE WHEN h.id % 2 = 0 THEN 'own' ELSE d.source END AS source_doc, length(d.text) AS chars FROM hybrid h JOIN documents d ON d.doc_id = h.id WHERE h.id % 7 <> 0""")
+SELECT h.query_id, h.id, h.rank0, CASE WHEN h.id % 2 = 0 THEN 'hit' ELSE d.source END AS source_doc, length(d.text) AS chars FROM hybrid h JOIN documents d ON d.doc_id = h.id WHERE {STRIPPED_SQL} <> ''""")
 def evidence_join(spark, sf_dir):
-    hits = hybrid_hits(spark, sf_dir).withColumn("source_doc", F.when(F.col("id") % 2 == 0, "own").otherwise(""))
-    chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_doc"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("text")).alias("text"))
+    hits = hybrid_hits(spark, sf_dir).withColumn("source_doc", F.lit("hit"))
+    chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")).alias("source_doc"), "text")
     return evidence.gather(hits, chunks).select("query_id", "id", "rank0", "source_doc", F.length("text").cast("long").alias("chars"))
 
 
 @register(rf"""
 WITH {HYBRID_SQL},
-b AS (SELECT query_id, rank0, CASE WHEN id % 3 <> 0 THEN '[S' || (rank0 + 1) || ']' || chr(10) || 'source_doc: ' || source || chr(10) || 'Passage:' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') END AS block FROM hybrid JOIN documents ON doc_id = id),
+b AS (SELECT query_id, rank0, CASE WHEN {STRIPPED_SQL} <> '' THEN '[S' || (rank0 + 1) || ']' || chr(10) || 'source_doc: ' || source || chr(10) || 'Passage:' || chr(10) || {STRIPPED_SQL} END AS block FROM hybrid JOIN documents ON doc_id = id),
 m AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank0) AS body FROM b GROUP BY query_id)
-SELECT item_id AS query_id, md5('QUESTION:' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || 'RETRIEVED LEGAL EVIDENCE:' || chr(10)
+SELECT item_id AS query_id, md5('QUESTION:' || chr(10) || {STRIPPED_SQL} || chr(10) || chr(10) || 'RETRIEVED LEGAL EVIDENCE:' || chr(10)
   || CASE WHEN m.query_id IS NULL THEN '{fixed.NO_EVIDENCE_PROMPT}' WHEN body IS NULL THEN '{fixed.NO_TEXT_PROMPT}' ELSE body END || chr(10) || chr(10) || '{fixed.ANSWER_INSTRUCTION}') AS digest
 FROM benchmark LEFT JOIN m ON m.query_id = item_id""")
 def prompt_build(spark, sf_dir):
-    found = hybrid_hits(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("source_doc"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("text")), "id")
+    found = hybrid_hits(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("source_doc"), "text"), "id")
     asked = benchmark_queries(spark, sf_dir).withColumnRenamed("text", "question")
     return evidence.prompts(asked, found).select("query_id", F.md5(F.col("user_message").cast("binary")).alias("digest"))
 
@@ -760,25 +906,29 @@ def zero_hit(spark, sf_dir):
 # --- lifecycle ----------------------------------------------------------------------------------------------------
 
 
-def positioned(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.concat(F.lit("v/"), F.col("vec_id").cast("string")).alias("id"), "embedding")
-
-
 @register("""
-SELECT count(*) = count(embedding) AS count_matches, count(*) = count(DISTINCT vec_id) AS ids_unique, min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS dimension_matches,
-  TRUE AS first_matches, TRUE AS last_matches, TRUE AS ids_in_store FROM embeddings""")
+WITH i AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, min(doc_id) AS first, max(doc_id) AS last FROM documents)
+SELECT n = (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS count_matches, n = ids AS ids_unique, (SELECT count(DISTINCT len(embedding)) FROM embeddings) = 1 AS dimension_matches,
+  first = (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1) AS first_matches, last = (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 1) AS last_matches,
+  NOT EXISTS (SELECT 1 FROM documents WHERE doc_id IS NULL) AS ids_in_store, n = ids AS store_count_matches, n = ids AS no_duplicate_ids, n = ids AS manifest_count_matches, n > 0 AS manifest_has_fingerprints FROM i""")
 def index_verify(spark, sf_dir):
-    rows = positioned(spark, sf_dir)
-    return lifecycle.verify(rows, rows.select(F.col("id").alias("chunk_id")), rows.select("pos", "id"), 64)
+    """What was written to the shared folder, against the documents."""
+    index = stored_index(spark, sf_dir)
+    corpus = documents(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"))
+    return lifecycle.verify(index.vectors.withColumn("pos", F.col("id")), index.store, corpus, dense.HASH_DIM, index.manifest)
 
 
-@register("SELECT count(*) AS stored FROM embeddings")
+@register("SELECT count(*) AS stored FROM embeddings WHERE vec_id < (SELECT count(*) // 2 FROM embeddings)")
 def resume_prefix_check(spark, sf_dir):
-    rows = positioned(spark, sf_dir).select("pos", "id")
-    return spark.range(1).select(F.lit(lifecycle.resume_point(rows, rows)).cast("long").alias("stored"))
+    """An index of the first half of the vectors, resumed with all of them."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pos"), F.concat(F.lit("v/"), F.col("vec_id").cast("string")).alias("id"))
+    begun = rows.where(F.col("pos") < rows.count() // 2)
+    return spark.range(1).select(F.lit(lifecycle.resume_point(begun, rows, {"model": "m"}, {"model": "m"})).cast("long").alias("stored"))
 
 
-@register()
+@register("""
+WITH r AS (SELECT ('0x' || md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), chr(30)), coalesce(lang, chr(30)), coalesce(CAST(n_chars AS VARCHAR), chr(30)), coalesce(source, chr(30)), coalesce(text, chr(30))))[:15])::BIGINT AS h FROM documents)
+SELECT sha256(CAST(bit_xor(h) AS VARCHAR) || '/' || CAST(sum(h) AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR)) AS fingerprint FROM r""")
 def corpus_fingerprint(spark, sf_dir):
     return spark.range(1).select(F.lit(lifecycle.corpus_fingerprint(documents(spark, sf_dir))).alias("fingerprint"))
 
@@ -798,8 +948,7 @@ def category_grouping_sets(spark, sf_dir):
 WITH {BM25_SQL.replace('{{k}}', '10').replace('{k}', '10')}
 SELECT coalesce(lang, '_merged') AS category, term, count(*) AS df FROM post JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, term), (term))""")
 def namespace_term_stats(spark, sf_dir):
-    rows = bm25.postings(documents(spark, sf_dir), "doc_id").join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("category")), "id")
-    return lifecycle.term_statistics(rows)
+    return lifecycle.term_statistics(bm25.document_terms(documents(spark, sf_dir), "doc_id", "text", "lang").select("category", F.explode("terms.term").alias("term")))
 
 
 @register("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
@@ -811,16 +960,22 @@ def dedupe_ids(spark, sf_dir):
 
 
 @register(r"""
-SELECT coalesce(list_filter(string_split(coalesce(url, ''), '/'), lambda p: p <> '')[-1], md5(html)) AS case_id, length(html) AS chars, 'HC ' || (page_id % 7) AS court,
-  CASE WHEN page_id % 4 <> 0 THEN CAST(2000 + page_id % 20 AS VARCHAR) END AS date
-FROM pages WHERE regexp_replace(html, '^\s+|\s+$', '', 'g') <> ''""")
+WITH t AS (SELECT page_id, url, regexp_replace(html, '^\s+|\s+$', '', 'g') AS text FROM pages)
+SELECT coalesce(regexp_replace(trim(list_filter(string_split(coalesce(url, ''), '/'), lambda p: p <> '')[-1]), '[^a-zA-Z0-9_\-]', '_', 'g'), md5(text)) AS case_id, length(text) AS chars, 'HC ' || (page_id % 7) AS court,
+  CASE WHEN page_id % 4 <> 0 THEN CAST(2000 + page_id % 20 AS VARCHAR) WHEN page_id % 8 = 0 THEN 'later' END AS date
+FROM t WHERE text <> ''""")
 def map_row(spark, sf_dir):
+    """The pages written as raw judgment rows, with columns that differ in case alone, and read back."""
     n = F.col("page_id")
-    raw = table(spark, sf_dir, "pages").select(
-        F.col("html").alias("Text"), F.col("url").alias("Doc_url"), F.lit(" ").alias("Court_Name_Normalized"), F.concat(F.lit(" HC "), (n % 7).cast("string")).alias("Court_Name"), F.when(n % 4 != 0, (2000 + n % 20).cast("string")).otherwise(" ").alias("Date")
-    )
-    rows = readers.judgment_rows(raw.withColumn("Titles", F.lit("t")).withColumn("_date", F.lit(None).cast("string")))
-    return rows.select("case_id", F.length("text").cast("long").alias("chars"), "court", "date")
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    raw = table(own, sf_dir, "pages").select(
+        F.col("html").alias("Text"), F.col("url").alias("Doc_url"), F.lit(" ").alias("Court_Name_Normalized"), F.concat(F.lit(" HC "), (n % 7).cast("string")).alias("Court_Name"),
+        F.when(n % 4 != 0, (2000 + n % 20).cast("string")).otherwise(" ").alias("Date"), F.when(n % 8 == 0, "later").alias("date"), F.lit("t").alias("Titles"),
+    )
+    path = fresh_path(spark, "raw")
+    raw.write.parquet(path)
+    return readers.read_judgments(spark, path).select("case_id", F.length("text").cast("long").alias("chars"), "court", "date")
 
 
 @register("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -831,19 +986,19 @@ def new_rows(spark, sf_dir):
 
 @register(f"""
 WITH {ACT_SQL}
-SELECT 'acts/doc_' || u.doc_id || '/' || chunk_index AS chunk_id, md5('Intro' || chr(10) || chr(10) || '[Document summary]' || chr(10) || u.body) AS digest, u.body AS original_text, '' AS cites FROM u""")
+SELECT 'acts/doc_' || u.doc_id || '/' || chunk_index AS chunk_id, md5('Intro' || chr(10) || chr(10) || '[Document summary]' || chr(10) || u.body) AS digest, md5(u.body) AS original, '' AS cites FROM u""")
 def ingest_acts(spark, sf_dir):
     docs = act_text(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_doc"), "text", F.lit("p").alias("source_path"), F.lit("acts").alias("category"), F.lit("").alias("jurisdiction"))
     chunks = ingest(docs, {"acts": ("pattern", "acts")})
-    return chunks.select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"), "original_text", F.array_join(F.transform("cites", lambda c: c["doc"]), "|").alias("cites"))
+    return chunks.select("chunk_id", text_digest(), F.md5(F.col("original_text").cast("binary")).alias("original"), F.array_join(F.transform("cites", lambda c: c["doc"]), "|").alias("cites"))
 
 
-@register("""
-SELECT doc_id, source AS governing_law, 'A,' || lang AS parties, 'Schedule VII|Exhibit B|Annexure 1' AS refs FROM documents""")
+@register(f"WITH {REFS_SQL} SELECT doc_id, source AS governing_law, 'A,' || lang AS parties, refs FROM refs JOIN documents USING (doc_id)")
 def contract_meta(spark, sf_dir):
     base = documents(spark, sf_dir).select("doc_id", F.col("source").alias("governing_law"), F.array(F.lit("A"), F.col("lang")).alias("parties"))
     docs = cited_text(spark, sf_dir).join(base, "doc_id").select("doc_id", "text", "governing_law", "parties", F.col("doc_id").cast("string").alias("source_doc"), F.lit("contracts").alias("category"))
-    rows = ingest(docs, {"contracts": ("sentence", None)}, use_summary=False, max_chars=100_000)
+    # A chunk holds the whole text, however long.
+    rows = ingest(docs, {"contracts": ("sentence", None)}, use_summary=False, max_chars=1 << 30)
     return rows.select("doc_id", "contract_meta.governing_law", F.array_join("contract_meta.parties", ",").alias("parties"), F.array_join("contract_meta.internal_refs", "|").alias("refs"))
 
 
@@ -866,17 +1021,34 @@ def eval_overall(spark, sf_dir):
     return evaluation.overall(by_category).select("k", *(F.round(c, 5).alias(c) for c in ("precision", "recall", "mrr", "map")))
 
 
-@register(f"""
-WITH {HYBRID_SQL},
-n AS (SELECT query_id, count(*) AS n FROM hybrid WHERE id % 7 <> 0 GROUP BY query_id)
-SELECT item_id AS query_id, coalesce(n, 0) >= 2 AS valid, CASE WHEN n IS NULL THEN 1 ELSE 0 END + CASE WHEN coalesce(n, 0) >= 2 THEN 3 ELSE 3 END AS limits, CAST(coalesce(n, 0) AS INT) AS passages
-FROM benchmark LEFT JOIN n ON n.query_id = item_id""")
+def told(system: str, user: str) -> str:
+    """A model that cites the first two passages."""
+    return "As (S1) and ( s2 ) say."
+
+
+@register(rf"""
+WITH {FEDERATED_SQL},
+h AS (SELECT query_id, id, place, category, source, {STRIPPED_SQL} AS text FROM federated JOIN documents ON doc_id = id),
+e AS (SELECT query_id, count(*) AS n, string_agg(id || ':' || category || ':' || source || ':' || length(CASE WHEN length(text) > 1500 THEN text[:1500] || '…' ELSE text END), ',' ORDER BY place) AS evidence FROM h WHERE text <> '' GROUP BY query_id),
+c AS (SELECT query_id, string_agg(id || ':' || source, ',' ORDER BY rank0) AS cases FROM (SELECT query_id, id, rank0, source, {STRIPPED_SQL} AS text FROM lists JOIN documents ON doc_id = id WHERE category = 'en' AND rank0 < 5) WHERE text <> '' GROUP BY query_id),
+r AS (SELECT query_id, count(*) AS retrieved FROM federated GROUP BY query_id)
+SELECT item_id AS query_id, coalesce(retrieved, 0) AS retrieved_count, coalesce(n, 0) AS used_count, coalesce(evidence, '') AS evidence, coalesce(cases, '') AS cases,
+  CASE WHEN coalesce(n, 0) > 0 THEN 'As [S1] and [S2] say.' WHEN retrieved IS NULL THEN '{fixed.NO_EVIDENCE_ANSWER}' ELSE '{fixed.NO_TEXT_ANSWER}' END AS answer, coalesce(n, 0) >= 2 AS valid,
+  CAST(CASE WHEN coalesce(n, 0) > 0 THEN 3 ELSE 4 END AS INT) AS limits
+FROM benchmark LEFT JOIN r ON r.query_id = item_id LEFT JOIN e ON e.query_id = item_id LEFT JOIN c ON c.query_id = item_id""")
 def chat_response(spark, sf_dir):
-    chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("text")).alias("text"), F.lit("").alias("original_text"))
-    found = evidence.gather(hybrid_hits(spark, sf_dir), chunks)
-    answered = benchmark_queries(spark, sf_dir).select("query_id", F.lit("As (S1) and ( s2 ) say.").alias("answer"), F.lit(10).alias("retrieved"))
-    rows = evidence.responses(answered, found)
-    return rows.select("query_id", "validation.valid", F.size("limitations").alias("limits"), F.coalesce(F.size("evidence"), F.lit(0)).alias("passages")).withColumn("passages", F.greatest("passages", F.lit(0)))
+    lists = stash(category_lists(spark, sf_dir), "lists")
+    chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_doc"), "text", F.lit("").alias("original_text"))
+    hits = fusion.federate(lists).withColumnRenamed("place", "rank0")
+    answered, found = evidence.answered(benchmark_queries(spark, sf_dir).withColumnRenamed("text", "question"), hits, chunks, told)
+    related = fusion.related(lists, "en").join(chunks.withColumnRenamed("chunk_id", "id"), "id")
+    rows = evidence.responses(answered, found, related)
+    shown = lambda name, *fields: F.array_join(F.transform(name, lambda p: F.concat_ws(":", *(f(p) for f in fields))), ",").alias(name)
+    chunk, source = (lambda p: p["chunk_id"].cast("string")), (lambda p: p["source_doc"])
+    return rows.select(
+        "query_id", "retrieved_count", "used_count", shown("evidence", chunk, lambda p: p["category"], source, lambda p: F.length(p["text"]).cast("string")), shown("related_cases", chunk, source).alias("cases"),
+        "answer", "validation.valid", F.size("limitations").alias("limits"),
+    )
 
 
 @register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term")

@@ -13,27 +13,43 @@ from corpusloom.operators import bm25, dense, fusion
 
 def hybrid(
     queries: DataFrame, sparse: bm25.SparseIndex, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, rrf_k: int = fixed.RRF_K,
-    chunks: DataFrame | None = None, category: str | None = None, use_mmr: bool = False, weight: float = fixed.MMR_LAMBDA, boosts: dict | None = None,
+    chunks: DataFrame | None = None, category: str | None = None, use_mmr: bool = False, weight: float = fixed.MMR_LAMBDA, boosts: dict | None = None, each: bool = False,
 ) -> DataFrame:
-    """(query_id, id, score, rank0): both channels to depth 5 k, fused; with ``chunks`` expanded and boosted; with ``use_mmr`` diversified."""
+    """(query_id, id, score, rank0): both channels to depth 5 k, fused; with ``chunks`` expanded and boosted; with ``use_mmr`` diversified.
+
+    ``category`` searches one category by its own statistics (``vectors`` then has a column category). ``each`` searches every
+    category by its own, all in one plan: (query_id, category, id, score, rank0), ``k`` of each category.
+    """
     depth = fixed.FETCH_FACTOR * k
-    channels = [dense.search(vectors, query_vectors, depth), bm25.search(sparse, queries, depth)]
-    rows = fusion.rrf(channels, rrf_k)
+    by = ("query_id", "category") if each else ("query_id",)
+    one = category not in (None, bm25.MERGED)
+    own = vectors.where(F.col("category") == category) if one else vectors
+    channels = [dense.search(own, query_vectors, depth, by="category" if each else None), bm25.search(sparse, queries, depth, namespace=category if one else bm25.MERGED, each=each)]
+    rows = fusion.rrf(channels, rrf_k, by)
     if chunks is None:
         rows = rows.withColumn("boosted", F.col("score"))
     else:
         asked = queries.withColumn("refs", explicit_references(F.col("text")))
-        rows = fusion.boost(fusion.expand(rows, asked, chunks, category), asked, chunks, **(boosts or {}))
-    placed = fusion.ordered(rows)
+        rows = fusion.boost(fusion.expand(rows, asked, chunks, category, by), asked, chunks, **(boosts or {}), by=by)
+    placed = fusion.ordered(rows, by=by)
     if use_mmr:
-        return fusion.mmr(placed, vectors, k, weight).withColumnRenamed("boosted", "score")
-    return placed.where(F.col("place") < k).select("query_id", "id", F.col("boosted").alias("score"), F.col("place").alias("rank0"))
+        return fusion.mmr(placed, own, k, weight, by).withColumnRenamed("boosted", "score")
+    return placed.where(F.col("place") < k).select(*by, "id", F.col("boosted").alias("score"), F.col("place").alias("rank0"))
+
+
+def searched(index, queries: DataFrame, k: int = 10, make_encoder=dense.hashing_encoder, query_prefix: str = "", **options) -> DataFrame:
+    """:func:`hybrid` over a stored index (:class:`corpusloom.operators.lifecycle.StoredIndex`)."""
+    query_vectors = dense.embed(queries, "query_id", "text", make_encoder, query_prefix).withColumnRenamed("id", "query_id")
+    return hybrid(queries, index.sparse, index.vectors, query_vectors, k, **options)
+
 
+def routed(queries: DataFrame, base: str, classifier=classify, rewriter=rewrite) -> DataFrame:
+    """(query_id, query_class, target, text): each query with the index and the wording it is searched with.
 
-def routed(queries: DataFrame, base: str) -> DataFrame:
-    """(query_id, query_class, target, text): each query with the index and the wording it is searched with."""
-    rows = queries.withColumn("query_class", classify(F.col("text")))
-    return rows.select("query_id", "query_class", route(F.col("query_class"), base).alias("target"), rewrite(F.col("text"), F.col("query_class")).alias("text"))
+    ``classifier`` (text -> class) and ``rewriter`` (text, class -> text) are functions of columns that may be replaced.
+    """
+    rows = queries.withColumn("query_class", classifier(F.col("text")))
+    return rows.select("query_id", "query_class", route(F.col("query_class"), base).alias("target"), rewriter(F.col("text"), F.col("query_class")).alias("text"))
 
 
 def federated(queries: DataFrame, searches: dict[str, DataFrame], k: int = fixed.FEDERATED_TOP) -> DataFrame:

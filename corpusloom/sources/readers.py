@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.runtime import path_exists, stash
 
 TEXT_FORMATS = ("txt", "md")
 CHUNK_SCHEMA = (
@@ -17,7 +19,9 @@ CHUNK_SCHEMA = (
     "section string, parent string, heading string, hierarchy_path array<string>, cites array<struct<category:string,doc:string,section:string>>, start_offset int, end_offset int, "
     "sac_applied boolean, contract_meta struct<parties:array<string>,effective_date:string,governing_law:string,internal_refs:array<string>>"
 )
+DOCUMENT_SCHEMA = "source_path string, source_doc string, text string, format string, category string, jurisdiction string"
 CASE_SCHEMA = "query string, relevant_ids array<string>, category string, expected_evidence string, source_doc string"
+JUDGMENT_FIELDS = ("Text", "Doc_url", "Titles", "Court_Name_Normalized", "Court_Name", "Date", "date")
 SIDECAR_SCHEMA = "category string, jurisdiction string, year int, short_title string, parties array<string>, effective_date string, governing_law string"
 
 
@@ -60,13 +64,15 @@ def decoded(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, raw_dir: str, category: str = "", jurisdiction: str = "", formats: tuple[str, ...] = TEXT_FORMATS, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """(source_path, source_doc, text, format, category, jurisdiction) of the files directly in a folder.
+    """(source_path, source_doc, text, format, category, jurisdiction) of the files directly in a folder; none where there is no folder.
 
-    ``extractors`` reads other formats: file ending -> bytes -> text, on the executors.
+    ``extractors`` reads other formats: file ending -> bytes -> text, on the executors. Rows have no order; ``source_path`` sorts them by name.
     """
     wanted = [f.lower().lstrip(".") for f in (*formats, *(extractors or {}))]
     if bad := [f for f in wanted if f not in TEXT_FORMATS and f not in (extractors or {})]:
         raise UnsupportedFormatError(", ".join(bad))
+    if not path_exists(spark, raw_dir):
+        return spark.createDataFrame([], DOCUMENT_SCHEMA)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.*").load(raw_dir)
     name = F.element_at(F.split("path", "/"), -1)
     ending = F.lower(F.element_at(F.split(name, r"\."), -1))
@@ -85,6 +91,14 @@ def read_documents(spark: SparkSession, raw_dir: str, category: str = "", jurisd
     return rows.select("source_path", "source_doc", F.coalesce("extracted", plain).alias("text"), "format", F.lit(category).alias("category"), F.lit(jurisdiction).alias("jurisdiction"))
 
 
+def read_document(spark: SparkSession, path: str, category: str = "", jurisdiction: str = "", extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """One file as :func:`read_documents` gives it; an ending that can't be read is an error."""
+    ending = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    if ending not in TEXT_FORMATS and ending not in (extractors or {}):
+        raise UnsupportedFormatError(ending)
+    return read_documents(spark, path, category, jurisdiction, extractors=extractors)
+
+
 def read_sidecars(spark: SparkSession, raw_dir: str, parse: Callable[[str], object] | None = None) -> DataFrame:
     """(source_doc, sidecar_path and the fields of SIDECAR_SCHEMA) of ``<stem>.meta.yaml`` files; a malformed one has no fields."""
     if parse is None:
@@ -146,21 +160,51 @@ def with_metadata(documents: DataFrame, sidecars: DataFrame, categories: DataFra
     )
 
 
-def judgment_rows(rows: DataFrame) -> DataFrame:
-    """(case_id, text, title, court, date) of raw judgment rows; those without text drop out. Needs case-sensitive columns."""
-    col = lambda name: T.blank_to_null(T.strip(F.col(name).cast("string"))) if name in rows.columns else F.lit(None).cast("string")
-    text = F.coalesce(F.col("Text"), F.lit(""))
-    out = rows.select(T.case_id(F.col("Doc_url"), text).alias("case_id"), text.alias("text"), col("Titles").alias("title"), F.coalesce(col("Court_Name_Normalized"), col("Court_Name")).alias("court"), F.coalesce(col("Date"), col("date")).alias("date"))
-    return out.where(T.strip(F.col("text")) != "")
+def judgment_rows(rows: DataFrame, named: dict[str, str] | None = None) -> DataFrame:
+    """(case_id, text, title, court, date) of raw judgment rows; those without text drop out.
+
+    ``named`` gives the columns that hold the fields where they go by other names (``Date`` and ``date`` can't both be
+    columns where names don't depend on case). A row's text is trimmed.
+    """
+    names = {c: (named or {}).get(c, c) for c in JUDGMENT_FIELDS}
+    col = lambda name: T.blank_to_null(T.strip(F.col(names[name]).cast("string"))) if names[name] in rows.columns else F.lit(None).cast("string")
+    text = F.coalesce(col("Text"), F.lit(""))
+    out = rows.select(T.case_id(col("Doc_url"), text).alias("case_id"), text.alias("text"), col("Titles").alias("title"), F.coalesce(col("Court_Name_Normalized"), col("Court_Name")).alias("court"), F.coalesce(col("Date"), col("date")).alias("date"))
+    return out.where(F.col("text") != "")
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """:func:`judgment_rows` of all Parquet files in a folder."""
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
+    """:func:`judgment_rows` of all Parquet files in a folder, also where columns differ in case alone.
+
+    Such files are read in a session of their own, where names depend on case, and written once under names that don't.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    rows = own.read.parquet(path)
+    if len({c.lower() for c in rows.columns}) == len(rows.columns):
         return judgment_rows(spark.read.parquet(path))
-    finally:
-        spark.conf.unset("spark.sql.caseSensitive")
+    named = {c: f"{c}_{i}" for i, c in enumerate(JUDGMENT_FIELDS) if c in rows.columns}
+    copied = stash(rows.select(*(F.col(c).alias(other) for c, other in named.items())), "judgments")
+    return judgment_rows(spark.read.schema(copied.schema).parquet(copied._corpusloom_path), named)
+
+
+def read_shards(spark: SparkSession, open_shard: Callable[[int], Iterator[dict]], shards: int, schema: str, limit: int | None = None) -> DataFrame:
+    """Rows of a remote dataset: ``open_shard(i)`` gives the dicts of a shard, on the executors, streamed in batches.
+
+    With ``limit`` shards are read one after the other on one task, and no further than needed.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = (i for batch in batches for i in batch.column(0).to_pylist())
+        rows = itertools.islice((row for i in numbers for row in open_shard(i)), limit)
+        while held := list(itertools.islice(rows, 256)):
+            yield pa.RecordBatch.from_pylist([{f.name: row.get(f.name) for f in arrow} for row in held], schema=arrow)
+
+    return spark.range(0, shards, 1, 1 if limit is not None else shards).mapInArrow(run, schema)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -170,7 +214,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def count_lines(spark: SparkSession, path: str) -> int:
     """Lines that aren't blank."""
-    return spark.read.text(path).where(F.trim("value") != "").count()
+    return spark.read.text(path).where(T.strip(F.col("value")) != "").count()
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

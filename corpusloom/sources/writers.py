@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import textwrap
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
+from corpusloom.runtime import path_exists, stash
 
 PAGE_WIDTH, PAGE_HEIGHT, MARGIN, LEADING, FONT = 595, 842, 50, 14, 10
 
@@ -25,6 +28,34 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return rows.join(existing.select(key).distinct(), key, "left_anti")
 
 
+def write_case_files(cases: DataFrame, folder: str, overwrite: bool = False, limit: int | None = None) -> DataFrame:
+    """A text file and a ``.meta.yaml`` beside it for each case (case_id, text, title, court, date); the ids written, as a table.
+
+    Files that are there stay unless ``overwrite``. ``limit`` counts the cases looked at, not those written. The executors write through
+    Arrow's file systems, so ``folder`` is a URI that they all reach.
+    """
+    spark = cases.sparkSession
+    rows = cases.limit(limit) if limit is not None else cases
+    if not overwrite and path_exists(spark, folder):
+        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "").alias("case_id"))
+        rows = new_rows(rows, names, "case_id")
+
+    def run(batches):
+        from pyarrow.fs import FileSystem
+
+        files, base = FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                meta = {"category": "judgments", "jurisdiction": "India", "short_title": row["title"], "court": row["court"], "date": row["date"]}
+                for ending, text in (("txt", row["text"]), ("meta.yaml", "".join(f"{k}: {json.dumps(v, ensure_ascii=False)}\n" for k, v in meta.items() if v))):
+                    with files.open_output_stream(f"{base}/{row['case_id']}.{ending}") as out:
+                        out.write(text.encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([batch.column("case_id")], ["case_id"])
+
+    return stash(rows.select("case_id", "text", "title", "court", "date").mapInArrow(run, "case_id string"), "written")
+
+
 def write_report(metrics: DataFrame, path: str) -> None:
     metrics.withColumn("generated_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(path)
 
@@ -45,18 +76,25 @@ def report_lines(response: dict) -> list[str]:
     def section(title: str) -> None:
         out.extend(["", title, "-" * len(title)])
 
+    def passages(title: str, items: list[dict] | None, fields: tuple[str, ...], mark: str, none: str) -> None:
+        section(title)
+        for i, entry in enumerate(items or [], 1):
+            values = [f"section {entry[k]}" if k == "section" else entry[k] for k in fields if entry.get(k)]
+            paragraph(" | ".join(map(str, [*([f"[{mark}{i}]"] if mark else []), *values])))
+            paragraph(entry.get("text", ""), "  ")
+        if not items:
+            out.append(none)
+
     paragraph("Question: " + response.get("question", ""))
     section("Answer")
     paragraph(response.get("answer", ""))
-    section("Evidence")
-    for i, item in enumerate(response.get("evidence") or [], 1):
-        paragraph(" | ".join(str(x) for x in (f"[S{i}]", *(item.get(k) for k in ("category", "source_doc", "section", "heading", "court", "date"))) if x))
-        paragraph(item.get("text", ""), "  ")
-    if not response.get("evidence"):
-        out.append("none")
+    passages("Evidence", response.get("evidence"), ("category", "source_doc", "section", "heading", "court", "date"), "S", "No passages were cited.")
+    passages("Related cases", response.get("related_cases"), ("source_doc", "section", "court", "date"), "", "No related cases were found.")
     section("Limitations")
-    for item in response.get("limitations") or ["none"]:
-        paragraph("- " + item)
+    for entry in response.get("limitations") or ["none"]:
+        paragraph("- " + entry)
+    out.append("")
+    paragraph(fixed.REPORT_FOOTER)
     return out
 
 

@@ -1,5 +1,6 @@
 """DataFrame operators on small tables, with brute-force and property checks."""
 
+import hashlib
 import json
 import math
 import random
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import fixed
 from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fusion, lifecycle
-from corpusloom.plans.ingest import ingest
-from corpusloom.plans.search import federated, hybrid, routed
+from corpusloom.plans.ingest import by_model, ingest
+from corpusloom.plans.search import federated, hybrid, routed, searched
 from corpusloom.sources import readers, writers
 from corpusloom.streaming.incremental import incremental_index
 
@@ -111,6 +112,93 @@ def test_frequent_terms_have_floored_weight(spark):
     assert stats["the"] == pytest.approx(0.25 * sum(raw.values()) / len(raw)) and stats["a"] == pytest.approx(raw["a"])
 
 
+def plain_bm25(docs, query, k):
+    """(score, id) of the best by the formula, over a dict of token lists."""
+    n, avgdl = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = {}
+    for words in docs.values():
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {w: 0.25 * mean if r < 0 else r for w, r in raw.items()}
+    scored = []
+    for i, words in docs.items():
+        total = sum(idf[w] * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) / avgdl)) for w in query if w in words)
+        if round(total, 6) > 0:
+            scored.append((-round(total, 6), i))
+    return [i for _, i in sorted(scored)[:k]]
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_bm25_by_category(spark, monkeypatch, limit, tmp_path):
+    monkeypatch.setattr(bm25, "BROADCAST_WEIGHTS", limit)
+    rng = random.Random(8)
+    words = "a b c d e f g h".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))), rng.choice(["x", "y", "y", "z"])) for i in range(80)] + [(90, None, "x")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, category string")
+    index = bm25.build(chunks, category_col="category")
+    index.save(f"{tmp_path}/sparse")
+    index = bm25.SparseIndex.load(spark, f"{tmp_path}/sparse")
+    asked = {1: "a a b", 2: "H c nothing", 3: ""}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    docs = {i: (t or "").split() for i, t, _ in rows}
+    of = {c: {i: docs[i] for i, _, k in rows if k == c} for c in "xyz"}
+
+    def lists(found, *by):
+        out = {}
+        for r in found.orderBy("rank0").collect():
+            out.setdefault(tuple(r[c] for c in by), []).append(r["id"])
+        return out
+
+    plain = {q: plain_bm25(docs, t.lower().split(), 5) for q, t in asked.items()}
+    assert lists(bm25.search(index, queries, 5), "query_id") == {(q,): v for q, v in plain.items() if v}
+    each = {(q, c): plain_bm25(of[c], t.lower().split(), 5) for q, t in asked.items() for c in of}
+    assert lists(bm25.search(index, queries, 5, each=True), "query_id", "category") == {k: v for k, v in each.items() if v}
+    assert lists(bm25.search(index, queries, 5, namespace="y"), "query_id") == {(q,): v for (q, c), v in each.items() if c == "y" and v}
+
+
+def test_every_category_is_asked(spark):
+    """A category whose hits are behind all of another's still gives its list."""
+    rows = [(f"big/{i}", "life life liberty", "big") for i in range(60)] + [(f"small/{i}", t, "small") for i, t in enumerate(["life among many other words here", "tea", "sale", "price", "goods"])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, category string")
+    asked = spark.createDataFrame([(1, "life")], "query_id long, text string")
+    vectors = dense.embed(chunks, "chunk_id", "text", keep=("category",))
+    wanted = dense.embed(asked, "query_id", "text").withColumnRenamed("id", "query_id")
+    hits = hybrid(asked, bm25.build(chunks, category_col="category"), vectors, wanted, 3, each=True)
+    got = {(r["category"], r["rank0"]): r["id"] for r in hits.collect()}
+    assert got["small", 0] == "small/0" and {c for c, _ in got} == {"big", "small"}
+    merged = fusion.federate(hits, 4).orderBy("place").collect()
+    assert {r["category"] for r in merged[:2]} == {"big", "small"}
+    only = hybrid(asked, bm25.build(chunks, category_col="category"), vectors, wanted, 3, category="small").orderBy("rank0").collect()
+    assert only[0]["id"] == "small/0"
+
+
+def test_mmr_forms_agree(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda n: [(v / np.linalg.norm(v)).tolist() for v in rng.normal(size=(n, 4))]
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(unit(90))], "id long, embedding array<double>")
+    rows = [(q, int(i), float(s), place) for q in range(4) for place, (i, s) in enumerate(zip(rng.permutation(95)[: 40 if q else 3], sorted(rng.random(40).round(2), reverse=True)))]
+    placed = spark.createDataFrame([*rows, (7, 1, 0.5, 0), (7, 2, 0.5, 1)], "query_id long, id long, boosted double, place int")
+    plain = sorted(map(tuple, fusion.mmr(placed, vectors, 5).collect()))
+    assert sorted(map(tuple, fusion.mmr(placed, vectors, 5, frame=10).collect())) == plain
+    assert sorted(map(tuple, fusion.mmr_expression(placed, vectors, 5).collect())) == plain
+
+
+def test_dense_by_category(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(120, 4)).round(1)
+    kinds = ["a" if i % 10 else "b" for i in range(120)]
+    vectors = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(base, kinds))], "id long, embedding array<double>, category string")
+    query = rng.normal(size=4).round(1)
+    got = {}
+    for r in dense.search(vectors, spark.createDataFrame([(1, query.tolist())], "query_id long, embedding array<double>"), 5, by="category").orderBy("rank0").collect():
+        got.setdefault(r["category"], []).append(r["id"])
+    scores = np.round(base @ query, 6)
+    want = {k: [i for i in np.lexsort((np.arange(120), -scores)).tolist() if kinds[i] == k][:5] for k in "ab"}
+    assert got == want
+
+
 def test_dense(spark, monkeypatch):
     monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(2)
@@ -179,6 +267,8 @@ def test_hybrid_end_to_end(spark):
         got = hybrid(asked, bm25.build(chunks), vectors, wanted, 3, **options).where("rank0 = 0").orderBy("query_id").collect()
         assert [r["id"] for r in got][1] == "c/1" and len(got) == 2
     assert {r["target"] for r in routed(asked, "acts").collect()} == {"acts"}
+    mine = routed(asked, "acts", lambda text: F.when(text == "life", "FACT_PATTERN_QUERY").otherwise("x"), lambda text, kind: F.upper(text)).orderBy("query_id").collect()
+    assert [(r["target"], r["text"]) for r in mine] == [("judgments", "LIFE"), ("acts", "TEA PRICE")]
 
 
 def plain_metrics(got, relevant, k):
@@ -237,6 +327,19 @@ def test_evidence_and_prompts(spark):
     assert out["r"]["limitations"][0] == fixed.NO_EVIDENCE_LIMITATION
     with pytest.raises(Exception, match="no model"):
         evidence.answers(prompted, fails).collect()
+    asked = spark.createDataFrame([("q", " why? "), ("none", "what?"), ("blank", "how?")], "query_id string, question string")
+    found_hits = hits.withColumn("score", F.lit(0.5)).unionByName(spark.createDataFrame([("blank", "c2", 0, "", 0.1)], "query_id string, id string, rank0 int, source_doc string, score double"))
+    seen = []
+    answered, kept = evidence.answered(asked, found_hits, chunks, lambda system, user: "As (S2) says." if "[S2]\nsource_doc: own" in user else 1 / 0)
+    related = spark.createDataFrame([("q", "j1", 0, 0.9, "case text", "HC"), ("q", "j2", 1, 0.8, " ", None)], "query_id string, id string, rank0 int, score double, text string, court string")
+    out = {r["query_id"]: r for r in evidence.responses(answered, kept, related).collect()}
+    assert out["q"]["answer"] == "As [S2] says." and out["q"]["validation"]["valid"] and out["q"]["retrieved_count"] == 4 and out["q"]["used_count"] == 2
+    assert [(e["chunk_id"], e["source_doc"], e["section"], e["text"], e["retrieval_score"]) for e in out["q"]["evidence"]] == [("c1", "doc", "1", "text one", 0.5), ("c3", "own", None, "three", 0.5)]
+    assert [(c["chunk_id"], c["court"], c["text"]) for c in out["q"]["related_cases"]] == [("j1", "HC", "case text")]
+    assert out["none"]["answer"] == fixed.NO_EVIDENCE_ANSWER and out["blank"]["answer"] == fixed.NO_TEXT_ANSWER and out["blank"]["retrieved_count"] == 1 and not seen
+    assert out["blank"]["limitations"][0] == fixed.NO_TEXT_LIMITATION and out["none"]["related_cases"] == []
+    with pytest.raises(Exception, match="2000"):
+        evidence.validated(spark.createDataFrame([("q", "x" * 2001)], "query_id string, question string")).collect()
     turns = spark.createDataFrame([(1, 0, "system", "x"), (1, 1, "user", " hi "), (1, 2, "assistant", " ")], "conv_id long, turn long, role string, text string")
     assert [r["content"] for r in evidence.history(turns).collect()] == ["hi"]
 
@@ -257,12 +360,49 @@ def test_index_lifecycle(spark, tmp_path):
         lifecycle.require_fresh(None, first)
     with pytest.raises(ValueError, match="fewer"):
         lifecycle.build_index(chunks.limit(3), path + "2")
-    terms = {(r["category"], r["term"]): r["df"] for r in spark.read.parquet(f"{path}/terms").collect()}
+    index = lifecycle.load_index(spark, path, first)
+    terms = {(r["namespace"], r["term"]): r["df"] for r in index.sparse.term_stats.collect()}
     assert terms["_merged", "text"] == 15 and terms["acts", "text"] == 6
+    sizes = {r["namespace"]: (r["n"], r["avgdl"]) for r in index.sparse.corpus_stats.collect()}
+    assert sizes == {"acts": (6, 3.0), "cases": (9, 3.0), "_merged": (15, 3.0)}
+    assert index.vectors.count() == index.store.count() == 15 and index.manifest == first
+    asked = spark.createDataFrame([(1, "number 7"), (2, "3")], "query_id long, text string")
+    assert [r["id"] for r in searched(index, asked, 2).where("rank0 = 0").orderBy("query_id").collect()] == ["cases/7", "acts/3"]
+    with pytest.raises(lifecycle.IndexStaleError):
+        lifecycle.load_index(spark, path, lifecycle.manifest_of(chunks, "other", False))
+    with pytest.raises(lifecycle.IndexStaleError):
+        lifecycle.load_index(spark, path + "3")
     assert {r["namespace"]: r["n"] for r in lifecycle.category_counts(chunks).collect()} == {"acts": 6, "cases": 9, "_merged": 15}
     assert set(spark.read.parquet(f"{path}/store").columns) == {"chunk_id", "category"}
 
 
+def test_vectors_of_the_same_ids_are_kept(spark, tmp_path):
+    chunks, path = small_chunks(spark), f"file://{tmp_path}/index"
+    lifecycle.build_index(chunks, path)
+    place = tmp_path / "index" / lifecycle.vectors_path("", "hashing", False).lstrip("/")
+    before = sorted(p.name for p in place.rglob("*.parquet"))
+    changed = chunks.withColumn("jurisdiction", F.lit("IN"))
+    assert lifecycle.build_index(changed, path) == lifecycle.manifest_of(changed, "hashing", False)
+    assert sorted(p.name for p in place.rglob("*.parquet")) == before and "jurisdiction" in lifecycle.load_index(spark, path).store.columns
+    other = chunks.withColumn("chunk_id", F.concat("chunk_id", F.lit("x")))
+    lifecycle.build_index(other, path)
+    assert sorted(p.name for p in place.rglob("*.parquet")) != before
+
+
+def test_a_complete_index_is_never_overwritten(spark, tmp_path):
+    chunks, path = small_chunks(spark), f"file://{tmp_path}/index"
+    with pytest.raises(lifecycle.ResumeMismatchError):
+        lifecycle.build_or_keep(chunks, path, resume=True)
+    first = lifecycle.build_or_keep(chunks, path)
+    assert lifecycle.build_or_keep(chunks, path) == first
+    with pytest.raises(lifecycle.IndexStaleError):
+        lifecycle.build_or_keep(chunks.limit(12), path)
+    corpus = spark.createDataFrame([(0, "a"), (1, "b")], "pos long, id string")
+    assert lifecycle.resume_point(corpus.where("pos = 0"), corpus, {"model": "m", "old": 1}, {"model": "m", "new": 2}) == 1
+    with pytest.raises(lifecycle.ResumeMismatchError, match="model"):
+        lifecycle.resume_point(corpus.limit(0), corpus, {"model": "m"}, {"model": "n"})
+
+
 def test_resume_and_verify(spark):
     corpus = spark.createDataFrame([(i, f"c{i}") for i in range(10)], "pos long, id string")
     assert lifecycle.resume_point(corpus.where("pos < 4"), corpus) == 4 and lifecycle.resume_point(corpus.limit(0), corpus) == 0
@@ -273,7 +413,9 @@ def test_resume_and_verify(spark):
     store = corpus.withColumnRenamed("id", "chunk_id")
     assert all(lifecycle.verify(vectors, store, corpus, 2).first())
     broken = lifecycle.verify(vectors, store.where("pos <> 3"), corpus.where("pos < 9"), 3).first().asDict()
-    assert [k for k, v in broken.items() if not v] == ["count_matches", "dimension_matches", "last_matches", "ids_in_store"]
+    assert [k for k, v in broken.items() if not v] == ["count_matches", "dimension_matches", "last_matches", "ids_in_store", "no_duplicate_ids"]
+    short = lifecycle.Manifest("f", "", "m", False, "", "1", 9)
+    assert [k for k, v in lifecycle.verify(vectors, store, corpus, 2, short).first().asDict().items() if not v] == ["manifest_count_matches", "manifest_has_fingerprints"]
 
 
 def write(path, content):
@@ -295,6 +437,13 @@ def test_sources_and_ingest(spark, tmp_path):
     assert {r["text"] for r in more.where("format = 'pdf'").collect()} == {"%PDF!"}
     with pytest.raises(readers.UnsupportedFormatError):
         readers.read_documents(spark, f"file://{raw}", formats=("docx",))
+    with pytest.raises(readers.UnsupportedFormatError):
+        readers.read_document(spark, f"file://{raw}/skip.docx")
+    assert readers.read_document(spark, f"file://{raw}/ipc.txt").count() == 1
+    nothing = readers.read_documents(spark, f"file://{tmp_path}/nowhere")
+    assert nothing.count() == 0 and nothing.columns == docs.columns
+    write(tmp_path / "lines.jsonl", "{}\n \t\n\u2003\n{}\n")
+    assert readers.count_lines(spark, f"file://{tmp_path}/lines.jsonl") == 2
     parse = lambda text: {"category": "Contracts", "year": 1860, "parties": ["A", "B"]} if "Contracts" in text else 1 / 0
     side = readers.read_sidecars(spark, f"file://{raw}", parse)
     names = spark.createDataFrame([("acts", "IN"), ("contracts", "")], "name string, jurisdiction string")
@@ -306,6 +455,8 @@ def test_sources_and_ingest(spark, tmp_path):
     assert set(rows) == {"contracts/ipc/0", "acts/latin/0"}
     one = rows["contracts/ipc/0"]
     assert one["cites"][0]["doc"] == "AIR 1973 SC 1" and one["contract_meta"]["parties"] == ["A", "B"] and one["sac_applied"] and one["text"].endswith(one["original_text"])
+    told = ingest(full, {"acts": ("sentence", None)}, summarizer=by_model(lambda text: "Coffee." if "caf" in text else 1 / 0)).collect()
+    assert {r["source_doc"]: r["doc_summary"] for r in told} == {"latin": "Coffee.", "ipc": one["doc_summary"]}
     writers.write_chunks(chunks, f"file://{tmp_path}/chunks")
     back = readers.read_chunks(spark, f"file://{tmp_path}/chunks")
     assert back.count() == 2 == readers.count_lines(spark, f"file://{tmp_path}/chunks")
@@ -319,8 +470,25 @@ def test_judgments_and_cases(spark, tmp_path):
     rows = spark.createDataFrame([("t1", "https://x/doc/111/", "T", "SC", "sc", "2020"), ("t2", None, " ", None, "HC", None), ("", "https://x/doc/3/", "T", "SC", "sc", "2020")], schema)
     rows.write.parquet(str(tmp_path / "judgments"))
     got = {r["case_id"]: r for r in readers.read_judgments(spark, str(tmp_path / "judgments")).collect()}
-    assert set(got) == {"111", "fcee3d3a"} or (len(got) == 2 and "111" in got)
-    assert got["111"]["court"] == "SC" and next(r for k, r in got.items() if k != "111")["court"] == "HC"
+    assert set(got) == {"111", hashlib.md5(b"t2").hexdigest()}
+    assert got["111"]["court"] == "SC" and got["111"]["date"] == "2020" and got[hashlib.md5(b"t2").hexdigest()]["court"] == "HC"
+    own = spark.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    twins = own.createDataFrame([(" t1 ", "https://x/doc/1 2.pdf/", "2020", "1999"), ("t2", "https://x/doc/5", " ", "1999"), (" ", None, None, None)], "Text string, Doc_url string, Date string, date string")
+    twins.write.parquet(str(tmp_path / "twins"))
+    assert sorted(map(tuple, readers.read_judgments(spark, str(tmp_path / "twins")).select("case_id", "text", "date").collect())) == [("1_2_pdf", "t1", "2020"), ("5", "t2", "1999")]
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
+    folder = f"file://{tmp_path}/cases"
+    cases = readers.read_judgments(spark, str(tmp_path / "judgments"))
+    assert writers.write_case_files(cases, folder).count() == 2 and (tmp_path / "cases" / "111.txt").read_text() == "t1"
+    assert (tmp_path / "cases" / "111.meta.yaml").read_text() == 'category: "judgments"\njurisdiction: "India"\nshort_title: "T"\ncourt: "SC"\ndate: "2020"\n'
+    (tmp_path / "cases" / "111.txt").write_text("mine")
+    assert writers.write_case_files(cases, folder).count() == 0 and (tmp_path / "cases" / "111.txt").read_text() == "mine"
+    assert writers.write_case_files(cases, folder, overwrite=True, limit=5).count() == 2 and (tmp_path / "cases" / "111.txt").read_text() == "t1"
+    assert writers.write_case_files(cases, f"file://{tmp_path}/one", limit=1).count() == 1
+    shards = readers.read_shards(spark, lambda i: ({"id": 10 * i + k, "other": 1} for k in range(5)), 4, "id long, text string")
+    assert sorted(r["id"] for r in shards.collect()) == [10 * i + k for i in range(4) for k in range(5)]
+    assert readers.read_shards(spark, lambda i: iter([{"id": i}] * 3) if i < 2 else 1 / 0, 4, "id long", limit=4).count() == 4
     assert writers.new_rows(spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a",)], "k string"), "k").count() == 1
     write(tmp_path / "cases.jsonl", json.dumps({"query": "q", "relevant_ids": ["a"], "category": "acts"}) + "\n")
     assert readers.read_cases(spark, str(tmp_path / "cases.jsonl")).first()["relevant_ids"] == ["a"]
@@ -331,7 +499,9 @@ def test_judgments_and_cases(spark, tmp_path):
 
 def test_pdf():
     lines = writers.report_lines({"question": "é(1)", "answer": "word " * 60, "evidence": [{"category": "acts", "text": "x"}], "limitations": ["l"]})
-    assert max(map(len, lines)) <= fixed.PDF_WIDTH and lines[0] == "Question: ?(1)"
+    assert max(map(len, lines)) <= fixed.PDF_WIDTH and lines[0] == "Question: ?(1)" and "No related cases were found." in lines
+    more = writers.report_lines({"question": "q", "related_cases": [{"source_doc": "d", "section": "4", "court": "HC", "text": "y"}]})
+    assert "d | section 4 | HC" in more and " ".join(more).endswith(fixed.REPORT_FOOTER)
     data = writers.render_pdf(lines * 20)
     assert data.startswith(b"%PDF-1.4") and data.endswith(b"%%EOF") and data.count(b"/Type /Page ") == -(-len(lines) * 20 // fixed.PDF_LINES)
     at = int(data.split(b"startxref\n")[1].split()[0])
