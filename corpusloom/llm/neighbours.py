@@ -1,25 +1,30 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Each of ``TABLES`` tables hashes a vector to the cells that Gaussian projections, cut into
-intervals, put it in. A query visits its own bucket and perturbed buckets (each projection's interval
-or one next to it) in the order of estimated success: the sum of squared distances from the query's
-projections to the intervals. How many it visits is calibrated on a bounded sample so that the sample's recall
-reaches ``TARGET``. The candidates of all tables are merged and ranked by exact distance.
-
-Buckets are dealt to blocks; a block larger than ``BLOCK_ROWS`` is split by the vector's hash and its
+intervals, put it in; the number of projections grows with the logarithm of the vectors, without end. A query visits its own
+bucket and perturbed buckets (some projections' intervals replaced by one next to it) in the order of estimated
+success: its intervals' edges are put in order of distance, and a list of sets of places in that order, sorted by
+expected squared distance, says which are crossed. The list is made once; queries only put their own edges in.
+How much of it is visited is calibrated: of a bounded sample of queries the true neighbours among all vectors are found, and the list
+ends where ``TARGET`` of them have been in a visited bucket of some table. The candidates of all
+tables are merged and ranked by exact distance.
+
+Buckets whose leading intervals are the same are in one block, so a query's probes, most of which cross few of
+those, go to few blocks. A block larger than ``BLOCK_ROWS`` is split by the vector's hash and its
 queries go to each part, so a bucket of any size is searched whole. Equal vectors are one entry with
 the few smallest ids that a result can hold. Within a block, distances come from one matrix product,
 of which only visited buckets count, and those near the cut are computed exactly again.
-Queries that visited fewer candidates than they should return are searched exactly.
+Queries that visited fewer candidates than they should return are searched exactly. So are all, where the list would be longer than
+``MOST_PROBES``: hashing tells nothing apart then.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do
 those whose length isn't the most frequent one, nor rows without id. Ties fall to the smaller id. An id with
-several vectors is as near as its nearest. Only ``vec_id`` and ``embedding`` are read.
+several vectors is as near as its nearest. An empty table gives no rows. Only ``vec_id`` and ``embedding`` are read.
 """
 
 from __future__ import annotations
 
-import itertools
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +34,74 @@ from pyspark.sql import functions as F
 from corpusloom.runtime import stash
 
 TABLES = 4
-#: Hashes in a table; the number grows with the logarithm of the rows between these.
-LEAST_HASHES, MOST_HASHES = 4, 7
+LEAST_HASHES = 4
 #: Interval width in standard deviations of the sample's projections.
-WIDTH = 1.5
-#: Bounded sample of vectors, and of queries among them, for the width and the number of probes.
+WIDTH = 2.0
+#: Bounded samples: vectors for the width, and queries whose true neighbours end the list of probes.
 SAMPLE = 4096
 SAMPLE_QUERIES = 128
-TARGET = 0.97
+TARGET = 0.95
+#: Buckets of a table that a query visits at most; with more all are searched.
+MOST_PROBES = 100_000
 BLOCK_ROWS = 32_768
 SEED = 2024
 
 
+def hash_count(count: int) -> int:
+    """Projections of a table for so many vectors: a bucket's share falls as they grow in number."""
+    return max(LEAST_HASHES, round(0.75 * np.log2(max(count, 2))) - 1)
+
+
+def expected(m: int) -> np.ndarray:
+    """Expected squared distances, in interval widths, from a random place in ``m`` intervals to their 2 m edges, in order of distance."""
+    j = np.arange(1, 2 * m + 1)
+    low = j * (j + 1) / (4 * (m + 1) * (m + 2))
+    rest = 2 * m + 1 - j
+    return np.where(j <= m, low, 1 - rest / (m + 1) + rest * (rest + 1) / (4 * (m + 1) * (m + 2)))
+
+
+def probe_list(m: int, limit: float, most: int) -> np.ndarray | None:
+    """Sets of edges (rows of 0 and 1 by place in order of distance) of expected squared distance up to ``limit``, least first.
+
+    The k-th nearest and the k-th farthest edge are those of one interval and never in one set. None if there are more than ``most``.
+    """
+    cost = expected(m).tolist()
+    sets, heap = [()], [(cost[0], (0,))]
+    while heap and heap[0][0] <= limit:
+        total, chosen = heapq.heappop(heap)
+        if not any(2 * m - 1 - x in chosen for x in chosen):
+            sets.append(chosen)
+            if len(sets) > most:
+                return None
+        last = chosen[-1]
+        if last + 1 < 2 * m:
+            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
+    out = np.zeros((len(sets), 2 * m), np.int8)
+    for row, chosen in zip(out, sets):
+        row[list(chosen)] = 1
+    return out
+
+
 class Hashes:
-    """Projections, interval widths and the perturbations of all tables."""
+    """Projections and interval widths of all tables, and the probes."""
 
-    def __init__(self, sample: np.ndarray, count: int):
+    def __init__(self, sample: np.ndarray, count: int, blocks: int):
         dim = sample.shape[1]
-        self.m = int(np.clip(round(np.log2(max(count, 2) / 16) / 1.6), LEAST_HASHES, MOST_HASHES))
+        self.m = hash_count(count)
         rng = np.random.default_rng(SEED)
         self.lines = rng.normal(size=(TABLES, self.m, dim))
         projected = np.einsum("tmd,nd->tnm", self.lines, sample)
         self.width = max(1e-12, WIDTH * float(projected.std()))
         self.shift = rng.uniform(0, self.width, (TABLES, 1, self.m))
-        self.salt = rng.integers(1, 1 << 62, self.m).astype(np.uint64) | np.uint64(1)
-        self.steps = np.array(list(itertools.product((-1, 0, 1), repeat=self.m)), np.int64)
-        self.probes = len(self.steps)
+        self.blocks = blocks
+        # Leading intervals that name a block: about four values of each occur.
+        lead = int(np.clip(round(np.log(blocks) / np.log(4)), 1, self.m))
+        self.salts = rng.integers(1, 1 << 62, (2, self.m)).astype(np.uint64) | np.uint64(1)
+        self.salts[1, lead:] = 0
+        self.probes: np.ndarray | None = None
+        #: The same as wide numbers, made where they are used.
+        self.wide: np.ndarray | None = None
 
     def cells(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tables, n, m) intervals, and where in them (0 to 1) the projections are."""
@@ -62,26 +109,43 @@ class Hashes:
         cell = np.floor(place)
         return cell.astype(np.int64), place - cell
 
-    def keys(self, cells: np.ndarray) -> np.ndarray:
-        """One number for each row of intervals."""
+    def sums(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of intervals the sums that name bucket and block."""
         with np.errstate(over="ignore"):
-            code = (cells.astype(np.uint64) * self.salt).sum(-1, dtype=np.uint64)
-            code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return (code ^ (code >> np.uint64(29))).view(np.int64)
+            return tuple((cells.astype(np.uint64) * salt).sum(-1, dtype=np.uint64) for salt in self.salts)
 
-    def sequence(self, inside: np.ndarray) -> np.ndarray:
-        """For each query (row of places inside its intervals) the perturbations in the order of estimated success."""
-        cost = np.stack([inside**2, np.zeros_like(inside), (1 - inside) ** 2], -1)  # (n, m, step)
-        picked = np.zeros((3 * self.m, len(self.steps)))
-        for i in range(self.m):
-            picked[3 * i + self.steps[:, i] + 1, np.arange(len(self.steps))] = 1
-        return np.argsort(cost.reshape(len(inside), -1) @ picked, axis=1, kind="stable")
-
-    def visited(self, vectors: np.ndarray, table: int) -> np.ndarray:
-        """(n, probes) bucket keys that the queries visit in a table, in order."""
-        cells, inside = self.cells(vectors)
-        order = self.sequence(inside[table])[:, : self.probes]
-        return self.keys(cells[table][:, None, :] + self.steps[order])
+    def named(self, bucket: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys and block numbers from sums."""
+        with np.errstate(over="ignore"):
+            mixed = [(x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) for x in (bucket, block)]
+        return (mixed[0] ^ (mixed[0] >> np.uint64(29))).view(np.int64), ((mixed[1] >> np.uint64(20)) % np.uint64(self.blocks)).astype(np.int32)
+
+    @staticmethod
+    def edges(inside: np.ndarray) -> np.ndarray:
+        """For rows of places inside intervals the order of their 2 m edges (first the lower ones) by distance."""
+        return np.argsort(np.concatenate([inside, 1 - inside], -1), axis=-1, kind="stable")
+
+    def visited(self, cells: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys and block numbers that one query visits in a table, in order."""
+        if self.wide is None:
+            self.wide = self.probes.astype(np.uint64)
+        order = self.edges(inside)
+        with np.errstate(over="ignore"):
+            steps = [np.concatenate([np.uint64(0) - salt, salt])[order] for salt in self.salts]
+            return self.named(*(own + self.wide @ step for own, step in zip(self.sums(cells), steps)))
+
+    def calibrate(self, queries: np.ndarray, neighbours: np.ndarray, owner: np.ndarray) -> None:
+        """End the list of probes where TARGET of the pairs (query ``owner[i]``, ``neighbours[i]``) have met."""
+        cost = expected(self.m)
+        cells, inside = self.cells(queries)
+        theirs, _ = self.cells(neighbours)
+        place = np.argsort(self.edges(inside), axis=-1)
+        worth = cost[place][:, owner]
+        step = theirs - cells[:, owner]
+        needed = np.where(step == -1, worth[..., : self.m], np.where(step == 1, worth[..., self.m :], 0)).sum(-1)
+        needed = np.where((np.abs(step) <= 1).all(-1), needed, np.inf).min(0)
+        limit = np.sort(needed)[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)]
+        self.probes = probe_list(self.m, float(limit) + 1e-9, MOST_PROBES) if np.isfinite(limit) else None
 
 
 def squares(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -89,32 +153,27 @@ def squares(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.maximum(0, (queries**2).sum(1)[:, None] + (vectors**2).sum(1)[None, :] - 2 * queries @ vectors.T)
 
 
-def calibrated(sample: np.ndarray, count: int, k: int) -> Hashes:
-    """Hashes whose number of probes reaches TARGET on the sample."""
-    hashes = Hashes(sample, count)
-    queries = sample[:SAMPLE_QUERIES]
-    near = squares(queries, sample)
-    near[np.arange(len(queries)), np.arange(len(queries))] = np.inf
-    k = min(k, len(sample) - 1)
-    if k < 1:
-        return hashes
-    nearest = np.argpartition(near, k - 1, axis=1)[:, :k]
-    # For each true neighbour the earliest probe of any table that finds it.
-    cells, inside = hashes.cells(sample)
-    weight = 3 ** np.arange(hashes.m)[::-1]
-    earliest = np.full(nearest.shape, len(hashes.steps))
-    for t in range(TABLES):
-        rank = np.empty((len(queries), len(hashes.steps)), np.int64)
-        np.put_along_axis(rank, hashes.sequence(inside[t][: len(queries)]), np.arange(len(hashes.steps))[None, :], axis=1)
-        step = cells[t][nearest] - cells[t][: len(queries), None, :]
-        reachable = (np.abs(step) <= 1).all(-1)
-        at = ((step + 1) * weight).sum(-1)
-        found = np.where(reachable, np.take_along_axis(rank, np.clip(at, 0, len(hashes.steps) - 1), axis=1), len(hashes.steps))
-        earliest = np.minimum(earliest, found)
-    ordered = np.sort(earliest.ravel())
-    need = int(ordered[min(len(ordered) - 1, int(np.ceil(TARGET * len(ordered))) - 1)]) + 1
-    hashes.probes = int(min(need, len(hashes.steps)))
-    return hashes
+def true_neighbours(entries: DataFrame, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the ``k`` nearest other entries of each of a bounded number of queries, and whose they are: one pass over all entries."""
+
+    def run(batches):
+        for batch in batches:
+            own = matrix(batch.column(0))
+            if not len(own):
+                continue
+            near = squares(queries, own)
+            # The query itself isn't its neighbour.
+            near[near <= 1e-12 * (1 + (queries**2).sum(1))[:, None]] = np.inf
+            picked = np.argsort(near, axis=1, kind="stable")[:, :k]
+            who = np.repeat(np.arange(len(queries)), picked.shape[1])
+            score = near[who, picked.ravel()]
+            real = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(who[real], pa.int32()), pa.array(score[real]), batch.column(0).take(pa.array(picked.ravel()[real]))], ["query", "score", "vec"])
+
+    found = entries.select("vec").mapInArrow(run, "query int, score double, vec array<double>")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("score"))
+    got = found.withColumn("place", place).where(F.col("place") <= k).select("query", "vec").toArrow()
+    return matrix(got["vec"]), got["query"].to_numpy()
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
@@ -190,25 +249,29 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
         got = entries.limit(SAMPLE).select("vec").toArrow()
     if not got.num_rows:
         return entries.selectExpr("ids[0] AS query_id", "1 AS rank", "ids[0] AS vec_id", "CAST(0 AS DOUBLE) AS score")
-    hashes = calibrated(matrix(got["vec"]), count, k)
+    sample = matrix(got["vec"])
     blocks = max(2, -(-count // (BLOCK_ROWS // 4)))
+    hashes = Hashes(sample, count, blocks)
+    near, owner = true_neighbours(entries, sample[:SAMPLE_QUERIES], k)
+    if len(near):
+        hashes.calibrate(sample[:SAMPLE_QUERIES], near, owner)
 
     def index_rows(batches):
         for batch in batches:
             cells, _ = hashes.cells(matrix(batch.column(0)))
             for t in range(TABLES):
-                keys = hashes.keys(cells[t])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array((keys.view(np.uint64) % np.uint64(blocks)).astype(np.int32)), *batch.columns], ["table", "bucket", "block", "vec", "ids"])
+                keys, block = hashes.named(*hashes.sums(cells[t]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array(block), *batch.columns], ["table", "bucket", "block", "vec", "ids"])
 
     def query_rows(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                vectors = matrix(part.column(1))
+            for start in range(0, batch.num_rows, 16):
+                part = batch.slice(start, 16)
+                cells, inside = hashes.cells(matrix(part.column(1)))
                 out = []
                 for t in range(TABLES):
-                    for i, keys in enumerate(hashes.visited(vectors, t)):
-                        block = (keys.view(np.uint64) % np.uint64(blocks)).astype(np.int32)
+                    for i in range(part.num_rows):
+                        keys, block = hashes.visited(cells[t, i], inside[t, i])
                         order = np.argsort(block, kind="stable")
                         for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
                             out.append((t, int(block[own[0]]), i, keys[own]))
@@ -220,8 +283,9 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
     index = stash(entries.select("vec", "ids").mapInArrow(index_rows, "table int, bucket long, block int, vec array<double>, ids array<long>"), "index")
     probes = queries.select("vec_id", "vec").mapInArrow(query_rows, "table int, block int, query_id long, vec array<double>, probes array<long>")
     parts = index.groupBy("table", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
-    found = searched(probes, index, parts, k)
-    result = ranked(found, k)
+    if hashes.probes is None:
+        probes = probes.limit(0)
+    result = ranked(searched(probes, index, parts, k), k)
     return completed(result, queries, index, parts, blocks, k)
 
 
