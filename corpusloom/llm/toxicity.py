@@ -6,14 +6,18 @@ a table each, so that inflected and compounded forms share what their stem has l
 sequence, the maximum over the whole text is pooled, and a logistic unit reads the pooled
 values. Only embeddings of words that differ significantly between the
 classes in training are learned; those of other words are zero, so they stay neutral. A threshold is
-calibrated for each language (guessed from function words in the text itself) on part of
-the training rows, and the score is shifted so that the threshold lies at ``CUT``.
+calibrated for each language (guessed from the text itself: function words for those written in Latin letters, the letters'
+script for others) on part of
+the training rows, and the score is shifted so that the threshold lies at ``CUT``. In scripts
+without spaces each character is a word, of which the filters see up to three in a row.
 
 Training takes a bounded sample of labelled rows outside the held-out part: ``TRAIN_POSITIVE`` and
-``TRAIN_NEGATIVE`` rows, chosen by a hash of the id. Scoring reads whole texts.
+``TRAIN_NEGATIVE`` rows, chosen by a hash of the id, and of these no more than ``TRAIN_BYTES`` of text for a class, no text over
+``TRAIN_TEXT_BYTES``. Scoring reads whole texts.
 
 Defined results: a null or empty text is scored as a text without words. With no labelled rows of
-both classes every score is 0. Labels that repeat an id with different values count one by one.
+both classes every score is 0. Labels that repeat an id with different values count one by one, and so do
+repeated rows of documents. An empty table gives an empty one.
 Only ``doc_id`` and ``text`` are read, and in training ``toxic``.
 """
 
@@ -27,9 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import held_out, sliced, text_bytes
+from corpusloom.runtime import stash
 
 TRAIN_POSITIVE = 4000
 TRAIN_NEGATIVE = 6000
+#: Bytes of text of a class that the sample has (some 8 bytes for each word of it go to the driver), and of one text in it.
+TRAIN_BYTES = 32_000_000
+TRAIN_TEXT_BYTES = 400_000
 TABLE_BITS = 16
 PREFIXES = (4, 5)
 TABLES = 2 + len(PREFIXES)
@@ -58,7 +66,13 @@ FUNCTION_WORDS = {
     "de": "der die das und ist nicht ein eine zu den mit von im auf dem sich des es",
     "es": "el la los las y que en un una por con para del se es no su lo",
 }
-LANGUAGES = ("other", *FUNCTION_WORDS)
+#: Scripts by the first bytes of their letters in UTF-8, both ends included.
+SCRIPTS = {
+    "greek": (0xCD, 0xCF), "cyrillic": (0xD0, 0xD4), "armenian_hebrew": (0xD5, 0xD7), "arabic": (0xD8, 0xDF), "indic_thai": (0xE0, 0xE1), "han_kana": (0xE3, 0xE9), "hangul": (0xEA, 0xED),
+}
+LANGUAGES = ("other", *FUNCTION_WORDS, *SCRIPTS)
+#: First bytes of characters that are words of their own (three bytes each).
+SINGLE = (0xE3, 0xE9)
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, language string"
 
@@ -95,10 +109,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     joined = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
     inside = _IS_WORD[joined]
-    change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        change = np.concatenate([[0], change])
-    starts, ends = change[0::2], change[1::2]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    single = np.flatnonzero((joined >= SINGLE[0]) & (joined <= SINGLE[1]))
+    if len(single):
+        begins[single] = True
+        behind = np.minimum(single + 3, len(joined) - 1)
+        begins[behind] |= inside[behind]
+    starts = np.flatnonzero(begins)
+    stops = begins | ~inside
+    ends = np.flatnonzero(stops[1:] & inside[:-1]) + 1
     up, down = powers(len(joined))
     mask = np.uint64((1 << TABLE_BITS) - 1)
     slots = np.empty((len(starts), TABLES), np.uint16)
@@ -143,9 +163,19 @@ def by_text(values: np.ndarray, starts: np.ndarray, how: np.ufunc, empty: float)
     return out
 
 
-def languages_of(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def languages_of(texts: list[bytes], codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text its place in LANGUAGES: the script of most of its bytes, else the language of most function words."""
     votes = by_text(language_votes(codes), starts, np.add, 0)
-    return np.where(votes.max(1) > 0, votes.argmax(1), 0)
+    found = np.where(votes.max(1) > 0, votes.argmax(1), 0)
+    first = len(LANGUAGES) - len(SCRIPTS)
+    for i, text in enumerate(texts):
+        if not text.isascii():
+            counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+            letters = [counts[low : high + 1].sum() for low, high in SCRIPTS.values()]
+            # Letters of these scripts against Latin ones.
+            if 2 * sum(letters) > counts[97:123].sum() + counts[65:91].sum() + counts[0xC3:0xC6].sum():
+                found[i] = first + int(np.argmax(letters))
+    return found
 
 
 class Net:
@@ -186,8 +216,8 @@ class Net:
         pooled = np.concatenate([by_text(v, starts, np.maximum, 0) for v in self.convolved(slots, starts)], axis=1)
         return np.maximum(pooled + self.bias, 0) @ self.out + self.base
 
-    def step(self, slots: np.ndarray, starts: np.ndarray, wanted: np.ndarray, square: list, learned: np.ndarray) -> None:
-        """One Adagrad step on the mean logistic loss of a batch; ``learned``: (TABLES, rows) that may move."""
+    def gradients(self, slots: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> tuple:
+        """Of the mean logistic loss of a batch, by (bias, out, base, filters, words that took part, their embeddings)."""
         values = self.convolved(slots, starts)
         ends = np.append(starts[1:], len(slots))
         best = np.full((len(starts), len(WIDTHS) * FILTERS), -1, np.int64)
@@ -217,19 +247,24 @@ class Net:
                     rows.append(at)
                     grads.append(g * kernel[j, :, f])
 
+        found = (np.concatenate(rows), np.concatenate(grads)) if rows else (np.zeros(0, np.int64), np.zeros((0, DIM), np.float32))
+        return back.sum(0), error @ active, error.sum(), new_filters, *found
+
+    def step(self, slots: np.ndarray, starts: np.ndarray, wanted: np.ndarray, square: list, learned: np.ndarray) -> None:
+        """One Adagrad step on the mean logistic loss of a batch; ``learned``: (TABLES, rows) that may move."""
+        new_bias, new_out, new_base, new_filters, rows, grads = self.gradients(slots, starts, wanted)
+
         def adagrad(value, grad, at):
             square[at] += grad * grad
             value -= RATE * grad / np.sqrt(square[at] + 1e-8)
 
-        new_out, new_base = error @ active, error.sum()
-        adagrad(self.bias, back.sum(0), 0)
+        adagrad(self.bias, new_bias, 0)
         adagrad(self.out, new_out, 1)
         square[2] += new_base * new_base
         self.base -= np.float32(RATE * new_base / np.sqrt(square[2] + 1e-8))
         for k, grad in enumerate(new_filters):
             adagrad(self.filters[k], grad, 3 + k)
-        if rows:
-            rows, grads = np.concatenate(rows), np.concatenate(grads)
+        if len(rows):
             for t in range(TABLES):
                 used, inverse = np.unique(slots[rows, t], return_inverse=True)
                 total = np.zeros((len(used), DIM), np.float32)
@@ -249,15 +284,19 @@ def samples(documents: DataFrame, labels: DataFrame) -> list:
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("toxic") == 1, min(1.0, TRAIN_POSITIVE / counts[1])).otherwise(min(1.0, TRAIN_NEGATIVE / counts[0]))
     # The bound on the sample bounds what is sent to each executor here.
-    chosen = F.broadcast(marked.where(place < share))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(chosen, "doc_id")
+    chosen = F.broadcast(marked.where(place < share).withColumn("place", place / share))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_TEXT_BYTES).join(chosen, "doc_id")
+    rows = stash(rows, "labelled")
+    sizes = {r["toxic"]: r["size"] or 0 for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    if any(size > TRAIN_BYTES for size in sizes.values()):
+        rows = rows.where(F.col("place") < F.when(F.col("toxic") == 1, min(1.0, TRAIN_BYTES / max(sizes.get(1, 0), 1))).otherwise(min(1.0, TRAIN_BYTES / max(sizes.get(0, 0), 1))))
 
     def run(batches):
         for part in sliced(batches):
             texts = [t or b"" for t in text_bytes(part.column(1))]
             codes, slots, starts = word_hashes(texts)
             split = [x.tobytes() for x in np.split(slots, starts[1:])] if texts else []
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(languages_of(codes, starts), pa.int32()), pa.array(split, pa.binary())], ["doc_id", "toxic", "language", "slots"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(languages_of(texts, codes, starts), pa.int32()), pa.array(split, pa.binary())], ["doc_id", "toxic", "language", "slots"])
 
     got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, language int, slots binary").toArrow().to_pylist()
     found = [(zlib.crc32(b"order %d" % r["doc_id"]), r["toxic"], r["language"], np.frombuffer(r["slots"], np.uint16).reshape(-1, TABLES)) for r in got]
@@ -339,12 +378,13 @@ def score(documents: DataFrame, net: Net | None) -> DataFrame:
         for part in sliced(batches):
             texts = [t or b"" for t in text_bytes(part.column(1))]
             codes, slots, starts = word_hashes(texts)
-            speech = languages_of(codes, starts)
+            speech = languages_of(texts, codes, starts)
             if net is None:
                 scores = np.zeros(len(texts))
             else:
                 shifted = net.logits(slots, starts).astype(float) - net.thresholds[speech] + LOGIT_CUT
-                scores = 1 / (1 + np.exp(-np.clip(shifted, -60, 60)))
+                # Sums differ in their last bits with a text's place in the batch.
+                scores = np.round(1 / (1 + np.exp(-np.clip(shifted, -60, 60))), 6)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(scores, pa.float64()), pa.array((scores >= CUT).astype(np.int32)), pa.array([LANGUAGES[i] for i in speech], pa.string())], schema=arrow
             )
