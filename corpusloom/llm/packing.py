@@ -9,13 +9,14 @@ their place from their rank within their length, which a distributed prefix sum
 task sees more than a slice of a length, and the plan is a short table whatever the input.
 
 Defined results: a null text is tokenised as an empty one, which is one piece of the closing id
-alone. Rows that repeat a doc_id are packed one by one. Ties of rank (equal rows) may fall either
+alone. Texts of any length are tokenised whole; an empty table gives no pieces. Rows that repeat a doc_id are packed one by one. Ties of rank (equal rows) may fall either
 way, each place is given once. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -64,8 +65,21 @@ PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ]+")
 PARTS = re.compile(rf"[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
 
 
+#: How a tokenizer file must say that it normalises and splits texts for its words' ids to be put together by the rules here.
+ASSUMED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Words:
-    """Ids of whole texts, put together from cached ids of their words.
+    """Ids of whole texts, put together from cached ids of their words, or by the whole tokenizer where it isn't as ASSUMED.
 
     The tokenizer lower-cases, drops white space and never joins characters across it, so a text's ids are its
     words' ids one after the other. A plain word (PLAIN) is cut into runs of letters, single digits and runs of
@@ -79,6 +93,8 @@ class Words:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        stated = json.loads(self.tokenizer.to_str())
+        self.by_words = all(stated[k] == v for k, v in ASSUMED.items()) and stated["model"]["type"] == "BPE" and all("<|" in t["content"] for t in stated["added_tokens"])
         self.merge = self.tokenizer.model.tokenize
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.letters = byte_characters()
@@ -123,6 +139,9 @@ class Words:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_words:
+            whole = self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
+            return [self.packed(e.ids) for e in whole]
         cache = self.cache
         for known in (cache, self.parts):
             if len(known) > CACHE_WORDS:
