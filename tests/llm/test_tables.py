@@ -570,6 +570,30 @@ def test_pipeline_stages(documents, spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == last > 0
 
 
+def test_other_tokenizers_are_asked_for_whole_texts(documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = packing.tokenizer_path(name)
+        texts = ["It's  two\n\nlines", "ÉTÉ été x1234", "a" * 5000]
+        tokenizer = Tokenizer.from_file(path)
+        assert packing.Words(path).by_words == (name == packing.TOKENIZER)
+        out = packing.pack(documents(list(enumerate(texts))), path).where("piece = 0").orderBy("doc_id").collect()
+        want = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")[:2048] for t in texts]
+        assert [(r["length"], r["ids_crc32"]) for r in out] == [(len(w), zlib.crc32(w.tobytes())) for w in want]
+
+
+def test_very_long_texts(documents):
+    """Whole texts, however long: mixed, fingerprinted and with repeats, against the plain rules."""
+    rng = random.Random(40)
+    long_text = prose(rng, 400_000)
+    rows = [(1, long_text, "en", "a"), (2, "short text here", "en", "a"), (3, "x " * 300_000, "en", "b")]
+    sizes = {r["doc_id"]: r["size"] for r in mixing.mix(documents(rows)).collect()}
+    assert sizes == {1: 400_000, 2: 3, 3: 300_000}
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(documents(rows)).collect()}
+    assert got[3] == f"{plain_fingerprint('x x x x'):016x}" and got[1] == f"{plain_fingerprint(long_text):016x}"
+
+
 def test_words_have_the_ids_of_whole_texts(monkeypatch):
     words = packing.Words(packing.tokenizer_path())
     chars = [chr(c) for c in [*range(0x21, 0x250), 0x3A3, 0x130, 0x301, 0x2028, 0x4E2D, 0x1F600]]

@@ -3,12 +3,14 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import string
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -99,6 +101,37 @@ def test_base_spans_equal_plain_search(text):
     assert [s for s in spans if s[2] in secrets.BASE_KINDS] == plain_base_spans(text)
 
 
+def test_verdicts_by_brute_force(documents):
+    """Every row again with zstandard alone and a plain reading of the rules; the same id twice, and nothing."""
+    import zstandard
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(60)) for _ in range(n))
+    texts = [*ODD, *(prose(n) for n in (9, 10, 30, 90, 180, 700, 3000, 20_000)), *(noise(n) for n in (3, 10, 17, 60, 300, 1200)), "ha ho " * 2000, prose(700) + noise(300), prose(3000) + noise(30), "aé" * 5000, prose(3000) + " ha ho" * 6000]
+    rows = [*enumerate(texts), (3, texts[3]), (3, prose(40)), (None, prose(50))]
+    limits = lambda n: next((low, high) for size, low, high in compression.BANDS if n <= size)
+    ratio = lambda data: len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data)
+
+    def plain(text):
+        data, words = (text or "").encode(), WORD.findall(text or "")
+        failed = len(words) < 10 or 100 * windows(words) > 20 * len(words)
+        if not data:
+            return failed, False, "empty"
+        low, high = limits(len(data))
+        verdict = "repetitive" if ratio(data) < low else "incompressible" if ratio(data) > high else "ok"
+        chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+        bad = sum(not limits(len(c))[0] <= ratio(c) <= limits(len(c))[1] for c in chunks)
+        if verdict == "ok" and bad > 0.25 * len(chunks):
+            verdict = "chunks"
+        return failed, not failed and verdict == "ok", verdict
+
+    got = compression.compression_bands(documents(rows)).select("doc_id", "base_failed", "kept", "verdict").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, *plain(t))) for i, t in rows)
+    assert {"ok", "empty", "repetitive", "incompressible", "chunks"} == {r["verdict"] for r in got}
+    assert compression.compression_bands(documents([])).count() == 0
+
+
 def with_checksum(prefix, rng):
     body = "".join(rng.choice(string.ascii_letters) for _ in range(30))
     return prefix + body + secrets.crc62(body)
@@ -121,6 +154,10 @@ def test_checksums_decide():
     for kind, secret in good.items():
         lead = "privkey " if kind == "wif" else "say "
         assert [(s[0], s[2]) for s in secrets.scan(f"{lead}{secret} .".encode(), automaton) if s[2] not in secrets.BASE_KINDS] == [(len(lead), kind)], kind
+    grafana = "glsa_" + "".join(rng.choice(string.ascii_letters) for _ in range(32))
+    grafana += "_%08x" % zlib.crc32(grafana.encode())
+    assert [(s[0], s[2]) for s in secrets.scan(f"at {grafana}.".encode(), automaton)] == [(3, "grafana")]
+    assert not secrets.scan(f"at {grafana[:-1]}{'0' if grafana[-1] != '0' else '1'}.".encode(), automaton)
     bad = good["github"][:-1] + ("A" if good["github"][-1] != "A" else "B")
     assert not secrets.scan(bad.encode(), automaton)
 
@@ -136,7 +173,9 @@ def test_secret_spans_and_redaction(documents):
     clean = {r["doc_id"]: r for r in secrets.redact(documents(list(enumerate(texts)))).collect()}
     assert clean[last]["text"] == "é [REDACTED] and [REDACTED]" and clean[last]["n_chars"] == len(clean[last]["text"])
     assert all(clean[i]["text"] == t and clean[i]["row"] == "x" for i, t in enumerate(texts[:last]))
-    assert secrets.secret_spans(documents([])).count() == 0
+    assert secrets.secret_spans(documents([])).count() == secrets.redact(documents([])).count() == 0
+    twice = secrets.secret_spans(documents([(1, texts[-1]), (1, texts[-1]), (None, texts[-1])])).select("spans").collect()
+    assert [r["spans"] for r in twice] == ["assign:2:16,assign:21:34"] * 3
 
 
 def made_language(rng, letters, n=60):
@@ -184,6 +223,134 @@ def test_expectation_maximisation_never_lowers_likelihood():
     assert abs(mix.sum() - 1) < 1e-9 and reached >= even
 
 
+def test_every_labelled_language_is_learned(documents):
+    """300 languages, each with letters of its own."""
+    rng = random.Random(31)
+    rows = []
+    for n in range(300):
+        letters = [chr(0x4E00 + 12 * n + i) for i in range(12)]
+        rows += [(3 * len(rows) + k, made_language(rng, letters, 25), f"l{n:03d}") for k in range(6)]
+    got = langid.identify(documents(rows)).collect()
+    wanted = {r[0]: r[2] for r in rows}
+    assert sum(r["lang_pred"] == wanted[r["doc_id"]] for r in got) >= 0.99 * len(rows)
+    assert len({r["lang_pred"] for r in got}) == 300
+
+
+def test_inference_against_plain_mixtures():
+    """The proportions are those of a plain expectation-maximisation, the set the best of those that falling proportions can give, ties fall to the smaller name."""
+    rng = np.random.default_rng(32)
+    model = np.log(rng.dirichlet(np.full(40, 0.3), size=4).T + 1e-6)
+    kinds = 4
+
+    def plain(buckets, counts, chosen):
+        p = np.exp(model[buckets][:, chosen])
+        mix = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(400):
+            part = p * mix
+            mix = (counts[:, None] * part / part.sum(1, keepdims=True)).sum(0) / counts.sum()
+        return mix, float(counts @ np.log(p @ mix))
+
+    for trial in range(20):
+        share = rng.dirichlet([0.5] * kinds)
+        grams = rng.choice(40, 600, p=np.exp(model) @ share / (np.exp(model) @ share).sum())
+        chosen, inner, covered = langid.infer(grams, model)
+        buckets, counts = np.unique(grams, return_counts=True)
+        counts = counts.astype(float)
+        whole, _ = plain(buckets, counts, list(range(kinds)))
+        assert covered == pytest.approx(whole[chosen].sum(), abs=0.03)
+        own, _ = plain(buckets, counts, sorted(chosen))
+        assert dict(zip(chosen, inner)) == pytest.approx(dict(zip(sorted(chosen), own)), abs=0.02)
+        price = langid.PENALTY * np.log(counts.sum() + 1)
+        worth = {c: plain(buckets, counts, list(c))[1] - price * len(c) for n in range(1, kinds + 1) for c in itertools.combinations(range(kinds), n)}
+        assert worth[tuple(sorted(chosen))] >= max(worth.values()) - 1.0
+    same = np.log(np.full((40, 3), 1 / 40))
+    assert langid.infer(np.arange(40), same)[0] == [0]
+
+
+def test_very_long_texts_have_a_language(documents):
+    rng = random.Random(33)
+    rows = [(i, made_language(rng, letters, 30), lang) for i, (lang, letters) in enumerate([("aa", "abcde"), ("bb", "mnopq")] * 40)]
+    rows += [(500, made_language(rng, "mnopq", 120_000), None)]
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(documents(rows)).collect()}[500] == "bb"
+
+
+def test_filters_against_a_plain_forward_pass():
+    rng = np.random.default_rng(34)
+    net = toxicity.Net()
+    for table in net.tables:
+        table[:] = rng.normal(0, 0.5, table.shape)
+    net.base = np.float32(0.3)
+    texts = [b"one two three four two", b"", b"alone", "été word".encode() * 40]
+    _, slots, starts = toxicity.word_hashes(texts)
+    ends = [*starts[1:], len(slots)]
+    want = []
+    for a, b in zip(starts, ends):
+        words = [sum(net.tables[t][slots[i, t]].astype(float) for t in range(toxicity.TABLES)) for i in range(a, b)]
+        pooled = []
+        for kernel in net.filters:
+            for f in range(toxicity.FILTERS):
+                values = [sum(words[i + j] @ kernel[j, :, f] for j in range(len(kernel)) if i + j < len(words)) for i in range(len(words))]
+                pooled.append(max(values, default=0.0))
+        want.append(sum(max(p + c, 0) * o for p, c, o in zip(pooled, net.bias, net.out)) + 0.3)
+    assert np.allclose(net.logits(slots, starts), want, atol=1e-3)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(35)
+    net = toxicity.Net()
+    for table in net.tables:
+        table[:] = rng.normal(0, 0.5, table.shape)
+    _, slots, starts = toxicity.word_hashes([b"one two three four two", b"five six", b"seven eight nine one"])
+    wanted = np.array([1, 0, 1], np.float32)
+
+    def loss():
+        z = net.logits(slots, starts).astype(float)
+        return float(np.mean(np.log1p(np.exp(z)) - wanted * z))
+
+    def slope(array, at):
+        old, step = array[at], 1e-3
+        array[at] = old + step
+        high = loss()
+        array[at] = old - step
+        low = loss()
+        array[at] = old
+        return (high - low) / (2 * step)
+
+    bias, out, base, filters, rows, grads = net.gradients(slots, starts, wanted)
+    for i in range(0, len(net.out), 5):
+        assert abs(slope(net.out, i) - out[i]) < 2e-3 and abs(slope(net.bias, i) - bias[i]) < 2e-3
+    for kernel, grad in zip(net.filters, filters):
+        for at in [(0, 0, 0), (len(kernel) - 1, 3, 5), (0, 7, 2)]:
+            assert abs(slope(kernel, at) - grad[at]) < 2e-3
+    for place in (0, 4, 7):
+        slot = slots[place, 0]
+        own = grads[slots[rows, 0] == slot].sum(0)
+        for d in (0, 5):
+            assert abs(slope(net.tables[0], (slot, d)) - own[d]) < 2e-3
+
+
+def test_characters_without_spaces_are_words():
+    _, slots, starts = toxicity.word_hashes(["我是ab人 ok".encode(), "人".encode()])
+    assert starts.tolist() == [0, 5] and len(slots) == 6 and (slots[3] == slots[5]).all()
+    texts = ["das ist der Text und die Worte".encode(), "это русский текст abc".encode(), "我是人".encode(), b"zzz"]
+    codes, _, starts = toxicity.word_hashes(texts)
+    assert [toxicity.LANGUAGES[i] for i in toxicity.languages_of(texts, codes, starts)] == ["de", "cyrillic", "han_kana", "other"]
+
+
+def test_the_sample_is_bounded_in_bytes(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 20_000)
+    monkeypatch.setattr(toxicity, "TRAIN_TEXT_BYTES", 3_000)
+    rng = random.Random(36)
+    rows = [(i, made_language(rng, "etaoinshrdlu", 40) + (" zzbad" if i % 2 else "")) for i in range(600)] + [(10_000 + i, "zzbad " * 1000) for i in range(20)]
+    marks = spark.createDataFrame([(i, int("zzbad" in t)) for i, t in rows], "doc_id long, toxic int")
+    found = toxicity.samples(documents(rows), marks)
+    words = [sum(len(r[3]) for r in found if r[1] == c) for c in (0, 1)]
+    assert all(1000 < n * 5.5 < 30_000 for n in words) and max(len(r[3]) for r in found) < 600
+    assert toxicity.toxicity(documents([]), marks).count() == 0
+    twice = toxicity.toxicity(documents([*rows, rows[1], rows[1]]), marks.unionByName(marks.limit(3))).where("doc_id = 1").collect()
+    assert len(twice) == 3 and len({tuple(r) for r in twice}) == 1
+
+
 def test_word_hashes_depend_on_the_word_alone():
     texts = [b"Bad  word,bad", b"", b"word", "été WORD".encode(), b"  "]
     codes, slots, starts = toxicity.word_hashes(texts)
