@@ -16,6 +16,7 @@ SYSTEM_PROMPT = (
     "Answer legal questions from the supplied evidence only. Cite passages by their labels in square brackets, such as [S1]. "
     "Say what the evidence leaves open, never invent a source, and close with a note that this is information, not advice."
 )
+NO_MODEL = "no model gave an answer"
 METADATA = ("category", "source_doc", "court", "date", "section", "heading")
 
 
@@ -85,8 +86,13 @@ def validated(questions: DataFrame, max_chars: int = fixed.QUESTION_MAX_CHARS) -
     return questions.withColumn("question", checked.otherwise(question))
 
 
-def answers(prompted: DataFrame, generate: Callable[[str, str], str], fallback: Callable[[str, str], str] | None = None) -> DataFrame:
-    """``prompted`` with ``answer``: ``generate(system, user)`` on the executors; where it fails or is blank, ``fallback``."""
+def answers(prompted: DataFrame, generate: Callable[..., str], fallback: Callable[..., str] | None = None, history: list[dict] | None = None) -> DataFrame:
+    """``prompted`` with ``answer``: ``generate(system, user)`` on the executors; where it fails or is blank, ``fallback``.
+
+    With ``history``, turns (role, content) of the conversation before, models are called with it as the third argument.
+    """
+    before = (history,) if history else ()
+
     @F.pandas_udf("string")
     def ask(messages: pd.Series) -> pd.Series:
         out = []
@@ -94,20 +100,20 @@ def answers(prompted: DataFrame, generate: Callable[[str, str], str], fallback:
             reply, errors = "", []
             for model in filter(None, (generate, fallback)):
                 try:
-                    reply = model(SYSTEM_PROMPT, message) or ""
+                    reply = model(SYSTEM_PROMPT, message, *before) or ""
                 except Exception as error:
                     errors.append(str(error))
                 if reply.strip():
                     break
             if not reply.strip():
-                raise RuntimeError("no model gave an answer: " + "; ".join(errors or ["empty"]))
+                raise RuntimeError(NO_MODEL + ": " + "; ".join(errors or ["empty"]))
             out.append(reply)
         return pd.Series(out)
 
     return prompted.withColumn("answer", ask("user_message"))
 
 
-def answered(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generate: Callable[[str, str], str], fallback: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+def answered(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generate: Callable[..., str], fallback: Callable[..., str] | None = None, history: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, question, answer, retrieved, used) and the evidence, its places numbered anew.
 
     The model is asked only where there is evidence with text; the answers to the other questions say what is missing.
@@ -118,7 +124,7 @@ def answered(questions: DataFrame, hits: DataFrame, chunks: DataFrame, generate:
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("retrieved")).join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("used")), "query_id", "left")
     rows = asked.join(counts, "query_id", "left").withColumns({"retrieved": F.coalesce("retrieved", F.lit(0)), "used": F.coalesce("used", F.lit(0))})
     with_text = rows.where("used > 0")
-    told = answers(with_text.join(prompts(with_text, found), "query_id"), generate, fallback).drop("user_message")
+    told = answers(with_text.join(prompts(with_text, found), "query_id"), generate, fallback, history).drop("user_message")
     said = F.when(F.col("retrieved") == 0, fixed.NO_EVIDENCE_ANSWER).otherwise(fixed.NO_TEXT_ANSWER)
     return told.unionByName(rows.where("used = 0").withColumn("answer", said)), found
 
