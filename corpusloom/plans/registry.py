@@ -1007,11 +1007,17 @@ def merge_meta(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.first_nonempty(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")), F.col("source")).alias("merged"))
 
 
-@register(f"WITH {EMBED_SQL.replace('{{k}}', '10')} SELECT kind, count(*) AS places, round(sum(w), 5) AS total FROM hv GROUP BY kind")
+@register(f"WITH {EMBED_SQL.replace('{{k}}', '10')} SELECT kind, key AS id, count(*) AS places, round(sum(w), 5) AS total, round(max(w), 5) AS most FROM hv GROUP BY kind, key")
 def hashing_embedder(spark, sf_dir):
-    rows = document_vectors(spark, sf_dir).select(F.lit("d").alias("kind"), "embedding").unionByName(query_vectors(spark, sf_dir).select(F.lit("q").alias("kind"), "embedding"))
-    weights = rows.select("kind", F.explode("embedding").alias("w")).where("w <> 0")
-    return weights.groupBy("kind").agg(F.count(F.lit(1)).alias("places"), F.round(F.sum("w"), 5).alias("total"))
+    rows = document_vectors(spark, sf_dir).select(F.lit("d").alias("kind"), "id", "embedding").unionByName(query_vectors(spark, sf_dir).select(F.lit("q").alias("kind"), F.col("query_id").alias("id"), "embedding"))
+    return weights_of(rows, "kind", "id").where("places > 0")
+
+
+def weights_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """How many places of a vector aren't zero, their sum and the greatest."""
+    used = F.filter("embedding", lambda w: w != 0)
+    total = F.aggregate(used, F.lit(0.0), lambda a, w: a + w)
+    return rows.select(*columns, F.size(used).cast("long").alias("places"), F.round(total, 5).alias("total"), F.round(F.array_max(used), 5).alias("most"))
 
 
 @register(EVAL_SQL + """, c AS (SELECT query_id % 3 AS category, k, avg(precision) AS p, avg(recall) AS r, avg(rr) AS m, avg(ap) AS a FROM per GROUP BY ALL)
@@ -1051,10 +1057,34 @@ def chat_response(spark, sf_dir):
     )
 
 
-@register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term")
-def incremental_postings(spark, sf_dir):
+def incremental(spark, sf_dir) -> str:
+    """Where an index was built from chunk files as they arrived, two at a time."""
     path = fresh_path(spark, "incremental")
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("lang").alias("category"))
     writers.write_chunks(rows.repartition(4), f"{path}/chunks")
     incremental_index(spark, f"{path}/chunks", f"{path}/index", files_per_batch=2).awaitTermination()
-    return spark.read.parquet(f"{path}/index/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return f"{path}/index"
+
+
+@register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term")
+def incremental_postings(spark, sf_dir):
+    return spark.read.parquet(f"{incremental(spark, sf_dir)}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@register(f"WITH {EMBED_SQL.replace('{{k}}', '10')} SELECT CAST(key AS VARCHAR) AS id, count(*) AS places, round(sum(w), 5) AS total, round(max(w), 5) AS most FROM hv WHERE kind = 'd' GROUP BY key")
+def incremental_vectors(spark, sf_dir):
+    return weights_of(spark.read.parquet(f"{incremental(spark, sf_dir)}/vectors"), "id").where("places > 0")
+
+
+@register(rf"""
+WITH RECURSIVE {SENTENCE_SQL},
+n AS (SELECT d.doc_id, d.lang, CASE WHEN lang = 'en' THEN 6 WHEN lang = 'fr' THEN (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id) ELSE 4 END AS chunks FROM documents d WHERE lang IS NOT NULL)
+SELECT lang AS category, count(*) AS docs, CAST(sum(chunks) AS BIGINT) AS chunks FROM n WHERE chunks > 0 GROUP BY lang""")
+def ingest_routes(spark, sf_dir):
+    """Three ways through one plan: a preset, sentences, and the default for categories without a route."""
+    generic = F.concat(F.lit("Section 1 General\ny "), unit_body(), F.lit("\n1.1 Sub.\n1.1.1 Deep.\n2. Next."))
+    acts = act_text(spark, sf_dir).withColumnRenamed("text", "act")
+    text = F.when(F.col("lang") == "en", F.col("act")).when(F.col("lang") == "fr", F.col("text")).otherwise(generic)
+    docs = documents(spark, sf_dir).where("lang IS NOT NULL").join(acts, "doc_id").select(F.col("doc_id").cast("string").alias("source_doc"), text.alias("text"), F.lit("p").alias("source_path"), F.col("lang").alias("category"), F.lit("").alias("jurisdiction"))
+    chunks = ingest(docs, {"en": ("pattern", "acts"), "fr": ("sentence", None)})
+    return chunks.groupBy("category").agg(F.countDistinct("source_doc").alias("docs"), F.count(F.lit(1)).alias("chunks"))

@@ -63,10 +63,10 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def read_documents(spark: SparkSession, raw_dir: str, category: str = "", jurisdiction: str = "", formats: tuple[str, ...] = TEXT_FORMATS, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, raw_dir: str, category: str = "", jurisdiction: str = "", formats: tuple[str, ...] = TEXT_FORMATS, extractors: dict[str, Callable[[bytes], str]] | None = None, ordered: bool = False) -> DataFrame:
     """(source_path, source_doc, text, format, category, jurisdiction) of the files directly in a folder; none where there is no folder.
 
-    ``extractors`` reads other formats: file ending -> bytes -> text, on the executors. Rows have no order; ``source_path`` sorts them by name.
+    ``extractors`` reads other formats: file ending -> bytes -> text, on the executors. ``ordered`` sorts rows by name, which otherwise have no order.
     """
     wanted = [f.lower().lstrip(".") for f in (*formats, *(extractors or {}))]
     if bad := [f for f in wanted if f not in TEXT_FORMATS and f not in (extractors or {})]:
@@ -88,7 +88,8 @@ def read_documents(spark: SparkSession, raw_dir: str, category: str = "", jurisd
     else:
         rows = rows.withColumn("extracted", F.lit(None).cast("string"))
     plain = F.when(F.col("format").isin(*TEXT_FORMATS), decoded(F.col("content")))
-    return rows.select("source_path", "source_doc", F.coalesce("extracted", plain).alias("text"), "format", F.lit(category).alias("category"), F.lit(jurisdiction).alias("jurisdiction"))
+    found = rows.select("source_path", "source_doc", F.coalesce("extracted", plain).alias("text"), "format", F.lit(category).alias("category"), F.lit(jurisdiction).alias("jurisdiction"))
+    return found.orderBy("source_path") if ordered else found
 
 
 def read_document(spark: SparkSession, path: str, category: str = "", jurisdiction: str = "", extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:

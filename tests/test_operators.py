@@ -440,6 +440,7 @@ def test_sources_and_ingest(spark, tmp_path):
     with pytest.raises(readers.UnsupportedFormatError):
         readers.read_document(spark, f"file://{raw}/skip.docx")
     assert readers.read_document(spark, f"file://{raw}/ipc.txt").count() == 1
+    assert [r["source_doc"] for r in readers.read_documents(spark, f"file://{raw}", ordered=True).collect()] == ["ipc", "latin"]
     nothing = readers.read_documents(spark, f"file://{tmp_path}/nowhere")
     assert nothing.count() == 0 and nothing.columns == docs.columns
     write(tmp_path / "lines.jsonl", "{}\n \t\n\u2003\n{}\n")
