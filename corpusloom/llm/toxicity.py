@@ -35,7 +35,7 @@ from corpusloom.runtime import stash
 
 TRAIN_POSITIVE = 4000
 TRAIN_NEGATIVE = 6000
-#: Bytes of text of a class that the sample has (some 8 bytes for each word of it go to the driver), and of one text in it.
+#: Bytes of text of a class that the sample has, and of one text in it. Of its words only those near learned ones go to the driver, 8 bytes each.
 TRAIN_BYTES = 32_000_000
 TRAIN_TEXT_BYTES = 400_000
 TABLE_BITS = 16
@@ -275,12 +275,12 @@ class Net:
                 self.tables[t][used] -= RATE * total / np.sqrt(memory[used] + 1e-8)
 
 
-def samples(documents: DataFrame, labels: DataFrame) -> list:
-    """The bounded training sample as rows (key, toxic, language, table places), made on the executors."""
+def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """The bounded training sample (doc_id, text, toxic), written; None without rows of both classes."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
-        return []
+        return None
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("toxic") == 1, min(1.0, TRAIN_POSITIVE / counts[1])).otherwise(min(1.0, TRAIN_NEGATIVE / counts[0]))
     # The bound on the sample bounds what is sent to each executor here.
@@ -288,18 +288,84 @@ def samples(documents: DataFrame, labels: DataFrame) -> list:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_TEXT_BYTES).join(chosen, "doc_id")
     rows = stash(rows, "labelled")
     sizes = {r["toxic"]: r["size"] or 0 for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
-    if any(size > TRAIN_BYTES for size in sizes.values()):
-        rows = rows.where(F.col("place") < F.when(F.col("toxic") == 1, min(1.0, TRAIN_BYTES / max(sizes.get(1, 0), 1))).otherwise(min(1.0, TRAIN_BYTES / max(sizes.get(0, 0), 1))))
+    part = lambda c: min(1.0, TRAIN_BYTES / max(sizes.get(c, 0), 1))
+    return rows.where(F.col("place") < F.when(F.col("toxic") == 1, part(1)).otherwise(part(0))).select("doc_id", "text", "toxic")
+
+
+def order_of(doc_id: int) -> int:
+    """A training row's place; a fifth of the places calibrates."""
+    return zlib.crc32(b"order %d" % doc_id)
+
+
+def is_tuning(doc_id: int) -> bool:
+    return order_of(doc_id) % 5 == 0
+
+
+def place_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts have each embedding place, (part, class, table, place), and how many texts there are, (part, class); part 1 calibrates.
+
+    Counted on the executors; what comes to the driver is at most a number for each place.
+    """
+    size = 1 << TABLE_BITS
+
+    def run(batches):
+        counts, texts_ = np.zeros((2, 2, TABLES, size), np.int64), np.zeros((2, 2), np.int64)
+        for part in sliced(batches):
+            _, slots, starts = word_hashes([t or b"" for t in text_bytes(part.column(1))])
+            for doc_id, toxic, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), np.split(slots, starts[1:])):
+                at = int(is_tuning(doc_id)), toxic
+                texts_[at] += 1
+                for t in range(TABLES):
+                    counts[at][t, np.unique(own[:, t])] += 1
+        flat = np.concatenate([counts.ravel(), texts_.ravel()])
+        used = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["key", "n"])
+
+    got = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    flat = np.zeros(4 * TABLES * size + 4, np.int64)
+    flat[got["key"].to_numpy()] = got["n"].to_numpy()
+    return flat[:-4].reshape(2, 2, TABLES, size), flat[-4:].reshape(2, 2)
+
+
+def telling(docs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(TABLES, places) where a place is in at least MIN_DOCS texts and more (or less) often in toxic ones than chance explains.
+
+    ``docs``: texts that have a place, (class, table, place); ``n``: texts of a class.
+    """
+    share = docs.sum(0) / n.sum()
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
+    return (docs.sum(0) >= MIN_DOCS) & (np.abs(docs[1] / n[1] - docs[0] / n[0]) >= SIGNIFICANT * spread)
+
+
+def near_telling(slots: np.ndarray, learned: np.ndarray) -> np.ndarray:
+    """Which words of a text a filter's value can depend on: those with a learned place, and so many around them that every window keeps its words.
+
+    Other words are zero in training. Of a longer run of them enough stay for a window of nothing else.
+    """
+    reach = max(WIDTHS) - 1
+    telling_ = np.zeros(len(slots), bool)
+    for t in range(TABLES):
+        telling_ |= learned[t, slots[:, t]]
+    keep = telling_.copy()
+    for k in range(1, reach + 1):
+        keep[:-k] |= telling_[k:]
+        keep[k:] |= telling_[:-k]
+    keep[: 2 * reach] = keep[-2 * reach :] = True
+    return keep
+
+
+def samples(rows: DataFrame, learned: np.ndarray) -> list:
+    """The sample as rows (place, toxic, language, table places of the words that matter), made on the executors."""
 
     def run(batches):
         for part in sliced(batches):
             texts = [t or b"" for t in text_bytes(part.column(1))]
             codes, slots, starts = word_hashes(texts)
-            split = [x.tobytes() for x in np.split(slots, starts[1:])] if texts else []
+            split = [x[near_telling(x, learned)].tobytes() for x in np.split(slots, starts[1:])] if texts else []
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(languages_of(texts, codes, starts), pa.int32()), pa.array(split, pa.binary())], ["doc_id", "toxic", "language", "slots"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, language int, slots binary").toArrow().to_pylist()
-    found = [(zlib.crc32(b"order %d" % r["doc_id"]), r["toxic"], r["language"], np.frombuffer(r["slots"], np.uint16).reshape(-1, TABLES)) for r in got]
+    got = rows.mapInArrow(run, "doc_id long, toxic int, language int, slots binary").toArrow().to_pylist()
+    found = [(order_of(r["doc_id"]), r["toxic"], r["language"], np.frombuffer(r["slots"], np.uint16).reshape(-1, TABLES)) for r in got]
     return sorted(found, key=lambda r: (*r[:3], len(r[3])))
 
 
@@ -320,31 +386,26 @@ def best_threshold(logits: np.ndarray, wanted: np.ndarray) -> float:
     return float((logits[order[k]] + low) / 2)
 
 
-def telling(rows: list) -> np.ndarray:
-    """(TABLES, places) where a place is in at least MIN_DOCS texts and more (or less) often in toxic ones than chance explains."""
-    docs = np.zeros((2, TABLES, 1 << TABLE_BITS))
-    for row in rows:
-        for t in range(TABLES):
-            docs[row[1], t, np.unique(row[3][:, t])] += 1
-    n = np.array([sum(r[1] == c for r in rows) for c in (0, 1)], float)
-    share = docs.sum(0) / n.sum()
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
-    return (docs.sum(0) >= MIN_DOCS) & (np.abs(docs[1] / n[1] - docs[0] / n[0]) >= SIGNIFICANT * spread)
-
-
 def fit(documents: DataFrame, labels: DataFrame) -> Net | None:
     """Train on the sample and calibrate on a fifth of it; None without rows of both classes."""
-    rows = samples(documents, labels)
-    tune, train = rows[::5], [r for i, r in enumerate(rows) if i % 5]
-    if not ({r[1] for r in train} == {r[1] for r in tune} == {0, 1}):
-        tune = train = rows
-        if {r[1] for r in rows} != {0, 1}:
-            return None
+    chosen = labelled(documents, labels)
+    if chosen is None:
+        return None
+    chosen = chosen.select("doc_id", "text", "toxic")
+    docs, n = place_counts(chosen)
+    if not n.sum(0).all():
+        return None
+    apart = bool(n.all())
+    learned = telling(docs[0], n[0]) if apart else telling(docs.sum(0), n.sum(0))
+    rows = samples(chosen, learned)
+    # Too few rows for parts of both classes train and calibrate alike.
+    tune = [r for r in rows if r[0] % 5 == 0] if apart else rows
+    train = [r for r in rows if r[0] % 5] if apart else rows
     net = Net()
     shapes = [net.bias, net.out, np.zeros(()), *net.filters]
     square = [np.zeros_like(s, dtype=np.float32) for s in shapes] + [np.zeros((1 << TABLE_BITS, 1), np.float32) for _ in range(TABLES)]
     square[2] = 0.0
-    learned = telling(train).astype(np.float32)
+    learned = learned.astype(np.float32)
     # Small random values, so that the maximum, and with it the first gradients, falls on any word of a text.
     rng = np.random.default_rng(11)
     for t in range(TABLES):

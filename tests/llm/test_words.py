@@ -295,6 +295,32 @@ def test_filters_against_a_plain_forward_pass():
     assert np.allclose(net.logits(slots, starts), want, atol=1e-3)
 
 
+def test_words_that_are_left_out_change_nothing():
+    rng = np.random.default_rng(37)
+    net = toxicity.Net()
+    learned = rng.random((toxicity.TABLES, 1 << toxicity.TABLE_BITS)) < 0.03
+    for table, own in zip(net.tables, learned):
+        table[:] = rng.normal(0, 0.5, table.shape) * own[:, None]
+    for n in (0, 1, 2, 3, 4, 5, 9, 40, 400):
+        _, slots, starts = toxicity.word_hashes([" ".join(f"w{rng.integers(5000)}" for _ in range(n)).encode()])
+        keep = toxicity.near_telling(slots, learned)
+        assert np.allclose(net.logits(slots, starts), net.logits(slots[keep], starts), atol=1e-6) and (n < 400 or keep.sum() < 300)
+
+
+def test_places_are_counted_as_in_one_task(spark, documents):
+    rng = random.Random(38)
+    rows = [(i, made_language(rng, "abc", rng.randint(0, 30))) for i in range(200)]
+    frame = documents(rows).repartition(5).selectExpr("doc_id", "text", "CAST(doc_id % 2 AS INT) AS toxic")
+    docs, n = toxicity.place_counts(frame)
+    want = np.zeros_like(docs)
+    for i, text in rows:
+        _, slots, _ = toxicity.word_hashes([text.encode()])
+        for t in range(toxicity.TABLES):
+            for slot in set(slots[:, t].tolist()):
+                want[int(toxicity.is_tuning(i)), i % 2, t, slot] += 1
+    assert (docs == want).all() and n.sum() == 200 and n.tolist() == [[sum(1 for i, _ in rows if toxicity.is_tuning(i) == p and i % 2 == c) for c in (0, 1)] for p in (False, True)]
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(35)
     net = toxicity.Net()
@@ -343,9 +369,9 @@ def test_the_sample_is_bounded_in_bytes(spark, documents, monkeypatch):
     rng = random.Random(36)
     rows = [(i, made_language(rng, "etaoinshrdlu", 40) + (" zzbad" if i % 2 else "")) for i in range(600)] + [(10_000 + i, "zzbad " * 1000) for i in range(20)]
     marks = spark.createDataFrame([(i, int("zzbad" in t)) for i, t in rows], "doc_id long, toxic int")
-    found = toxicity.samples(documents(rows), marks)
-    words = [sum(len(r[3]) for r in found if r[1] == c) for c in (0, 1)]
-    assert all(1000 < n * 5.5 < 30_000 for n in words) and max(len(r[3]) for r in found) < 600
+    found = toxicity.labelled(documents(rows), marks).collect()
+    sizes = [sum(len(r["text"]) for r in found if r["toxic"] == c) for c in (0, 1)]
+    assert all(8_000 < n < 30_000 for n in sizes) and max(len(r["text"]) for r in found) <= 3_000
     assert toxicity.toxicity(documents([]), marks).count() == 0
     twice = toxicity.toxicity(documents([*rows, rows[1], rows[1]]), marks.unionByName(marks.limit(3))).where("doc_id = 1").collect()
     assert len(twice) == 3 and len({tuple(r) for r in twice}) == 1
