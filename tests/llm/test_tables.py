@@ -570,6 +570,38 @@ def test_pipeline_stages(documents, spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == last > 0
 
 
+def test_pipeline_of_nothing_and_with_clashing_columns(documents, spark, tmp_path):
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.randint(20, 60)), "en", rng.choice(["s0", "s1", None])) for i in range(40)]
+    rows += [(50, None, "en", "s0"), (51, "", None, None), (52, " \n", "en", "s1"), (None, prose(rng, 30), "en", "s0"), (None, rows[3][1], None, "s0"), (3, rows[3][1], "en", "s0"), (60, rows[5][1].upper(), "en", "s1"), (61, prose(rng, 60_000), "en", "s1")]
+    docs = documents(rows)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        kept.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+    deduped = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in spark.read.parquet(str(tmp_path / "near_dedup")).collect())
+    assert deduped == [(False, i) for i in [*range(40), 61]] + [(True, 0)]
+    # Packing: every token of what the mix gave is there once, in sequences without gaps.
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    want = collections.Counter()
+    for r in kept.collect():
+        ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 0], "<u4")
+        want.update((r["doc_id"], k, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048)))
+    out = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
+    assert collections.Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in out) == want
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in p) <= 2048 and [a for a, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))] for p in places.values())
+    empty = documents([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
 def test_other_tokenizers_are_asked_for_whole_texts(documents, tmp_path):
     from tokenizers import Tokenizer
 
