@@ -304,27 +304,29 @@ def is_tuning(doc_id: int) -> bool:
 def place_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """How many texts have each embedding place, (part, class, table, place), and how many texts there are, (part, class); part 1 calibrates.
 
-    Counted on the executors; what comes to the driver is at most a number for each place.
+    Counted on the executors; what comes to the driver is at most four numbers for each place that MIN_DOCS texts have.
     """
-    size = 1 << TABLE_BITS
+    size = TABLES << TABLE_BITS
+    names = ("a", "b", "c", "d")
 
     def run(batches):
-        counts, texts_ = np.zeros((2, 2, TABLES, size), np.int64), np.zeros((2, 2), np.int64)
+        counts = np.zeros((size + 1, 4), np.int32)
         for part in sliced(batches):
             _, slots, starts = word_hashes([t or b"" for t in text_bytes(part.column(1))])
             for doc_id, toxic, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), np.split(slots, starts[1:])):
-                at = int(is_tuning(doc_id)), toxic
-                texts_[at] += 1
+                at = 2 * is_tuning(doc_id) + toxic
+                counts[size, at] += 1
                 for t in range(TABLES):
-                    counts[at][t, np.unique(own[:, t])] += 1
-        flat = np.concatenate([counts.ravel(), texts_.ravel()])
-        used = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], ["key", "n"])
-
-    got = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(4 * TABLES * size + 4, np.int64)
-    flat[got["key"].to_numpy()] = got["n"].to_numpy()
-    return flat[:-4].reshape(2, 2, TABLES, size), flat[-4:].reshape(2, 2)
+                    counts[(t << TABLE_BITS) + np.unique(own[:, t]).astype(np.int64), at] += 1
+        used = np.flatnonzero(counts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(counts[used, k]) for k in range(4))], ["place", *names])
+
+    summed = rows.mapInArrow(run, "place int, a int, b int, c int, d int").groupBy("place").agg(*(F.sum(c).cast("int").alias(c) for c in names))
+    got = summed.where(sum((F.col(c) for c in names), F.lit(0)) >= F.when(F.col("place") == size, 1).otherwise(MIN_DOCS)).toArrow()
+    counts = np.zeros((size + 1, 4), np.int64)
+    for k, c in enumerate(names):
+        counts[got["place"].to_numpy(), k] = got[c].to_numpy()
+    return counts[:size].T.reshape(2, 2, TABLES, 1 << TABLE_BITS), counts[size].reshape(2, 2)
 
 
 def telling(docs: np.ndarray, n: np.ndarray) -> np.ndarray:
