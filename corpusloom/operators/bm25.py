@@ -41,7 +41,9 @@ class SparseIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SparseIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "term_stats", "corpus_stats")))
+        documents, terms, corpus = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "term_stats", "corpus_stats"))
+        # A folder's name may look like a number.
+        return cls(documents.withColumn("category", F.col("category").cast("string")), terms, corpus)
 
 
 def term_counts(text: Column) -> Column:
@@ -70,16 +72,16 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
 
 
 def statistics(documents: DataFrame, merged_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """term_stats and corpus_stats of the rows of :func:`document_terms`: grouping sets give every namespace in one pass."""
-
-    def by_namespace(rows: DataFrame, *extra: str) -> DataFrame:
-        if merged_only:
-            return rows.groupBy(F.lit(MERGED).alias("namespace"), *extra)
-        both = rows.withColumn("namespace", F.explode(F.array(F.col("category"), F.lit(MERGED))))
-        return both.groupBy("namespace", *extra)
-
-    corpus = stash(by_namespace(documents.select("category", "dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
-    df = by_namespace(documents.select("category", F.explode("terms.term").alias("term")), "term").agg(F.count(F.lit(1)).alias("df"))
+    """term_stats and corpus_stats of the rows of :func:`document_terms`; those of all together come from the categories'."""
+    namespace = F.lit(MERGED) if merged_only else F.col("category")
+    sizes = documents.groupBy(namespace.alias("namespace")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"))
+    df = documents.select(namespace.alias("namespace"), F.explode("terms.term").alias("term")).groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
+    if not merged_only:
+        sizes = stash(sizes, "sizes")
+        sizes = sizes.unionByName(sizes.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).where("n IS NOT NULL").withColumn("namespace", F.lit(MERGED)))
+        df = stash(df, "frequencies")
+        df = df.unionByName(df.groupBy("term").agg(F.sum("df").alias("df")).withColumn("namespace", F.lit(MERGED)))
+    corpus = stash(sizes.select("namespace", "n", (F.col("words") / F.col("n")).alias("avgdl")), "corpus")
     raw = df.join(F.broadcast(corpus.select("namespace", "n")), "namespace").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     raw = stash(raw.select("namespace", "term", "df", "raw"), "terms")
     # One row for each namespace.
@@ -94,6 +96,15 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", c
     return SparseIndex(documents, *statistics(documents, category_col is None))
 
 
+def write(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> None:
+    """The index of ``chunks`` below ``path``, as :meth:`SparseIndex.load` reads it."""
+    spark = chunks.sparkSession
+    document_terms(chunks, id_col, text_col, category_col).write.mode("overwrite").partitionBy("category").parquet(f"{path}/documents")
+    terms, corpus = statistics(spark.read.parquet(f"{path}/documents"), category_col is None)
+    terms.write.mode("overwrite").parquet(f"{path}/term_stats")
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+
+
 def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_id: str = "query_id", text_col: str = "text", namespace: str = MERGED, each: bool = False) -> DataFrame:
     """(query_id, id, category, score, rank0): the ``k`` best of each query with a positive score. A repeated word counts each time.
 
@@ -129,4 +140,5 @@ def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_id: str =
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The ``k`` best rows of each query, ties by id; limited within partitions before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank0", rank - 1).where(F.col("rank0") < k)
+    # The plain comparison is what Spark turns into a limit of each partition's groups.
+    return scored.withColumn("rank0", rank).where(F.col("rank0") <= k).withColumn("rank0", F.col("rank0") - 1)

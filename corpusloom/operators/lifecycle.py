@@ -121,7 +121,7 @@ def build_index(chunks: DataFrame, path: str, model: str = "hashing", with_summa
     if not cached:
         vectors = dense.embed(rows, "chunk_id", "text", make_encoder, wanted.document_prefix, keep=("category",))
         vectors.write.mode("overwrite").partitionBy("category").parquet(vectors_path(path, model, with_summary))
-    bm25.build(rows, category_col="category").save(f"{path}/sparse")
+    bm25.write(rows, f"{path}/sparse", category_col="category")
     write_manifest(spark, wanted, f"{path}/manifest")
     return wanted
 

@@ -490,8 +490,8 @@ def indexed_chunks(spark, sf_dir) -> DataFrame:
 
 
 def stored_index(spark, sf_dir) -> lifecycle.StoredIndex:
-    """The index of the documents, read back from the shared folder. It is built there once and again where the documents have changed."""
-    path = f"{shared_dir(spark)}/corpusloom/index-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    """The index of the documents, read back from the shared folder. An application builds it there once, and again where the documents have changed."""
+    path = f"{shared_dir(spark)}/corpusloom/index-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
     manifest = lifecycle.build_index(indexed_chunks(spark, sf_dir), path)
     return lifecycle.load_index(spark, path, manifest)
 
