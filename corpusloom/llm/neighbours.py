@@ -44,6 +44,8 @@ TARGET = 0.95
 #: Buckets of a table that a query visits at most; with more all are searched.
 MOST_PROBES = 100_000
 BLOCK_ROWS = 32_768
+#: Blocks (12 bytes each, a block for 8,192 vectors and table) up to which their parts are broadcast.
+BROADCAST_BLOCKS = 1_000_000
 SEED = 2024
 
 
@@ -170,15 +172,16 @@ def true_neighbours(entries: DataFrame, queries: np.ndarray, k: int) -> tuple[np
             real = np.isfinite(score)
             yield pa.RecordBatch.from_arrays([pa.array(who[real], pa.int32()), pa.array(score[real]), batch.column(0).take(pa.array(picked.ravel()[real]))], ["query", "score", "vec"])
 
-    found = entries.select("vec").mapInArrow(run, "query int, score double, vec array<double>")
+    found = entries.select("vec").mapInArrow(run, f"query int, score double, vec {dict(entries.dtypes)['vec']}")
     place = F.row_number().over(Window.partitionBy("query").orderBy("score"))
     got = found.withColumn("place", place).where(F.col("place") <= k).select("query", "vec").toArrow()
     return matrix(got["vec"]), got["query"].to_numpy()
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, vec): the vectors that take part, in double precision."""
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    """(vec_id, vec): the vectors that take part, as floats where they are and else as doubles; all arithmetic is in double precision."""
+    kind = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     v = F.col("vec")
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -186,10 +189,10 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A column of equally long lists of doubles as a matrix."""
+    """A column of equally long lists of numbers as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
@@ -280,9 +283,19 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
                     ["table", "block", "query_id", "vec", "probes"],
                 )
 
-    index = stash(entries.select("vec", "ids").mapInArrow(index_rows, "table int, bucket long, block int, vec array<double>, ids array<long>"), "index")
-    probes = queries.select("vec_id", "vec").mapInArrow(query_rows, "table int, block int, query_id long, vec array<double>, probes array<long>")
-    parts = index.groupBy("table", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    def block_rows(batches):
+        for batch in batches:
+            cells, _ = hashes.cells(matrix(batch.column(0)))
+            for t in range(TABLES):
+                block, n = np.unique(hashes.named(*hashes.sums(cells[t]))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array(block), pa.array(n)], ["table", "block", "n"])
+
+    kind = dict(entries.dtypes)["vec"]
+    # The index isn't written: hashing again costs less than reading TABLES copies of the vectors.
+    index = entries.select("vec", "ids").mapInArrow(index_rows, f"table int, bucket long, block int, vec {kind}, ids array<long>")
+    probes = queries.select("vec_id", "vec").mapInArrow(query_rows, f"table int, block int, query_id long, vec {kind}, probes array<long>")
+    parts = entries.select("vec").mapInArrow(block_rows, "table int, block int, n long").groupBy("table", "block").agg(F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    parts = stash(parts, "parts")
     if hashes.probes is None:
         probes = probes.limit(0)
     result = ranked(searched(probes, index, parts, k), k)
@@ -290,7 +303,9 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
 
 
 def searched(probes: DataFrame, index: DataFrame, parts: DataFrame, k: int) -> DataFrame:
-    """Rows of NEAR_SCHEMA from all blocks, their large ones in parts."""
+    """Rows of NEAR_SCHEMA from all blocks, their large ones in parts. Vectors are shuffled once, as the few numbers of blocks are broadcast."""
+    if parts.count() <= BROADCAST_BLOCKS:
+        parts = F.broadcast(parts)
     spread = probes.join(parts, ["table", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = index.join(parts, ["table", "block"]).withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int"))
 
@@ -318,5 +333,5 @@ def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: Da
         return result
     # Each entry is in every table once, so the blocks of the first table are all entries.
     every = short.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("query_id"), "vec", F.lit(None).cast("array<long>").alias("probes"))
-    exact = ranked(searched(every, index.where("table = 0"), stash(parts.where("table = 0"), "parts"), k), k)
+    exact = ranked(searched(every, index.where("table = 0"), parts.where("table = 0"), k), k)
     return result.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
