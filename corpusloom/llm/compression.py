@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import SPACE, map_rows
 
 LEVEL = 3
+#: A rest of at most half a chunk belongs to the chunk before it: on its own, the ratio of so little text says nothing.
 CHUNK_BYTES = 4096
 #: A document fails when over this share of its chunks is outside the chunk's band.
 BAD_CHUNK_SHARE = 0.25
@@ -116,8 +117,9 @@ def make_judge():
             ratio = len(squeeze.compress(text)) / len(text) if text else None
             bad = chunks = 0
             if len(text) > CHUNK_BYTES:
-                for start in range(0, len(text), CHUNK_BYTES):
-                    piece = text[start : start + CHUNK_BYTES]
+                starts = [*range(0, len(text) - CHUNK_BYTES // 2, CHUNK_BYTES)]
+                for start, stop in zip(starts, [*starts[1:], len(text)]):
+                    piece = text[start:stop]
                     low, high = band(len(piece))
                     chunks += 1
                     bad += not low <= len(squeeze.compress(piece)) / len(piece) <= high
