@@ -20,8 +20,10 @@ NO_MODEL = "no model gave an answer"
 METADATA = ("category", "source_doc", "court", "date", "section", "heading")
 
 
-def lookup(ids: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The chunks of the distinct ids in ``ids``; unknown ids drop out."""
+def lookup(ids: DataFrame, chunks: DataFrame, order: str | None = None) -> DataFrame:
+    """The chunks of the distinct ids in ``ids``; unknown ids drop out. With ``order``, a column of ``ids``, ``place`` is an id's first place in it."""
+    if order:
+        return chunks.join(ids.groupBy(F.col("id").alias("chunk_id")).agg(F.min(order).alias("place")), "chunk_id")
     return chunks.join(ids.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
 
 

@@ -81,22 +81,33 @@ def case_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.case_id(F.col("url"), F.col("html")).alias("case_id"))
 
 
-@register(r"""
-WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) || ' - Law ' END AS side, CASE WHEN doc_id % 3 = 1 THEN source END AS folder FROM documents)
-SELECT doc_id, coalesce(nullif(regexp_replace(lower(trim(side)), '[\s\-]+', '_', 'g'), ''), folder, 'hint') AS category FROM s""")
+META_SQL = r"""
+s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' || upper(lang) || ' - Law ' END AS side, CASE WHEN doc_id % 3 = 1 THEN source ELSE 'misc' END AS folder FROM documents),
+m AS (SELECT doc_id, coalesce(nullif(regexp_replace(lower(trim(side)), '[\s\-]+', '_', 'g'), ''), CASE WHEN folder <> 'misc' THEN folder END, 'hint') AS category FROM s)
+"""
+
+
+def described(spark, sf_dir) -> DataFrame:
+    """Documents in folders, some with a sidecar, with the metadata that follows."""
+    rows = documents(spark, sf_dir).withColumn("name", F.col("doc_id").cast("string"))
+    folder = F.when(F.col("doc_id") % 3 == 1, F.col("source")).otherwise("misc")
+    docs = rows.select("doc_id", F.concat(F.lit("raw/"), folder, F.lit("/"), "name").alias("source_path"), F.col("name").alias("source_doc"), F.lit("hint").alias("category"), F.lit("").alias("jurisdiction"))
+    fields = {"category": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("lang"), F.lit(" - Law "))), "jurisdiction": F.when(F.col("doc_id") % 5 == 0, "EU")}
+    side = rows.select(F.col("name").alias("source_doc"), F.concat("name", F.lit(".meta.yaml")).alias("sidecar_path"), *(fields.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in (f.split(" ") for f in readers.SIDECAR_SCHEMA.split(", "))))
+    known = rows.select(F.col("source").alias("name")).distinct().select("name", F.when(F.col("name") == "src3", "").otherwise(F.concat(F.lit("J-"), "name")).alias("jurisdiction"))
+    return readers.with_metadata(docs, side, known)
+
+
+@register(f"WITH {META_SQL} SELECT doc_id, category FROM m")
 def infer_category(spark, sf_dir):
-    side = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("lang"), F.lit(" - Law ")))
-    folder = F.when(F.col("doc_id") % 3 == 1, F.col("source"))
-    return documents(spark, sf_dir).select("doc_id", F.coalesce(T.blank_to_null(T.norm_category(side)), folder, F.lit("hint")).alias("category"))
+    return described(spark, sf_dir).select("doc_id", "category")
 
 
-@register("""
-WITH c(name, jurisdiction) AS (VALUES ('en', 'GB'), ('fr', 'FR'), ('de', ''))
-SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN 'EU' END, nullif(c.jurisdiction, ''), '') AS jurisdiction FROM documents d LEFT JOIN c ON c.name = d.lang""")
+@register(f"""
+WITH {META_SQL}
+SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN 'EU' END, CASE WHEN category <> 'src3' AND category IN (SELECT source FROM documents) THEN 'J-' || category END, '') AS jurisdiction FROM m""")
 def infer_jurisdiction(spark, sf_dir):
-    dim = spark.createDataFrame([("en", "GB"), ("fr", "FR"), ("de", "")], "name string, jurisdiction string")
-    rows = documents(spark, sf_dir).join(F.broadcast(dim), F.col("lang") == F.col("name"), "left")
-    return rows.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 5 == 0, "EU"), T.blank_to_null(F.col("jurisdiction")), F.lit("")).alias("jurisdiction"))
+    return described(spark, sf_dir).select("doc_id", "jurisdiction")
 
 
 @register("SELECT doc_id, CASE WHEN contains(lang || CASE WHEN doc_id % 2 = 0 THEN '/' || source ELSE '' END, '/') THEN lang END AS category FROM documents")
@@ -749,10 +760,10 @@ def related_cases(spark, sf_dir):
 # --- evidence and answers -----------------------------------------------------------------------------------------
 
 
-@register(f"WITH {HYBRID_SQL} SELECT doc_id AS chunk_id, length(text) AS chars FROM documents WHERE doc_id IN (SELECT id FROM hybrid)")
+@register(f"WITH {HYBRID_SQL} SELECT doc_id AS chunk_id, length(text) AS chars, place FROM documents JOIN (SELECT id, min(rank0) AS place FROM hybrid GROUP BY id) ON doc_id = id")
 def text_lookup(spark, sf_dir):
     chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.length("text").cast("long").alias("chars"))
-    return evidence.lookup(hybrid_hits(spark, sf_dir), chunks)
+    return evidence.lookup(hybrid_hits(spark, sf_dir), chunks, "rank0")
 
 
 STRIPPED_SQL = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
