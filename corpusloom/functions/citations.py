@@ -13,37 +13,42 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _found(text: Column, pattern: str, word: str) -> Column:
+    """All matches of a pattern; texts without a ``word`` that each of its matches holds aren't searched."""
+    return F.when(F.contains(text, F.lit(word)), _all(text, pattern, 0)).otherwise(F.array().cast("array<string>"))
+
+
 def _citation(category: str, doc: Column, section: Column) -> Column:
     return F.struct(F.lit(category).alias("category"), doc.alias("doc"), section.alias("section"))
 
 
 def case_law(text: Column) -> Column:
-    patterns = (fixed.AIR_PATTERN, fixed.SCC_BRACKET_PATTERN, fixed.SCC_PATTERN, fixed.SCR_PATTERN, fixed.INSC_PATTERN)
-    return F.concat(*(F.transform(_all(text, p, 0), lambda m: _citation("case_law", strip(m), F.lit(""))) for p in patterns))
+    patterns = ((fixed.AIR_PATTERN, "AIR"), (fixed.SCC_BRACKET_PATTERN, "SCC"), (fixed.SCC_PATTERN, "SCC"), (fixed.SCR_PATTERN, "SCR"), (fixed.INSC_PATTERN, "INSC"))
+    return F.concat(*(F.transform(_found(text, p, word), lambda m: _citation("case_law", strip(m), F.lit(""))) for p, word in patterns))
 
 
 def statutes(text: Column) -> Column:
-    long_, short = fixed.SECTION_OF_ACT_PATTERN, fixed.SECTION_SHORT_PATTERN
-    return F.concat(
-        F.zip_with(_all(text, long_, 2), _all(text, long_, 1), lambda doc, section: _citation("statute", strip(doc), section)),
-        F.zip_with(_all(text, short, 2), _all(text, short, 1), lambda doc, section: _citation("statute", doc, section)),
-    )
+    # A match's parts are taken from the match, so that the text is searched once.
+    def parts(pattern: str) -> Column:
+        return F.transform(_found(text, pattern, "ection"), lambda m: _citation("statute", strip(F.regexp_extract(m, pattern, 2)), F.regexp_extract(m, pattern, 1)))
+
+    return F.concat(parts(fixed.SECTION_OF_ACT_PATTERN), parts(fixed.SECTION_SHORT_PATTERN))
 
 
 def articles(text: Column) -> Column:
-    return F.zip_with(
-        _all(text, fixed.ARTICLE_PATTERN, 1),
-        _all(text, fixed.ARTICLE_PATTERN, 2),
-        lambda article, part: _citation("constitutional", F.lit(fixed.CONSTITUTION_DOC), F.when(part == "", article).otherwise(F.concat(article, F.lit("("), part, F.lit(")")))),
-    )
+    def cited(match: Column) -> Column:
+        article, part = (F.regexp_extract(match, fixed.ARTICLE_PATTERN, i) for i in (1, 2))
+        return _citation("constitutional", F.lit(fixed.CONSTITUTION_DOC), F.when(part == "", article).otherwise(F.concat(article, F.lit("("), part, F.lit(")"))))
+
+    return F.transform(_found(text, fixed.ARTICLE_PATTERN, "rticle"), cited)
 
 
 def schedules(text: Column) -> Column:
-    return F.transform(_all(text, fixed.SCHEDULE_PATTERN, 1), lambda m: _citation("schedule", F.lit(""), m))
+    return F.transform(_found(text, fixed.SCHEDULE_PATTERN, "chedule"), lambda m: _citation("schedule", F.lit(""), F.regexp_extract(m, fixed.SCHEDULE_PATTERN, 1)))
 
 
 def clauses(text: Column) -> Column:
-    return F.transform(_all(text, fixed.CLAUSE_PATTERN, 1), lambda m: _citation("contract_clause", F.lit(""), m))
+    return F.transform(_found(text, fixed.CLAUSE_PATTERN, "lause"), lambda m: _citation("contract_clause", F.lit(""), F.regexp_extract(m, fixed.CLAUSE_PATTERN, 1)))
 
 
 def deduplicated(found: Column) -> Column:
