@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import stash
+from corpusloom.runtime import drop, stash
 
 
 def placed(vertex: str) -> Column:
@@ -31,20 +31,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(placed("v")).alias("least"))
-        move = stash(least.select(F.col("u").alias("vertex"), F.least(placed("u"), F.col("least"))["vertex"].alias("to")), "moves")
+        first = stash(least.select(F.col("u").alias("vertex"), F.least(placed("u"), F.col("least"))["vertex"].alias("to")), "moves")
         # A second step at once: where the place gone to itself goes.
-        onward = move.select(F.col("vertex").alias("to"), F.col("to").alias("further"))
-        move = stash(move.join(onward, "to").select("vertex", F.col("further").alias("to")), "moves")
+        onward = first.select(F.col("vertex").alias("to"), F.col("to").alias("further"))
+        move = stash(first.join(onward, "to").select("vertex", F.col("further").alias("to")), "moves")
         moves.append(move)
         ends = [move.select(F.col("vertex").alias(c), F.col("to").alias(f"{c}_to")) for c in ("u", "v")]
-        edges = stash(
-            edges.join(ends[0], "u").join(ends[1], "v").where("u_to <> v_to").select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct(),
-            "edges",
-        )
+        rest = edges.join(ends[0], "u").join(ends[1], "v").where("u_to <> v_to").select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v"))
+        rest = stash(rest.distinct(), "edges")
+        drop(first, edges)
+        edges = rest
     if not moves:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    found = moves[-1].select("vertex", F.col("to").alias("component"))
+    drop(edges)
+    found, spent = moves[-1].select("vertex", F.col("to").alias("component")), moves[-1]
     for move in reversed(moves[:-1]):
         later = found.select(F.col("vertex").alias("to"), "component")
         found = stash(move.join(later, "to", "left").select("vertex", F.coalesce("component", "to").alias("component")), "components")
+        drop(spent, move)
+        spent = found
     return found

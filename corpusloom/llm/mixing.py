@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD_PATTERN
-from corpusloom.runtime import stash
+from corpusloom.runtime import drop, stash
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -148,7 +148,10 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     of each source come to them.
     """
     columns = documents.columns
-    found = stash(cuts(stash(sized(documents), "mix")), "cuts").select(F.col("skey").alias("_skey"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("part").alias("_part"))
+    rows = stash(sized(documents), "mix")
+    found = stash(cuts(rows), "cuts")
+    drop(rows)
+    found = found.select(F.col("skey").alias("_skey"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("part").alias("_part"))
     rows = documents.withColumns({"_size": word_count(), "_key": random_key(), "_source": source_key()})
     if found.count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(found), F.col("_source") == F.col("_skey"))

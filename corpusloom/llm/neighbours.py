@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import stash
+from corpusloom.runtime import drop, stash
 
 TABLES = 4
 LEAST_HASHES = 4
@@ -299,7 +299,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
     if hashes.probes is None:
         probes = probes.limit(0)
     result = ranked(searched(probes, index, parts, k), k)
-    return completed(result, queries, index, parts, blocks, k)
+    return completed(result, queries, index, parts, blocks, k, (rows, entries, parts))
 
 
 def searched(probes: DataFrame, index: DataFrame, parts: DataFrame, k: int) -> DataFrame:
@@ -324,12 +324,13 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: DataFrame, blocks: int, k: int) -> DataFrame:
-    """``result`` with an exact search, over all blocks of one table, for queries that found fewer than ``k``."""
+def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: DataFrame, blocks: int, k: int, written: tuple[DataFrame, ...]) -> DataFrame:
+    """``result`` with an exact search, over all blocks of one table, for queries that found fewer than ``k``; without such ones what was ``written`` goes."""
     result = stash(result, "nearest")
     have = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = stash(queries.join(have, queries["vec_id"] == have["query_id"], "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id", "vec"), "short")
     if short.isEmpty():
+        drop(*written, short)
         return result
     # Each entry is in every table once, so the blocks of the first table are all entries.
     every = short.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("query_id"), "vec", F.lit(None).cast("array<long>").alias("probes"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import held_out, sliced, text_bytes
-from corpusloom.runtime import stash
+from corpusloom.runtime import drop, stash
 
 TRAIN_POSITIVE = 4000
 TRAIN_NEGATIVE = 6000
@@ -275,8 +275,8 @@ class Net:
                 self.tables[t][used] -= RATE * total / np.sqrt(memory[used] + 1e-8)
 
 
-def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """The bounded training sample (doc_id, text, toxic), written; None without rows of both classes."""
+def labelled(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The written rows that the bounded training sample is of, and the sample (doc_id, text, toxic); None without rows of both classes."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
@@ -286,10 +286,10 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame | None:
     # The bound on the sample bounds what is sent to each executor here.
     chosen = F.broadcast(marked.where(place < share).withColumn("place", place / share))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_TEXT_BYTES).join(chosen, "doc_id")
-    rows = stash(rows, "labelled")
-    sizes = {r["toxic"]: r["size"] or 0 for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    written = stash(rows, "labelled")
+    sizes = {r["toxic"]: r["size"] or 0 for r in written.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     part = lambda c: min(1.0, TRAIN_BYTES / max(sizes.get(c, 0), 1))
-    return rows.where(F.col("place") < F.when(F.col("toxic") == 1, part(1)).otherwise(part(0))).select("doc_id", "text", "toxic")
+    return written, written.where(F.col("place") < F.when(F.col("toxic") == 1, part(1)).otherwise(part(0))).select("doc_id", "text", "toxic")
 
 
 def order_of(doc_id: int) -> int:
@@ -390,16 +390,17 @@ def best_threshold(logits: np.ndarray, wanted: np.ndarray) -> float:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Net | None:
     """Train on the sample and calibrate on a fifth of it; None without rows of both classes."""
-    chosen = labelled(documents, labels)
-    if chosen is None:
+    found = labelled(documents, labels)
+    if found is None:
         return None
-    chosen = chosen.select("doc_id", "text", "toxic")
+    written, chosen = found
     docs, n = place_counts(chosen)
     if not n.sum(0).all():
         return None
     apart = bool(n.all())
     learned = telling(docs[0], n[0]) if apart else telling(docs.sum(0), n.sum(0))
     rows = samples(chosen, learned)
+    drop(written)
     # Too few rows for parts of both classes train and calibrate alike.
     tune = [r for r in rows if r[0] % 5 == 0] if apart else rows
     train = [r for r in rows if r[0] % 5] if apart else rows

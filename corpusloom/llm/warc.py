@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import sliced
-from corpusloom.runtime import fresh_path, release_shuffles, stash
+from corpusloom.runtime import discard, fresh_path, release_shuffles, stash
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
@@ -277,7 +277,10 @@ def round_trip(pages: DataFrame, texts: bool = True) -> DataFrame:
     path = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path)
     release_shuffles(pages.sparkSession)
-    return read_archives(pages.sparkSession, path, texts)
+    found = read_archives(pages.sparkSession, path, texts)
+    # What was read is a table of its own.
+    discard(pages.sparkSession, path)
+    return found
 
 
 ORACLE = f"""

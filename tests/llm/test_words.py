@@ -372,7 +372,7 @@ def test_the_sample_is_bounded_in_bytes(spark, documents, monkeypatch):
     rng = random.Random(36)
     rows = [(i, made_language(rng, "etaoinshrdlu", 40) + (" zzbad" if i % 2 else "")) for i in range(600)] + [(10_000 + i, "zzbad " * 1000) for i in range(20)]
     marks = spark.createDataFrame([(i, int("zzbad" in t)) for i, t in rows], "doc_id long, toxic int")
-    found = toxicity.labelled(documents(rows), marks).collect()
+    found = toxicity.labelled(documents(rows), marks)[1].collect()
     sizes = [sum(len(r["text"]) for r in found if r["toxic"] == c) for c in (0, 1)]
     assert all(8_000 < n < 30_000 for n in sizes) and max(len(r["text"]) for r in found) <= 3_000
     assert toxicity.toxicity(documents([]), marks).count() == 0
