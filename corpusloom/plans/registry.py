@@ -465,11 +465,12 @@ def route_query(spark, sf_dir):
 
 TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')"
 BM25_SQL = rf"""
-toks AS (SELECT doc_id, {TOKENS_SQL} AS ws FROM documents),
+toks AS MATERIALIZED (SELECT doc_id, {TOKENS_SQL} AS ws FROM documents),
 corpus AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM toks),
-post AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM toks) GROUP BY ALL),
-raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM (SELECT term, count(*) AS df FROM post GROUP BY term), corpus),
-idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+post AS MATERIALIZED (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM toks) GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM (SELECT term, count(*) AS df FROM post GROUP BY term), corpus),
+means AS (SELECT avg(r) AS m FROM raw),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * m ELSE r END AS idf FROM raw, means),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) GROUP BY ALL),
 sc AS (
   SELECT query_id, doc_id AS id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
@@ -538,10 +539,10 @@ def bm25_topk(spark, sf_dir):
 
 #: Each category by its own statistics: ``EACH`` stands for the depth of its two lists.
 EACH_SQL = rf"""
-toks AS (SELECT doc_id, coalesce(nullif(lang, ''), 'unknown') AS cat, {TOKENS_SQL} AS ws FROM documents),
+toks AS MATERIALIZED (SELECT doc_id, coalesce(nullif(lang, ''), 'unknown') AS cat, {TOKENS_SQL} AS ws FROM documents),
 corpus AS (SELECT cat, count(*) AS n, avg(len(ws)) AS avgdl FROM toks GROUP BY cat),
-post AS (SELECT doc_id, cat, term, dl, count(*) AS tf FROM (SELECT doc_id, cat, len(ws) AS dl, unnest(ws) AS term FROM toks) GROUP BY ALL),
-raw AS (SELECT cat, term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM (SELECT cat, term, count(*) AS df FROM post GROUP BY ALL) JOIN corpus USING (cat)),
+post AS MATERIALIZED (SELECT doc_id, cat, term, dl, count(*) AS tf FROM (SELECT doc_id, cat, len(ws) AS dl, unnest(ws) AS term FROM toks) GROUP BY ALL),
+raw AS MATERIALIZED (SELECT cat, term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS r FROM (SELECT cat, term, count(*) AS df FROM post GROUP BY ALL) JOIN corpus USING (cat)),
 means AS (SELECT cat, avg(r) AS m FROM raw GROUP BY cat),
 idf AS (SELECT cat, term, df, CASE WHEN r < 0 THEN 0.25::DOUBLE * m ELSE r END AS idf FROM raw JOIN means USING (cat)),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS_SQL}) AS term FROM benchmark) GROUP BY ALL),
