@@ -13,6 +13,7 @@ from corpusloom.operators import lifecycle
 from corpusloom.plans.ingest import ingest
 from corpusloom.service import Service
 from corpusloom.sources import readers, writers
+from corpusloom.sources.pdf import extract_pdf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,7 +38,7 @@ def raw_documents(spark: SparkSession, config: readers.Config) -> DataFrame:
     """The documents of all category folders with their metadata."""
     found = None
     for category in config.categories:
-        rows = readers.read_documents(spark, f"{config.raw_dir}/{category['name']}", category["name"], category.get("jurisdiction", ""))
+        rows = readers.read_documents(spark, f"{config.raw_dir}/{category['name']}", category["name"], category.get("jurisdiction", ""), extractors={"pdf": extract_pdf})
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         raise ValueError("there are no categories")

@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Setting -> Spark's own value, ours.
+BATCH_SIZES = {
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +72,17 @@ def drop(*tables: DataFrame) -> None:
         discard(rows.sparkSession, rows._corpusloom_path)
 
 
+def size_batches(spark: SparkSession) -> None:
+    """Make the batches smaller that Spark counts in rows, as a row here can hold a whole text.
+
+    4,096 rows in the Parquet reader and 64 MB on the way to Python are, for each task, some 100 MB of buffers that stay
+    with the executor. Settings that differ from Spark's own are left alone.
+    """
+    for name, (usual, smaller) in BATCH_SIZES.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, smaller)
+
+
 def settle(spark: SparkSession) -> None:
     """Let the executors collect their garbage and give the heap back that a finished step needed.
 
@@ -136,4 +152,5 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    size_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

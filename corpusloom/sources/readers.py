@@ -66,7 +66,8 @@ def decoded(content: Column) -> Column:
 def read_documents(spark: SparkSession, raw_dir: str, category: str = "", jurisdiction: str = "", formats: tuple[str, ...] = TEXT_FORMATS, extractors: dict[str, Callable[[bytes], str]] | None = None, ordered: bool = False) -> DataFrame:
     """(source_path, source_doc, text, format, category, jurisdiction) of the files directly in a folder; none where there is no folder.
 
-    ``extractors`` reads other formats: file ending -> bytes -> text, on the executors. ``ordered`` sorts rows by name, which otherwise have no order.
+    ``extractors`` reads other formats than text: file ending -> bytes -> text, on the executors, such as
+    ``{"pdf": pdf.extract_pdf}``. ``ordered`` sorts rows by name, which otherwise have no order.
     """
     wanted = [f.lower().lstrip(".") for f in (*formats, *(extractors or {}))]
     if bad := [f for f in wanted if f not in TEXT_FORMATS and f not in (extractors or {})]:

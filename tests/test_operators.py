@@ -16,7 +16,7 @@ from corpusloom import fixed
 from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fusion, lifecycle
 from corpusloom.plans.ingest import by_model, ingest
 from corpusloom.plans.search import federated, hybrid, routed, searched
-from corpusloom.sources import readers, writers
+from corpusloom.sources import pdf, readers, writers
 from corpusloom.streaming.incremental import incremental_index
 
 
@@ -509,6 +509,24 @@ def test_pdf():
     assert data[at : at + 4] == b"xref"
 
 
+def test_pdf_texts(spark, tmp_path):
+    import zlib
+
+    lines = ["Section 1 (a) costs \\ 5", "", "last line"] * 30
+    whole = pdf.extract_pdf(writers.render_pdf(lines))
+    assert [x for x in whole.split("\n") if x] == [x for x in lines if x] and whole.count("\n\n") >= 1
+    stream = zlib.compress(b"BT /F1 12 Tf 72 700 Td [(Hel) -20 (lo) -300 (wor\\154d)] TJ T* <feff00e9> Tj ET")
+    inner = b"<< /Type /Page /Parent 2 0 R /Contents [5 0 R] >> << /Type /Pages /Kids [3 0 R] /Count 1 >>"
+    packed = b"3 0 2 50 " + inner
+    first = len(b"3 0 2 50 ")
+    made = b"%PDF-1.5\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n5 0 obj\n<< /Filter /FlateDecode /Length " + str(len(stream)).encode() + b" >>\nstream\n" + stream + b"\nendstream\nendobj\n"
+    made += b"6 0 obj\n<< /Type /ObjStm /N 2 /First " + str(first).encode() + b" >>\nstream\n" + packed + b"\nendstream\nendobj\n%%EOF"
+    assert pdf.extract_pdf(made) == "Hello world\n\u00e9"
+    assert pdf.extract_pdf(b"%PDF") == pdf.extract_pdf(b"") == ""
+    write(tmp_path / "files" / "a.pdf", made)
+    assert [r["text"] for r in readers.read_documents(spark, f"file://{tmp_path}/files", extractors={"pdf": pdf.extract_pdf}).collect()] == ["Hello world\n\u00e9"]
+
+
 def test_scratch_tables(spark):
     import os
 
