@@ -39,6 +39,8 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    # Workers go on to other tasks; what this one needed goes back first.
+    pa.default_memory_pool().release_unused()
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
