@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import compression, langid, mixing, neighbours, packing, repeats, secrets, simhash, toxicity, warc
+from corpusloom.llm import ballkmeans, compression, langid, lines, mixing, neighbours, overlaps, packing, repeats, secrets, simhash, toxicity, warc
 from corpusloom.runtime import table
 
 
@@ -61,10 +61,25 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op11_session_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales and the same client's click sessions that share hours, counted by relation."""
+    return overlaps.session_overlaps(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text without the lines of five documents or more."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of ``embeddings`` after five rounds."""
+    return ballkmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_source_mix, op3_secret_scan, op4_repeated_passages, op5_nearest_neighbours, op6_simhash, op7_warc_round_trip, op8_packing, op9_language_id, op10_compression_bands)
+    found = (op1_toxicity, op2_source_mix, op3_secret_scan, op4_repeated_passages, op5_nearest_neighbours, op6_simhash, op7_warc_round_trip, op8_packing, op9_language_id, op10_compression_bands, op11_session_overlaps, op12_line_dedup, op13_ball_kmeans)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.ORACLE, "op7_warc_round_trip": warc.ORACLE}
+    return {"op2_source_mix": mixing.ORACLE, "op7_warc_round_trip": warc.ORACLE, "op11_session_overlaps": overlaps.ORACLE, "op12_line_dedup": lines.ORACLE, "op13_ball_kmeans": ballkmeans.ORACLE}
