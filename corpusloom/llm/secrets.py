@@ -5,8 +5,11 @@ positions stay. A regular expression is tried only at the place of a hit, never
 text; runs of hexadecimal digits have no keyword and are the one kind found by a plain scan.
 Kinds that carry a checksum (or an encoded header) count only if it holds.
 
-Defined results: a null or empty text has no spans. Repeated rows are scanned one by one.
-Columns other than ``doc_id`` and ``text`` aren't read.
+Expressions take what they repeat without giving back, and a place from which nothing later can match is not tried again, so a
+scan takes time in proportion to the text, whatever it holds.
+
+Defined results: a null or empty text has no spans; a very long one is scanned whole. Repeated rows are scanned one by one. An empty table
+gives an empty one. :func:`secret_spans` reads no columns but ``doc_id`` and ``text``; :func:`redact` keeps all columns, a null or empty text as it is.
 """
 
 from __future__ import annotations
@@ -36,8 +39,9 @@ HEX_RE = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 GITHUB_RE = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM_RE = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 GRAFANA_RE = re.compile(r"glsa_([A-Za-z0-9]{32})_([0-9a-f]{8})(?![A-Za-z0-9])")
-JWT_RE = re.compile(r"(eyJ[A-Za-z0-9_-]{10,})\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{10,})")
-PEM_RE = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+JWT_RE = re.compile(r"(eyJ[A-Za-z0-9_-]{10,}+)\.(eyJ[A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]{10,}+)")
+JWT_RUN_RE = re.compile(r"[A-Za-z0-9_-]*+")
+PEM_RE = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
 WIF_RE = re.compile(r"(?<![1-9A-HJ-NP-Za-km-z])[5KL][1-9A-HJ-NP-Za-km-z]{50,51}(?![1-9A-HJ-NP-Za-km-z])")
 
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -132,6 +136,8 @@ def scan(raw: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, int, s
                 if m.start() <= last + 1 + WIF_REACH and good_wif(m[0]):
                     spans.append((m.start(), m.end(), kind))
                 reached[kind] = m.end()
+            # No later hit has to look at these starts again.
+            reached[kind] = max(reached[kind], last + 2 + WIF_REACH)
             continue
         if at < reached[kind]:
             continue
@@ -140,6 +146,9 @@ def scan(raw: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, int, s
             reached[kind] = m.end()
             if holds(m):
                 spans.append((at, m.end(), kind))
+        elif kind == "jwt" and text.startswith("eyJ", at):
+            # What follows the run of characters is the same for every later hit in it, and the run only shorter.
+            reached[kind] = JWT_RUN_RE.match(text, at).end()
     spans += [(m.start(), m.end(), "hex") for m in HEX_RE.finditer(text)]
     return sorted(spans, key=lambda s: (s[0], ORDER[s[2]]))
 

@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -413,3 +414,53 @@ def test_toxicity_on_held_out_rows(spark, documents):
 def test_held_out_follows_crc32(spark):
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) == is_held_out(r["id"]) for r in got)
+
+
+# --- secrets in long and repeated texts ---
+
+
+SLOW_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{10,})\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{10,})")
+SLOW_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
+
+
+def plain_spans(pattern, holds, text):
+    """Leftmost non-overlapping matches by the plain expression, with the test of a match."""
+    return [(m.start(), m.end()) for m in pattern.finditer(text) if holds(m)]
+
+
+PIECES = ["eyJ", "eyj", "eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOjF9", ".", "abcdefghijkl", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MAA=", "MAMCAQE=", "\n", " ", "-", "é"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_linear_expressions_find_what_the_plain_ones_do(text):
+    found = secrets.scan(text.encode(), secrets.make_automaton())
+    assert [(s, e) for s, e, kind in found if kind == "jwt"] == plain_spans(SLOW_JWT, lambda m: secrets.good_jwt(m[1]), text)
+    assert [(s, e) for s, e, kind in found if kind == "pem"] == plain_spans(SLOW_PEM, lambda m: secrets.good_pem(m[2]), text)
+
+
+HARD = {
+    "newlines behind a key's first line": "-----BEGIN PRIVATE KEY-----" + "\n" * 1_000_000, "a letter and blanks": "-----BEGIN PRIVATE KEY-----a" + " " * 1_000_000, "blanks": " " * 1_000_000, "eyJ": "eyJ" * 333_000, "eyJ and stops": "eyJabcdefghijk." * 70_000,
+    "token": "token" * 200_000, "token and blanks": "token" + " " * 1_000_000, "token=": "token=" * 170_000, "AKIA": "AKIA" * 250_000, "capitals": "-----BEGIN " + "PRIVATE KEY" * 90_000, "first lines": "-----BEGIN PRIVATE KEY-----\n" * 36_000, "wif": "wif" * 330_000, "hex": "0123456789abcdef" * 62_500,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_a_megabyte_takes_less_than_a_second(name):
+    automaton, raw = secrets.make_automaton(), HARD[name].encode()
+    began = time.process_time()
+    secrets.scan(raw, automaton)
+    assert time.process_time() - began < 1
+
+
+def test_secrets_of_long_and_repeated_rows(spark, documents):
+    key = "token=abc123 " + "y" * 2_000_000 + " password: hunter22"
+    rows = [(1, key), (1, key), (2, None), (3, ""), (4, HARD["newlines behind a key's first line"])]
+    got = sorted((r["doc_id"], r["n_assign"], r["spans"]) for r in secrets.secret_spans(documents(rows)).collect())
+    end = len(key)
+    both = f"assign:0:12,assign:{end - 18}:{end}"
+    assert got == [(1, 2, both), (1, 2, both), (2, 0, ""), (3, 0, ""), (4, 0, "")]
+    left = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in secrets.redact(documents(rows)).collect() if r["text"] is not None)
+    short = "[REDACTED] " + "y" * 2_000_000 + " [REDACTED]"
+    assert left[:2] == [(1, short, len(short))] * 2 and left[2] == (3, "", 0) and left[3][1] == rows[4][1]
+    assert secrets.secret_spans(documents([])).count() == secrets.redact(documents([])).count() == 0
