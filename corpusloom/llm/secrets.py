@@ -127,17 +127,16 @@ def scan(raw: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, int, s
     """All spans (start, end, kind) of a text in code points, ordered by start, then by kind as listed."""
     text = raw.decode("utf-8", "surrogatepass")
     lower = raw.lower().decode("utf-8", "surrogatepass")  # bytes.lower() changes A to Z only
-    spans = []
+    spans, near = [], []
     reached = dict.fromkeys(KINDS, 0)
     for last, (kind, width) in automaton.iter(lower):
         at = last + 1 - width
         if kind == "wif":
-            for m in WIF_RE.finditer(text, max(last + 1, reached[kind]), last + 1 + WIF_REACH + 52):
-                if m.start() <= last + 1 + WIF_REACH and good_wif(m[0]):
-                    spans.append((m.start(), m.end(), kind))
-                reached[kind] = m.end()
-            # No later hit has to look at these starts again.
-            reached[kind] = max(reached[kind], last + 2 + WIF_REACH)
+            # Starts that are near enough to a hit: ranges that touch are searched as one.
+            if near and last + 1 <= near[-1][1] + 1:
+                near[-1][1] = last + 1 + WIF_REACH
+            else:
+                near.append([last + 1, last + 1 + WIF_REACH])
             continue
         if at < reached[kind]:
             continue
@@ -149,6 +148,8 @@ def scan(raw: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, int, s
         elif kind == "jwt" and text.startswith("eyJ", at):
             # What follows the run of characters is the same for every later hit in it, and the run only shorter.
             reached[kind] = JWT_RUN_RE.match(text, at).end()
+    for first, final in near:
+        spans += [(m.start(), m.end(), "wif") for m in WIF_RE.finditer(text, first, final + 52) if m.start() <= final and good_wif(m[0])]
     spans += [(m.start(), m.end(), "hex") for m in HEX_RE.finditer(text)]
     return sorted(spans, key=lambda s: (s[0], ORDER[s[2]]))
 
