@@ -56,7 +56,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         writers.write_chunks(chunks, out)
         return {"chunks": readers.count_lines(spark, out), "path": out}
     if args.command == "index":
-        chunks = readers.read_chunks(spark, args.chunks)
+        chunks = readers.require_unique(readers.read_chunks(spark, args.chunks))
         manifest = lifecycle.build_or_keep(chunks, args.path, resume=True) if args.resume else lifecycle.build_index(chunks, args.path, force=args.force_rebuild)
         return {"chunks": manifest.chunk_count, "path": args.path}
     report = Service(spark, args.path, spark.createDataFrame([], "chunk_id string, text string"), lambda system, user: "", readers.read_cases(spark, args.cases)).evaluate(args.k_values)

@@ -1,4 +1,10 @@
-"""A BM25 index as tables, and top-k search for a table of queries."""
+"""A BM25 index of inverted lists as tables, and top-k search for a table of queries.
+
+Chunks are numbered in slices of ``SLICE``, in the order they come in. The list of a term is cut at slices: a block has the term's chunks of one
+slice with counts and lengths, beside the greatest count and the least length, from which any search can bound what the block adds to a score,
+whatever the average length is by then. As the blocks of all terms end at the same slices, the bounds of a query's terms add up to a bound on
+each slice's chunks with an equi-join. Blocks lie in folders by a hash of the term, sorted by term, so a search reads those of its terms.
+"""
 
 from __future__ import annotations
 
@@ -14,36 +20,57 @@ from corpusloom.runtime import stash
 SCORE_DIGITS = 6
 #: The namespace of all categories together.
 MERGED = "_merged"
-#: Rows (query, term, weight) of a block of queries up to which they are broadcast; beyond, postings and weights are shuffled by term.
+#: Rows (query, term, weight) of a block of queries, or (query, slice), up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_WEIGHTS = 500_000
+#: Chunks of a slice, as a power of two.
+SLICE_BITS = 8
+#: Folders that the terms' blocks are dealt to; within a folder's files, row groups are found by term.
+BUCKETS = 16
+#: Terms up to which a search names them to the reader of the blocks; with more, it reads all folders.
+NAMED_TERMS = 200
+#: Pairs of query and slice (as far as the index's size says) from which bounds are worth a pass of their own; the result is the same.
+PRUNE_FROM = 50_000
+#: The slices with the highest bounds, which are scored first.
+SEEDS = 2
+#: Scores are rounded, so a slice is left out only where its bound is further below.
+SLACK = 1e-5
+BLOCK_COLUMNS = ("segment", "category", "term", "slice", "most_tf", "least_dl", "ids", "tfs", "dls", "bucket")
 
 
 @dataclass
 class SparseIndex:
-    """documents(id, category, dl, terms), term_stats(namespace, term, df, idf), corpus_stats(namespace, n, avgdl).
+    """blocks(segment, category, term, slice, most_tf, least_dl, ids, tfs, dls, bucket), term_stats(namespace, term, df, idf), corpus_stats(namespace, n, avgdl).
 
-    A row of ``documents`` has all terms of a chunk with their counts. Statistics are by namespace: each category, and all together.
+    Statistics are by namespace: each category, and all together. ``gone`` (id, upto) are chunks that count no more in segments before ``upto``.
     """
 
-    documents: DataFrame
+    blocks: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    gone: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
-        """(id, category, dl, term, tf)"""
-        return self.documents.select("id", "category", "dl", F.inline("terms"))
+        """(segment, id, category, dl, term, tf)"""
+        rows = self.blocks.select("segment", "category", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return living(rows.select("segment", F.col("p.ids").alias("id"), "category", F.col("p.dls").alias("dl"), "term", F.col("p.tfs").cast("long").alias("tf")), self.gone)
 
     def save(self, path: str, mode: str = "overwrite") -> None:
+        write_blocks(self.blocks, f"{path}/blocks", mode)
         for name in ("term_stats", "corpus_stats"):
             getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
-        self.documents.write.mode(mode).partitionBy("category").parquet(f"{path}/documents")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SparseIndex:
-        documents, terms, corpus = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "term_stats", "corpus_stats"))
-        # A folder's name may look like a number.
-        return cls(documents.withColumn("category", F.col("category").cast("string")), terms, corpus)
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "term_stats", "corpus_stats")))
+
+
+def living(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Rows (segment, id) without those that a later segment has replaced or deleted."""
+    if gone is None:
+        return rows
+    later = gone.select(F.col("id").alias("_id"), "upto")
+    return rows.join(later, (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("upto")), "left_anti")
 
 
 def term_counts(text: Column) -> Column:
@@ -59,82 +86,167 @@ def term_counts(text: Column) -> Column:
     return bound(F.sort_array(tokens(F.coalesce(text, F.lit("")))), lambda words: F.when(F.size(words) > 0, counted(words)).otherwise(none))
 
 
-def document_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> DataFrame:
-    """(id, category, dl, terms): one row for each chunk, counted within the row and so without a shuffle."""
+def bucket_of(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def document_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None, keep: dict[str, str] | None = None) -> DataFrame:
+    """(id, category, dl, terms) and the columns to ``keep`` under new names: one row for each chunk, counted within the row and so without a shuffle."""
     category = F.col(category_col) if category_col else F.lit(MERGED)
-    rows = chunks.select(F.col(id_col).alias("id"), category.alias("category"), term_counts(F.col(text_col)).alias("terms"))
-    return rows.select("id", "category", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).cast("int").alias("dl"), "terms")
-
-
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id, dl, term, tf): each chunk's terms with their counts and its length."""
-    return document_terms(chunks, id_col, text_col).select("id", "dl", F.inline("terms"))
-
-
-def statistics(documents: DataFrame, merged_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """term_stats and corpus_stats of the rows of :func:`document_terms`; those of all together come from the categories'."""
-    namespace = F.lit(MERGED) if merged_only else F.col("category")
-    sizes = documents.groupBy(namespace.alias("namespace")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("words"))
-    df = documents.select(namespace.alias("namespace"), F.explode("terms.term").alias("term")).groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
-    if not merged_only:
-        sizes = stash(sizes, "sizes")
-        sizes = sizes.unionByName(sizes.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).where("n IS NOT NULL").withColumn("namespace", F.lit(MERGED)))
-        df = stash(df, "frequencies")
-        df = df.unionByName(df.groupBy("term").agg(F.sum("df").alias("df")).withColumn("namespace", F.lit(MERGED)))
-    corpus = stash(sizes.select("namespace", "n", (F.col("words") / F.col("n")).alias("avgdl")), "corpus")
-    raw = df.join(F.broadcast(corpus.select("namespace", "n")), "namespace").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = stash(raw.select("namespace", "term", "df", "raw"), "terms")
-    # One row for each namespace.
-    mean = raw.groupBy("namespace").agg(F.avg("raw").alias("mean"))
+    more = [F.col(c).alias(name) for c, name in (keep or {}).items()]
+    rows = chunks.select(F.col(id_col).alias("id"), category.alias("category"), term_counts(F.col(text_col)).alias("terms"), *more)
+    return rows.select("id", "category", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).cast("int").alias("dl"), "terms", *(keep or {}).values())
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """With ``slice``: consecutive rows of a task share one. Rows must be written before they are used, as another run may number them otherwise."""
+    return documents.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), SLICE_BITS))
+
+
+def make_blocks(documents: DataFrame, segment: int = 0) -> DataFrame:
+    """The blocks of written (id, category, dl, terms, slice) rows; a task's slices are gathered in it before the shuffle."""
+    rows = documents.select("category", "slice", "id", "dl", F.inline("terms"))
+    entry = F.struct("id", F.col("tf").cast("int").alias("tf"), "dl")
+    keys = (bucket_of("term").alias("bucket"), "category", "term", "slice")
+    found = rows.groupBy(*keys).agg(F.max("tf").cast("int").alias("most_tf"), F.min("dl").alias("least_dl"), F.sort_array(F.collect_list(entry)).alias("list"))
+    return found.select(F.lit(segment).alias("segment"), "category", "term", "slice", "most_tf", "least_dl", F.col("list.id").alias("ids"), F.col("list.tf").alias("tfs"), F.col("list.dl").alias("dls"), "bucket")
+
+
+def write_blocks(blocks: DataFrame, path: str, mode: str = "error") -> None:
+    """Large folders are split over tasks, small ones share one."""
+    rows = blocks.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "category", "slice")
+    rows.write.mode(mode).option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(path)
+
+
+def frequencies(documents: DataFrame) -> DataFrame:
+    """(namespace, term, df) of each category."""
+    return documents.select(F.col("category").alias("namespace"), F.explode("terms.term").alias("term")).groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def sizes(documents: DataFrame) -> list[tuple[str, int, int]]:
+    """(namespace, n, words) of each category."""
+    rows = documents.groupBy(F.col("category").alias("namespace")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("words"))
+    return [(r["namespace"], r["n"], r["words"]) for r in rows.collect()]
+
+
+def statistics(df: DataFrame, counts: list[tuple[str, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """term_stats and corpus_stats from written frequencies and the sizes of categories, both possibly of several segments; those of all together come from the categories'."""
+    spark, totals = df.sparkSession, {}
+    for name, n, words in counts:
+        for key in {name, MERGED}:
+            old = totals.get(key, (0, 0))
+            totals[key] = (old[0] + n, old[1] + words)
+    corpus = spark.createDataFrame([(key, n, words / n) for key, (n, words) in sorted(totals.items()) if n > 0], "namespace string, n long, avgdl double")
+    df = df.groupBy("namespace", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    df = df.unionByName(df.where(F.col("namespace") != MERGED).groupBy("term").agg(F.sum("df").alias("df")).withColumn("namespace", F.lit(MERGED)))
+    # One row for each namespace is what is broadcast here, and what comes to the driver.
+    raw = df.join(F.broadcast(corpus.select("namespace", "n")), "namespace").select("namespace", "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    means = spark.createDataFrame(raw.groupBy("namespace").agg(F.avg("raw").alias("mean")).collect(), "namespace string, mean double")
     idf = F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.join(F.broadcast(mean), "namespace").select("namespace", "term", "df", idf.alias("idf")), corpus
+    return raw.join(F.broadcast(means), "namespace").select("namespace", "term", "df", idf.alias("idf")), corpus
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> SparseIndex:
     """The index of ``chunks``, whose texts are read once. Without ``category_col`` all are one namespace."""
-    documents = stash(document_terms(chunks, id_col, text_col, category_col), "documents")
-    return SparseIndex(documents, *statistics(documents, category_col is None))
+    documents = stash(numbered(document_terms(chunks, id_col, text_col, category_col)), "documents")
+    terms, corpus = statistics(stash(frequencies(documents), "frequencies"), sizes(documents))
+    return SparseIndex(stash(make_blocks(documents), "blocks"), stash(terms, "terms"), corpus)
+
+
+def query_weights(index: SparseIndex, wanted: DataFrame, namespace: str, each: bool) -> DataFrame:
+    """(namespace, query_id, term, weight, avgdl, n) of the queries' terms that the index has."""
+    own = F.col("namespace") != MERGED if each else F.col("namespace") == namespace
+    average = F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0)).alias("avgdl")
+    lengths = index.corpus_stats.where(own).select("namespace", average, "n")
+    return index.term_stats.where(own).join(wanted, "term").join(lengths, "namespace").select("namespace", "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl", "n")
 
 
-def write(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> None:
-    """The index of ``chunks`` below ``path``, as :meth:`SparseIndex.load` reads it."""
-    spark = chunks.sparkSession
-    document_terms(chunks, id_col, text_col, category_col).write.mode("overwrite").partitionBy("category").parquet(f"{path}/documents")
-    terms, corpus = statistics(spark.read.parquet(f"{path}/documents"), category_col is None)
-    terms.write.mode("overwrite").parquet(f"{path}/term_stats")
-    corpus.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+def part(weight: str, tf: str, dl: str) -> Column:
+    """What a term adds to the score of a chunk; it grows with ``tf`` and shrinks with ``dl``."""
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    return F.col(weight) * (F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl"))))
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What is known of the weights of a search: rows, folders and number of terms, and about how many pairs of query and slice there can be."""
+
+    rows: int
+    terms: int
+    buckets: tuple[int, ...]
+    pairs: int
+
+
+def facts(weights: DataFrame) -> Asked:
+    got = weights.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("term").alias("terms"), F.countDistinct("query_id").alias("queries"), F.countDistinct("namespace").alias("spaces"), F.max("n").alias("n"), F.collect_set(bucket_of("term")).alias("buckets")).first()
+    slices = ((got["n"] or 0) >> SLICE_BITS) + 1
+    return Asked(got["rows"], got["terms"], tuple(sorted(got["buckets"])), got["queries"] * got["spaces"] * slices)
+
+
+def asked_blocks(index: SparseIndex, weights: DataFrame, asked: Asked, namespace: str, each: bool) -> DataFrame:
+    """The blocks of the asked terms, named to the reader where they are few, with the namespace they count for."""
+    blocks = index.blocks.where(F.col("bucket").isin(*asked.buckets)) if len(asked.buckets) < BUCKETS else index.blocks
+    if not each and namespace != MERGED:
+        blocks = blocks.where(F.col("category") == namespace)
+    if asked.terms <= NAMED_TERMS:
+        blocks = blocks.where(F.col("term").isin(sorted(r["term"] for r in weights.select("term").distinct().collect())))
+    return blocks.withColumn("namespace", F.col("category") if each else F.lit(namespace))
+
+
+def within(rows: DataFrame, few: DataFrame, count: int, keys: list[str], how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(few) if count <= BROADCAST_WEIGHTS else few, keys, how)
+
+
+def scored(blocks: DataFrame, weights: DataFrame, count: int, gone: DataFrame | None, pairs: DataFrame | None = None, n_pairs: int = 0) -> DataFrame:
+    """(query_id, namespace, id, category, score) of the blocks, with ``pairs`` (namespace, query_id, segment, slice) of those alone.
+
+    Blocks are shuffled once, by slice, before they meet the queries: a chunk's scores for all queries come about in one task.
+    """
+    if pairs is not None:
+        blocks = within(blocks, pairs.select("segment", "slice").distinct(), n_pairs, ["segment", "slice"], "left_semi")
+    if count <= BROADCAST_WEIGHTS:
+        blocks = within(blocks, weights.select("namespace", "term").distinct(), count, ["namespace", "term"], "left_semi").repartition("segment", "slice")
+    rows = within(blocks, weights, count, ["namespace", "term"])
+    if pairs is not None:
+        rows = within(rows, pairs, n_pairs, ["namespace", "query_id", "segment", "slice"], "left_semi")
+    rows = rows.select("query_id", "namespace", "segment", "slice", "category", "weight", "avgdl", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+    rows = rows.select("query_id", "namespace", "segment", "slice", "category", F.col("p.ids").alias("id"), part("weight", "p.tfs", "p.dls").alias("part"))
+    found = rows.groupBy("query_id", "namespace", "segment", "slice", "id", "category").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")).where("score > 0")
+    return living(found, gone)
+
+
+def reachable(blocks: DataFrame, weights: DataFrame, count: int, gone: DataFrame | None, k: int) -> tuple[DataFrame, int]:
+    """(namespace, query_id, segment, slice) of slices that can hold one of a query's ``k`` best, and how many.
+
+    A slice's bound is the sum of its blocks' bounds. The ``k``-th best score in the slices with the highest bounds is one that the result
+    can't fall below, so slices bounded by less are left out. A weight below zero (in an index of few chunks) adds nothing to a bound.
+    """
+    heads = within(blocks.select("segment", "namespace", "term", "slice", "most_tf", "least_dl"), weights, count, ["namespace", "term"])
+    bounds = heads.groupBy("namespace", "query_id", "segment", "slice").agg(F.sum(F.greatest(part("weight", "most_tf", "least_dl"), F.lit(0.0))).alias("bound"))
+    bounds = stash(bounds, "slice-bounds")
+    n = bounds.count()
+    place = F.row_number().over(Window.partitionBy("namespace", "query_id").orderBy(F.desc("bound"), "segment", "slice"))
+    seeds = stash(bounds.withColumn("place", place).where(F.col("place") <= SEEDS).drop("place", "bound"), "seed-slices")
+    first = top(scored(blocks, weights, count, gone, seeds, n), k, ("namespace", "query_id")).where(F.col("rank0") == k - 1)
+    least = first.select("namespace", "query_id", F.col("score").alias("floor"))
+    kept = bounds.join(least, ["namespace", "query_id"], "left").where(F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")))
+    kept = stash(kept.select("namespace", "query_id", "segment", "slice"), "slices")
+    return kept, kept.count()
 
 
 def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_id: str = "query_id", text_col: str = "text", namespace: str = MERGED, each: bool = False) -> DataFrame:
     """(query_id, id, category, score, rank0): the ``k`` best of each query with a positive score. A repeated word counts each time.
 
     ``namespace`` searches one category by its own statistics, ``each`` every category by its own: ``k`` of each.
-    Where the terms of the queries are few enough, postings are filtered by them where they are read; what remains is
-    shuffled by chunk once, so that a chunk's scores for all queries come about in one task, which passes on its ``k`` best.
+    Only blocks of the queries' terms are read, and only those of slices that can reach a query's result are scored.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    stats, rows = index.term_stats, index.documents
-    if each:
-        stats = stats.where(F.col("namespace") != MERGED)
-    else:
-        stats = stats.where(F.col("namespace") == namespace)
-        if namespace != MERGED:
-            rows = rows.where(F.col("category") == namespace)
-    weights = stash(stats.join(wanted, "term").select("namespace", "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
-    own = F.col("category") if each else F.lit(namespace)
-    k1, b = fixed.BM25_K1, fixed.BM25_B
-    hits = rows.select("id", "category", "dl", F.inline("terms")).withColumn("namespace", own)
-    if weights.count() <= BROADCAST_WEIGHTS:
-        hits = hits.join(F.broadcast(weights.select("namespace", "term").distinct()), ["namespace", "term"], "left_semi").repartition("id")
-        hits = hits.join(F.broadcast(weights), ["namespace", "term"])
-    else:
-        hits = hits.join(weights, ["namespace", "term"]).repartition("id")
-    lengths = {r["namespace"]: r["avgdl"] or 1.0 for r in index.corpus_stats.collect()} if each else {namespace: (index.corpus_stats.where(F.col("namespace") == namespace).first() or {"avgdl": 1.0})["avgdl"] or 1.0}
-    average = F.element_at(F.create_map(*(F.lit(x) for pair in lengths.items() for x in pair)), F.col("namespace")) if len(lengths) > 1 else F.lit(next(iter(lengths.values()), 1.0))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / average)
-    part = F.col("weight") * (F.col("tf") * (k1 + 1) / norm)
-    scored = hits.groupBy("query_id", "id", "category").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).where("score > 0")
-    return top(scored, k, ("query_id", "category") if each else ("query_id",))
+    weights = stash(query_weights(index, wanted, namespace, each), "weights")
+    asked = facts(weights)
+    blocks = asked_blocks(index, weights, asked, namespace, each)
+    slices = reachable(blocks, weights, asked.rows, index.gone, k) if asked.pairs >= PRUNE_FROM else ()
+    found = scored(blocks, weights, asked.rows, index.gone, *slices)
+    return top(found.select("query_id", "id", "category", "score"), k, ("query_id", "category") if each else ("query_id",))
 
 
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed
 from corpusloom.functions import labels
 from corpusloom.functions.text import blank_to_null, excerpt, strip
+from corpusloom.operators.texts import TextStore
 
 SYSTEM_PROMPT = (
     "Answer legal questions from the supplied evidence only. Cite passages by their labels in square brackets, such as [S1]. "
@@ -20,8 +21,13 @@ NO_MODEL = "no model gave an answer"
 METADATA = ("category", "source_doc", "court", "date", "section", "heading")
 
 
-def lookup(ids: DataFrame, chunks: DataFrame, order: str | None = None) -> DataFrame:
-    """The chunks of the distinct ids in ``ids``; unknown ids drop out. With ``order``, a column of ``ids``, ``place`` is an id's first place in it."""
+def lookup(ids: DataFrame, chunks: DataFrame | TextStore, order: str | None = None) -> DataFrame:
+    """The chunks of the distinct ids in ``ids``; unknown ids drop out. With ``order``, a column of ``ids``, ``place`` is an id's first place in it.
+
+    A store of texts is read at the ids alone, a table of chunks whole.
+    """
+    if isinstance(chunks, TextStore):
+        chunks = chunks.lookup(ids)
     if order:
         return chunks.join(ids.groupBy(F.col("id").alias("chunk_id")).agg(F.min(order).alias("place")), "chunk_id")
     return chunks.join(ids.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
@@ -33,8 +39,10 @@ def filled(value: Column, other: Column, kind: str) -> Column:
     return F.coalesce(own, other)
 
 
-def gather(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def gather(hits: DataFrame, chunks: DataFrame | TextStore) -> DataFrame:
     """Hits with their chunks' columns; what the chunk leaves empty comes from the hit. Hits without text drop out."""
+    if isinstance(chunks, TextStore):
+        chunks = chunks.lookup(hits)
     shared = [c for c in hits.columns if c in chunks.columns]
     other = chunks.select(F.col("chunk_id").alias("id"), *(F.col(c).alias(f"_{c}") if c in shared else F.col(c) for c in chunks.columns if c != "chunk_id"))
     rows = hits.join(other, "id")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
-from corpusloom.functions.text import namespace
-from corpusloom.operators import bm25, dense
-from corpusloom.runtime import discard, path_exists
+from corpusloom.operators import bm25, dense, fingerprints, segments
+from corpusloom.operators.texts import TextStore
+from corpusloom.runtime import path_exists, stash
 
 INDEX_VERSION = "1"
 LEAST_CHUNKS = 10
@@ -39,33 +41,25 @@ class Manifest:
 
 def corpus_fingerprint(chunks: DataFrame) -> str:
     """A fingerprint of the rows, whatever their order: exclusive-or and sum of row hashes, and the count."""
-    simple = lambda c, kind: F.to_json(F.col(c)) if kind.startswith(("array", "struct", "map")) else F.col(c).cast("string")
-    row = F.concat_ws("\x1f", *(F.coalesce(simple(c, kind), F.lit("\x1e")) for c, kind in sorted(chunks.dtypes)))
-    hashed = F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("long")
-    got = chunks.select(hashed.alias("h")).agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return hashlib.sha256(f"{got['x']}/{got['s']}/{got['n']}".encode()).hexdigest()
+    return fingerprints.of_rows(chunks)[0]
 
 
 def config_fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
 
 
-def manifest_of(chunks: DataFrame, model: str, with_summary: bool) -> Manifest:
+def manifest_of(chunks: DataFrame | None, model: str, with_summary: bool, known: tuple[str, int] | None = None) -> Manifest:
+    """The manifest of an index of ``chunks``; where fingerprint and number of the rows are ``known``, no row is read."""
     prefix = fixed.DOCUMENT_PREFIX if "nomic" in model else ""
     config = {"embedding_model": model, "sac_enabled": with_summary, "document_prefix": prefix, "index_version": INDEX_VERSION}
-    return Manifest(corpus_fingerprint(chunks), config_fingerprint(config), model, with_summary, prefix, INDEX_VERSION, chunks.count())
-
-
-def write_manifest(spark: SparkSession, manifest: Manifest, path: str) -> None:
-    spark.createDataFrame([(json.dumps(asdict(manifest), sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    found, count = known or fingerprints.of_rows(chunks)
+    return Manifest(found, config_fingerprint(config), model, with_summary, prefix, INDEX_VERSION, count)
 
 
 def read_manifest(spark: SparkSession, path: str) -> Manifest | None:
-    """The stored manifest, None where there is none."""
-    if not path_exists(spark, path):
-        return None
-    rows = spark.read.text(path).collect()
-    return Manifest(**json.loads(rows[0]["value"])) if rows else None
+    """The manifest of the index below ``path``, None where there is none."""
+    snapshot = segments.latest(spark, path)
+    return Manifest(**snapshot.manifest) if snapshot else None
 
 
 def is_fresh(stored: Manifest | None, wanted: Manifest) -> bool:
@@ -87,69 +81,104 @@ def store_projection(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class StoredIndex:
-    """A built index read back: store (chunks without texts), vectors (id, embedding, category), sparse index, manifest."""
+    """A built index read back: vectors (id, embedding, category), sparse index, texts by id, manifest."""
 
-    store: DataFrame
     vectors: DataFrame
     sparse: bm25.SparseIndex
+    texts: TextStore
     manifest: Manifest
+    snapshot: segments.Snapshot
 
-
-def vectors_path(path: str, model: str, with_summary: bool) -> str:
-    return f"{path}/{namespace('dense', model, with_summary)}"
+    @property
+    def store(self) -> DataFrame:
+        """The chunks without their texts, one row for each id; of the files with the texts, the other columns alone are read."""
+        return self.texts.rows().drop("text", "original_text")
 
 
-def build_index(chunks: DataFrame, path: str, model: str = "hashing", with_summary: bool = False, make_encoder=dense.hashing_encoder, force: bool = False) -> Manifest:
-    """Write store, vectors, terms and statistics of each category and of all together below ``path``.
+def build_index(
+    chunks: DataFrame, path: str, model: str = "hashing", with_summary: bool = False, make_encoder=dense.hashing_encoder, force: bool = False, known: tuple[str, int] | None = None, files: str | None = None,
+) -> Manifest:
+    """A snapshot below ``path`` with all ``chunks`` in one segment: store, vectors, texts, terms and statistics of each category and of all together.
 
-    Vectors and terms are written once, partitioned by category; all together reads all partitions, only its
-    statistics are its own. An index that is fresh is left alone, and vectors are kept where the chunks' ids
-    and the embedding are the same, whatever else changed.
+    An index that is fresh is left alone, and texts that the last snapshot has vectors of, under the same model and prefix, are not
+    encoded again, whatever else changed. Who reads the last snapshot goes on reading it; if another builder makes a snapshot
+    meanwhile, :class:`segments.ConcurrentBuildError` says so. ``known`` is as in :func:`manifest_of`.
     """
     spark = chunks.sparkSession
-    wanted = manifest_of(chunks, model, with_summary)
+    wanted = manifest_of(chunks, model, with_summary, known)
     if wanted.chunk_count < LEAST_CHUNKS:
         raise ValueError(f"{wanted.chunk_count} chunks are fewer than {LEAST_CHUNKS}")
-    stored = read_manifest(spark, f"{path}/manifest")
-    if not force and is_fresh(stored, wanted):
+    last = segments.latest(spark, path)
+    if not force and last is not None and is_fresh(Manifest(**last.manifest), wanted):
         return wanted
-    rows = chunks.withColumn("category", F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("unknown")))
-    cached = not force and stored is not None and same_vectors(spark, rows, path, stored, wanted)
-    # An index that is broken off here has no manifest, and is built again.
-    discard(spark, f"{path}/manifest")
-    store_projection(rows).write.mode("overwrite").partitionBy("category").parquet(f"{path}/store")
-    if not cached:
-        vectors = dense.embed(rows, "chunk_id", "text", make_encoder, wanted.document_prefix, keep=("category",))
-        vectors.write.mode("overwrite").partitionBy("category").parquet(vectors_path(path, model, with_summary))
-    bm25.write(rows, f"{path}/sparse", category_col="category")
-    write_manifest(spark, wanted, f"{path}/manifest")
+    have = None if force or last is None else segments.open_snapshot(spark, path, last).vectors
+    made, (x, s, n) = segments.write_segment(chunks, path, model, wanted.document_prefix, make_encoder, known=have)
+    statistics = segments.write_statistics(spark, path, (made,))
+    segments.commit(spark, path, segments.Snapshot(last.number + 1 if last else 1, (made,), asdict(wanted), rows=(str(x), str(s), n), files=files, **statistics))
     return wanted
 
 
-def same_vectors(spark: SparkSession, rows: DataFrame, path: str, stored: Manifest, wanted: Manifest) -> bool:
-    """Whether the stored vectors are those of the chunks' ids and the same embedding."""
-    if (stored.embedding_model, stored.sac_enabled, stored.document_prefix, stored.chunk_count) != (wanted.embedding_model, wanted.sac_enabled, wanted.document_prefix, wanted.chunk_count):
-        return False
-    there = spark.read.parquet(vectors_path(path, wanted.embedding_model, wanted.sac_enabled)).select("id", "category")
-    ids = rows.select(F.col("chunk_id").alias("id"), "category")
-    return corpus_fingerprint(there) == corpus_fingerprint(ids)
+def build_from_files(spark: SparkSession, source: str, read: Callable[[list[str]], DataFrame], path: str, **options) -> Manifest:
+    """:func:`build_index` of what ``read`` makes of the files below ``source``.
+
+    What is known of each file is kept beside the index, so a check that finds no new file reads none.
+    """
+    last = segments.latest(spark, path)
+    kept = spark.read.parquet(f"{path}/files/{last.files}") if last is not None and last.files else None
+    parts = stash(fingerprints.of_files(spark, source, read, kept), "files")
+    known = fingerprints.of_parts(parts)
+    wanted = manifest_of(None, options.get("model", "hashing"), options.get("with_summary", False), known)
+    if last is not None and not options.get("force") and is_fresh(Manifest(**last.manifest), wanted):
+        return wanted
+    name = uuid.uuid4().hex
+    parts.write.parquet(f"{path}/files/{name}")
+    return build_index(read([source]), path, known=known, files=name, **options)
+
+
+def update_index(chunks: DataFrame, path: str, deleted: DataFrame | None = None, model: str = "hashing", with_summary: bool = False, make_encoder=dense.hashing_encoder, batch: int | None = None) -> Manifest:
+    """A snapshot with ``chunks`` added to the last one, in place of its chunks of the same ids, and without the ids in ``deleted`` (id).
+
+    What is written grows with the chunks given, not with the index (but for its statistics, and for merging). An id given twice is an error.
+    ``batch`` numbers the updates of a stream: one that the snapshot has already is passed over.
+    """
+    spark, last = chunks.sparkSession, segments.latest(chunks.sparkSession, path)
+    if last is not None and batch is not None and batch <= last.batch:
+        return Manifest(**last.manifest)
+    twice = chunks.groupBy("chunk_id").count().where("count > 1 OR chunk_id IS NULL").select("chunk_id").limit(3).collect()
+    if twice:
+        raise ValueError("chunk ids given twice, or missing: " + ", ".join(str(r["chunk_id"]) for r in twice))
+    like = manifest_of(None, model, with_summary, ("", 0))
+    base = segments.open_snapshot(spark, path, last) if last is not None else None
+    if last is not None and last.manifest["config_fingerprint"] != like.config_fingerprint:
+        raise IndexStaleError("the index was built with another configuration")
+    made, (x, s, n) = segments.write_segment(chunks, path, model, like.document_prefix, make_encoder, base, deleted, base.vectors if base else None)
+    before = last.rows if last is not None else ("0", "0", 0)
+    x, s, n = int(before[0]) ^ x, int(before[1]) + s, before[2] + n
+    parts = (*(last.segments if last is not None else ()), made)
+    while (start := segments.to_merge(parts)) is not None:
+        parts = segments.merge(spark, path, parts, start)
+    wanted = manifest_of(None, model, with_summary, (fingerprints.combined(x if n else None, s if n else None, n), n))
+    statistics = segments.write_statistics(spark, path, parts)
+    segments.commit(spark, path, segments.Snapshot(last.number + 1 if last else 1, parts, asdict(wanted), rows=(str(x), str(s), n), batch=batch if batch is not None else last.batch if last else -1, **statistics))
+    return wanted
 
 
 def load_index(spark: SparkSession, path: str, wanted: Manifest | None = None) -> StoredIndex:
-    """The index that :func:`build_index` wrote below ``path``; with ``wanted`` one that differs from it is an error."""
-    manifest = read_manifest(spark, f"{path}/manifest")
-    if manifest is None:
+    """The last snapshot below ``path``; with ``wanted`` one that differs from it is an error."""
+    last = segments.latest(spark, path)
+    if last is None:
         raise IndexStaleError("there is no index")
+    manifest = Manifest(**last.manifest)
     if wanted is not None:
         require_fresh(manifest, wanted)
-    vectors = spark.read.parquet(vectors_path(path, manifest.embedding_model, manifest.sac_enabled))
-    return StoredIndex(spark.read.parquet(f"{path}/store"), vectors, bm25.SparseIndex.load(spark, f"{path}/sparse"), manifest)
+    got = segments.open_snapshot(spark, path, last)
+    return StoredIndex(got.vectors.select("id", "embedding", "category"), got.sparse, got.texts, manifest, last)
 
 
 def build_or_keep(chunks: DataFrame, path: str, resume: bool = False, **options) -> Manifest:
     """:func:`build_index` that never overwrites a complete index of another corpus; ``resume`` needs one begun before."""
     spark = chunks.sparkSession
-    stored = read_manifest(spark, f"{path}/manifest")
+    stored = read_manifest(spark, path)
     if stored is not None:
         wanted = manifest_of(chunks, options.get("model", "hashing"), options.get("with_summary", False))
         require_fresh(stored, wanted)

@@ -18,10 +18,10 @@ from corpusloom.functions import labels as L
 from corpusloom.functions import summary as S
 from corpusloom.functions import text as T
 from corpusloom.functions import understanding as U
-from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fusion, lifecycle
+from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fingerprints, fusion, lifecycle
 from corpusloom.plans import search
 from corpusloom.plans.ingest import ingest
-from corpusloom.runtime import fresh_path, shared_dir, stash, table
+from corpusloom.runtime import fresh_path, remember, shared_dir, stash, table
 from corpusloom.sources import readers, writers
 from corpusloom.streaming.incremental import incremental_index
 
@@ -496,15 +496,16 @@ HYBRID_SQL = BM25_SQL.replace("{k}", "50") + "," + EMBED_SQL.replace("{{k}}", "5
 RELEVANT_SQL = "relevant AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def indexed_chunks(spark, sf_dir) -> DataFrame:
-    """The documents as chunks, their language as category."""
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("category"), F.col("source").alias("source_doc"), F.col("lang").alias("jurisdiction"))
+def as_chunks(rows: DataFrame) -> DataFrame:
+    """Documents as chunks, their language as category."""
+    return rows.select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("category"), F.col("source").alias("source_doc"), F.col("lang").alias("jurisdiction"))
 
 
 def stored_index(spark, sf_dir) -> lifecycle.StoredIndex:
-    """The index of the documents, read back from the shared folder. An application builds it there once, and again where the documents have changed."""
+    """The index of the documents, read back from the shared folder. An application builds it there once, and again where the documents' files have changed."""
     path = f"{shared_dir(spark)}/corpusloom/index-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
-    manifest = lifecycle.build_index(indexed_chunks(spark, sf_dir), path)
+    remember(spark, path)
+    manifest = lifecycle.build_from_files(spark, f"{sf_dir}/documents.parquet", lambda files: as_chunks(spark.read.parquet(*files)), path)
     return lifecycle.load_index(spark, path, manifest)
 
 
@@ -763,8 +764,9 @@ def related_cases(spark, sf_dir):
 
 @register(f"WITH {HYBRID_SQL} SELECT doc_id AS chunk_id, length(text) AS chars, place FROM documents JOIN (SELECT id, min(rank0) AS place FROM hybrid GROUP BY id) ON doc_id = id")
 def text_lookup(spark, sf_dir):
-    chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.length("text").cast("long").alias("chars"))
-    return evidence.lookup(hybrid_hits(spark, sf_dir), chunks, "rank0")
+    """Texts read from the stored index at the ids of the hits."""
+    found = evidence.lookup(stash(hybrid_hits(spark, sf_dir), "hits"), stored_index(spark, sf_dir).texts, "rank0")
+    return found.select("chunk_id", F.length("text").cast("long").alias("chars"), "place")
 
 
 STRIPPED_SQL = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -945,6 +947,15 @@ def corpus_fingerprint(spark, sf_dir):
     return spark.range(1).select(F.lit(lifecycle.corpus_fingerprint(documents(spark, sf_dir))).alias("fingerprint"))
 
 
+@register(REGISTERED["corpus_fingerprint"][1])
+def corpus_fingerprint_by_files(spark, sf_dir):
+    """The same, put together from what is known of each file; the second time nothing is read."""
+    source, read = f"{sf_dir}/documents.parquet", lambda files: spark.read.parquet(*files)
+    known = stash(fingerprints.of_files(spark, source, read), "files")
+    again = fingerprints.of_files(spark, source, lambda files: 1 / 0, known)
+    return spark.range(1).select(F.lit(fingerprints.of_parts(again)[0]).alias("fingerprint"))
+
+
 @register("SELECT DISTINCT source || '/' || lang AS chunk_id, lang AS category FROM documents")
 def store_projection(spark, sf_dir):
     rows = documents(spark, sf_dir).select(F.concat("source", F.lit("/"), "lang").alias("chunk_id"), F.col("lang").alias("category"), "text", F.col("text").alias("original_text"))
@@ -1069,23 +1080,39 @@ def chat_response(spark, sf_dir):
     )
 
 
-def incremental(spark, sf_dir) -> str:
-    """Where an index was built from chunk files as they arrived, two at a time."""
+def incremental(spark, sf_dir) -> lifecycle.StoredIndex:
+    """An index built from chunk files as they arrived, two at a time."""
     path = fresh_path(spark, "incremental")
+    remember(spark, path)
     rows = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("lang").alias("category"))
     writers.write_chunks(rows.repartition(4), f"{path}/chunks")
     incremental_index(spark, f"{path}/chunks", f"{path}/index", files_per_batch=2).awaitTermination()
-    return f"{path}/index"
+    return lifecycle.load_index(spark, f"{path}/index")
 
 
 @register(f"WITH {BM25_SQL.replace('{k}', '10')} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY term")
 def incremental_postings(spark, sf_dir):
-    return spark.read.parquet(f"{incremental(spark, sf_dir)}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return incremental(spark, sf_dir).sparse.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @register(f"WITH {EMBED_SQL.replace('{{k}}', '10')} SELECT CAST(key AS VARCHAR) AS id, count(*) AS places, round(sum(w), 5) AS total, round(max(w), 5) AS most FROM hv WHERE kind = 'd' GROUP BY key")
 def incremental_vectors(spark, sf_dir):
-    return weights_of(spark.read.parquet(f"{incremental(spark, sf_dir)}/vectors"), "id").where("places > 0")
+    return weights_of(incremental(spark, sf_dir).vectors, "id").where("places > 0")
+
+
+@register(f"WITH {BM25_SQL.replace('{k}', '10').replace('FROM documents', 'FROM (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 3)')} SELECT query_id, id, score, rank0 FROM sparse")
+def updated_bm25_topk(spark, sf_dir):
+    """Searched after three updates: two of all documents by turns, some with other texts than theirs; then those replaced and others deleted."""
+    path = fresh_path(spark, "updated")
+    remember(spark, path)
+    n, rows = F.col("doc_id"), documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("category"))
+    chunks = rows.select(n.alias("chunk_id"), "category", F.when(n % 5 == 1, F.concat_ws(" ", "text", "text", F.lit("draft"))).otherwise(F.col("text")).alias("text"), "doc_id")
+    lifecycle.update_index(chunks.where(n % 2 == 0).drop("doc_id"), path)
+    lifecycle.update_index(chunks.where(n % 2 == 1).drop("doc_id"), path)
+    final = rows.where((n % 5 == 1) & (n % 7 != 3)).select(n.alias("chunk_id"), "category", "text")
+    lifecycle.update_index(final, path, deleted=rows.where(n % 7 == 3).select(n.alias("id")))
+    index = lifecycle.load_index(spark, path)
+    return bm25.search(index.sparse, benchmark_queries(spark, sf_dir), 10).select("query_id", "id", "score", "rank0")
 
 
 @register(rf"""

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return rows
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """Count ``path`` among the session's scratch, for :func:`clear`."""
+    if path not in _written(spark):
+        _written(spark).append(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of :func:`stash` that nothing reads any more: all that was made of them has been written."""
     for rows in tables:
@@ -150,6 +157,56 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def list_names(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, time of change in ms) of what lies directly below ``path``; none where there is nothing."""
+    files, place = _file_system(spark, path)
+    return sorted((s.getPath().getName(), s.getModificationTime()) for s in files.listStatus(place)) if files.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    files, place = _file_system(spark, path)
+    stream = files.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, unless there is one: of several who try at once only one is told True.
+
+    The file is written under another name and renamed, which Hadoop's file system refuses where the name is taken; a local file
+    is linked instead, as a local rename would replace it. Object stores whose rename isn't atomic need a file system that makes it so.
+    """
+    files, place = _file_system(spark, path)
+    jvm = spark.sparkContext._jvm
+    draft = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    try:
+        if files.getUri().getScheme() == "file":
+            paths = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (place, draft)]
+            try:
+                jvm.java.nio.file.Files.createLink(*paths)
+                return True
+            except Py4JJavaError as error:
+                if "FileAlreadyExists" in str(error.java_exception):
+                    return False
+                raise
+        return not files.exists(place) and files.rename(draft, place)
+    finally:
+        files.delete(draft, False)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     size_batches(spark)

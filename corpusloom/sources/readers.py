@@ -19,6 +19,8 @@ CHUNK_SCHEMA = (
     "section string, parent string, heading string, hierarchy_path array<string>, cites array<struct<category:string,doc:string,section:string>>, start_offset int, end_offset int, "
     "sac_applied boolean, contract_meta struct<parties:array<string>,effective_date:string,governing_law:string,internal_refs:array<string>>"
 )
+#: Where a line is kept that can't be read.
+CORRUPT = "_corrupt_record"
 DOCUMENT_SCHEMA = "source_path string, source_doc string, text string, format string, category string, jurisdiction string"
 CASE_SCHEMA = "query string, relevant_ids array<string>, category string, expected_evidence string, source_doc string"
 JUDGMENT_FIELDS = ("Text", "Doc_url", "Titles", "Court_Name_Normalized", "Court_Name", "Date", "date")
@@ -210,8 +212,25 @@ def read_shards(spark: SparkSession, open_shard: Callable[[int], Iterator[dict]]
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines, blank lines passed over."""
-    return spark.read.schema(CHUNK_SCHEMA).json(path).where(F.col("chunk_id").isNotNull())
+    """Chunks from JSON lines, blank lines passed over.
+
+    A line that isn't a JSON object, or has no chunk_id, stops the job that reads it with an error that has its file and its beginning.
+    Ids given twice are found by :func:`require_unique`, which needs a pass over all ids.
+    """
+    rows = spark.read.schema(f"{CHUNK_SCHEMA}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    told = F.concat(F.lit("not a chunk, in "), F.col("_metadata.file_path"), F.lit(": "), F.coalesce(F.substring(CORRUPT, 1, 200), F.lit("no chunk_id")))
+    wrong = F.col(CORRUPT).isNotNull() | F.col("chunk_id").isNull() | (F.col("chunk_id") == "")
+    blank = F.coalesce(T.strip(F.col(CORRUPT)) == "", F.lit(False))
+    # A filter of the rows, so that no plan leaves the check out.
+    return rows.where(F.when(blank & F.col("chunk_id").isNull(), False).when(wrong, F.raise_error(told).cast("boolean")).otherwise(True)).drop(CORRUPT)
+
+
+def require_unique(chunks: DataFrame) -> DataFrame:
+    """``chunks`` themselves, after a pass over their ids; one given twice is an error."""
+    twice = chunks.groupBy("chunk_id").count().where("count > 1").select("chunk_id").limit(3).collect()
+    if twice:
+        raise ValueError("chunk ids given twice: " + ", ".join(str(r["chunk_id"]) for r in twice))
+    return chunks
 
 
 def count_lines(spark: SparkSession, path: str) -> int:
