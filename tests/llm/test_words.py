@@ -464,3 +464,49 @@ def test_secrets_of_long_and_repeated_rows(spark, documents):
     short = "[REDACTED] " + "y" * 2_000_000 + " [REDACTED]"
     assert left[:2] == [(1, short, len(short))] * 2 and left[2] == (3, "", 0) and left[3][1] == rows[4][1]
     assert secrets.secret_spans(documents([])).count() == secrets.redact(documents([])).count() == 0
+
+
+# --- compression in other scripts and long texts ---
+
+#: Plain prose made up for these tests.
+PROSE = {
+"zh":"春天来了，院子里的老槐树又长出了嫩绿的新叶。每天清晨，邻居家的孩子们背着书包从树下跑过，笑声惊起了几只麻雀。祖父坐在门口的竹椅上，一边喝茶一边翻看昨天的报纸，偶尔抬起头来望望天空。他常说，这棵树比他还要年长，见过许多人出生，也送走了许多人。夏天的夜晚，大家搬出小凳子围坐在树荫下乘凉，老人讲起从前赶集的故事，说那时候进一趟城要走整整一天的山路，带上干粮和水壶，天不亮就得出发。孩子们听得入迷，总要追问后来怎么样了。秋风一起，叶子慢慢变黄，落满了石板路，母亲便拿着扫帚一下一下地扫，扫成一堆，留着冬天生火。到了下雪的日子，树枝上挂满了白色的冰花，远远看去像一幅水墨画。后来村里修了新公路，许多年轻人搬到城里工作，只有过年的时候才回来看看。可是无论走多远，大家总会记得那棵槐树和树下的时光。",
+"ko":"봄이 오면 마을 앞 들판에는 노란 유채꽃이 가득 피어난다. 아이들은 학교가 끝나면 가방을 내려놓고 곧장 개울가로 달려가 작은 물고기를 잡으며 놀았다. 할머니는 툇마루에 앉아 나물을 다듬으시면서 지나가는 이웃들과 인사를 나누셨다. 여름이 되면 마당에 멍석을 깔고 온 가족이 둘러앉아 수박을 먹으며 별을 세었다. 아버지는 어린 시절 기차를 처음 탔던 이야기를 자주 들려주셨는데, 그때는 도시까지 하루가 꼬박 걸렸다고 한다. 가을에는 논이 황금빛으로 물들고 사람들은 서로 도와 벼를 거두었다. 겨울밤에는 아랫목에 모여 고구마를 구워 먹으며 옛날이야기를 들었다. 지금은 많은 사람이 떠났지만 그 시절의 따뜻한 기억은 아직도 마음속에 남아 있다.",
+"ru":"Весной в нашем дворе расцветает старая яблоня, и воздух наполняется тонким запахом цветов. Дед выносит на крыльцо самовар, и соседи приходят послушать его рассказы о далёких поездках. Он работал машинистом и много лет водил поезда через степи и горы, поэтому знал каждую станцию на пути к морю. Летом мы спали на сеновале и до рассвета спорили о том, какие звёзды ярче. Осенью вся семья собирала картофель, а вечером бабушка пекла пироги с капустой и яблоками. Зимой снег заметал дорогу до самых окон, и почтальон добирался к нам только на лыжах. Теперь дети выросли и разъехались по разным городам, но каждое лето мы снова собираемся под этой яблоней.",
+"ja":"朝の市場は魚を運ぶ人々の声でにぎやかだった。港に着いたばかりの船から、銀色に光るいわしが次々と降ろされていく。祖母は毎朝ここへ来て、その日の夕食に使う野菜と豆腐を選ぶ。帰り道には必ず小さな神社に立ち寄り、家族の健康を静かに祈った。夏祭りの夜になると、通りには提灯が並び、子どもたちは浴衣を着て金魚すくいを楽しんだ。父は若いころ太鼓をたたいていたそうで、音が聞こえると今でも手が動いてしまうと笑っていた。秋には山が赤く染まり、冬には雪が屋根を覆う。",
+"ar":"في الصباح الباكر يفتح الخباز دكانه وتنتشر رائحة الخبز في الحارة كلها. يمر الأطفال في طريقهم إلى المدرسة ويشترون منه الفطائر الساخنة، بينما يجلس الشيوخ قرب الباب يتحدثون عن أخبار المدينة. كانت جدتي تقول إن البيت الذي لا يدخله الضيف بيت حزين، ولذلك كانت تعد القهوة كل مساء وتنتظر الجيران. وفي أيام العيد نزور الأقارب ونحمل معنا الحلوى والهدايا، ثم نجتمع في ساحة الدار ونسمع الحكايات القديمة.",
+"hi":"सुबह होते ही गाँव के लोग खेतों की ओर निकल पड़ते थे। बच्चे आम के पेड़ के नीचे खेलते और दोपहर में नदी के किनारे बैठकर कहानियाँ सुनते। दादी हर शाम आँगन में दीपक जलाती थीं और सबको एक साथ बैठाकर खाना खिलाती थीं। बरसात के दिनों में छत पर पानी की बूँदों का संगीत सुनाई देता था और मिट्टी की खुशबू पूरे घर में फैल जाती थी। अब शहर में रहते हुए भी वे दिन बहुत याद आते हैं।",
+}
+
+
+def spaced(text):
+    """The same with a blank after every few characters, so that it has words."""
+    return " ".join(text[i : i + 4] for i in range(0, len(text), 4))
+
+
+@pytest.mark.parametrize("script", PROSE)
+def test_clean_texts_of_other_scripts_are_kept(script):
+    judge = compression.make_judge()
+    rows = []
+    for text in (PROSE[script], spaced(PROSE[script])):
+        raw = text.encode()
+        rows += [(n, raw[start : start + n].decode("utf-8", "ignore").encode()) for n in (150, 200, 256, 257, 300, 348, 400, 512, 580, 700, 934, len(raw)) for start in (0, 60) if n <= len(raw)]
+    assert {r[-1] for r in judge(rows)} == {"ok"}
+
+
+def test_long_texts_of_a_wide_script_and_noise():
+    rng = random.Random(9)
+    words = ["".join(chr(0x4E00 + 5 * rng.randrange(2500)) for _ in range(rng.choice((1, 2, 2)))) for _ in range(3000)]
+    long = " ".join(words[int(rng.paretovariate(0.8)) % 3000] for _ in range(60_000))
+    letters = string.ascii_letters + string.digits
+    noise = " ".join("".join(rng.choices(letters, k=9)) for _ in range(3000))
+    binary = base64.b64encode(rng.randbytes(300_000)).decode()
+    verdicts = [r[-1] for r in compression.make_judge()([(1, long.encode()), (2, noise.encode()), (3, binary.encode()), (4, ("\u4e00\u4e01" * 9000).encode()), (5, (PROSE["zh"] + noise).encode())])]
+    assert verdicts == ["ok", "incompressible", "incompressible", "repetitive", "incompressible"]
+
+
+def test_compression_of_very_long_and_repeated_rows(spark, documents):
+    rng = random.Random(10)
+    text = " ".join(rng.choice(PROSE["ru"].split()) + str(rng.randrange(50)) for _ in range(200_000))
+    got = [tuple(r) for r in compression.compression_bands(documents([(1, text), (1, text), (2, None)])).collect()]
+    assert got[0] == got[1] and got[0][1] == 200_000 and got[0][7] and not got[2][7]
