@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import lifecycle
 from corpusloom.plans.ingest import ingest
+from corpusloom.runtime import path_exists
 from corpusloom.service import Service
 from corpusloom.sources import readers, writers
 from corpusloom.sources.pdf import extract_pdf
@@ -35,10 +36,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def raw_documents(spark: SparkSession, config: readers.Config) -> DataFrame:
-    """The documents of all category folders with their metadata."""
+    """The documents of all category folders with their metadata: sidecar first, then folder, then what the settings say of the category."""
+    names = spark.createDataFrame([(c["name"], c.get("jurisdiction", "")) for c in config.categories], "name string, jurisdiction string")
     found = None
     for category in config.categories:
-        rows = readers.read_documents(spark, f"{config.raw_dir}/{category['name']}", category["name"], category.get("jurisdiction", ""), extractors={"pdf": extract_pdf})
+        folder = f"{config.raw_dir}/{category['name']}"
+        rows = readers.read_documents(spark, folder, category["name"], category.get("jurisdiction", ""), extractors={"pdf": extract_pdf})
+        sidecars = readers.read_sidecars(spark, folder) if path_exists(spark, folder) else readers.no_sidecars(spark)
+        rows = readers.with_metadata(rows, sidecars, names)
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         raise ValueError("there are no categories")

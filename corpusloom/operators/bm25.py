@@ -8,8 +8,13 @@ each slice's chunks with an equi-join. Blocks lie in folders by a hash of the te
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +28,7 @@ MERGED = "_merged"
 #: Rows (query, term, weight) of a block of queries, or (query, slice), up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_WEIGHTS = 500_000
 #: Chunks of a slice, as a power of two.
-SLICE_BITS = 8
+SLICE_BITS = 10
 #: Folders that the terms' blocks are dealt to; within a folder's files, row groups are found by term.
 BUCKETS = 16
 #: Terms up to which a search names them to the reader of the blocks; with more, it reads all folders.
@@ -34,7 +39,6 @@ PRUNE_FROM = 50_000
 SEEDS = 2
 #: Scores are rounded, so a slice is left out only where its bound is further below.
 SLACK = 1e-5
-BLOCK_COLUMNS = ("segment", "category", "term", "slice", "most_tf", "least_dl", "ids", "tfs", "dls", "bucket")
 
 
 @dataclass
@@ -52,7 +56,7 @@ class SparseIndex:
     @property
     def postings(self) -> DataFrame:
         """(segment, id, category, dl, term, tf)"""
-        rows = self.blocks.select("segment", "category", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        rows = self.blocks.where(F.col("bucket") != LISTS).select("segment", "category", "term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
         return living(rows.select("segment", F.col("p.ids").alias("id"), "category", F.col("p.dls").alias("dl"), "term", F.col("p.tfs").cast("long").alias("tf")), self.gone)
 
     def save(self, path: str, mode: str = "overwrite") -> None:
@@ -90,26 +94,88 @@ def bucket_of(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def document_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None, keep: dict[str, str] | None = None) -> DataFrame:
-    """(id, category, dl, terms) and the columns to ``keep`` under new names: one row for each chunk, counted within the row and so without a shuffle."""
+def document_terms(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> DataFrame:
+    """(id, category, dl, terms): one row for each chunk, counted within the row and so without a shuffle."""
     category = F.col(category_col) if category_col else F.lit(MERGED)
-    more = [F.col(c).alias(name) for c, name in (keep or {}).items()]
-    rows = chunks.select(F.col(id_col).alias("id"), category.alias("category"), term_counts(F.col(text_col)).alias("terms"), *more)
-    return rows.select("id", "category", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).cast("int").alias("dl"), "terms", *(keep or {}).values())
+    rows = chunks.select(F.col(id_col).alias("id"), category.alias("category"), term_counts(F.col(text_col)).alias("terms"))
+    return rows.select("id", "category", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).cast("int").alias("dl"), "terms")
 
 
-def numbered(documents: DataFrame) -> DataFrame:
-    """With ``slice``: consecutive rows of a task share one. Rows must be written before they are used, as another run may number them otherwise."""
-    return documents.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), SLICE_BITS))
+#: The folder of the rows that list the chunks of a slice.
+LISTS = -1
 
 
-def make_blocks(documents: DataFrame, segment: int = 0) -> DataFrame:
-    """The blocks of written (id, category, dl, terms, slice) rows; a task's slices are gathered in it before the shuffle."""
-    rows = documents.select("category", "slice", "id", "dl", F.inline("terms"))
-    entry = F.struct("id", F.col("tf").cast("int").alias("tf"), "dl")
-    keys = (bucket_of("term").alias("bucket"), "category", "term", "slice")
-    found = rows.groupBy(*keys).agg(F.max("tf").cast("int").alias("most_tf"), F.min("dl").alias("least_dl"), F.sort_array(F.collect_list(entry)).alias("list"))
-    return found.select(F.lit(segment).alias("segment"), "category", "term", "slice", "most_tf", "least_dl", F.col("list.id").alias("ids"), F.col("list.tf").alias("tfs"), F.col("list.dl").alias("dls"), "bucket")
+def make_blocks(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None, hash_col: str | None = None, segment: int = 0) -> DataFrame:
+    """The blocks of ``chunks``, counted slice by slice where the texts are read; rows without a term, in folder ``LISTS``, have all chunks of a slice, with their hashes.
+
+    Slices are those of the order in which tasks read, so ``chunks`` should come from files, which a task that is repeated reads in the same order.
+    """
+    id_type = chunks.schema[id_col].dataType.simpleString()
+    category = F.col(category_col).cast("string") if category_col else F.lit(MERGED)
+    hashed = F.col(hash_col) if hash_col else F.lit(0).cast("long")
+    rows = chunks.select(F.col(id_col).alias("id"), category.alias("category"), hashed.alias("h"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"), F.spark_partition_id().alias("task"))
+    schema = f"category string, term string, slice long, most_tf int, least_dl int, ids array<{id_type}>, tfs array<int>, dls array<int>, hs array<long>"
+    found = rows.mapInArrow(partial(_gather, bits=SLICE_BITS), schema)
+    bucket = F.when(F.col("term").isNull(), LISTS).otherwise(bucket_of("term")).alias("bucket")
+    return found.select(F.lit(segment).alias("segment"), "*", bucket)
+
+
+def _gather(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of (id, category, h, words, task) rows; a slice is of one batch."""
+    place = 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        words, groups = batch.column("words"), batch.column("category").dictionary_encode()
+        lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+        cut = np.arange(n) >> bits
+        slices = (int(batch.column("task")[0].as_py()) << 40) + place + cut
+        place += int(cut[-1]) + 1
+        kinds = groups.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+        group = cut * (len(groups.dictionary) + 1) + kinds
+        terms = words.flatten().dictionary_encode()
+        codes, row = terms.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), lengths)
+        found, tf = np.unique((group[row] * max(1, len(terms.dictionary)) + codes) * n + row, return_counts=True)
+        yield _blocks(batch, slices, found // n, found % n, tf, lengths, terms.dictionary.take(pa.array(found // n % max(1, len(terms.dictionary)))))
+        order = np.argsort(group, kind="stable")
+        yield _blocks(batch, slices, group[order], order, None, lengths, None)
+
+
+def _blocks(batch: pa.RecordBatch, slices: np.ndarray, key: np.ndarray, row: np.ndarray, tf: np.ndarray | None, lengths: np.ndarray, term: pa.Array | None) -> pa.RecordBatch:
+    """A block for each run of equal keys over (row, tf); without ``tf`` the lists of a slice's chunks."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
+    listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+    ints = lambda values: pa.array(values.astype(np.int32))
+    none = lambda kind: pa.nulls(len(starts), kind)
+    dl, first = lengths[row], pa.array(row[starts])
+    columns = [batch.column("category").take(first)]
+    if tf is None:
+        columns += [none(pa.string()), pa.array(slices[row[starts]]), none(pa.int32()), none(pa.int32())]
+    else:
+        columns += [term.take(pa.array(starts)), pa.array(slices[row[starts]]), *((ints(np.maximum.reduceat(tf, starts)), ints(np.minimum.reduceat(dl, starts))) if len(key) else (ints(tf), ints(dl)))]
+    columns += [listed(batch.column("id").take(pa.array(row))), none(pa.list_(pa.int32())) if tf is None else listed(ints(tf)), listed(ints(dl)), listed(batch.column("h").take(pa.array(row))) if tf is None else none(pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["category", "term", "slice", "most_tf", "least_dl", "ids", "tfs", "dls", "hs"])
+
+
+def listed_chunks(blocks: DataFrame) -> DataFrame:
+    """(segment, slice, category, id, dl, h) of all chunks."""
+    rows = blocks.where(F.col("bucket") == LISTS).select(*(["segment"] if "segment" in blocks.columns else []), "slice", "category", F.explode(F.arrays_zip("ids", "dls", "hs")).alias("c"))
+    return rows.select(*rows.columns[:-1], F.col("c.ids").alias("id"), F.col("c.dls").alias("dl"), F.col("c.hs").alias("h"))
+
+
+def without(blocks: DataFrame, void: DataFrame) -> DataFrame:
+    """Blocks without the chunks in ``void`` (segment, slice, id), at most a slice of which are gathered for each; bounds stay, as they still hold."""
+    gone = void.groupBy("segment", "slice").agg(F.collect_set("id").alias("_gone"))
+    rows = blocks.join(gone, ["segment", "slice"], "left")
+    kept = F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: ~F.array_contains("_gone", F.get("ids", i)))
+    left = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept)).where("_kept IS NULL OR size(_kept) > 0")
+
+    def taken(name: str) -> Column:
+        return F.when(F.col("_kept").isNull(), F.col(name)).otherwise(F.transform("_kept", lambda i: F.get(name, i)))
+
+    return left.withColumns({c: F.when(F.col(c).isNotNull(), taken(c)) for c in ("ids", "tfs", "dls", "hs")}).select(*blocks.columns)
 
 
 def write_blocks(blocks: DataFrame, path: str, mode: str = "error") -> None:
@@ -118,14 +184,15 @@ def write_blocks(blocks: DataFrame, path: str, mode: str = "error") -> None:
     rows.write.mode(mode).option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(path)
 
 
-def frequencies(documents: DataFrame) -> DataFrame:
+def frequencies(blocks: DataFrame) -> DataFrame:
     """(namespace, term, df) of each category."""
-    return documents.select(F.col("category").alias("namespace"), F.explode("terms.term").alias("term")).groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
+    return blocks.where(F.col("bucket") != LISTS).groupBy(F.col("category").alias("namespace"), "term").agg(F.sum(F.size("ids")).cast("long").alias("df"))
 
 
-def sizes(documents: DataFrame) -> list[tuple[str, int, int]]:
+def sizes(blocks: DataFrame) -> list[tuple[str, int, int]]:
     """(namespace, n, words) of each category."""
-    rows = documents.groupBy(F.col("category").alias("namespace")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("words"))
+    words = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = blocks.where(F.col("bucket") == LISTS).groupBy(F.col("category").alias("namespace")).agg(F.sum(F.size("ids")).cast("long").alias("n"), F.sum(words).cast("long").alias("words"))
     return [(r["namespace"], r["n"], r["words"]) for r in rows.collect()]
 
 
@@ -137,7 +204,7 @@ def statistics(df: DataFrame, counts: list[tuple[str, int, int]]) -> tuple[DataF
             old = totals.get(key, (0, 0))
             totals[key] = (old[0] + n, old[1] + words)
     corpus = spark.createDataFrame([(key, n, words / n) for key, (n, words) in sorted(totals.items()) if n > 0], "namespace string, n long, avgdl double")
-    df = df.groupBy("namespace", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    df = stash(df.groupBy("namespace", "term").agg(F.sum("df").alias("df")).where("df > 0"), "frequencies")
     df = df.unionByName(df.where(F.col("namespace") != MERGED).groupBy("term").agg(F.sum("df").alias("df")).withColumn("namespace", F.lit(MERGED)))
     # One row for each namespace is what is broadcast here, and what comes to the driver.
     raw = df.join(F.broadcast(corpus.select("namespace", "n")), "namespace").select("namespace", "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -148,9 +215,9 @@ def statistics(df: DataFrame, counts: list[tuple[str, int, int]]) -> tuple[DataF
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", category_col: str | None = None) -> SparseIndex:
     """The index of ``chunks``, whose texts are read once. Without ``category_col`` all are one namespace."""
-    documents = stash(numbered(document_terms(chunks, id_col, text_col, category_col)), "documents")
-    terms, corpus = statistics(stash(frequencies(documents), "frequencies"), sizes(documents))
-    return SparseIndex(stash(make_blocks(documents), "blocks"), stash(terms, "terms"), corpus)
+    blocks = stash(make_blocks(chunks, id_col, text_col, category_col), "blocks")
+    terms, corpus = statistics(stash(frequencies(blocks), "frequencies"), sizes(blocks))
+    return SparseIndex(blocks, stash(terms, "terms"), corpus)
 
 
 def query_weights(index: SparseIndex, wanted: DataFrame, namespace: str, each: bool) -> DataFrame:
@@ -185,7 +252,7 @@ def facts(weights: DataFrame) -> Asked:
 
 def asked_blocks(index: SparseIndex, weights: DataFrame, asked: Asked, namespace: str, each: bool) -> DataFrame:
     """The blocks of the asked terms, named to the reader where they are few, with the namespace they count for."""
-    blocks = index.blocks.where(F.col("bucket").isin(*asked.buckets)) if len(asked.buckets) < BUCKETS else index.blocks
+    blocks = index.blocks.where(F.col("bucket").isin(*asked.buckets)) if len(asked.buckets) < BUCKETS else index.blocks.where(F.col("bucket") != LISTS)
     if not each and namespace != MERGED:
         blocks = blocks.where(F.col("category") == namespace)
     if asked.terms <= NAMED_TERMS:
@@ -209,8 +276,9 @@ def scored(blocks: DataFrame, weights: DataFrame, count: int, gone: DataFrame |
     rows = within(blocks, weights, count, ["namespace", "term"])
     if pairs is not None:
         rows = within(rows, pairs, n_pairs, ["namespace", "query_id", "segment", "slice"], "left_semi")
-    rows = rows.select("query_id", "namespace", "segment", "slice", "category", "weight", "avgdl", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
-    rows = rows.select("query_id", "namespace", "segment", "slice", "category", F.col("p.ids").alias("id"), part("weight", "p.tfs", "p.dls").alias("part"))
+    rows = rows.select("query_id", "namespace", "segment", "slice", "category", "weight", "avgdl", "tfs", "dls", F.posexplode("ids").alias("at", "id"))
+    rows = rows.withColumns({"tf": F.get("tfs", F.col("at")), "dl": F.get("dls", F.col("at"))})
+    rows = rows.select("query_id", "namespace", "segment", "slice", "category", "id", part("weight", "tf", "dl").alias("part"))
     found = rows.groupBy("query_id", "namespace", "segment", "slice", "id", "category").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")).where("score > 0")
     return living(found, gone)
 

@@ -17,11 +17,11 @@ BY = ("query_id",)
 MMR_FRAME = 5000
 
 
-def reciprocal(rank0: Column, rrf_k: int) -> Column:
+def reciprocal(rank0: Column, rrf_k: int | Column) -> Column:
     return 1.0 / (rrf_k + rank0 + 1)
 
 
-def rrf(channels: list[DataFrame], rrf_k: int = fixed.RRF_K, by: tuple[str, ...] = BY) -> DataFrame:
+def rrf(channels: list[DataFrame], rrf_k: int | Column = fixed.RRF_K, by: tuple[str, ...] = BY) -> DataFrame:
     """(query_id, id, score and the rank in each channel) from (query_id, id, rank0) lists: one aggregation of their union."""
     parts = [c.select(*by, "id", *(F.col("rank0").alias(f"rank_{j}") if i == j else F.lit(None).cast("int").alias(f"rank_{j}") for j in range(len(channels)))) for i, c in enumerate(channels)]
     rows = parts[0]
@@ -87,21 +87,22 @@ def cited(candidates: DataFrame, chunks: DataFrame, by: tuple[str, ...] = BY) ->
 
 def boost(
     candidates: DataFrame, queries: DataFrame, chunks: DataFrame,
-    structural: float | None = fixed.STRUCTURAL_BOOST, hierarchy: float | None = fixed.HIERARCHY_BOOST, citation: float | None = fixed.CITATION_BOOST, by: tuple[str, ...] = BY,
+    structural: float | Column | None = fixed.STRUCTURAL_BOOST, hierarchy: float | Column | None = fixed.HIERARCHY_BOOST, citation: float | Column | None = fixed.CITATION_BOOST, by: tuple[str, ...] = BY,
 ) -> DataFrame:
-    """``candidates`` with ``boosted``: structural, else hierarchy, and citation boosts on top. None turns one off."""
+    """``candidates`` with ``boosted``: structural, else hierarchy, and citation boosts on top. None, or a column's null, turns one off."""
     if citation is not None:
         # They are named three times below, and have a whole search behind them.
         candidates = stash(candidates, "candidates")
     meta = chunks.select(F.col("chunk_id").alias("id"), "section", "parent", "hierarchy_path")
     rows = candidates.join(queries.select("query_id", "refs"), "query_id").join(meta, "id", "left")
     no = F.lit(False)
-    is_unit = structural_match(F.col("section"), F.col("hierarchy_path"), F.col("refs")) if structural is not None else no
-    is_below = hierarchy_match(F.col("parent"), F.col("hierarchy_path"), F.col("refs")) if hierarchy is not None else no
-    added = F.when(is_unit, structural or 0.0).when(F.coalesce(is_below, no), hierarchy or 0.0).otherwise(0.0)
+    value = lambda x: x if isinstance(x, Column) else F.lit(x).cast("double")
+    is_unit = structural_match(F.col("section"), F.col("hierarchy_path"), F.col("refs")) & value(structural).isNotNull() if structural is not None else no
+    is_below = hierarchy_match(F.col("parent"), F.col("hierarchy_path"), F.col("refs")) & value(hierarchy).isNotNull() if hierarchy is not None else no
+    added = F.when(is_unit, value(structural)).when(F.coalesce(is_below, no), value(hierarchy)).otherwise(0.0)
     rows = rows.withColumn("boosted", F.col("score") + added)
     if citation is not None:
-        rows = rows.join(cited(candidates, chunks, by).withColumn("is_cited", F.lit(True)), [*by, "id"], "left").withColumn("boosted", F.col("boosted") + F.when(F.col("is_cited"), citation).otherwise(0.0)).drop("is_cited")
+        rows = rows.join(cited(candidates, chunks, by).withColumn("is_cited", F.lit(True)), [*by, "id"], "left").withColumn("boosted", F.col("boosted") + F.coalesce(F.when(F.col("is_cited"), value(citation)), F.lit(0.0))).drop("is_cited")
     return rows.withColumn("boosted", F.round("boosted", DIGITS)).drop("refs", "section", "parent", "hierarchy_path")
 
 

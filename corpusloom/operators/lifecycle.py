@@ -112,7 +112,7 @@ def build_index(
     if not force and last is not None and is_fresh(Manifest(**last.manifest), wanted):
         return wanted
     have = None if force or last is None else segments.open_snapshot(spark, path, last).vectors
-    made, (x, s, n) = segments.write_segment(chunks, path, model, wanted.document_prefix, make_encoder, known=have)
+    made, (x, s, n) = segments.write_segment(chunks, path, model, wanted.document_prefix, make_encoder, known=have, count=wanted.chunk_count)
     statistics = segments.write_statistics(spark, path, (made,))
     segments.commit(spark, path, segments.Snapshot(last.number + 1 if last else 1, (made,), asdict(wanted), rows=(str(x), str(s), n), files=files, **statistics))
     return wanted

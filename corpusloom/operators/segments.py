@@ -1,6 +1,6 @@
 """An index as written segments and numbered snapshots of them.
 
-A segment is written once and never changed: counted terms of its chunks, inverted lists, vectors, texts, metadata, what it adds to (or takes from)
+A segment is written once and never changed: inverted lists of its chunks, vectors, texts with their metadata, what it adds to (or takes from)
 document frequencies and sizes, and the ids of earlier chunks that it replaces or deletes (found by ids alone, and read from the texts by id). A snapshot is a small record that names segments;
 it is created only if its number isn't there yet, so a reader has one snapshot whole whatever builds meanwhile, of two builders on
 the same snapshot one is told, and what is broken off before its record is as if it hadn't begun.
@@ -90,10 +90,10 @@ def commit(spark: SparkSession, path: str, snapshot: Snapshot) -> Snapshot:
 
 @dataclass
 class Opened:
-    """The tables of a snapshot. ``documents`` (segment, id, category, dl, terms, h) and ``vectors`` (segment, id, embedding, category, key) are without void rows."""
+    """The tables of a snapshot. ``chunks`` (segment, slice, category, id, dl, h) and ``vectors`` (segment, id, embedding, category, key) are without void rows."""
 
     snapshot: Snapshot
-    documents: DataFrame
+    chunks: DataFrame
     vectors: DataFrame
     texts: texts.TextStore
     sparse: bm25.SparseIndex
@@ -121,7 +121,7 @@ def _read(spark: SparkSession, path: str, segments: tuple[Segment, ...], name: s
 
 def gone_ids(spark: SparkSession, path: str, segments: tuple[Segment, ...]) -> DataFrame | None:
     """(id, upto): chunks that count no more in segments before number ``upto``."""
-    found = [spark.read.schema(_table(spark, path, s, "documents").select("id").schema).parquet(f"{_at(path, s)}/gone").select("id", F.lit(i).alias("upto")) for i, s in enumerate(segments) if s.gone]
+    found = [spark.read.schema(bm25.listed_chunks(_table(spark, path, s, "blocks")).select("id").schema).parquet(f"{_at(path, s)}/gone").select("id", F.lit(i).alias("upto")) for i, s in enumerate(segments) if s.gone]
     return _union(found) if found else None
 
 
@@ -134,8 +134,9 @@ def open_snapshot(spark: SparkSession, path: str, snapshot: Snapshot) -> Opened:
     gone = gone_ids(spark, path, segments)
     terms = spark.read.schema(StructType.fromJson(json.loads(snapshot.columns))).parquet(f"{path}/statistics/{snapshot.statistics}")
     corpus = spark.createDataFrame([tuple(r) for r in snapshot.corpus], "namespace string, n long, avgdl double")
-    documents, vectors = (bm25.living(_read(spark, path, segments, name), gone) for name in ("documents", "vectors"))
-    return Opened(snapshot, documents, vectors, text_store(spark, path, segments, gone), bm25.SparseIndex(_read(spark, path, segments, "blocks"), terms, corpus, gone))
+    blocks = _read(spark, path, segments, "blocks")
+    chunks, vectors = (bm25.living(rows, gone) for rows in (bm25.listed_chunks(blocks), _read(spark, path, segments, "vectors")))
+    return Opened(snapshot, chunks, vectors, text_store(spark, path, segments, gone), bm25.SparseIndex(blocks, terms, corpus, gone))
 
 
 def content_key(model: str, prefix: str, text: Column | str) -> Column:
@@ -157,19 +158,16 @@ def embed_new(rows: DataFrame, known: DataFrame | None, model: str, prefix: str,
     return new.unionByName(keyed.join(taken, "key").select(F.col("chunk_id").alias("id"), "embedding", "category", "key"))
 
 
-def hash_sums(documents: DataFrame) -> tuple[int, int, int]:
-    got = documents.agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+def hash_sums(chunks: DataFrame) -> tuple[int, int, int]:
+    got = chunks.agg(F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
     return got["x"] or 0, int(got["s"] or 0), got["n"]
 
 
-def write_documents(documents: DataFrame, at: str) -> tuple[DataFrame, dict[str, str]]:
-    """Counted chunks (id, category, dl, terms, h) with their slices, and the inverted lists of what was written; the chunks read back, and the columns of both tables."""
-    rows = bm25.numbered(documents)
-    rows.write.parquet(f"{at}/documents")
-    written = rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/documents")
-    blocks = bm25.make_blocks(written).drop("segment")
-    bm25.write_blocks(blocks, f"{at}/blocks")
-    return written, {"documents": rows.schema.json(), "blocks": blocks.schema.json()}
+def write_blocks(blocks: DataFrame, at: str) -> tuple[DataFrame, dict[str, str]]:
+    """Blocks written and read back, and their columns."""
+    rows = blocks.drop("segment")
+    bm25.write_blocks(rows, f"{at}/blocks")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/blocks"), {"blocks": rows.schema.json()}
 
 
 def write_vectors(vectors: DataFrame, at: str) -> dict[str, str]:
@@ -177,39 +175,41 @@ def write_vectors(vectors: DataFrame, at: str) -> dict[str, str]:
     return {"vectors": vectors.schema.json()}
 
 
-def write_segment(chunks: DataFrame, path: str, model: str, prefix: str, make_encoder: Callable, base: Opened | None = None, deleted: DataFrame | None = None, known: DataFrame | None = None) -> tuple[Segment, tuple[int, int, int]]:
+def write_segment(chunks: DataFrame, path: str, model: str, prefix: str, make_encoder: Callable, base: Opened | None = None, deleted: DataFrame | None = None, known: DataFrame | None = None, count: int | None = None) -> tuple[Segment, tuple[int, int, int]]:
     """A segment of ``chunks``, and what it changes of the snapshot's row hashes: exclusive-or, sum, number.
 
     Over ``base`` it makes void the base's chunks of the same ids, and those of the ids in ``deleted`` (id). Vectors that ``known``
-    (key, embedding) has for a text are taken from there.
+    (key, embedding) has for a text are taken from there. ``count`` is how many chunks there are about, if that is known.
     """
     spark, name = chunks.sparkSession, uuid.uuid4().hex
     at = _at(path, name)
     filled = F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("unknown"))
     # The hash is of the row as it came, before its category is filled.
     hashed = chunks.withColumn(texts.HASH, row_hash(chunks)).withColumn("category", filled)
-    rows = hashed.drop(texts.HASH)
-    counted = bm25.document_terms(hashed, category_col="category", keep={texts.HASH: "h"})
-    documents, schemas = write_documents(counted, at)
-    x, s, n = hash_sums(documents)
-    df, sizes, void = bm25.frequencies(documents), bm25.sizes(documents), 0
-    count = n
+    # The source is read once; all else is made of the texts as they were written, in an order that a repeated task finds again.
+    folders = texts.folders_for(hashed.count() if count is None else count)
+    schemas = {"texts": texts.write_texts(hashed, f"{at}/texts", folders)}
+    rows = spark.read.schema(StructType.fromJson(json.loads(schemas["texts"]))).parquet(f"{at}/texts")
+    count_of = lambda frame: bm25.make_blocks(frame, category_col="category", hash_col=texts.HASH)
+    blocks, columns = write_blocks(count_of(rows), at)
+    chunks_of = bm25.listed_chunks(blocks)
+    x, s, n = hash_sums(chunks_of)
+    count, df, sizes, void = n, bm25.frequencies(blocks), bm25.sizes(blocks), 0
     if base is not None:
-        ids = documents.select("id")
+        ids = chunks_of.select("id")
         if deleted is not None:
-            ids = ids.unionByName(deleted.select(F.col("id").cast(dict(documents.dtypes)["id"]).alias("id")))
+            ids = ids.unionByName(deleted.select(F.col("id").cast(dict(chunks_of.dtypes)["id"]).alias("id")))
         # Ids alone first; the chunks that are made void are then looked up.
-        base.documents.select("id").join(ids, "id", "left_semi").write.parquet(f"{at}/gone")
-        gone = base.texts.lookup(spark.read.schema(base.documents.select("id").schema).parquet(f"{at}/gone"), hashes=True)
-        old = stash(bm25.document_terms(gone, category_col="category", keep={texts.HASH: "h"}), "void-chunks")
-        old_x, old_s, void = hash_sums(old)
+        gone = base.chunks.select("id").join(ids, "id", "left_semi")
+        gone.write.parquet(f"{at}/gone")
+        found = base.texts.lookup(spark.read.schema(gone.schema).parquet(f"{at}/gone"), hashes=True)
+        old = stash(count_of(found), "void-chunks")
+        old_x, old_s, void = hash_sums(bm25.listed_chunks(old))
         x, s, n = x ^ old_x, s - old_s, n - void
         df = df.unionByName(bm25.frequencies(old).withColumn("df", -F.col("df")))
         sizes = [*sizes, *((name, -m, -words) for name, m, words in bm25.sizes(old))]
     df.groupBy("namespace", "term").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{at}/frequencies")
-    folders = texts.folders_for(count)
-    schemas["texts"] = texts.write_texts(hashed, f"{at}/texts", folders)
-    schemas |= write_vectors(embed_new(rows, known, model, prefix, make_encoder), at)
+    schemas |= columns | write_vectors(embed_new(rows, known, model, prefix, make_encoder), at)
     return Segment(name, count, folders, void, added(sizes), schemas), (x, s, n)
 
 
@@ -252,11 +252,16 @@ def merge(spark: SparkSession, path: str, segments: tuple[Segment, ...], start:
     """The segments from ``start`` on as one, without their void chunks."""
     name, run = uuid.uuid4().hex, segments[start:]
     at, gone = _at(path, name), gone_ids(spark, path, segments[start:])
-    living = lambda table: bm25.living(_read(spark, path, run, table), gone).drop("segment")
-    documents, schemas = write_documents(living("documents").drop("slice"), at)
+    blocks = _read(spark, path, run, "blocks")
+    if gone is not None:
+        chunks = bm25.listed_chunks(blocks).select("segment", "slice", "id")
+        void = chunks.join(gone.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("upto")), "left_semi")
+        blocks = bm25.without(blocks, void)
+    # Slices stay as they are; two that got one number would only share a bound.
+    written, schemas = write_blocks(blocks.withColumn("slice", F.xxhash64("segment", "slice", F.lit(name))), at)
     _frequencies(spark, path, run).groupBy("namespace", "term").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{at}/frequencies")
-    schemas |= write_vectors(living("vectors"), at)
-    count = documents.count()
+    schemas |= write_vectors(bm25.living(_read(spark, path, run, "vectors"), gone).drop("segment"), at)
+    count = bm25.listed_chunks(written).count()
     folders = texts.folders_for(count)
     schemas["texts"] = texts.write_texts(text_store(spark, path, run, gone).rows(hashes=True), f"{at}/texts", folders)
     void = 0

@@ -739,6 +739,9 @@ federated AS (SELECT query_id, id, category, score, place FROM (
 """
 
 
+RRF_SQL = "::DOUBLE / (CASE WHEN coalesce(a.cat, b.cat) = 'en' THEN 10 ELSE 60 END + "
+
+
 def category_lists(spark, sf_dir) -> DataFrame:
     """The ten best of each category for each query, every category searched by its own index."""
     return search.searched(stored_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, each=True)
@@ -754,6 +757,13 @@ def federated_search(spark, sf_dir):
     return fusion.federate(category_lists(spark, sf_dir))
 
 
+@register(f"WITH {FEDERATED_SQL.replace('::DOUBLE / (60 + a.rank0', RRF_SQL + 'a.rank0').replace('::DOUBLE / (60 + b.rank0', RRF_SQL + 'b.rank0')} SELECT query_id, id, category, score, place FROM federated")
+def federated_search_by_settings(spark, sf_dir):
+    """One category fuses its two lists by another constant than the others."""
+    settings = {"en": search.Settings(rrf_k=10)}
+    return fusion.federate(search.searched(stored_index(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, each=True, settings=settings))
+
+
 @register(f"WITH {EACH_HYBRID_SQL} SELECT query_id, id, score, rank0 FROM lists WHERE category = 'en' AND rank0 < 5")
 def related_cases(spark, sf_dir):
     return fusion.related(category_lists(spark, sf_dir), "en").select("query_id", "id", "score", F.col("rank0").cast("int").alias("rank0"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -105,10 +106,7 @@ def read_document(spark: SparkSession, path: str, category: str = "", jurisdicti
 
 def read_sidecars(spark: SparkSession, raw_dir: str, parse: Callable[[str], object] | None = None) -> DataFrame:
     """(source_doc, sidecar_path and the fields of SIDECAR_SCHEMA) of ``<stem>.meta.yaml`` files; a malformed one has no fields."""
-    if parse is None:
-        import yaml
-
-        parse = yaml.safe_load
+    parse = parse or parse_sidecar
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.meta.yaml").load(raw_dir)
     names = [part.split()[0] for part in SIDECAR_SCHEMA.split(", ")]
 
@@ -128,6 +126,51 @@ def read_sidecars(spark: SparkSession, raw_dir: str, parse: Callable[[str], obje
     return rows.withColumn("source_doc", F.regexp_replace(F.element_at(F.split("sidecar_path", "/"), -1), r"\.meta\.yaml$", ""))
 
 
+def no_sidecars(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"sidecar_path string, {SIDECAR_SCHEMA}, source_doc string")
+
+
+def parse_sidecar(text: str) -> dict:
+    """The fields of a sidecar: by the YAML package where there is one, else of a flat file of names with words, numbers or lists."""
+    try:
+        import yaml
+    except ImportError:
+        return flat_fields(text)
+    return yaml.safe_load(text)
+
+
+def flat_fields(text: str) -> dict:
+    """``name: value`` lines; a value may be quoted, a number, ``[a, b]``, or ``- item`` lines below. Anything else is malformed."""
+
+    def value(word: str):
+        word = word.strip()
+        if len(word) > 1 and word[0] == word[-1] and word[0] in "\"'":
+            return word[1:-1]
+        return int(word) if re.fullmatch(r"-?\d+", word) else None if word in ("", "~", "null") else word
+
+    out: dict = {}
+    name = None
+    for line in text.splitlines():
+        bare = re.sub(r"(^|\s)#.*", "", line).rstrip()
+        if not bare or bare == "---":
+            continue
+        if item := re.fullmatch(r"\s*-\s+(.*)", bare):
+            if name is None:
+                raise ValueError("an item without a name")
+            out[name] = [*(out[name] or []), value(item[1])]
+        elif field := re.fullmatch(r"(\w+):(?:\s+(.*))?", bare):
+            name, words = field[1], (field[2] or "").strip()
+            if words.startswith("["):
+                if not words.endswith("]"):
+                    raise ValueError("a list without its end")
+                out[name] = [value(w) for w in words[1:-1].split(",") if w.strip()]
+            else:
+                out[name] = value(words)
+        else:
+            raise ValueError("no name and value: " + bare)
+    return out
+
+
 def tidy_sidecar(got: dict) -> dict:
     """The known fields: parties only as a list, the year only as a number, the rest as text."""
     out = {}

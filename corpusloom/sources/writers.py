@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import textwrap
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
-from corpusloom.runtime import path_exists, stash
+from corpusloom.runtime import discard, path_exists, stash
 
 PAGE_WIDTH, PAGE_HEIGHT, MARGIN, LEADING, FONT = 595, 842, 50, 14, 10
 
@@ -31,11 +32,17 @@ def new_rows(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 def write_case_files(cases: DataFrame, folder: str, overwrite: bool = False, limit: int | None = None) -> DataFrame:
     """A text file and a ``.meta.yaml`` beside it for each case (case_id, text, title, court, date); the ids written, as a table.
 
-    Files that are there stay unless ``overwrite``. ``limit`` counts the cases looked at, not those written. The executors write through
-    Arrow's file systems, so ``folder`` is a URI that they all reach.
+    Of rows with one case id the first stands, in the order of the input. Files that are there stay unless ``overwrite``. ``limit`` counts the first
+    cases looked at, not those written. A file is written under the name of its attempt and then renamed, the text last: a file is there
+    whole or not at all, a repeated task writes the same again, and a case whose task failed counts as not written. The executors write
+    through Arrow's file systems, so ``folder`` is a URI that they all reach.
     """
     spark = cases.sparkSession
-    rows = cases.limit(limit) if limit is not None else cases
+    fields = ("text", "title", "court", "date")
+    rows = cases.select("case_id", *fields, F.monotonically_increasing_id().alias("n"))
+    if limit is not None:
+        rows = rows.orderBy("n").limit(limit)
+    rows = rows.groupBy("case_id").agg(F.min_by(F.struct(*fields), "n").alias("first")).select("case_id", "first.*")
     if not overwrite and path_exists(spark, folder):
         names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "").alias("case_id"))
         rows = new_rows(rows, names, "case_id")
@@ -44,16 +51,24 @@ def write_case_files(cases: DataFrame, folder: str, overwrite: bool = False, lim
         from pyarrow.fs import FileSystem
 
         files, base = FileSystem.from_uri(folder)
-        files.create_dir(base, recursive=True)
+        # Readers pass over what begins with an underscore.
+        drafts = f"{base}/_attempts/{uuid.uuid4().hex}"
+        files.create_dir(drafts, recursive=True)
         for batch in batches:
             for row in batch.to_pylist():
                 meta = {"category": "judgments", "jurisdiction": "India", "short_title": row["title"], "court": row["court"], "date": row["date"]}
-                for ending, text in (("txt", row["text"]), ("meta.yaml", "".join(f"{k}: {json.dumps(v, ensure_ascii=False)}\n" for k, v in meta.items() if v))):
-                    with files.open_output_stream(f"{base}/{row['case_id']}.{ending}") as out:
+                for ending, text in (("meta.yaml", "".join(f"{k}: {json.dumps(v, ensure_ascii=False)}\n" for k, v in meta.items() if v)), ("txt", row["text"])):
+                    with files.open_output_stream(f"{drafts}/draft") as out:
                         out.write(text.encode("utf-8", "surrogatepass"))
+                    files.move(f"{drafts}/draft", f"{base}/{row['case_id']}.{ending}")
             yield pa.RecordBatch.from_arrays([batch.column("case_id")], ["case_id"])
+        files.delete_dir(drafts)
 
-    return stash(rows.select("case_id", "text", "title", "court", "date").mapInArrow(run, "case_id string"), "written")
+    try:
+        return stash(rows.mapInArrow(run, "case_id string"), "written")
+    finally:
+        if path_exists(spark, f"{folder}/_attempts"):
+            discard(spark, f"{folder}/_attempts")
 
 
 def write_report(metrics: DataFrame, path: str) -> None:

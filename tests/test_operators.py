@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed
 from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fusion, lifecycle
 from corpusloom.plans.ingest import by_model, ingest
-from corpusloom.plans.search import federated, hybrid, routed, searched
+from corpusloom.plans.search import Settings, federated, hybrid, routed, searched
 from corpusloom.sources import pdf, readers, writers
 from corpusloom.streaming.incremental import incremental_index
 
@@ -174,6 +174,31 @@ def test_every_category_is_asked(spark):
     assert only[0]["id"] == "small/0"
 
 
+def test_categories_are_ranked_by_their_settings(spark):
+    rng = random.Random(4)
+    words = "a b c d e f".split()
+    rows = [(f"{c}/{i}", " ".join(rng.choices(words, k=6)), c) for c in "xy" for i in range(30)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, category string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "c d e")], "query_id long, text string")
+    vectors = dense.embed(chunks, "chunk_id", "text", keep=("category",))
+    wanted = dense.embed(asked, "query_id", "text").withColumnRenamed("id", "query_id")
+    index = bm25.build(chunks, category_col="category")
+    units = chunks.select("chunk_id", "category", F.lit("d").alias("source_doc"), F.lit("1").alias("section"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("hierarchy_path"), F.array().cast("array<struct<category:string,doc:string,section:string>>").alias("cites"))
+    by = lambda found, category: sorted(map(tuple, found.where(F.col("category") == category).select("query_id", "id", "score", "rank0").collect()))
+    search = lambda **options: hybrid(asked, index, vectors, wanted, 4, each=True, **options)
+    plain, other = search(), search(rrf_k=3)
+    mixed = search(settings={"x": Settings(rrf_k=3)})
+    assert by(mixed, "x") == by(other, "x") != by(plain, "x") and by(mixed, "y") == by(plain, "y")
+    diverse = search(use_mmr=True, weight=0.4)
+    mixed = search(settings={"y": Settings(use_mmr=True, weight=0.4), "x": Settings(rrf_k=3)})
+    assert by(mixed, "y") == by(diverse, "y") != by(plain, "y") and by(mixed, "x") == by(other, "x")
+    boosted = search(chunks=units, boosts={"structural": None})
+    mixed = search(chunks=units, settings={"x": Settings(structural=None)})
+    assert by(mixed, "x") == by(boosted, "x") and by(mixed, "y") == by(search(chunks=units), "y")
+    with pytest.raises(ValueError):
+        hybrid(asked, index, vectors, wanted, 4, settings={"x": Settings()})
+
+
 def test_mmr_forms_agree(spark):
     rng = np.random.default_rng(6)
     unit = lambda n: [(v / np.linalg.norm(v)).tolist() for v in rng.normal(size=(n, 4))]
@@ -474,6 +499,23 @@ def test_judgments_and_cases(spark, tmp_path):
     assert writers.write_case_files(cases, folder).count() == 0 and (tmp_path / "cases" / "111.txt").read_text() == "mine"
     assert writers.write_case_files(cases, folder, overwrite=True, limit=5).count() == 2 and (tmp_path / "cases" / "111.txt").read_text() == "t1"
     assert writers.write_case_files(cases, f"file://{tmp_path}/one", limit=1).count() == 1
+    twice = spark.createDataFrame([(f"c{i % 3}", f"text {i}", None, None, None) for i in range(9)], "case_id string, text string, title string, court string, date string").repartition(1)
+    first = {}
+    for r in twice.collect():
+        first.setdefault(r["case_id"], r["text"])
+    assert writers.write_case_files(twice, f"file://{tmp_path}/twice").count() == 3
+    assert {p.stem: p.read_text() for p in (tmp_path / "twice").glob("*.txt")} == first and not (tmp_path / "twice" / "_attempts").exists()
+    # A task that fails leaves whole files only, and a second run writes what is missing.
+    broken = twice.withColumn("case_id", F.concat("case_id", F.lit("x"))).withColumn("title", F.when(F.col("case_id") == "c1x", F.raise_error(F.lit("lost")).cast("string")))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_case_files(broken, f"file://{tmp_path}/twice")
+    assert {p.stem for p in (tmp_path / "twice").glob("*.txt")} <= {"c0", "c1", "c2", "c0x", "c2x"} and not (tmp_path / "twice" / "_attempts").exists()
+    assert writers.write_case_files(twice.withColumn("case_id", F.concat("case_id", F.lit("y"))), f"file://{tmp_path}/twice").count() == 3
+    assert writers.write_case_files(twice, f"file://{tmp_path}/some", limit=2).count() == len({r["case_id"] for r in twice.collect()[:2]})
+    assert readers.flat_fields("a: 1\nb: 'x y' \nc: [p, 2]\nd:\n - q # no\n\n") == {"a": 1, "b": "x y", "c": ["p", 2], "d": ["q"]}
+    for bad in ("[broken", "a: [b", "- c"):
+        with pytest.raises(ValueError):
+            readers.flat_fields(bad)
     shards = readers.read_shards(spark, lambda i: ({"id": 10 * i + k, "other": 1} for k in range(5)), 4, "id long, text string")
     assert sorted(r["id"] for r in shards.collect()) == [10 * i + k for i in range(4) for k in range(5)]
     assert readers.read_shards(spark, lambda i: iter([{"id": i}] * 3) if i < 2 else 1 / 0, 4, "id long", limit=4).count() == 4

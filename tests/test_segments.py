@@ -223,7 +223,7 @@ def test_a_build_that_is_broken_off_changes_nothing(spark, tmp_path, monkeypatch
     def broken(*args, **options):
         raise OSError("lost")
 
-    for step in ("write_documents", "embed_new", "write_statistics", "commit"):
+    for step in ("write_blocks", "embed_new", "write_statistics", "commit"):
         with monkeypatch.context() as patch:
             patch.setattr(segments, step, broken)
             with pytest.raises(OSError):

@@ -10,6 +10,7 @@ from corpusloom import __main__ as commands
 from corpusloom import fixed
 from corpusloom.operators import lifecycle
 from corpusloom.service import Service, serve
+from corpusloom.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -76,14 +77,18 @@ def test_commands(spark, tmp_path, capsys):
         (tmp_path / "raw" / category).mkdir(parents=True)
         for i in range(n):
             (tmp_path / "raw" / category / f"d{i}.txt").write_text(f"Section {i}\nAbout {category} number {i}.")
+    (tmp_path / "raw" / "acts" / "d6.meta.yaml").write_text("category: Judgments\njurisdiction: EU\nparties: [A, B]\n")
     config = {
-        "ingest": {"raw_dir": f"file://{tmp_path}/raw", "processed_dir": f"file://{tmp_path}/out", "chunks_file": "chunks", "categories": [{"name": "acts", "preset": "acts"}, {"name": "judgments", "strategy": "sentence"}, {"name": "none"}]},
+        "ingest": {"raw_dir": f"file://{tmp_path}/raw", "processed_dir": f"file://{tmp_path}/out", "chunks_file": "chunks", "categories": [{"name": "acts", "preset": "acts", "jurisdiction": "IN"}, {"name": "judgments", "strategy": "sentence"}, {"name": "none"}]},
         "chunking": {"strategy": "pattern"},
     }
     (tmp_path / "config.json").write_text(json.dumps(config))
     assert commands.main(["ingest", "--config", str(tmp_path / "config.json")]) == 0
     chunks, path = f"file://{tmp_path}/out/chunks", f"file://{tmp_path}/index"
     assert json.loads(capsys.readouterr().out)["chunks"] == 13
+    told = {r["chunk_id"]: r["jurisdiction"] for r in readers.read_chunks(spark, chunks).collect()}
+    # What a sidecar says goes before the folder.
+    assert told["judgments/d6/0"] == "EU" and "acts/d6/0" not in told and "acts/d3/0" in told
     assert commands.main(["index", "--chunks", chunks, "--path", path, "--resume"]) == 1
     assert commands.main(["index", "--chunks", chunks, "--path", path]) == 0
     assert commands.main(["index", "--chunks", chunks, "--path", path, "--resume"]) == 0
