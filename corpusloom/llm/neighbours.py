@@ -1,21 +1,21 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of ``TABLES`` tables hashes a vector to the cells that Gaussian projections, cut into
+Each of ``TABLES`` tables hashes a vector to the bucket of cells that Gaussian projections, cut into
 intervals, put it in; the number of projections grows with the logarithm of the vectors, without end. A query visits its own
 bucket and perturbed buckets (some projections' intervals replaced by one next to it) in the order of estimated
-success: its intervals' edges are put in order of distance, and a list of sets of places in that order, sorted by
-expected squared distance, says which are crossed. The list is made once; queries only put their own edges in.
-How much of it is visited is calibrated: of a bounded sample of queries the true neighbours among all vectors are found, and the list
-ends where ``TARGET`` of them have been in a visited bucket of some table. The candidates of all
+success: its intervals' edges are put in order of distance, the edge of each place has an expected squared distance, and a bucket's
+estimate is the sum over the edges crossed to it. The order is cut at one sum for all queries, which is calibrated: of a bounded sample of
+queries the true neighbours among all vectors are found, and the sum is the least at which ``TARGET`` of them are in a visited bucket of some table.
+Whether a bucket comes before the cut follows from its cells and the query's alone, so no list of buckets is made or sent, and none has a length to bound. The candidates of all
 tables are merged and ranked by exact distance.
 
-Buckets whose leading intervals are the same are in one block, so a query's probes, most of which cross few of
-those, go to few blocks. A block larger than ``BLOCK_ROWS`` is split by the vector's hash and its
+Buckets whose leading intervals are the same are in one block, so a query, most of whose buckets cross few of
+those, goes to the few blocks that its cut reaches. A block larger than ``BLOCK_ROWS`` is split by the vector's hash and its
 queries go to each part, so a bucket of any size is searched whole. Equal vectors are one entry with
 the few smallest ids that a result can hold. Within a block, distances come from one matrix product,
 of which only visited buckets count, and those near the cut are computed exactly again.
-Queries that visited fewer candidates than they should return are searched exactly. So are all, where the list would be longer than
-``MOST_PROBES``: hashing tells nothing apart then.
+Queries that visited fewer candidates than they should return are searched exactly. So are all, where too many of the sample's neighbours are
+more than one interval away in every table: no perturbation reaches them then.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do
 those whose length isn't the most frequent one, nor rows without id. Ties fall to the smaller id. An id with
@@ -24,8 +24,6 @@ several vectors is as near as its nearest. An empty table gives no rows. Only ``
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,12 +35,10 @@ TABLES = 4
 LEAST_HASHES = 4
 #: Interval width in standard deviations of the sample's projections.
 WIDTH = 2.0
-#: Bounded samples: vectors for the width, and queries whose true neighbours end the list of probes.
+#: Bounded samples: vectors for the width, and queries whose true neighbours say where the order is cut.
 SAMPLE = 4096
 SAMPLE_QUERIES = 128
 TARGET = 0.95
-#: Buckets of a table that a query visits at most; with more all are searched.
-MOST_PROBES = 100_000
 BLOCK_ROWS = 32_768
 #: Blocks (12 bytes each, a block for 8,192 vectors and table) up to which their parts are broadcast.
 BROADCAST_BLOCKS = 1_000_000
@@ -62,29 +58,6 @@ def expected(m: int) -> np.ndarray:
     return np.where(j <= m, low, 1 - rest / (m + 1) + rest * (rest + 1) / (4 * (m + 1) * (m + 2)))
 
 
-def probe_list(m: int, limit: float, most: int) -> np.ndarray | None:
-    """Sets of edges (rows of 0 and 1 by place in order of distance) of expected squared distance up to ``limit``, least first.
-
-    The k-th nearest and the k-th farthest edge are those of one interval and never in one set. None if there are more than ``most``.
-    """
-    cost = expected(m).tolist()
-    sets, heap = [()], [(cost[0], (0,))]
-    while heap and heap[0][0] <= limit:
-        total, chosen = heapq.heappop(heap)
-        if not any(2 * m - 1 - x in chosen for x in chosen):
-            sets.append(chosen)
-            if len(sets) > most:
-                return None
-        last = chosen[-1]
-        if last + 1 < 2 * m:
-            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
-    out = np.zeros((len(sets), 2 * m), np.int8)
-    for row, chosen in zip(out, sets):
-        row[list(chosen)] = 1
-    return out
-
-
 class Hashes:
     """Projections and interval widths of all tables, and the probes."""
 
@@ -99,55 +72,61 @@ class Hashes:
         self.blocks = blocks
         # Leading intervals that name a block: about four values of each occur.
         lead = int(np.clip(round(np.log(blocks) / np.log(4)), 1, self.m))
-        self.salts = rng.integers(1, 1 << 62, (2, self.m)).astype(np.uint64) | np.uint64(1)
-        self.salts[1, lead:] = 0
-        self.probes: np.ndarray | None = None
-        #: The same as wide numbers, made where they are used.
-        self.wide: np.ndarray | None = None
+        self.lead = lead
+        self.salts = rng.integers(1, 1 << 62, lead).astype(np.uint64) | np.uint64(1)
+        #: The greatest sum of expected squared distances that is visited; without end where perturbed buckets don't hold the neighbours.
+        self.limit = np.inf
 
-    def cells(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def cells(self, vectors: np.ndarray, tables: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """(tables, n, m) intervals, and where in them (0 to 1) the projections are."""
-        place = (np.einsum("tmd,nd->tnm", self.lines, vectors) + self.shift) / self.width
+        place = (np.einsum("tmd,nd->tnm", self.lines[tables], vectors) + self.shift[tables]) / self.width
         cell = np.floor(place)
         return cell.astype(np.int64), place - cell
 
-    def sums(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For rows of intervals the sums that name bucket and block."""
+    def sums(self, cells: np.ndarray) -> np.ndarray:
+        """For rows of intervals the sums over the leading ones that name a block."""
         with np.errstate(over="ignore"):
-            return tuple((cells.astype(np.uint64) * salt).sum(-1, dtype=np.uint64) for salt in self.salts)
+            return (cells[..., : self.lead].astype(np.uint64) * self.salts).sum(-1, dtype=np.uint64)
 
-    def named(self, bucket: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket keys and block numbers from sums."""
+    def named(self, sums: np.ndarray) -> np.ndarray:
+        """Block numbers from sums."""
         with np.errstate(over="ignore"):
-            mixed = [(x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) for x in (bucket, block)]
-        return (mixed[0] ^ (mixed[0] >> np.uint64(29))).view(np.int64), ((mixed[1] >> np.uint64(20)) % np.uint64(self.blocks)).astype(np.int32)
-
-    @staticmethod
-    def edges(inside: np.ndarray) -> np.ndarray:
-        """For rows of places inside intervals the order of their 2 m edges (first the lower ones) by distance."""
-        return np.argsort(np.concatenate([inside, 1 - inside], -1), axis=-1, kind="stable")
-
-    def visited(self, cells: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket keys and block numbers that one query visits in a table, in order."""
-        if self.wide is None:
-            self.wide = self.probes.astype(np.uint64)
-        order = self.edges(inside)
+            mixed = (sums ^ (sums >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(20)) % np.uint64(self.blocks)).astype(np.int32)
+
+    def worth(self, inside: np.ndarray) -> np.ndarray:
+        """For rows of places inside intervals the expected squared distances of their 2 m edges (first the lower ones), by the place of each in the order of distance."""
+        place = np.argsort(np.argsort(np.concatenate([inside, 1 - inside], -1), axis=-1, kind="stable"), axis=-1)
+        return expected(self.m)[place]
+
+    def reached(self, cells: np.ndarray, worth: np.ndarray) -> np.ndarray:
+        """The blocks that one query's visited buckets can be in: every change of the leading intervals up to the cut."""
+        sums, cost = self.sums(cells)[None], np.zeros(1)
         with np.errstate(over="ignore"):
-            steps = [np.concatenate([np.uint64(0) - salt, salt])[order] for salt in self.salts]
-            return self.named(*(own + self.wide @ step for own, step in zip(self.sums(cells), steps)))
+            for j, salt in enumerate(self.salts):
+                sums = np.concatenate([sums, sums - salt, sums + salt])
+                cost = np.concatenate([cost, cost + worth[j], cost + worth[self.m + j]])
+                sums, cost = sums[cost <= self.limit], cost[cost <= self.limit]
+        return np.unique(self.named(sums))
+
+    def visited(self, cells: np.ndarray, worth: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether one query visits the buckets of other cells (a row each) in its table."""
+        step = others - cells
+        near = np.flatnonzero((np.abs(step) <= 1).all(-1))
+        step = step[near]
+        out = np.zeros(len(others), bool)
+        out[near] = np.where(step == -1, worth[: self.m], np.where(step == 1, worth[self.m :], 0)).sum(-1) <= self.limit
+        return out
 
     def calibrate(self, queries: np.ndarray, neighbours: np.ndarray, owner: np.ndarray) -> None:
-        """End the list of probes where TARGET of the pairs (query ``owner[i]``, ``neighbours[i]``) have met."""
-        cost = expected(self.m)
+        """Cut the order where TARGET of the pairs (query ``owner[i]``, ``neighbours[i]``) have met."""
         cells, inside = self.cells(queries)
         theirs, _ = self.cells(neighbours)
-        place = np.argsort(self.edges(inside), axis=-1)
-        worth = cost[place][:, owner]
+        worth = self.worth(inside)[:, owner]
         step = theirs - cells[:, owner]
         needed = np.where(step == -1, worth[..., : self.m], np.where(step == 1, worth[..., self.m :], 0)).sum(-1)
         needed = np.where((np.abs(step) <= 1).all(-1), needed, np.inf).min(0)
-        limit = np.sort(needed)[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)]
-        self.probes = probe_list(self.m, float(limit) + 1e-9, MOST_PROBES) if np.isfinite(limit) else None
+        self.limit = float(np.sort(needed)[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)]) + 1e-9
 
 
 def squares(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -199,29 +178,27 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 NEAR_SCHEMA = "query_id long, score double, ids array<long>"
 
 
-def block_search(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
-    """For each query its nearest visited entries of a block: rows of NEAR_SCHEMA."""
-    entries, keys = matrix(index["vec"]), index["bucket"].to_numpy()
-    buckets, bucket_of = np.unique(keys, return_inverse=True)
+def block_search(queries: pa.Table, index: pa.Table, k: int, hashes: Hashes) -> pa.Table:
+    """For each query its nearest visited entries of a block (all entries, where it says so): rows of NEAR_SCHEMA."""
+    entries = matrix(index["vec"])
     ids = index["ids"].combine_chunks()
     least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets.to_numpy()[0]] if len(ids) else np.zeros(0, np.int64)
     out = ([], [], [])
+    if not queries.num_rows or not len(entries):
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], names=["query_id", "score", "ids"])
+    t = queries["table"][0].as_py()
+    theirs = hashes.cells(entries, slice(t, t + 1))[0][0]
     step = max(1, 4_000_000 // max(1, len(entries)))
     for start in range(0, queries.num_rows, step):
         part = queries.slice(start, step)
         vectors = matrix(part["vec"])
         near = squares(vectors, entries)
-        visited = np.zeros((part.num_rows, len(buckets)), bool)
-        for i, probes in enumerate(part["probes"]):
-            if not probes.is_valid:
-                visited[i] = True
-                continue
-            wanted = probes.values.to_numpy()
-            at = np.minimum(np.searchsorted(buckets, wanted), len(buckets) - 1)
-            visited[i, at[buckets[at] == wanted]] = True
-        near[~visited[:, bucket_of]] = np.inf
-        for i, query in enumerate(part["query_id"].to_pylist()):
+        cells, inside = hashes.cells(vectors, slice(t, t + 1))
+        worth = hashes.worth(inside[0])
+        for i, (query, whole) in enumerate(zip(part["query_id"].to_pylist(), part["whole"].to_pylist())):
             row = near[i]
+            if not whole:
+                row[~hashes.visited(cells[0, i], worth[i], theirs)] = np.inf
             count = int(np.isfinite(row).sum())
             if not count:
                 continue
@@ -263,46 +240,42 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
         for batch in batches:
             cells, _ = hashes.cells(matrix(batch.column(0)))
             for t in range(TABLES):
-                keys, block = hashes.named(*hashes.sums(cells[t]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), pa.array(block), *batch.columns], ["table", "bucket", "block", "vec", "ids"])
+                block = hashes.named(hashes.sums(cells[t]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), t, np.int32)), pa.array(block), *batch.columns], ["table", "block", "vec", "ids"])
 
     def query_rows(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 16):
-                part = batch.slice(start, 16)
-                cells, inside = hashes.cells(matrix(part.column(1)))
-                out = []
-                for t in range(TABLES):
-                    for i in range(part.num_rows):
-                        keys, block = hashes.visited(cells[t, i], inside[t, i])
-                        order = np.argsort(block, kind="stable")
-                        for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                            out.append((t, int(block[own[0]]), i, keys[own]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), part.column(0).take(pa.array([o[2] for o in out])), part.column(1).take(pa.array([o[2] for o in out])), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
-                    ["table", "block", "query_id", "vec", "probes"],
-                )
+            cells, inside = hashes.cells(matrix(batch.column(1)))
+            for t in range(TABLES):
+                worth = hashes.worth(inside[t])
+                blocks = [hashes.reached(cells[t, i], worth[i]) for i in range(batch.num_rows)]
+                for start in range(0, batch.num_rows, 256):
+                    own = blocks[start : start + 256]
+                    row = pa.array(np.repeat(np.arange(start, start + len(own)), [len(b) for b in own]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(row), t, np.int32)), pa.array(np.concatenate(own)), *(c.take(row) for c in batch.columns), pa.array(np.zeros(len(row), bool))], ["table", "block", "query_id", "vec", "whole"]
+                    )
 
     def block_rows(batches):
         for batch in batches:
             cells, _ = hashes.cells(matrix(batch.column(0)))
             for t in range(TABLES):
-                block, n = np.unique(hashes.named(*hashes.sums(cells[t]))[1], return_counts=True)
+                block, n = np.unique(hashes.named(hashes.sums(cells[t])), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array(block), pa.array(n)], ["table", "block", "n"])
 
     kind = dict(entries.dtypes)["vec"]
     # The index isn't written: hashing again costs less than reading TABLES copies of the vectors.
-    index = entries.select("vec", "ids").mapInArrow(index_rows, f"table int, bucket long, block int, vec {kind}, ids array<long>")
-    probes = queries.select("vec_id", "vec").mapInArrow(query_rows, f"table int, block int, query_id long, vec {kind}, probes array<long>")
+    index = entries.select("vec", "ids").mapInArrow(index_rows, f"table int, block int, vec {kind}, ids array<long>")
+    probes = queries.select("vec_id", "vec").mapInArrow(query_rows, f"table int, block int, query_id long, vec {kind}, whole boolean")
     parts = entries.select("vec").mapInArrow(block_rows, "table int, block int, n long").groupBy("table", "block").agg(F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("parts"))
     parts = stash(parts, "parts")
-    if hashes.probes is None:
+    if not np.isfinite(hashes.limit):
         probes = probes.limit(0)
-    result = ranked(searched(probes, index, parts, k), k)
-    return completed(result, queries, index, parts, blocks, k, (rows, entries, parts))
+    result = ranked(searched(probes, index, parts, k, hashes), k)
+    return completed(result, queries, index, parts, blocks, k, hashes, (rows, entries, parts))
 
 
-def searched(probes: DataFrame, index: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+def searched(probes: DataFrame, index: DataFrame, parts: DataFrame, k: int, hashes: Hashes) -> DataFrame:
     """Rows of NEAR_SCHEMA from all blocks, their large ones in parts. Vectors are shuffled once, as the few numbers of blocks are broadcast."""
     if parts.count() <= BROADCAST_BLOCKS:
         parts = F.broadcast(parts)
@@ -310,10 +283,10 @@ def searched(probes: DataFrame, index: DataFrame, parts: DataFrame, k: int) -> D
     dealt = index.join(parts, ["table", "block"]).withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        return block_search(left, right, k)
+        return block_search(left, right, k, hashes)
 
     keys = ("table", "block", "part")
-    return spread.select(*keys, "query_id", "vec", "probes").groupBy(*keys).cogroup(dealt.select(*keys, "bucket", "vec", "ids").groupBy(*keys)).applyInArrow(search, NEAR_SCHEMA)
+    return spread.select(*keys, "query_id", "vec", "whole").groupBy(*keys).cogroup(dealt.select(*keys, "vec", "ids").groupBy(*keys)).applyInArrow(search, NEAR_SCHEMA)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -324,7 +297,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: DataFrame, blocks: int, k: int, written: tuple[DataFrame, ...]) -> DataFrame:
+def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: DataFrame, blocks: int, k: int, hashes: Hashes, written: tuple[DataFrame, ...]) -> DataFrame:
     """``result`` with an exact search, over all blocks of one table, for queries that found fewer than ``k``; without such ones what was ``written`` goes."""
     result = stash(result, "nearest")
     have = result.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -333,6 +306,6 @@ def completed(result: DataFrame, queries: DataFrame, index: DataFrame, parts: Da
         drop(*written, short)
         return result
     # Each entry is in every table once, so the blocks of the first table are all entries.
-    every = short.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("query_id"), "vec", F.lit(None).cast("array<long>").alias("probes"))
-    exact = ranked(searched(every, index.where("table = 0"), parts.where("table = 0"), k), k)
+    every = short.select(F.lit(0).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("query_id"), "vec", F.lit(True).alias("whole"))
+    exact = ranked(searched(every, index.where("table = 0"), parts.where("table = 0"), k, hashes), k)
     return result.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -635,3 +636,46 @@ def test_words_have_the_ids_of_whole_texts(monkeypatch):
     assert words.ids(raw) == want
     monkeypatch.setattr(packing, "CACHE_WORDS", 50)
     assert [words.ids([t])[0] for t in raw] == want
+
+
+def all_sets(m, worth, limit):
+    """Every change of intervals by one or none whose edges' expected squared distances add up to at most ``limit``."""
+    found = []
+    for step in itertools.product((-1, 0, 1), repeat=m):
+        if sum(worth[j if s < 0 else m + j] for j, s in enumerate(step) if s) <= limit:
+            found.append(step)
+    return np.array(found)
+
+
+def test_visited_buckets_and_blocks_are_those_of_the_list():
+    rng = np.random.default_rng(3)
+    sample = rng.normal(size=(200, 8))
+    hashes = neighbours.Hashes(sample, 200, 40)
+    for limit in (0.0, 0.3, 0.9, 5.0):
+        hashes.limit = limit
+        cells, inside = hashes.cells(sample[:6])
+        for t in range(neighbours.TABLES):
+            worth = hashes.worth(inside[t])
+            for i in range(6):
+                steps = all_sets(hashes.m, worth[i], limit)
+                far = rng.integers(-2, 3, size=(300, hashes.m))
+                want = {tuple(s) for s in steps.tolist()}
+                assert hashes.visited(cells[t, i], worth[i], cells[t, i] + steps).all()
+                assert hashes.visited(cells[t, i], worth[i], cells[t, i] + far).tolist() == [tuple(s) in want for s in far.tolist()]
+                assert set(hashes.reached(cells[t, i], worth[i])) == set(hashes.named(hashes.sums(cells[t, i] + steps)))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform"])
+def test_recall_of_nearest(spark, kind):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(3000, 16))
+    if kind == "clustered":
+        v = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] * 4 + v * 0.3
+    got = neighbours.nearest(embeddings(spark, list(enumerate(v.tolist()))), F.col("vec_id") % 100 == 0).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    want = set()
+    for q in range(0, 3000, 100):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        want |= {(q, int(i)) for i in np.argsort(d)[:10]}
+    assert len(got) == 300 and len(found & want) >= 0.9 * len(want)
