@@ -334,3 +334,21 @@ def test_new_files_alone_are_read(spark, tmp_path):
     assert first == lifecycle.manifest_of(as_chunks([source]), "hashing", False) == lifecycle.build_from_files(spark, source, lambda files: 1 / 0, path)
     spark.range(120, 125).selectExpr("id", "concat('t', id) AS text").coalesce(1).write.mode("append").parquet(source)
     assert lifecycle.build_from_files(spark, source, as_chunks, path).chunk_count == 125 == lifecycle.load_index(spark, path).texts.rows().count()
+
+
+# --- dense tiles ---
+
+
+def test_many_queries_meet_tiles(spark, monkeypatch):
+    rng = random.Random(5)
+    vec = lambda: [float(rng.randint(-2, 2)) for _ in range(4)]
+    vectors = spark.createDataFrame([(f"v{i}", vec() if i % 50 else None, rng.choice(["x", "y", None])) for i in range(300)], "id string, embedding array<double>, category string")
+    queries = spark.createDataFrame([(i, vec()) for i in range(90)], "query_id long, embedding array<double>")
+    want = {by: rows_of(dense.search(vectors, queries, 7, by=by)) for by in (None, "category")}
+    all_ = {r["id"]: r["embedding"] for r in vectors.collect() if r["embedding"]}
+    for r in queries.limit(5).collect():
+        best = sorted((-sum(a * b for a, b in zip(r["embedding"], v)), i) for i, v in all_.items())[:7]
+        assert [(-s, i) for i, s in [(x[1], x[2]) for x in sorted(want[None], key=lambda x: x[-1]) if x[0] == r["query_id"]]] == best
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 20)
+    for by in (None, "category"):
+        assert rows_of(dense.search(vectors, queries, 7, by=by)) == want[by]
