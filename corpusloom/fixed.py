@@ -140,7 +140,7 @@ CONSTITUTION_SUMMARY_TEXT = "Constitution of India — supreme law of the land"
 CONSTITUTION_DOC = "Constitution of India"
 
 # --- fixed values: messages of responses ---
-REPORT_FOOTER = "Citation labels were checked only for format and existence; substantive legal support is not verified. Informational only - not legal advice."
+REPORT_FOOTER = "Labels are checked for form and for naming a passage above, not for whether the passage bears the statement out. For information only."
 SUPPORT_LIMITATION = "Citation labels were checked against the supplied passages; substantive legal support for each claim has not been verified."
 ADVICE_LIMITATION = "This response is general legal information, not legal advice or a guarantee of any outcome. Consult a qualified lawyer for your situation."
 NO_EVIDENCE_LIMITATION = "No supporting passages were retrieved from the indexed corpus, so the answer is not evidence-grounded."
@@ -149,8 +149,8 @@ EMPTY_ANSWER_WARNING = "The answer is empty."
 NO_CITATION_WARNING = "The answer contains no source citations."
 UNKNOWN_LABEL_WARNING = "The answer references source labels not supplied to the prompt: "
 UNVERIFIED_WARNING = "Citation labels are valid, but substantive support for each legal claim has not been verified."
-NO_EVIDENCE_PROMPT = "No retrieved legal evidence was provided. Explain that the available evidence is insufficient and do not guess."
-NO_TEXT_PROMPT = "Retrieved records were provided, but none contained readable text. Explain that the available evidence is insufficient and do not guess."
-NO_EVIDENCE_ANSWER = "I could not find relevant passages in the available corpus. I cannot provide a reliable answer without supporting evidence."
-NO_TEXT_ANSWER = "Relevant records were retrieved, but their full text could not be loaded. I cannot provide a reliable answer until the evidence can be inspected."
-ANSWER_INSTRUCTION = "Answer the question using the rules in the system message. Cite the evidence labels exactly as provided. If the evidence does not establish the answer, say what is missing."
+NO_EVIDENCE_PROMPT = "There are no passages for this question. Say that the evidence does not reach, and leave the answer open."
+NO_TEXT_PROMPT = "Entries were found for this question, but their texts are empty. Say that the evidence does not reach, and leave the answer open."
+NO_EVIDENCE_ANSWER = "The indexed texts have no passage on this question, so it stays unanswered here."
+NO_TEXT_ANSWER = "Entries on this question were found, but not their texts, so it stays unanswered until these can be read."
+ANSWER_INSTRUCTION = "Answer from the passages alone and by the rules given before. Put the label of a passage, as it is written above, behind what rests on it. Name what the passages leave open."
