@@ -19,11 +19,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){SPACE}+\z", "")
+    return F.regexp_replace(text, rf"(?U)(?<!{SPACE}){SPACE}+\z", "")
 
 
 def words(text: Column) -> Column:

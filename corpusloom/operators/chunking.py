@@ -1,12 +1,12 @@
-"""Chunking: sentence packing as one Catalyst expression, structure patterns as an Arrow map.
+"""Chunking: sentence packing and the structure presets as Catalyst expressions, delimiters of the caller's as an Arrow map.
 
-Both work within a document and shuffle nothing.
+All work within a document and shuffle nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -110,9 +110,8 @@ def resolve_delimiters(strategy: str = "pattern", preset: str | None = None, del
     return list(fixed.PRESETS[preset] if preset else delimiters or fixed.GENERIC_PRESET)
 
 
-def chunk_structure(documents: DataFrame, preset: str | None = None, delimiters: Iterable[tuple[str, int]] | None = None) -> DataFrame:
-    """``documents`` with a row for each structural chunk: chunk_index, section, parent, heading, hierarchy_path, offsets, text."""
-    chosen = resolve_delimiters("pattern", preset, delimiters)
+def chunk_by_delimiters(documents: DataFrame, chosen: list[tuple[str, int]]) -> DataFrame:
+    """The rows of :func:`chunk_structure` for any Python expressions, in Arrow batches."""
     columns = [c for c in documents.columns if c != "text"]
     schema = ", ".join(
         [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns]
@@ -137,6 +136,130 @@ def chunk_structure(documents: DataFrame, preset: str | None = None, delimiters:
     return documents.select(*columns, "text").mapInArrow(run, schema)
 
 
+#: Elements that :func:`running` goes through before it begins another array.
+RUN_BLOCK = 256
+
+
+def running(items: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """All elements combined up to each one, itself included; ``combine`` must be associative.
+
+    Arrays grow by copying, so runs of a block are made first and then carried on from block to block.
+    """
+
+    def run(block: Column) -> Column:
+        return F.aggregate(F.slice(block, F.lit(2), F.size(block)), F.slice(block, 1, 1), lambda acc, x: F.concat(acc, F.array(combine(F.get(acc, F.size(acc) - 1), x))))
+
+    def carried(blocks: Column) -> Column:
+        ends = run(F.transform(blocks, lambda block: F.get(block, F.size(block) - 1)))
+        return T.bound(ends, lambda end: F.flatten(F.transform(blocks, lambda block, j: F.when(j == 0, block).otherwise(F.transform(block, lambda x: combine(F.get(end, j - 1), x))))))
+
+    def begun(whole: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(whole) - 1, F.lit(0)), F.lit(RUN_BLOCK))
+        return T.bound(F.transform(starts, lambda at: run(F.slice(whole, at + 1, F.lit(RUN_BLOCK)))), carried)
+
+    return T.bound(items, begun)
+
+
+def java_pattern(pattern: str) -> str:
+    """A preset's expression for Java: only a newline ends lines, classes are Unicode's, white space is Python's."""
+    return "(?mdU)" + pattern.replace(r"\s", T.SPACE)
+
+
+def delimiter_marks(text: Column, delimiters: list[tuple[str, int]]) -> Column:
+    """Where units begin, in order: (at, rank, pattern, byte, matched), and a last mark at the text's end.
+
+    What an expression matches and what lies between gives the places of its matches. ``rank`` is the level below zero: of
+    delimiters at one place the deepest counts, then the earlier one.
+    """
+    size = lambda s: F.struct(F.length(s).alias("at"), F.octet_length(s).alias("byte"))
+    add = lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), (a["byte"] + b["byte"]).alias("byte"))
+
+    def found(order: int, pattern: str, level: int) -> Column:
+        def placed(hits: Column) -> Column:
+            between = F.split(text, java_pattern(pattern), -1)
+            ends = running(F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda p, m: add(size(p), size(m))), add)
+            return F.zip_with(ends, hits, lambda e, m: mark(e["at"] - F.length(m), -level, order, e["byte"] - F.octet_length(m), m))
+
+        return T.bound(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)), placed)
+
+    def mark(at: Column, rank: int, order: int, byte: Column, matched: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(order).alias("pattern"), byte.alias("byte"), matched.alias("matched"))
+
+    every = F.sort_array(F.concat(*(found(order, pattern, level) for order, (pattern, level) in enumerate(delimiters))))
+    first = T.bound(every, lambda marks: F.filter(marks, lambda m, i: (i == 0) | (m["at"] != F.get(marks, i - 1)["at"])))
+    return F.concat(first, F.array(mark(F.length(text), 0, 0, F.octet_length(text), F.lit(""))))
+
+
+def label_of(matched: Column) -> Column:
+    """:func:`unit_label` as an expression."""
+    inner = F.regexp_replace(T.strip(matched), r"\A\(([A-Za-z0-9]+)\)\z", "$1")
+    return F.regexp_replace(inner, r"(?U)\A(\d+(?:\.\d+)*[A-Za-z]?)\.?\z", "$1")
+
+
+def open_paths(marks: Column, levels: list[int]) -> Column:
+    """The labels of the units open at each mark, outermost first, its own last: at each level the last one since a unit further out."""
+
+    def opened(m: Column) -> Column:
+        labels = T.bound(label_of(m["matched"]), lambda label: F.array(*(F.when(-m["rank"] == level, label) for level in levels)))
+        return F.struct((-m["rank"]).alias("level"), labels.alias("labels"))
+
+    def later(a: Column, b: Column) -> Column:
+        kept = (F.when(F.lit(level) < b["level"], F.get(a["labels"], F.lit(i))).otherwise(F.get(b["labels"], F.lit(i))) for i, level in enumerate(levels))
+        return F.struct(F.least(a["level"], b["level"]).alias("level"), F.array(*kept).alias("labels"))
+
+    return F.transform(running(F.transform(marks, opened), later), lambda state: F.filter(state["labels"], lambda label: label.isNotNull()))
+
+
+def structural_units(text: Column, delimiters: list[tuple[str, int]]) -> Column:
+    """:func:`structural_chunks` as an expression, for delimiters that begin at a line's start.
+
+    Bodies are cut from the bytes: a place in characters would be counted from the text's start for each unit.
+    """
+    none, named = F.lit(None).cast("string"), rf"(?iU)\A(?:{'|'.join(fixed.NAMED_HEADINGS)}){T.SPACE}"
+
+    def chunk(section: Column, parent: Column, heading: Column, path: Column, start: Column, end: Column, body: Column) -> Column:
+        fields = (section, parent, heading, path, start, end, T.strip(body))
+        return F.struct(*(field.alias(name) for field, name in zip(fields, ("section", "parent", "heading", "hierarchy_path", "start_offset", "end_offset", "text"))))
+
+    def unit(m: Column, following: Column, path: Column, data: Column) -> Column:
+        whole = F.substring(data, m["byte"] + 1, following["byte"] - m["byte"]).cast("string")
+        label, is_named = F.get(path, F.size(path) - 1), F.concat(T.strip(m["matched"]), F.lit(" ")).rlike(named)
+
+        def cut(piece: Column) -> Column:
+            newline = F.instr(piece, "\n")
+            skipped = F.when(~is_named, F.length(m["matched"])).when(newline > 0, newline).otherwise(following["at"] - m["at"])
+            heading = F.when(is_named, T.strip(F.substring_index(piece, "\n", 1))).otherwise(label)
+            body = T.bound(skipped, lambda n: F.substring(piece, n + 1, F.length(piece)))
+            return chunk(label, F.get(path, F.size(path) - 2), heading, path, m["at"] + skipped, following["at"], body)
+
+        return T.bound(whole, cut)
+
+    def units(marks: Column) -> Column:
+        begun = F.slice(marks, F.lit(1), F.size(marks) - 1)
+        first = F.get(marks, F.lit(0))["at"]
+        before = chunk(none, none, none, F.array().cast("array<string>"), F.lit(0), first, F.substring(text, F.lit(1), first))
+        after = T.bound(
+            open_paths(begun, sorted({level for _, level in delimiters})),
+            lambda paths: T.bound(text.cast("binary"), lambda data: F.transform(begun, lambda m, i: unit(m, F.get(marks, i + 1), F.get(paths, i), data))),
+        )
+        return F.filter(F.concat(F.array(before), after), lambda c: c["text"] != "")
+
+    return T.bound(delimiter_marks(text, delimiters), units)
+
+
+def chunk_structure(documents: DataFrame, preset: str | None = None, delimiters: Iterable[tuple[str, int]] | None = None) -> DataFrame:
+    """``documents`` with a row for each structural chunk: chunk_index, section, parent, heading, hierarchy_path, offsets, text.
+
+    Presets are one expression within the row. Other delimiters, which may need what only Python's expressions have, go to Arrow batches.
+    """
+    chosen = resolve_delimiters("pattern", preset, delimiters)
+    if chosen not in [list(known) for known in fixed.PRESETS.values()]:
+        return chunk_by_delimiters(documents, chosen)
+    columns = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    rows = documents.where(F.length("text") > 0).select(*columns, F.posexplode(structural_units(F.col("text"), chosen)).alias("chunk_index", "_unit"))
+    return rows.select(*columns, "chunk_index", "_unit.*")
+
+
 def chunk_documents(documents: DataFrame, routes: dict[str, tuple[str, str | None]], default: tuple[str, str | None] = ("pattern", None), max_chars: int = 1000) -> DataFrame:
     """Chunks of all documents, by (strategy, preset) of their category, with chunk ids."""
     parts = []

@@ -252,6 +252,27 @@ def chunk_pattern_judgments(spark, sf_dir):
     return structured(spark, sf_dir, F.lit("12.\n"), "\n(c) Held.\n13. Next.", "judgments_structured")
 
 
+MARKED_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\. +', '.' || chr(10) || '1. ', 'g'), ', +', ',' || chr(10) || '(b) ', 'g') AS text FROM documents WHERE length(text) > 0),
+p AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^([ \t]*(?:\d+\.|\([a-z]\)))', chr(1) || '\1', 'g'), chr(1)) AS parts FROM t),
+u AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM p),
+m AS (SELECT doc_id, i, CASE WHEN i > 1 THEN regexp_extract(part, '^[ \t]*(\d+\.|\([a-z]\))', 1) END AS mark, regexp_replace(CASE WHEN i > 1 THEN regexp_replace(part, '^[ \t]*(?:\d+\.|\([a-z]\))', '') ELSE part END, '^\s+|\s+$', '', 'g') AS body FROM u),
+l AS (SELECT doc_id, i, body, mark LIKE '(%' AS is_sub, regexp_replace(mark, '[().]', '', 'g') AS section FROM m),
+o AS (SELECT *, last_value(CASE WHEN NOT is_sub THEN section END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS above FROM l)
+"""
+
+
+@register(MARKED_SQL + """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, section, CASE WHEN is_sub THEN above END AS parent,
+  CASE WHEN is_sub AND above IS NOT NULL THEN above || '>' || section ELSE coalesce(section, '') END AS path, md5(body) AS digest
+FROM o WHERE body <> ''""")
+def chunk_pattern_marked(spark, sf_dir):
+    """Whole texts with a delimiter at each sentence and clause, whatever else in them begins a unit."""
+    text = F.regexp_replace(F.regexp_replace("text", r"\. +", ".\n1. "), ", +", ",\n(b) ")
+    rows = chunking.chunk_structure(documents(spark, sf_dir).select("doc_id", text.alias("text")), preset="judgments_structured")
+    return rows.select("doc_id", "chunk_index", "section", "parent", F.array_join("hierarchy_path", ">").alias("path"), text_digest())
+
+
 # --- summaries ----------------------------------------------------------------------------------------------------
 
 LINES_SQL = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"

@@ -85,6 +85,40 @@ def test_paths_follow_a_stack(levels):
     assert [path for _, _, _, path, *_ in chunking.structural_chunks(text, delimiters)] == want
 
 
+MARKED = (
+    "Section 1|Section\n5|section 7A|Article 3|Article IV|ARTICLE IV|Chapter II|Part X|PART IV sec|SEVENTH SCHEDULE|Schedule VI|APPENDIX I|(a)|(ii)|(12)|1.|1.1|1.1.1|79A.|3. Subs. by|12. 4["
+    "|CONFIDENTIALITY|GENERAL TERMS\nAND CONDITIONS|é|😀 body|Held.|Rule text|  |\t(b) x|\x1c|\u2003|\r|\u2028|§ 4|A|٣."
+).split("|")
+
+
+@pytest.mark.parametrize("preset", list(fixed.PRESETS))
+def test_presets_as_expressions(spark, preset, capsys):
+    rng = random.Random(preset)
+    texts = ["".join(rng.choice(MARKED) + rng.choice(["\n", "\n", "\n", " ", "\n\n", "\r\n", ""]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts.append("".join(rng.choice(MARKED) + "\n" for _ in range(3 * chunking.RUN_BLOCK)))
+    rows = chunking.chunk_structure(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), preset)
+    got = {}
+    for r in rows.orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append((r["chunk_index"], r["section"], r["parent"], r["heading"], r["hierarchy_path"], r["start_offset"], r["end_offset"], r["text"]))
+    compiled = [(re.compile(p, re.M), level) for p, level in fixed.PRESETS[preset]]
+    assert [got.get(i, []) for i in range(len(texts))] == [[(k, *unit) for k, unit in enumerate(chunking.structural_chunks(text, compiled))] for text in texts]
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "InArrow" not in plan and "Exchange" not in plan and plan.count("regexp_extract_all") <= 2 * len(compiled)
+
+
+def test_delimiters_of_ones_own(spark):
+    rows = spark.createDataFrame([(1, "see @one x @two y")], "id long, text string")
+    got = chunking.chunk_structure(rows, delimiters=[(r"@(?P<name>\w+)", 1)]).orderBy("chunk_index").collect()
+    assert [(r["section"], r["text"]) for r in got] == [(None, "see"), ("@one", "x"), ("@two", "y")]
+
+
+@pytest.mark.parametrize("items", [[], [1], list(range(chunking.RUN_BLOCK)), list(range(2 * chunking.RUN_BLOCK + 1))])
+def test_running(spark, items):
+    row = spark.createDataFrame([(items,)], "items array<long>").select(chunking.running(F.col("items"), lambda a, b: a + b).alias("sums")).first()
+    assert row["sums"] == [int(n) for n in np.cumsum(items)]
+
+
 def test_structure_keeps_columns(spark):
     rows = spark.createDataFrame([(1, "Section 1\nx", None), (2, None, 5), (3, "Section 2\ny\nSection 3\nz", 7)], "id long, text string, other int")
     got = chunking.chunk_structure(rows, "acts").orderBy("id", "chunk_index").collect()
