@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: One character of white space (Unicode, and the four information separators).
 SPACE = r"[\s\x1C-\x1F]"
+#: All such characters.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 MODEL_NAMES = {"nomic-embed-text": "nomic-ai/nomic-embed-text-v1.5"}
 
@@ -19,11 +21,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)(?<!{SPACE}){SPACE}+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:

@@ -165,6 +165,9 @@ def java_pattern(pattern: str) -> str:
     return "(?mdU)" + pattern.replace(r"\s", T.SPACE)
 
 
+MARKS = "array<struct<at: int, rank: int, pattern: int, byte: int, matched: string>>"
+
+
 def delimiter_marks(text: Column, delimiters: list[tuple[str, int]]) -> Column:
     """Where units begin, in order: (at, rank, pattern, byte, matched), and a last mark at the text's end.
 
@@ -174,20 +177,21 @@ def delimiter_marks(text: Column, delimiters: list[tuple[str, int]]) -> Column:
     size = lambda s: F.struct(F.length(s).alias("at"), F.octet_length(s).alias("byte"))
     add = lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), (a["byte"] + b["byte"]).alias("byte"))
 
-    def found(order: int, pattern: str, level: int) -> Column:
-        def placed(hits: Column) -> Column:
-            between = F.split(text, java_pattern(pattern), -1)
-            ends = running(F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda p, m: add(size(p), size(m))), add)
-            return F.zip_with(ends, hits, lambda e, m: mark(e["at"] - F.length(m), -level, order, e["byte"] - F.octet_length(m), m))
+    def mark(at: Column, rank: Column, order: Column, byte: Column, matched: Column) -> Column:
+        return F.struct(at.alias("at"), rank.alias("rank"), order.alias("pattern"), byte.alias("byte"), matched.alias("matched"))
 
-        return T.bound(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)), placed)
+    def found(d: Column) -> Column:
+        def placed(hits: Column) -> Column:
+            between = F.slice(F.split(text, d["pattern"], -1), F.lit(1), F.size(hits))
+            ends = running(F.zip_with(between, hits, lambda p, m: add(size(p), size(m))), add)
+            return F.zip_with(ends, hits, lambda e, m: mark(e["at"] - F.length(m), d["rank"], d["order"], e["byte"] - F.octet_length(m), m))
 
-    def mark(at: Column, rank: int, order: int, byte: Column, matched: Column) -> Column:
-        return F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(order).alias("pattern"), byte.alias("byte"), matched.alias("matched"))
+        return T.bound(F.regexp_extract_all(text, d["pattern"], F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(F.array().cast(MARKS)))
 
-    every = F.sort_array(F.concat(*(found(order, pattern, level) for order, (pattern, level) in enumerate(delimiters))))
+    table = F.array(*(F.struct(F.lit(java_pattern(pattern)).alias("pattern"), F.lit(-level).alias("rank"), F.lit(order).alias("order")) for order, (pattern, level) in enumerate(delimiters)))
+    every = F.sort_array(F.flatten(F.transform(table, found)))
     first = T.bound(every, lambda marks: F.filter(marks, lambda m, i: (i == 0) | (m["at"] != F.get(marks, i - 1)["at"])))
-    return F.concat(first, F.array(mark(F.length(text), 0, 0, F.octet_length(text), F.lit(""))))
+    return F.concat(first, F.array(mark(F.length(text), F.lit(0), F.lit(0), F.octet_length(text), F.lit(""))))
 
 
 def label_of(matched: Column) -> Column:
