@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom import fixed
 from corpusloom.functions import text as T
 
-SENTENCE_BREAK = r"(?U)(?<=[.!?])(?=\s)"
+SENTENCE_BREAK = rf"(?U)(?<=[.!?])(?={T.SPACE})"
 
 
 def sentence_bounds(text: Column, max_chars: int) -> Column:

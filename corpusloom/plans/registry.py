@@ -16,6 +16,7 @@ from corpusloom import fixed
 from corpusloom.functions import citations as C
 from corpusloom.functions import labels as L
 from corpusloom.functions import summary as S
+from corpusloom.functions import tables
 from corpusloom.functions import text as T
 from corpusloom.functions import understanding as U
 from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fingerprints, fusion, lifecycle
@@ -273,6 +274,27 @@ def chunk_pattern_marked(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", "section", "parent", F.array_join("hierarchy_path", ">").alias("path"), text_digest())
 
 
+def lateral_chunks(spark, texts: DataFrame, strategy: str) -> DataFrame:
+    """The chunks of texts (doc_id, text) by the SQL table function."""
+    tables.register(spark)
+    return spark.sql(f"SELECT d.doc_id, c.* FROM {{texts}} d, LATERAL chunks(d.text, '{strategy}') c", texts=texts)
+
+
+@register(f"WITH {ACT_SQL} SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, section, parent, path, md5(body) AS digest FROM u")
+def chunks_lateral_acts(spark, sf_dir):
+    rows = lateral_chunks(spark, act_text(spark, sf_dir), "acts")
+    return rows.select("doc_id", "chunk_index", "section", "parent", F.array_join("hierarchy_path", ">").alias("path"), text_digest())
+
+
+@register(f"""
+WITH RECURSIVE {SENTENCE_SQL}
+SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY start) - 1 AS INT) AS chunk_index, CAST(start AS INT) AS start_offset, CAST(stop AS INT) AS end_offset, md5(d.text[start + 1:stop]) AS digest
+FROM c JOIN documents d ON d.doc_id = c.doc_id""")
+def chunks_lateral_sentence(spark, sf_dir):
+    rows = lateral_chunks(spark, documents(spark, sf_dir).select("doc_id", "text"), "sentence")
+    return rows.select("doc_id", "chunk_index", "start_offset", "end_offset", text_digest())
+
+
 # --- summaries ----------------------------------------------------------------------------------------------------
 
 LINES_SQL = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"

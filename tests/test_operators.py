@@ -10,9 +10,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from corpusloom import fixed
+from corpusloom.functions import tables
 from corpusloom.operators import bm25, chunking, dense, evaluation, evidence, fusion, lifecycle
 from corpusloom.plans.ingest import by_model, ingest
 from corpusloom.plans.search import Settings, federated, hybrid, routed, searched
@@ -107,6 +109,20 @@ def test_presets_as_expressions(spark, preset, capsys):
     assert "InArrow" not in plan and "Exchange" not in plan and plan.count("regexp_extract_all") <= 2 * len(compiled)
 
 
+def test_chunks_in_sql(spark):
+    tables.register(spark)
+    texts = [None, "", " \n", "Section 1\nx. y.\x1fz\n(1) w", "a. b. c." * 5, "Chapter II\nSection 2\n" * 3 + "é. 😀!\u2003q"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    fields = ["id", "chunk_index", "start_offset", "end_offset", "text"]
+    for strategy, want in (("acts", chunking.chunk_structure(rows, "acts")), ("sentence", chunking.chunk_sentences(rows, 7))):
+        names = fields + (["section", "parent", "heading", "hierarchy_path"] if strategy == "acts" else [])
+        got = spark.sql(f"SELECT d.id, c.* FROM {{rows}} d, LATERAL chunks(d.text, '{strategy}', 7) c", rows=rows).select(*names)
+        assert sorted(got.collect(), key=lambda r: r[:2]) == sorted(want.select(*names).collect(), key=lambda r: r[:2])
+    for call in ("chunks(d.text, 'none')", "chunks(d.text, d.text)", "chunks(d.text, 'sentence', 0)"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"SELECT c.* FROM {{rows}} d, LATERAL {call} c", rows=rows).collect()
+
+
 def test_delimiters_of_ones_own(spark):
     rows = spark.createDataFrame([(1, "see @one x @two y")], "id long, text string")
     got = chunking.chunk_structure(rows, delimiters=[(r"@(?P<name>\w+)", 1)]).orderBy("chunk_index").collect()
