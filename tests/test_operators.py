@@ -617,3 +617,16 @@ def test_scratch_tables(spark):
     assert os.path.isdir(path)
     runtime.clear(spark)
     assert not os.path.exists(path) and not runtime._written(spark)
+
+
+def test_ingest_acts_where_texts_have_years(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(i, text) for i, text in enumerate(("Decided in 1978 as said", "the code of 1850", "act", "plain words", "call 555-2058"))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in entry.queries()["ingest_acts"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(duck.execute(entry.oracle_sql()["ingest_acts"]).fetchall())
