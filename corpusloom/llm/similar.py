@@ -16,7 +16,8 @@ blocks. Members that are similar to the leader are linked through it, so they ne
 each other, and a large group of near copies costs one comparison a member. Links lead to the groups of which one document stays.
 
 Documents with equal sets are one vertex from the start. A place with more than ``PLACE_ROWS`` rows is dealt into parts by a hash
-of its own, and some rows of it (leaders) go to all parts.
+of its own, and some rows of it (leaders) go to all parts. Rows that the first leader doesn't reach then meet all rows of the place, in
+blocks, so no pair that one task would find is lost.
 
 Defined results: a null text and one without words have the empty set and are copies of each other; a text of
 fewer words than a shingle is one shingle; texts of any length are taken whole; rows that are equal in doc_id and text are copies
@@ -216,23 +217,43 @@ def candidates(vertices: DataFrame) -> DataFrame:
     rows = source.mapInArrow(dealt, schema).withColumn("place", F.shiftright("key", BALL))
     large = stash(source.mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") > PLACE_ROWS), "large")
     number = large.count()
-    if number:
-        mark = F.xxhash64("vertex", "place")
-        rows = rows.join(F.broadcast(large) if number <= BROADCAST_ROWS else large, "place", "left").withColumn("parts", F.ceil(F.coalesce(F.col("n"), F.lit(1)) / PLACE_ROWS).cast("int"))
-        everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-        own = F.array(F.pmod(mark, F.col("parts")).cast("int"))
-        rows = rows.withColumn("part", F.explode(F.when((F.col("parts") > 1) & (F.pmod(F.shiftright(mark, 7), F.col("n")) < LEADERS), everywhere).otherwise(own)))
-    else:
-        rows = rows.withColumn("part", F.lit(0))
+    mark, parts_of = F.xxhash64("vertex", "place"), lambda n: F.ceil(n / PLACE_ROWS).cast("int")
+    every, own = (lambda c: F.sequence(F.lit(0), F.col(c) - 1)), (lambda c: F.pmod(mark, F.col(c)).cast("int"))
 
     def meet(group: pa.Table) -> list[np.ndarray]:
         number = group["vertex"].to_numpy()
         checks = np.stack([group[f"check_{k}"].to_numpy() for k in range(CHECK_WORDS)], 1).view(np.uint64)
         root = met((group["key"].to_numpy() & ((1 << BALL) - 1)).astype(np.uint16), checks)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return [number[moved], number[root[moved]]]
-
-    return by_group(rows.select("place", "part", *columns), ["place", "part"], meet, "u long, v long")
+        moved, reached = np.flatnonzero(root != np.arange(len(root))), np.zeros(0, np.int64)
+        lead = group["lead"].to_numpy(zero_copy_only=False)
+        if (leaders := np.flatnonzero(lead >= 0)).size:
+            reached = np.flatnonzero(root == root[leaders[lead[leaders].argmin()]])
+        place = np.full(len(reached), group["place"][0].as_py(), np.int64)
+        return [np.append(number[moved], number[reached]), np.append(number[root[moved]], number[reached]), np.append(np.full(len(moved), -1), place)]
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        """(u, v, own) links, and with a place as ``own`` the vertices u that hang together with its first leader."""
+        return by_group(rows.select("place", "part", "lead", *columns), ["place", "part"], meet, "u long, v long, own long")
+
+    if not number:
+        return meeting(rows.withColumns({"part": F.lit(0), "lead": F.lit(-1).cast("long")})).select("u", "v")
+    parted = rows.join(F.broadcast(large) if number <= BROADCAST_ROWS else large, "place", "left").withColumn("parts", parts_of(F.coalesce(F.col("n"), F.lit(1))))
+    nth = F.shiftright(mark, 7).bitwiseAND((1 << 56) - 1)
+    leads = (F.col("parts") > 1) & (F.pmod(nth, F.col("n")) < LEADERS)
+    first = parted.withColumn("lead", F.when(leads, nth).otherwise(-1)).withColumn("part", F.explode(F.when(leads, every("parts")).otherwise(F.array(own("parts")))))
+    found = stash(meeting(first), "met")
+    # Who hangs together with a place's first leader, in whatever part, needn't meet there. All others of the place meet all of it, in blocks.
+    whole = parted.where("parts > 1")
+    reached = found.where("own >= 0").select(F.col("own").alias("place"), F.col("u").alias("vertex")).distinct()
+    rest = whole.join(reached, ["place", "vertex"], "left_anti")
+    rests = stash(rest.groupBy("place").agg(parts_of(F.count(F.lit(1))).alias("rests")), "rests")
+    links = found.where("own < 0").select("u", "v")
+    if rests.isEmpty():
+        return links
+    ask = rest.join(rests, "place").withColumns({"row": own("rests"), "col": F.explode(every("parts"))})
+    answer = whole.join(rests, "place").withColumns({"row": F.explode(every("rests")), "col": own("parts")})
+    block = ask.unionByName(answer).withColumns({"part": F.col("row") * F.col("parts") + F.col("col"), "lead": F.lit(-1).cast("long")})
+    return links.unionByName(meeting(block.dropDuplicates(["place", "part", "vertex"])).select("u", "v"))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

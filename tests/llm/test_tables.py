@@ -314,6 +314,22 @@ def test_near_duplicates(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+def test_parted_places_lose_no_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for pair in range(60):
+        bits = rng.integers(0, 2, similar.BITS).astype(np.uint8)
+        for k in range(2):
+            rows.append((2 * pair + k, np.packbits(bits ^ (rng.random(similar.BITS) < 0.05 * k).astype(np.uint8), bitorder="little").view(np.int64).tolist()))
+    table = spark.createDataFrame(rows, "vertex long, bits array<long>")
+    whole = {tuple(sorted(r)) for r in similar.candidates(table).collect()}
+    assert whole == {(2 * pair, 2 * pair + 1) for pair in range(60)}
+    for leaders in (0, 1):
+        monkeypatch.setattr(similar, "PLACE_ROWS", 1)
+        monkeypatch.setattr(similar, "LEADERS", leaders)
+        assert {tuple(sorted(r)) for r in similar.candidates(table).collect()} == whole
+
+
 def shingle_set(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
