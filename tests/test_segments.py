@@ -352,3 +352,40 @@ def test_many_queries_meet_tiles(spark, monkeypatch):
     monkeypatch.setattr(dense, "QUERY_BLOCK", 20)
     for by in (None, "category"):
         assert rows_of(dense.search(vectors, queries, 7, by=by)) == want[by]
+
+
+# --- work that grows with the texts ---
+
+
+def test_blocks_are_written_where_they_are_made(spark, tmp_path):
+    _, chunks = mixed_chunks(spark)
+    bm25.write_blocks(bm25.make_blocks(chunks.repartition(3), category_col="category"), f"{tmp_path}/blocks")
+    assert len(list((tmp_path / "blocks" / f"bucket={bm25.LISTS}").glob("*.parquet"))) == 3
+
+
+def test_a_build_sizes_its_batches_itself(spark, tmp_path):
+    _, chunks = mixed_chunks(spark, 20)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    lifecycle.build_index(chunks, f"{tmp_path}/index")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
+def test_a_task_gives_on_little_but_the_best(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(bm25, "SLICE_BITS", 3)
+    monkeypatch.setattr(bm25, "QUERY_ROWS", 2)
+    monkeypatch.setattr(bm25, "TERM_ROWS", 2)
+    rows, chunks = mixed_chunks(spark, 600)
+    lifecycle.update_index(chunks.where("chunk_id < 'c0500'"), f"{tmp_path}/index")
+    lifecycle.update_index(chunks.where("chunk_id >= 'c0480'"), f"{tmp_path}/index", deleted=spark.createDataFrame([(f"c{i:04}",) for i in range(0, 400, 3)], "id string"))
+    index = lifecycle.load_index(spark, f"{tmp_path}/index").sparse
+    queries = spark.createDataFrame([(i, f"w{i} w1 w2 w{2 * i} w1") for i in range(1, 8)], "query_id long, text string")
+    wanted = queries.selectExpr("query_id", "explode(split(text, ' ')) AS term").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    for options in ({"each": False, "namespace": bm25.MERGED}, {"each": True, "namespace": bm25.MERGED}, {"each": False, "namespace": "y"}):
+        weights = bm25.query_weights(index, wanted, **options)
+        asked = bm25.facts(weights)
+        blocks = bm25.asked_blocks(index, weights, asked, options["namespace"], options["each"])
+        by = ("query_id", "category") if options["each"] else ("query_id",)
+        plain = bm25.scored(blocks, weights, asked.rows, index.gone).select("query_id", "id", "category", "score")
+        found = bm25.scored_by_slice(index, blocks, weights, asked, options["namespace"], options["each"], 3)
+        assert rows_of(bm25.top(found, 3, by)) == rows_of(bm25.top(plain, 3, by))
+        assert found.count() < plain.count()
