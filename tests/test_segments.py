@@ -3,11 +3,13 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
-from corpusloom.operators import bm25, dense, evidence, fingerprints, lifecycle, segments, texts
+from corpusloom.functions.text import tokens
+from corpusloom.operators import bm25, dense, evidence, fingerprints, fusion, lifecycle, segments, texts
 from corpusloom.sources import readers
 from corpusloom.streaming.incremental import incremental_index
 from tests.test_operators import plain_bm25, small_chunks
@@ -389,3 +391,33 @@ def test_a_task_gives_on_little_but_the_best(spark, monkeypatch, tmp_path):
         found = bm25.scored_by_slice(index, blocks, weights, asked, options["namespace"], options["each"], 3)
         assert rows_of(bm25.top(found, 3, by)) == rows_of(bm25.top(plain, 3, by))
         assert found.count() < plain.count()
+
+
+def test_frequencies_read_no_lists(spark, tmp_path):
+    _, chunks = mixed_chunks(spark)
+    bm25.write_blocks(bm25.make_blocks(chunks, category_col="category"), f"{tmp_path}/blocks")
+    found = bm25.frequencies(spark.read.parquet(f"{tmp_path}/blocks"))
+    assert "ids:" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_end_at_what_tokens_takes_for_white_space(spark):
+    rows = [f"{c}A{c}bİ{c}" for c in map(chr, range(0x3001)) if c.isspace()] + ["", " ", "ΣAΣ x", "​­z"]
+    want = [list(r[0]) for r in spark.createDataFrame([(t,) for t in rows], "t string").select(tokens(F.col("t"))).collect()]
+    words, lengths = bm25.split_words(pa.array([r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(F.lower("t")).collect()]))
+    ends = lengths.cumsum()
+    assert [words[int(e - n) : int(e)].to_pylist() for e, n in zip(ends, lengths)] == want
+    vectors = dense.hashing_encoder()(rows)
+    for text, vector in zip(rows, vectors):
+        plain = [0.0] * dense.HASH_DIM
+        for word in text.lower().split():
+            plain[dense.hash_bucket(word)] += 1
+        size = sum(x * x for x in plain) ** 0.5 or 1
+        assert list(vector) == [x / size for x in plain]
+
+
+def test_lists_of_categories_are_read_once(spark, tmp_path):
+    rows = [(1, "x", "a", 0, 0.5), (1, "y", "b", 0, 0.7), (1, "y", "a", 1, 0.6), (1, "x", "c", 1, 0.4), (2, "x", "c", 0, 0.1)]
+    spark.createDataFrame(rows, "query_id long, category string, id string, rank0 int, score double").write.parquet(f"{tmp_path}/hits")
+    found = fusion.federate(spark.read.parquet(f"{tmp_path}/hits"))
+    assert [(r["query_id"], r["id"], r["category"], r["place"]) for r in found.orderBy("query_id", "place").collect()] == [(1, "a", "y", 0), (1, "b", "y", 1), (1, "c", "x", 2), (2, "c", "x", 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
