@@ -4,12 +4,14 @@ import json
 import random
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
 from corpusloom.functions.text import tokens
 from corpusloom.operators import bm25, dense, evidence, fingerprints, fusion, lifecycle, segments, texts
+from corpusloom.plans import registry
 from corpusloom.sources import readers
 from corpusloom.streaming.incremental import incremental_index
 from tests.test_operators import plain_bm25, small_chunks
@@ -421,3 +423,31 @@ def test_lists_of_categories_are_read_once(spark, tmp_path):
     found = fusion.federate(spark.read.parquet(f"{tmp_path}/hits"))
     assert [(r["query_id"], r["id"], r["category"], r["place"]) for r in found.orderBy("query_id", "place").collect()] == [(1, "a", "y", 0), (1, "b", "y", 1), (1, "c", "x", 2), (2, "c", "x", 0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_row_groups_stay_small(spark, tmp_path):
+    rng = random.Random(1)
+    # Short rows first: the writer would look again after thousands of the long ones.
+    rows = [(i, "a" if i < 3000 else "".join(rng.choices("abcdefghijklmnop", k=1500))) for i in range(9000)]
+    texts.write_texts(spark.createDataFrame(rows, "chunk_id long, text string"), f"{tmp_path}/texts", 1)
+    sizes = [f.row_group(i).total_byte_size for f in (pq.ParquetFile(p).metadata for p in (tmp_path / "texts").rglob("*.parquet")) for i in range(f.num_row_groups)]
+    assert max(sizes) < 2 * texts.GROUP_BYTES
+
+
+def test_totals_of_terms_are_those_of_the_postings(spark, tmp_path):
+    _, chunks = mixed_chunks(spark, 60)
+    by_postings = lambda index: rows_of(index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")))
+    lifecycle.update_index(chunks, f"{tmp_path}/index")
+    index = lifecycle.load_index(spark, f"{tmp_path}/index").sparse
+    assert rows_of(index.term_totals) == by_postings(index) and "explode" not in index.term_totals._jdf.queryExecution().optimizedPlan().toString()
+    lifecycle.update_index(chunks.where("chunk_id < 'c0007'").withColumn("text", F.lit("w1 new")), f"{tmp_path}/index")
+    index = lifecycle.load_index(spark, f"{tmp_path}/index").sparse
+    assert index.gone is not None and rows_of(index.term_totals) == by_postings(index)
+
+
+def test_more_chunk_files_of_larger_tables(spark, monkeypatch, tmp_path):
+    spark.range(50_000).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    source = f"file://{tmp_path}/documents.parquet"
+    assert registry.chunk_files(spark, source) == 4
+    monkeypatch.setattr(registry, "CHUNK_FILE_BYTES", 10_000)
+    assert registry.chunk_files(spark, source) >= 6 and registry.chunk_files(spark, source) % 2 == 0
