@@ -451,3 +451,53 @@ def test_more_chunk_files_of_larger_tables(spark, monkeypatch, tmp_path):
     assert registry.chunk_files(spark, source) == 4
     monkeypatch.setattr(registry, "CHUNK_FILE_BYTES", 10_000)
     assert registry.chunk_files(spark, source) >= 6 and registry.chunk_files(spark, source) % 2 == 0
+
+
+def test_a_slice_goes_on_over_batches():
+    def gathered(most):
+        batches = [pa.RecordBatch.from_pydict({"id": [3 * i, 3 * i + 1, 3 * i + 2], "category": ["x", None, "y"], "h": [1, 2, 3], "text": ["tea rare%d" % i, "", "tea tea"], "task": pa.array([2] * 3, pa.int32())}) for i in range(4)]
+        return pa.Table.from_batches(bm25._gather(iter(batches), 3, most)).to_pylist()
+
+    rows = gathered(1 << 20)
+    # Eight chunks, then four: slices end where the number does, not where a batch does.
+    assert {r["slice"] for r in rows} == {2 << 40, (2 << 40) + 1}
+    tea = [(r["slice"] & 1, r["category"], r["ids"], r["tfs"], r["dls"]) for r in rows if r["term"] == "tea"]
+    assert sorted(tea) == [(0, "x", [0, 3, 6], [1, 1, 1], [2, 2, 2]), (0, "y", [2, 5], [2, 2], [2, 2]), (1, "x", [9], [1], [2]), (1, "y", [8, 11], [2, 2], [2, 2])]
+    assert sorted(i for r in rows if r["term"] is None for i in r["ids"]) == list(range(12))
+    # A slice of few bytes is one batch.
+    assert len({r["slice"] for r in gathered(1)}) >= 4
+
+
+def test_a_single_segment_has_the_statistics(spark, tmp_path):
+    _, chunks = mixed_chunks(spark, 60)
+    lifecycle.update_index(chunks.where("chunk_id < 'c0030'"), f"{tmp_path}/index")
+    assert not (tmp_path / "index" / "statistics").exists()
+    lifecycle.update_index(chunks.where("chunk_id >= 'c0030'"), f"{tmp_path}/index")
+    assert (tmp_path / "index" / "statistics").exists()
+    index = lifecycle.load_index(spark, f"{tmp_path}/index").sparse
+    whole = bm25.build(chunks, category_col="category")
+    of = lambda rows: rows_of(rows.select("namespace", "term", "df", F.round("idf", 9)))
+    assert of(index.term_stats) == of(whole.term_stats)
+    # Frequencies of categories and of all together come from one shuffle.
+    plan = bm25.totals(bm25.frequencies(whole.blocks))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_an_index_of_an_older_form_is_told(spark, tmp_path):
+    lifecycle.update_index(mixed_chunks(spark, 20)[1], f"{tmp_path}/index")
+    record = tmp_path / "index" / "snapshots" / f"{1:010d}.json"
+    held = json.loads(record.read_text())
+    del held["means"]
+    record.unlink()
+    (record.parent / f".{record.name}.crc").unlink(missing_ok=True)
+    record.write_text(json.dumps(held))
+    with pytest.raises(ValueError, match="older form"):
+        lifecycle.load_index(spark, f"{tmp_path}/index")
+
+
+def test_an_encoder_remembers_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(dense, "KNOWN_WORDS", 2)
+    encode = dense.hashing_encoder()
+    first = encode(["a b c d a", "e"])
+    assert len(encode.__closure__) and [c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, dict)][0].keys() == {b"a", b"b"}
+    assert (encode(["a b c d a", "e"]) == first).all() and first[0].argmax() == dense.hash_bucket("a")
