@@ -509,3 +509,8 @@ def test_relevant_pairs_are_found_once(spark, tmp_path):
     found = evaluation.metrics(hits, hits, spark.read.parquet(f"{tmp_path}/pairs"), (1, 2))
     assert not [f for f in found.inputFiles() if f"{tmp_path}/pairs" in f]
     assert rows_of(found) == [(1, 1, 1.0, 0.5, 1.0, 0.5), (1, 2, 0.5, 0.5, 1.0, 0.5), (2, 1, 0.0, 0.0, 0.0, 0.0), (2, 2, 0.0, 0.0, 0.0, 0.0)]
+
+
+def test_a_response_reads_the_texts_once(spark):
+    found = registry.chat_response(spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "documents.parquet" in f]
